@@ -1 +1,166 @@
-"""Registered queries."""
+"""Registered catalogue / column-function queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import queryparse as QP
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import catalog as C
+from ..sources import adapters
+from ..sources.tables import Tables
+from . import oracle as O
+from .oracle import with_views
+from .registry import register
+
+
+def _v(spark, sf_dir, name):
+    return getattr(adapters, name)(Tables(spark, sf_dir))
+
+
+def q6(c):
+    return F.floor(F.col(c).cast("double") * 1e6 + 0.5) / 1e6 if isinstance(c, str) else F.floor(c.cast("double") * 1e6 + 0.5) / 1e6
+
+
+@register("a01_read_catalog", with_views(f"""select url, name, brand, price, currency, source_site, made_in_canada,
+ made_in_canada_reason, num_reviews, {O.q6('average_rating')} as average_rating, len(embedding) as dim from catalog""", "catalog"))
+def a01(spark, sf_dir):
+    p = C.typed_products(_v(spark, sf_dir, "catalog"))
+    return p.select("url", "name", "brand", "price", "currency", "source_site", "made_in_canada",
+                    "made_in_canada_reason", "num_reviews", q6("average_rating").alias("average_rating"),
+                    F.size("embedding").alias("dim"))
+
+
+@register("a09_dump_urls", with_views("select distinct url from catalog order by url", "catalog"))
+def a09(spark, sf_dir):
+    return C.dump_urls(_v(spark, sf_dir, "catalog"))
+
+
+@register("a10_preview", with_views("""select name, url, (select count(*) from catalog) - 5 as remaining
+ from catalog order by url limit 5""", "catalog"))
+def a10(spark, sf_dir):
+    return C.preview(_v(spark, sf_dir, "catalog"), n=5)
+
+
+@register("a11_source_count", with_views("select source_site, count(*) as n from catalog group by source_site", "catalog"))
+def a11(spark, sf_dir):
+    return C.source_count(_v(spark, sf_dir, "catalog"), by_site=True)
+
+
+@register("a11_source_count_one", with_views("select count(*) as n from catalog where source_site = 'src3.example.com'", "catalog"))
+def a11b(spark, sf_dir):
+    return C.source_count(_v(spark, sf_dir, "catalog"), source_site="src3.example.com")
+
+
+@register("a12_valid_only", with_views("""select url, name from catalog where coalesce(name, '') <> ''
+ order by url""", "catalog"))
+def a12(spark, sf_dir):
+    good, _counts = C.valid_only(_v(spark, sf_dir, "catalog"))
+    return good.select("url", "name")
+
+
+@register("a12_valid_counts", with_views("""select count_if(coalesce(name, '') <> '') as valid,
+ count_if(coalesce(name, '') = '') as skipped from catalog""", "catalog"))
+def a12c(spark, sf_dir):
+    _good, counts = C.valid_only(_v(spark, sf_dir, "catalog"))
+    return counts
+
+
+@register("c03_price_filter", with_views(f"""select url, price, {O.price_number_sql('price')} as price_num from catalog
+ where {O.price_number_sql('price')} >= 900.0 and {O.price_number_sql('price')} <= 1000.0""", "catalog"))
+def c03(spark, sf_dir):
+    return C.price_filter(_v(spark, sf_dir, "catalog"), min_price=900.0, max_price=1000.0).select("url", "price", "price_num")
+
+
+@register("c04_rating_filter", with_views(f"select url, {O.q6('average_rating')} as average_rating from catalog where average_rating >= 4.0",
+                                          "catalog"))
+def c04(spark, sf_dir):
+    return C.rating_filter(_v(spark, sf_dir, "catalog"), 4.0).select("url", q6("average_rating").alias("average_rating"))
+
+
+@register("c05_brand_ilike", with_views("select url, brand from catalog where brand ilike '%brand#1%'", "catalog"))
+def c05(spark, sf_dir):
+    return C.brand_filter(_v(spark, sf_dir, "catalog"), "brand#1").select("url", "brand")
+
+
+@register("c06_origin_filter", with_views("select url, made_in_canada from catalog where made_in_canada = true", "catalog"))
+def c06(spark, sf_dir):
+    return C.origin_filter(_v(spark, sf_dir, "catalog"), True).select("url", "made_in_canada")
+
+
+@register("c08_truncate", with_views("""select url, left(description, 500) as description_500,
+ case when length(description) > 200 then concat(left(description, 200), '...') else description end as snippet,
+ left(name, 100) as name_100 from catalog""", "catalog"))
+def c08(spark, sf_dir):
+    p = _v(spark, sf_dir, "catalog")
+    return p.select("url", T.truncate("description", 500).alias("description_500"),
+                    T.truncate("description", 200, ellipsis=True).alias("snippet"), T.truncate("name", 100).alias("name_100"))
+
+
+@register("d05_site_to_brand", with_views(f"""select url, {O.brand_display_sql('brand', 'source_site')} as brand_display,
+ {O.brand_display_sql('cast(null as varchar)', 'source_site')} as site_brand from catalog""", "catalog"))
+def d05(spark, sf_dir):
+    p = _v(spark, sf_dir, "catalog")
+    return p.select("url", T.brand_display("brand", "source_site").alias("brand_display"),
+                    T.brand_display(F.lit(None).cast("string"), "source_site").alias("site_brand"))
+
+
+@register("h06_url_base", with_views(f"select url, {O.url_base_sql('url')} as url_base from catalog", "catalog"))
+def h06(spark, sf_dir):
+    return _v(spark, sf_dir, "catalog").select("url", U.url_base("url").alias("url_base"))
+
+
+@register("h10_normalize_name", with_views(f"select url, {O.normalize_name_sql('name')} as norm_name from catalog", "catalog"))
+def h10(spark, sf_dir):
+    return _v(spark, sf_dir, "catalog").select("url", T.normalize_name("name").alias("norm_name"))
+
+
+@register("h11_product_type", with_views(f"select url, {O.product_type_sql('name')} as product_type from catalog", "catalog"))
+def h11(spark, sf_dir):
+    return _v(spark, sf_dir, "catalog").select("url", T.product_type("name").alias("product_type"))
+
+
+@register("h12_smooth_rating", with_views(
+    f"select url, {O.q6(O.smooth_rating_sql('average_rating', 'num_reviews'))} as smoothed from catalog", "catalog"))
+def h12(spark, sf_dir):
+    return _v(spark, sf_dir, "catalog").select("url", q6(T.smooth_rating("average_rating", "num_reviews")).alias("smoothed"))
+
+
+@register("j01_url_host", with_views("""select page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host,
+ replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '') as domain_key from pages"""))
+def j01(spark, sf_dir):
+    pages = Tables(spark, sf_dir).pages
+    return pages.select("page_id", "url", U.url_host("url").alias("host"), U.domain_key("url").alias("domain_key"))
+
+
+@register("b31_embedding_text", with_views("""select url, case when concat_ws(' | ',
+   case when coalesce(name, '') <> '' then concat('Product: ', name) end,
+   case when coalesce(description, '') <> '' then concat('Description: ', description) end) <> ''
+ then concat_ws(' | ', case when coalesce(name, '') <> '' then concat('Product: ', name) end,
+   case when coalesce(description, '') <> '' then concat('Description: ', description) end) else url end as text
+ from catalog""", "catalog"))
+def b31(spark, sf_dir):
+    p = _v(spark, sf_dir, "catalog")
+    return p.select("url", T.product_embedding_text("name", "description", "url").alias("text"))
+
+
+# One registered query per parsed field, all over the search batch
+_PARSED = O.parsed_queries_sql("search_queries")
+for _key, _cols in {
+    "i01_max_price": ["max_price"],
+    "i02_min_price": ["min_price"],
+    "i03_price_range": ["min_price", "max_price"],
+    "i04_min_rating": ["min_rating"],
+    "i05_brand": ["brand"],
+    "i06_wants_origin": ["wants_origin"],
+    "i07_intent": ["intent"],
+}.items():
+    def _make(cols):
+        def fn(spark, sf_dir):
+            q = QP.parse_queries(_v(spark, sf_dir, "search_queries"))
+            return q.select("query_id", "text", *cols)
+        return fn
+
+    register(_key, with_views(f"select query_id, text, {', '.join(_cols)} from parsed", "search_queries",
+                              extra={"parsed": _PARSED}))(_make(_cols))

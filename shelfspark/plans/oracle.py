@@ -7,6 +7,10 @@ tables.  Doubles are compared after quantising to 6 decimals with the same
 
 from __future__ import annotations
 
+from ..functions import fixed
+
+BRANDS_SQL = "[" + ", ".join("'" + b.replace("'", "''") + "'" for b in fixed.KNOWN_BRANDS) + "]"
+
 K = "cast(json_extract_string(props, '$.k') as integer)"
 
 VIEWS = {
@@ -55,10 +59,17 @@ VIEWS = {
    case when o_orderstatus = 'F' then 'HTTP 403 Forbidden' else concat('Saved ', cast(o_custkey % 50 as varchar), ' products to PostgreSQL') end) as text,
  case when o_orderstatus = 'F' then 1 else 0 end as exit_code from orders""",
     "search_queries": """select b.item_id as query_id,
- concat(p.p_name, case when b.item_id % 4 = 0 then concat(' under $', cast(cast(p.p_retailprice as int) + 50 as varchar))
-   when b.item_id % 4 = 1 then ' 4+ stars' when b.item_id % 4 = 2 then ' made in canada' else '' end) as text,
+ concat(p.p_name, case b.item_id % 8
+   when 0 then concat(' under $', cast(cast(floor(p.p_retailprice) as int) + 50 as varchar))
+   when 1 then ' 4+ stars'
+   when 2 then ' made in canada'
+   when 3 then concat(' ', BRANDS[cast(b.item_id % 20 + 1 as int)])
+   when 4 then concat(' $', cast(cast(floor(p.p_retailprice) as int) - 100 as varchar), '-$', cast(cast(floor(p.p_retailprice) as int) + 100 as varchar))
+   when 5 then concat(' over ', cast(cast(floor(p.p_retailprice) as int) - 100 as varchar))
+   when 6 then ' FABRIQUÉ AU CANADA'
+   else '' end) as text,
  e.embedding as query_vector
- from benchmark b join part p on p.p_partkey = b.item_id join embeddings e on e.vec_id = b.item_id""",
+ from benchmark b join part p on p.p_partkey = b.item_id join embeddings e on e.vec_id = b.item_id""".replace("BRANDS", BRANDS_SQL),
 }
 
 # views that other views need
@@ -95,3 +106,80 @@ AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
 def lookback_sql(col: str, days: int = 7) -> str:
     return f"{col} > {AS_OF_SQL} - INTERVAL {int(days)} DAY"
+
+
+def _re(p: str) -> str:
+    return "'(?i)" + p.replace("'", "''") + "'"
+
+
+def parsed_queries_sql(src: str = "search_queries") -> str:
+    """DuckDB version of ``functions.queryparse.parse_queries`` over view ``src``."""
+    from ..functions import queryparse as qp
+
+    def num(p, g=1):
+        return f"case when regexp_matches(text, {_re(p)}) then cast(regexp_extract(text, {_re(p)}, {g}) as double) end"
+
+    intent = "text"
+    for p in (qp.MAX_RM, qp.MIN_RM, qp.RANGE_RM, qp.RATING_RM, fixed.ORIGIN_PHRASES):
+        intent = f"regexp_replace({intent}, {_re(p)}, '', 'g')"
+    intent = f"trim(regexp_replace({intent}, '\\s+', ' ', 'g'))"
+    brand = "coalesce(" + ", ".join(
+        f"case when contains(lower(text), '{b.lower().replace(chr(39), chr(39) * 2)}') then '{b.replace(chr(39), chr(39) * 2)}' end"
+        for b in fixed.KNOWN_BRANDS) + ")"
+    origin = " or ".join(f"contains(lower(text), '{k}')" for k in fixed.ORIGIN_KEYWORDS)
+    has_range = f"regexp_matches(text, {_re(qp.RANGE_RE)})"
+    return f"""select * exclude (_intent),
+ case when {has_range} then cast(regexp_extract(text, {_re(qp.RANGE_RE)}, 1) as double) else {num(qp.MIN_RE)} end as min_price,
+ case when {has_range} then cast(regexp_extract(text, {_re(qp.RANGE_RE)}, 2) as double) else {num(qp.MAX_RE)} end as max_price,
+ {num(qp.RATING_RE)} as min_rating,
+ {brand} as brand,
+ ({origin}) as wants_origin,
+ case when length(_intent) < 3 then text else _intent end as intent
+ from (select *, {intent} as _intent from {src})"""
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def normalize_name_sql(c: str) -> str:
+    """DuckDB twin of ``functions.text.normalize_name``."""
+    x = f"lower(coalesce({c}, ''))"
+    x = f"regexp_replace({x}, {_re(chr(92) + 's*[-–]' + chr(92) + 's*' + fixed.SIZE_WORDS + chr(92) + 's*$')}, '', 'g')"
+    x = f"regexp_replace({x}, {_re(chr(92) + 's*' + chr(92) + '(' + chr(92) + 's*' + fixed.SIZE_WORDS + chr(92) + 's*' + chr(92) + ')' + chr(92) + 's*$')}, '', 'g')"
+    x = f"regexp_replace({x}, {_re(chr(92) + 'b(' + '|'.join(fixed.COLOR_WORDS) + ')' + chr(92) + 'b')}, '', 'g')"
+    x = f"regexp_replace({x}, {_re(fixed.GENDER_PREFIX)}, '', 'g')"
+    x = f"regexp_replace({x}, {_re(chr(92) + 'b(' + '|'.join(fixed.MODIFIER_WORDS) + ')' + chr(92) + 'b')}, '', 'g')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def product_type_sql(c: str) -> str:
+    whens = " ".join(f"when contains(lower(coalesce({c}, '')), {sql_str(t)}) then {sql_str(t)}" for t in fixed.PRODUCT_TYPES)
+    return f"(case {whens} else '' end)"
+
+
+def url_base_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '[?#].*$', ''), {_re(fixed.URL_SIZE_TOKENS)}, '', 'g')"
+
+
+def smooth_rating_sql(r: str, n: str) -> str:
+    return (f"(case when {r} is null then 4.0 when {n} is null or {n} < 10 then 4.0 when {r} <= 4.0 then cast({r} as double) "
+            f"else greatest((40.0 + {n} * cast({r} as double)) / (10 + {n}), 4.0) end)")
+
+
+def price_number_sql(c: str) -> str:
+    return f"try_cast(nullif(regexp_replace({c}, '[^0-9.]', '', 'g'), '') as double)"
+
+
+def python_title_sql(c: str) -> str:
+    s = f"coalesce({c}, '')"
+    return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: case when i = 1 or "
+            f"lower(substr({s}, i - 1, 1)) = upper(substr({s}, i - 1, 1)) then upper(substr({s}, i, 1)) "
+            f"else lower(substr({s}, i, 1)) end), '')")
+
+
+def brand_display_sql(brand: str, site: str) -> str:
+    mapped = "case " + " ".join(f"when {site} = {sql_str(k)} then {sql_str(v)}" for k, v in fixed.SITE_TO_BRAND.items()) + " end"
+    derived = python_title_sql(f"replace(replace(replace({site}, 'www.', ''), '.com', ''), '.ca', '')")
+    return (f"(case when coalesce({brand}, '') <> '' then {brand} when coalesce({site}, '') <> '' "
+            f"then coalesce({mapped}, {derived}) else 'Unknown Brand' end)")

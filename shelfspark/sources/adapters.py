@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from .tables import Tables
 
 
@@ -166,25 +167,31 @@ def logs(t: Tables) -> DataFrame:
 def search_queries(t: Tables) -> DataFrame:
     """The search batch: one query per benchmark item.
 
-    The text is a part name with a price / rating / origin phrase chosen by
-    the item id; the query vector is the embedding with the same id.  The
-    batch grows with ``benchmark``.
+    The text is the part name of the same id plus a phrase chosen by
+    ``item_id % 8`` (price cap, rating, origin, brand, price range, price
+    floor, French origin, nothing); the query vector is the embedding with
+    the same id.  The batch grows with ``benchmark``.
     """
     b, p, e = t.benchmark, t.part, t.embeddings
-    m4 = F.col("item_id") % 4
-    price = (F.col("p_retailprice").cast("int") + 50).cast("string")
+    m8 = F.col("item_id") % 8
+    price = F.floor("p_retailprice").cast("int")
+    brands = F.array(*[F.lit(x) for x in fixed.KNOWN_BRANDS])
+    phrase = (
+        F.when(m8 == 0, F.concat(F.lit(" under $"), _s(price + 50)))
+        .when(m8 == 1, F.lit(" 4+ stars"))
+        .when(m8 == 2, F.lit(" made in canada"))
+        .when(m8 == 3, F.concat(F.lit(" "), F.element_at(brands, (F.col("item_id") % 20 + 1).cast("int"))))
+        .when(m8 == 4, F.concat(F.lit(" $"), _s(price - 100), F.lit("-$"), _s(price + 100)))
+        .when(m8 == 5, F.concat(F.lit(" over "), _s(price - 100)))
+        .when(m8 == 6, F.lit(" FABRIQUÉ AU CANADA"))
+        .otherwise(F.lit(""))
+    )
     return (
         b.join(p, p.p_partkey == b.item_id)
         .join(e, e.vec_id == b.item_id)
         .select(
             F.col("item_id").alias("query_id"),
-            F.concat(
-                F.col("p_name"),
-                F.when(m4 == 0, F.concat(F.lit(" under $"), price))
-                .when(m4 == 1, F.lit(" 4+ stars"))
-                .when(m4 == 2, F.lit(" made in canada"))
-                .otherwise(F.lit("")),
-            ).alias("text"),
+            F.concat(F.col("p_name"), phrase).alias("text"),
             F.col("embedding").alias("query_vector"),
         )
     )
