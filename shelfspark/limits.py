@@ -1,0 +1,30 @@
+"""Size bounds for the sides we broadcast.
+
+A side is broadcast only after its row count is checked against a bound;
+past the bound the caller's non-broadcast plan runs instead (or we fail
+loudly where no exact alternative exists).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# query batches (rows) and their distinct terms; each row is < 10 KB
+MAX_QUERY_BATCH = 200_000
+MAX_QUERY_TERMS = 2_000_000
+# small rule / lookup tables
+MAX_RULES = 100_000
+
+
+class TooLargeToBroadcast(ValueError):
+    pass
+
+
+def fits(df: DataFrame, bound: int) -> bool:
+    """True when ``df`` has at most ``bound`` rows (counts at most bound+1 rows)."""
+    return df.limit(bound + 1).count() <= bound
+
+
+def check_broadcast(df: DataFrame, bound: int, what: str) -> None:
+    if not fits(df, bound):
+        raise TooLargeToBroadcast(f"{what}: more than {bound} rows; split the batch")

@@ -1 +1,132 @@
-"""Registered queries."""
+"""Registered search queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import fulltext as FT
+from ..operators import hybrid as HY
+from ..operators.vector import q6, vector_topk
+from ..sources import adapters
+from ..sources.tables import Tables
+from . import oracle as O
+from .registry import register
+from .search_sql import search_sql
+
+
+def _pq(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return adapters.catalog(t), adapters.search_queries(t)
+
+
+@register("h07_hybrid_search", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
+ url, name, brand, vector_similarity as similarity, {tr} as text_rank, hybrid_score, made_in_canada, num_reviews
+ from hybrid qualify rank <= 250""".format(tr=O.q6("text_rank"))))
+def h07(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    r = HY.hybrid_search(p, q)
+    return r.select("query_id", "rank", "url", "name", "brand", F.col("vector_similarity").alias("similarity"),
+                    q6(F.col("text_rank")).alias("text_rank"), "hybrid_score", "made_in_canada", "num_reviews")
+
+
+@register("h08_hybrid_search_basic", search_sql("""select query_id, row_number() over (partition by query_id order by score desc, url) as rank,
+ url, name, made_in_canada, score from (select *, {s} as score from merged) qualify rank <= 25""".format(
+    s=O.q6("0.5 * vector_similarity + 0.5 * text_rank + case when made_in_canada = true then 0.3 else 0.0 end")),
+    k=fixed.INITIAL_SEARCH_LIMIT, basic=True))
+def h08(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    r = HY.hybrid_search_basic(p, q)
+    return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
+
+
+@register("h01_vector_topk", search_sql("""select query_id, row_number() over (partition by query_id order by vs desc, url) as rank,
+ id, url, vs as vector_similarity from vec"""))
+def h01(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    r = vector_topk(pp.select("id", "url", "embedding", *HY.FILTER_COLS), pq, fixed.SQL_CANDIDATES, HY.filter_pred())
+    return r.select("query_id", "rank", "id", "url", "vector_similarity")
+
+
+@register("h03_text_match", search_sql("select query_id, id from matched"))
+def h03(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
+    qterms = FT.query_terms(pq, F.col("intent")).join(pq.drop("query_vector", "intent"), "query_id")
+    occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
+    return occ.groupBy("query_id", "id").agg(F.first("n_terms").alias("n"), F.count_distinct("term_idx").alias("f")).where(
+        "n = f").select("query_id", "id")
+
+
+@register("h04_text_rank_cd", search_sql(f"select query_id, id, {O.q6('text_rank')} as text_rank from ranked"))
+def h04(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred())
+    return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
+
+
+@register("h05_analyzer", O.with_views(f"""select id, count(*) as n_tokens, count(distinct term) as n_terms, max(pos) as max_pos,
+ min(term) as first_term from (select id, unnest(toks) as term, generate_subscripts(toks, 1) as pos
+ from (select id, regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(brand, ''), coalesce(description, ''))),
+ '{FT.TOKEN_RE}') as toks from catalog)) group by id""", "catalog"))
+def h05(spark, sf_dir):
+    p, _ = _pq(spark, sf_dir)
+    t = FT.analyze(p, ["id"], HY.search_text(p))
+    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("term").alias("n_terms"),
+                               F.max("pos").alias("max_pos"), F.min("term").alias("first_term"))
+
+
+@register("d01_query_cross", search_sql("select query_id, count(*) as n_candidates from pairs group by query_id"))
+def d01(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    from ..operators.vector import pair_with_queries
+    pairs = pair_with_queries(pp.where(F.col("embedding").isNotNull()).select("id", *HY.FILTER_COLS), pq)
+    return pairs.where(HY.filter_pred()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+
+
+@register("d03_match_predicate_join", search_sql(
+    "select query_id, id, count(*) as occurrences, count(distinct term_idx) as terms_found from occ group by query_id, id"))
+def d03(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
+    qterms = FT.query_terms(pq, F.col("intent")).join(pq.drop("query_vector", "intent"), "query_id")
+    occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
+    return occ.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("occurrences"),
+                                             F.count_distinct("term_idx").alias("terms_found"))
+
+
+@register("g03_union_all", search_sql("select query_id, branch, count(*) as n from cand group by query_id, branch"))
+def g03(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    return HY.candidates(p, q).groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e12_merge_candidates", search_sql(f"""select query_id, url_base, url, name, brand, {O.q6('vector_similarity')} as vector_similarity,
+ {O.q6('text_rank')} as text_rank, made_in_canada, num_reviews from merged"""))
+def e12(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    m = HY.merge_candidates(HY.candidates(p, q))
+    return m.select("query_id", "url_base", "url", "name", "brand", q6(F.col("vector_similarity")).alias("vector_similarity"),
+                    q6(F.col("text_rank")).alias("text_rank"), "made_in_canada", "num_reviews")
+
+
+@register("f01_minmax_norm", search_sql(f"""select query_id, url_base, {O.q6('vector_similarity_norm')} as vector_similarity_norm,
+ {O.q6('text_rank_norm')} as text_rank_norm from scored"""))
+def f01(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    m = HY.merge_candidates(HY.candidates(p, q))
+    s = HY.minmax_norm(HY.minmax_norm(m, "vector_similarity", "vector_similarity_norm", 1.0), "text_rank", "text_rank_norm", 0.0)
+    return s.select("query_id", "url_base", q6(F.col("vector_similarity_norm")).alias("vector_similarity_norm"),
+                    q6(F.col("text_rank_norm")).alias("text_rank_norm"))
+
+
+@register("g01_topk_per_query", search_sql("""select query_id, url, hybrid_score from hybrid
+ qualify row_number() over (partition by query_id order by hybrid_score desc, url) <= 10"""))
+def g01(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    return HY.hybrid_search(p, q, final_k=10).select("query_id", "url", "hybrid_score")
