@@ -130,3 +130,68 @@ def f01(spark, sf_dir):
 def g01(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
     return HY.hybrid_search(p, q, final_k=10).select("query_id", "url", "hybrid_score")
+
+
+# --- after H07: de-dupe, rerank, cards, funnel -------------------------------
+from ..operators import ranking as RK  # noqa: E402
+from .search_sql import ranking_sql  # noqa: E402
+
+
+def _ranked(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    return HY.hybrid_search(p, q)
+
+
+def _reranked(spark, sf_dir):
+    d = RK.greedy_dedupe(_ranked(spark, sf_dir))
+    lim = d.where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT)
+    return d, RK.rerank(lim, score_col=F.col("vector_similarity"))
+
+
+@register("h09_greedy_dedupe", ranking_sql("select query_id, rank, dedupe_rank, url from deduped"))
+def h09(spark, sf_dir):
+    return RK.greedy_dedupe(_ranked(spark, sf_dir)).select("query_id", "rank", "dedupe_rank", "url")
+
+
+@register("f04_cap_per_group", ranking_sql(f"""select query_id, rank, url from (select *,
+ case when {O.product_type_sql('name')} <> '' then concat(lower(coalesce(brand, '')), '|', {O.product_type_sql('name')}) end as bt
+ from ranked250) qualify bt is null or row_number() over (partition by query_id, bt order by rank) <= 3"""))
+def f04(spark, sf_dir):
+    return RK.cap_per_group(_ranked(spark, sf_dir), 3).select("query_id", "rank", "url")
+
+
+_SM = O.smooth_rating_sql("average_rating", "num_reviews")
+_DOC = f"""concat('Product Name: ', coalesce(name, ''), ' \n\nBrand Name: ', coalesce(brand, ''),
+ case when coalesce(price, '') <> '' then concat('\n\nPrice: ', price, ' ', coalesce(currency, '')) else '' end,
+ case when made_in_canada = true then concat('\n\nMADE IN CANADA: YES - VERIFIED CANADIAN MANUFACTURED',
+        case when coalesce(made_in_canada_reason, '') <> '' then concat('\n\n(Reason: ', made_in_canada_reason, ')') else '' end)
+      when made_in_canada = false then concat('\n\nMade in Canada: NO - NOT CANADIAN MADE',
+        case when coalesce(made_in_canada_reason, '') <> '' then concat('\n\n(Reason: ', made_in_canada_reason, ')') else '' end)
+      else '\n\nMade in Canada: UNKNOWN - UNVERIFIED' end,
+ case when coalesce(num_reviews, 0) = 0 then '\n\nQuality Score: N/A (No reviews)'
+      else concat('\n\nQuality Score: ', format('{{:.1f}}', {_SM}), '/5 (', cast(num_reviews as varchar), ' reviews)') end,
+ case when coalesce(description, '') <> '' then concat('\n\nDescription: ', left(description, 500)) else '' end)""".replace(
+    "\\n", chr(10))
+
+
+@register("h13_rerank_document", ranking_sql(f"select query_id, url, {_DOC} as doc_text from limited"))
+def h13(spark, sf_dir):
+    d, _ = _reranked(spark, sf_dir)
+    lim = d.where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT)
+    return lim.select("query_id", "url", RK.rerank_document(lim).alias("doc_text"))
+
+
+@register("h14_rerank", ranking_sql("select query_id, rerank_rank, url, rerank_score from reranked"))
+def h14(spark, sf_dir):
+    _, rr = _reranked(spark, sf_dir)
+    return rr.select("query_id", "rerank_rank", "url", "rerank_score")
+
+
+@register("g02_funnel", ranking_sql("""select query_id, stage, n from (
+ select query_id, 'sql' as stage, count(*) as n from ranked250 group by 1
+ union all select query_id, 'deduped', count(*) from deduped group by 1
+ union all select query_id, 'limited', count(*) from limited group by 1
+ union all select query_id, 'reranked', count(*) from reranked group by 1)"""))
+def g02(spark, sf_dir):
+    d, rr = _reranked(spark, sf_dir)
+    return RK.funnel(_ranked(spark, sf_dir), d, rr)

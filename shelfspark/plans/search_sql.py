@@ -80,3 +80,34 @@ def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool
 
 def search_sql(body: str, k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool = False) -> str:
     return O.with_views(body, "catalog", "search_queries", extra=views(k, basic, origin_only))
+
+
+def ranking_views() -> dict[str, str]:
+    """Views after H07: ranked top 250, greedy de-dupe, limit 100, rerank by similarity, top 50."""
+    v = {}
+    v["ranked250"] = """select *, row_number() over (partition by query_id order by hybrid_score desc, url) as rank
+ from hybrid qualify rank <= 250"""
+    v["r"] = f"""select query_id, rank, concat({O.normalize_name_sql('name')}, '|', lower(coalesce(brand, ''))) as name_key,
+ {O.url_base_sql("coalesce(url, '')")} as url_base from ranked250"""
+    v["dd"] = """select query_id, 0 as step, cast([] as varchar[]) as names, cast([] as varchar[]) as urls, cast([] as bigint[]) as kept
+ from (select distinct query_id from r)
+ union all
+ select dd.query_id, r.rank,
+  case when list_contains(dd.names, r.name_key) or list_contains(dd.urls, r.url_base) then dd.names else list_append(dd.names, r.name_key) end,
+  case when list_contains(dd.names, r.name_key) or list_contains(dd.urls, r.url_base) then dd.urls else list_append(dd.urls, r.url_base) end,
+  case when list_contains(dd.names, r.name_key) or list_contains(dd.urls, r.url_base) then dd.kept else list_append(dd.kept, r.rank) end
+ from dd join r on r.query_id = dd.query_id and r.rank = dd.step + 1"""
+    v["kept"] = """select query_id, unnest(kept) as rank, generate_subscripts(kept, 1) as dedupe_rank
+ from dd qualify step = max(step) over (partition by query_id)"""
+    v["deduped"] = "select ranked250.*, kept.dedupe_rank from ranked250 join kept using (query_id, rank)"
+    v["limited"] = "select * from deduped where dedupe_rank <= 100"
+    v["reranked"] = """select *, vector_similarity as rerank_score,
+ row_number() over (partition by query_id order by vector_similarity desc nulls last, rank) as rerank_rank
+ from limited qualify rerank_rank <= 50"""
+    return v
+
+
+def ranking_sql(body: str) -> str:
+    v = views()
+    v.update(ranking_views())
+    return O.with_views(body, "catalog", "search_queries", extra=v).replace("WITH ", "WITH RECURSIVE ", 1)
