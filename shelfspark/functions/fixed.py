@@ -67,3 +67,52 @@ ALPHA = 0.5
 ORIGIN_BOOST_MAIN = 0.2
 ORIGIN_BOOST_API = 0.3
 MAX_DESCRIPTION_LENGTH = 500
+
+# --- fixed values: manufacturing-location rules (checked in this order) ----
+# (needle contained in the lower-cased location, label)
+CANADIAN_INDICATORS = [
+    ("ontario", "Ontario"), ("quebec", "Quebec"), ("british columbia", "British Columbia"),
+    ("alberta", "Alberta"), ("manitoba", "Manitoba"), ("saskatchewan", "Saskatchewan"),
+    ("nova scotia", "Nova Scotia"), ("new brunswick", "New Brunswick"), ("newfoundland", "Newfoundland"),
+    ("prince edward island", "PEI"), ("pei", "PEI"), ("yukon", "Yukon"),
+    ("northwest territories", "NWT"), ("nunavut", "Nunavut"), ("canada", "Canada"),
+    (", on", "Ontario"), (", qc", "Quebec"), (", bc", "British Columbia"), (", ab", "Alberta"),
+    (", mb", "Manitoba"), (", sk", "Saskatchewan"), (", ns", "Nova Scotia"), (", nb", "New Brunswick"),
+    (", nl", "Newfoundland"), (", pe", "PEI"), (", yt", "Yukon"), (", nt", "NWT"), (", nu", "Nunavut"),
+    ("toronto", "Toronto, ON"), ("montreal", "Montreal, QC"), ("montréal", "Montreal, QC"),
+    ("vancouver", "Vancouver, BC"), ("calgary", "Calgary, AB"), ("edmonton", "Edmonton, AB"),
+    ("ottawa", "Ottawa, ON"), ("winnipeg", "Winnipeg, MB"), ("quebec city", "Quebec City, QC"),
+    ("hamilton", "Hamilton, ON"), ("kitchener", "Kitchener, ON"), ("london", "London, ON"),
+    ("victoria", "Victoria, BC"), ("halifax", "Halifax, NS"), ("oshawa", "Oshawa, ON"),
+    ("windsor", "Windsor, ON"), ("saskatoon", "Saskatoon, SK"), ("regina", "Regina, SK"),
+    ("st. john's", "St. John's, NL"), ("barrie", "Barrie, ON"), ("kelowna", "Kelowna, BC"),
+    ("abbotsford", "Abbotsford, BC"), ("sudbury", "Sudbury, ON"), ("kingston", "Kingston, ON"),
+    ("guelph", "Guelph, ON"), ("moncton", "Moncton, NB"), ("mississauga", "Mississauga, ON"),
+    ("brampton", "Brampton, ON"), ("markham", "Markham, ON"), ("vaughan", "Vaughan, ON"),
+    ("burnaby", "Burnaby, BC"), ("surrey", "Surrey, BC"), ("laval", "Laval, QC"),
+    ("longueuil", "Longueuil, QC"), ("gta", "Greater Toronto Area"), ("greater toronto", "Greater Toronto Area"),
+]
+CANADIAN_PHRASES = [
+    "completely canadian", "100% canadian", "canadian made", "canadian-made", "made in canada",
+    "proudly canadian", "canadian owned and operated", "canadian company", "canadian family",
+    "family-owned canadian", "canadian manufacturer", "manufactured in canada", "produced in canada",
+    "crafted in canada", "handmade in canada", "locally made", "locally manufactured",
+    "domestic manufacturing",
+]
+NON_CANADIAN_INDICATORS = [
+    "usa", "united states", "china", "mexico", "germany", "france", "italy", "japan", "korea",
+    "taiwan", "vietnam", "india", "bangladesh",
+]
+
+# --- fixed values: listing pages -------------------------------------------
+LISTING_FIELD_PATTERNS = {
+    "name": r"(?:Name|Company):\s*(.+?)(?:\n|$)",
+    "products": r"Products?:\s*(.+?)(?:\n|$)",
+    "manufactured_in": r"(?:Manufactured In|Manufacturing Location|Made In):\s*(.+?)(?:\n|$)",
+    "where_to_buy": r"(?:Where to Buy|Available At|Buy At):\s*(.+?)(?:\n|$)",
+    "website": r"Website:\s*(\S+?)(?:\s|\n|$)",
+    "canadian_owned_text": r"(?:Canadian[- ]?Owned|Ownership):\s*(.+?)(?:\n|$)",
+}
+WEBSITE_PATTERN_FULL_LINE = r"Website:\s*(.+?)(?:\n|$)"
+DESCRIPTION_SKIP_PREFIXES = ["Name:", "Products:", "Manufactured", "Website:", "Where to", "Canadian"]
+TITLE_MARKERS = ["🍁", "📈"]

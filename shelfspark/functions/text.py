@@ -73,7 +73,8 @@ def python_title(c) -> Column:
             chars,
             lambda ch, i: F.when(
                 (i == 0) | (F.lower(F.element_at(chars, i)) == F.upper(F.element_at(chars, i))),
-                F.upper(ch),
+                # title case of the sharp s is "Ss" (upper case alone differs between engines)
+                F.when(ch == "ß", F.lit("Ss")).otherwise(F.upper(ch)),
             ).otherwise(F.lower(ch)),
         ),
         "",

@@ -174,7 +174,7 @@ def price_number_sql(c: str) -> str:
 def python_title_sql(c: str) -> str:
     s = f"coalesce({c}, '')"
     return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: case when i = 1 or "
-            f"lower(substr({s}, i - 1, 1)) = upper(substr({s}, i - 1, 1)) then upper(substr({s}, i, 1)) "
+            f"lower(substr({s}, i - 1, 1)) = upper(substr({s}, i - 1, 1)) then case when substr({s}, i, 1) = 'ß' then 'Ss' else upper(substr({s}, i, 1)) end "
             f"else lower(substr({s}, i, 1)) end), '')")
 
 
