@@ -140,3 +140,55 @@ def brand_filter(df: DataFrame, brand=None) -> DataFrame:
 def origin_filter(df: DataFrame, wanted: bool = False) -> DataFrame:
     """Only rows whose origin flag is true (NULL excluded) when wanted."""
     return df.where(F.col("made_in_canada") == F.lit(True)) if wanted else df
+
+
+# A07 / A08 -------------------------------------------------------------------
+def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "url", seq: str | None = None,
+                  preserve: list[str] | None = None, now: str | None = None) -> DataFrame:
+    """Whole-row upsert: the latest row per key wins (NULLs overwrite), ``created_at``
+    keeps the first value, ``preserve`` columns keep the stored value, and rows written by
+    this batch get ``scraped_at`` / ``updated_at`` = ``now``.
+
+    One ``groupBy(key)`` with ``max_by`` over (batch, seq): partial aggregation runs before
+    the shuffle, so a key repeated in many input rows is combined map-side.
+    """
+    preserve = preserve or []
+    cols = [c for c in old.columns if c not in (key,)]
+    new_cols = set(new.columns)
+    o = old.select(key, *cols, F.lit(0).alias("_batch"), F.lit(0).cast("long").alias("_seq"))
+    n = new.select(key, *[F.col(c) if c in new_cols else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in cols],
+                   F.lit(1).alias("_batch"),
+                   (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("_seq"))
+    u = o.unionByName(n)
+    order = F.struct("_batch", "_seq")
+    aggs = []
+    for c in cols:
+        if c in preserve:
+            aggs.append(F.coalesce(F.max_by(F.col(c), F.when(F.col("_batch") == 0, F.lit(1))),
+                                   F.max_by(F.col(c), order)).alias(c))
+        elif c == "created_at":
+            aggs.append(F.min(c).alias(c))
+        else:
+            aggs.append(F.max_by(F.col(c), order).alias(c))
+    g = u.groupBy(key).agg(*aggs, F.max("_batch").alias("_touched"), F.min("_batch").alias("_first_batch"))
+    ts = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
+    out = g
+    for c in ("scraped_at", "updated_at"):
+        if c in cols:
+            out = out.withColumn(c, F.when(F.col("_touched") == 1, ts).otherwise(F.col(c)))
+    if "created_at" in cols:
+        out = out.withColumn("created_at", F.coalesce(F.col("created_at"), F.when(F.col("_first_batch") == 1, ts)))
+    return out.drop("_touched", "_first_batch")
+
+
+def upsert_quarantine(new: DataFrame, valid: F.Column | None = None, key: str = "url"):
+    """Split a batch into rows that can be saved and rejects with a reason; counts."""
+    if valid is None:
+        valid = F.coalesce(F.col(key), F.lit("")) != ""
+    reason = F.when(~F.coalesce(valid, F.lit(False)), F.lit("invalid row"))
+    tagged = new.withColumn("_reason", reason)
+    good = tagged.where(F.col("_reason").isNull()).drop("_reason")
+    rejects = tagged.where(F.col("_reason").isNotNull()).select(key, F.col("_reason").alias("reason"))
+    counts = tagged.agg(F.count_if(F.col("_reason").isNull()).alias("saved"),
+                        F.count_if(F.col("_reason").isNotNull()).alias("failed"))
+    return good, rejects, counts

@@ -164,3 +164,86 @@ for _key, _cols in {
 
     register(_key, with_views(f"select query_id, text, {', '.join(_cols)} from parsed", "search_queries",
                               extra={"parsed": _PARSED}))(_make(_cols))
+
+
+# --- A06-A08, A03-A05: maintenance, sinks ---------------------------------------------
+from ..sources import io as IO  # noqa: E402
+
+
+def relanded_input(t):
+    """A re-landed batch: every document with its part (a superset of the catalogue keys),
+    name upper-cased, description dropped for toxic documents, a new source site."""
+    d, p, lab = t.documents, t.part, t.labels
+    m4 = F.col("doc_id") % 4
+    j = d.join(p, p.p_partkey == d.doc_id).join(lab.select(F.col("doc_id").alias("l_doc"), "toxic"),
+                                                 F.col("l_doc") == d.doc_id, "left")
+    return j.select(
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/products/"),
+                 F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), (F.col("doc_id") % 7).cast("string"),
+                 F.when(m4 == 0, F.lit("-xl")).when(m4 == 1, F.lit("-s")).otherwise(F.lit("")),
+                 F.lit("?ref="), F.col("doc_id").cast("string")).alias("url"),
+        F.upper(F.col("p_name")).alias("name"),
+        F.when(F.col("toxic") == 1, F.lit(None).cast("string")).otherwise(F.col("text")).alias("description"),
+        F.lit("relanded.example.com").alias("source_site"))
+
+
+_OLD = "select url, name, description, source_site, timestamp '2024-01-01 00:00:00' as created_at, timestamp '2024-01-01 00:00:00' as updated_at from catalog"
+_NEW = """select concat('https://', d.source, '.example.com/products/', replace(p.p_name,' ','-'), '-', cast(d.doc_id % 7 as varchar),
+   case when d.doc_id % 4 = 0 then '-xl' when d.doc_id % 4 = 1 then '-s' else '' end, '?ref=', cast(d.doc_id as varchar)) as url,
+ upper(p.p_name) as name, case when l.toxic = 1 then null else d.text end as description, 'relanded.example.com' as source_site
+ from documents d join part p on p.p_partkey = d.doc_id left join labels l on l.doc_id = d.doc_id"""
+
+
+@register("a07_upsert_by_key", with_views("""select n.url, n.name, n.description is null as description_null,
+ coalesce(o.source_site, n.source_site) as source_site,
+ coalesce(o.created_at, timestamp '2024-02-01 00:00:00') as created_at, timestamp '2024-02-01 00:00:00' as updated_at
+ from new n left join old o on o.url = n.url
+ union all select o.url, o.name, o.description is null, o.source_site, o.created_at, o.updated_at
+ from old o anti join new n on n.url = o.url""", "catalog", extra={"old": _OLD, "new": _NEW}))
+def a07(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    old = adapters.catalog(t).select("url", "name", "description", "source_site",
+                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
+    m = C.upsert_by_key(old, relanded_input(t), preserve=["source_site"], now="2024-02-01 00:00:00")
+    return m.select("url", "name", F.col("description").isNull().alias("description_null"), "source_site",
+                    "created_at", "updated_at")
+
+
+@register("a08_upsert_quarantine", with_views("""select count_if(description is not null) as saved,
+ count_if(description is null) as failed from new""", extra={"new": _NEW}))
+def a08(spark, sf_dir):
+    _good, _rejects, counts = C.upsert_quarantine(relanded_input(Tables(spark, sf_dir)), F.col("description").isNotNull())
+    return counts
+
+
+@register("a06_evolve_schema", with_views("""select url, 'CAD' as currency, cast(null as varchar) as availability,
+ cast(null as varchar) as sku, 0 as num_reviews from new""", extra={"new": _NEW}))
+def a06(spark, sf_dir):
+    r = C.conform(relanded_input(Tables(spark, sf_dir)), C.PRODUCTS, defaults={"currency": "CAD", "num_reviews": 0})
+    return r.select("url", "currency", "availability", "sku", "num_reviews")
+
+
+@register("a03_write_json", with_views("select url, name, brand from catalog", "catalog"))
+def a03(spark, sf_dir):
+    p = _v(spark, sf_dir, "catalog").select("url", "name", "brand")
+    path = IO.write_json(p, IO.scratch(spark, "a03"))
+    return spark.read.schema(p.schema).json(path)
+
+
+@register("a04_append_report_jsonl", """select o_orderkey as job, case when o_orderstatus = 'F' then 1 else 0 end as exit_code,
+ o_orderstatus = 'F' as blocked_403 from orders""")
+def a04(spark, sf_dir):
+    from .runs import report_input
+    r = report_input(Tables(spark, sf_dir)).select("job", "exit_code", "blocked_403")
+    return IO.append_report_jsonl(r, IO.scratch(spark, "a04"))
+
+
+@register("a05_append_events", with_views("""select environment, cast(clicked_at as date) as event_date, count(*) as n
+ from clicks group by 1, 2""", "clicks"))
+def a05(spark, sf_dir):
+    c = _v(spark, sf_dir, "clicks")
+    path = IO.scratch(spark, "a05")
+    IO.append_events(c, path, environment="development", ts_col="clicked_at")
+    back = spark.read.parquet(path)
+    return back.groupBy("environment", "event_date").agg(F.count(F.lit(1)).alias("n"))
