@@ -73,7 +73,12 @@ def catalog(t: Tables) -> DataFrame:
 
 
 def clicks(t: Tables) -> DataFrame:
-    ev = _k(t.events).where(F.col("event_type") == "click")
+    return clicks_from(t.events)
+
+
+def clicks_from(events: DataFrame) -> DataFrame:
+    """Click rows from an events frame (batch or streaming)."""
+    ev = _k(events).where(F.col("event_type") == "click")
     return ev.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("/item/"), _s(F.col("k") % 40)).alias("url"),
@@ -86,7 +91,12 @@ def clicks(t: Tables) -> DataFrame:
 
 
 def pageviews(t: Tables) -> DataFrame:
-    ev = _k(t.events).where(F.col("event_type") == "view")
+    return pageviews_from(t.events)
+
+
+def pageviews_from(events: DataFrame) -> DataFrame:
+    """Pageview rows from an events frame (batch or streaming)."""
+    ev = _k(events).where(F.col("event_type") == "view")
     m3 = F.col("k") % 3
     return ev.select(
         F.col("event_id").alias("id"),
@@ -100,7 +110,12 @@ def pageviews(t: Tables) -> DataFrame:
 
 
 def feedback(t: Tables) -> DataFrame:
-    ev = _k(t.events).where(F.col("event_type").isin("purchase", "error"))
+    return feedback_from(t.events)
+
+
+def feedback_from(events: DataFrame) -> DataFrame:
+    """Feedback rows from an events frame (batch or streaming)."""
+    ev = _k(events).where(F.col("event_type").isin("purchase", "error"))
     return ev.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("m"), _s("event_id")).alias("message_id"),
