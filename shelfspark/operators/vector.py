@@ -66,3 +66,49 @@ def vector_topk(products: DataFrame, queries: DataFrame, k: int = 250, pred=None
     top = top_k_per_group(pairs, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)
     return top.select("query_id", "id", "url", *[c for c in keep if c not in ("id", "url")],
                       "vector_similarity", "rank")
+
+
+# H02 ------------------------------------------------------------------------
+def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10):
+    """Coarse quantiser: k-means over L2-normalised embeddings (cosine geometry).
+
+    Returns ``(model, assigned)``, ``assigned`` = products with ``list_id``.  Training and
+    assignment are distributed (MLlib); nothing is collected.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    p = products.where(F.col("embedding").isNotNull())
+    unit = F.transform("embedding", lambda v: v.cast("double") / norm(F.col("embedding")))
+    feats = p.withColumn("features", array_to_vector(unit))
+    k = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
+    model = k.fit(feats)
+    return model, model.transform(feats).drop("features")
+
+
+def vector_topk_ivf(assigned: DataFrame, model, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
+    """Approximate top-k: each query probes its ``probes`` nearest lists; exact cosine
+    inside them.  The query -> list pairs are an equi-join key, so only probed lists meet."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    centers = [c.tolist() for c in model.clusterCenters()]  # lists x dim: the index, bounded by ``lists``
+    cdf = assigned.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centers)], "list_id int, center array<double>")
+    q = queries.withColumn("_qn", norm(F.col("query_vector")))
+    qc = q.select("query_id", "query_vector", "_qn").crossJoin(F.broadcast(cdf))
+    qc = qc.withColumn("_d", dot(F.col("query_vector"), F.col("center")) / (F.col("_qn") * norm(F.col("center"))))
+    probe = top_k_per_group(qc, ["query_id"], [F.desc("_d"), F.asc("list_id")], probes, "_pr").select(
+        "query_id", "list_id", "query_vector", "_qn")
+    pairs = assigned.withColumn("_pn", norm(F.col("embedding"))).join(probe, "list_id")
+    sim = dot(F.col("embedding"), F.col("query_vector")) / (F.col("_pn") * F.col("_qn"))
+    pairs = pairs.withColumn("vector_similarity", q6(sim))
+    top = top_k_per_group(pairs, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)
+    _ = (array_to_vector, vector_to_array)
+    return top.select("query_id", "id", "url", "vector_similarity", "rank")
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """Per-query recall of an approximate top-k against the exact one."""
+    hit = exact.join(approx.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"))
+    tot = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
+    return tot.join(hit, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("k")).alias("recall"))

@@ -195,3 +195,58 @@ def h14(spark, sf_dir):
 def g02(spark, sf_dir):
     d, rr = _reranked(spark, sf_dir)
     return RK.funnel(_ranked(spark, sf_dir), d, rr)
+
+
+# --- H02, H15, J02, J03 ---------------------------------------------------------------------
+from ..functions import urls as U  # noqa: E402
+from ..operators import vector as V  # noqa: E402
+
+
+@register("h02_vector_topk_ivf")
+def h02(spark, sf_dir):
+    """Approximate top-10 with 16 lists / 4 probes and its recall@10 against exact search (rows-only check)."""
+    p, q = _pq(spark, sf_dir)
+    pp = HY.prepare_products(p).select("id", "url", "embedding")
+    model, assigned = V.ivf_index(pp, lists=16)
+    approx = V.vector_topk_ivf(assigned, model, q, k=10, probes=4)
+    exact = vector_topk(pp, q, 10)
+    return V.recall_at_k(approx, exact)
+
+
+@register("h15_result_cards", ranking_sql("""select query_id, rerank_rank as ordinal, url,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(name, 'Unknown Product'), '(?i)CARD1', '', 'g'), '(?i)CARD2', '', 'g'),
+   '(?i)CARD3', '', 'g'), '^[ \\-–]+|[ \\-–]+$', '', 'g') as title,
+ BRAND as brand_display,
+ case when coalesce(price, '') <> '' then concat('$', price, ' ', coalesce(currency, 'CAD')) else 'Price N/A' end as price_text,
+ case when coalesce(average_rating, 0) <> 0 and coalesce(num_reviews, 0) <> 0
+   then concat('⭐ ', format('{:.1f}', cast(average_rating as double)), ' (', cast(num_reviews as varchar), ' reviews)') else '' end as rating_text,
+ case when made_in_canada = true then concat('Yes', case when coalesce(made_in_canada_reason, '') <> '' then concat(' — ',
+     case when length(made_in_canada_reason) > 100 then concat(left(made_in_canada_reason, 100), '...') else made_in_canada_reason end) else '' end)
+   when made_in_canada = false then concat('No', case when coalesce(made_in_canada_reason, '') <> '' then concat(' — ', made_in_canada_reason) else '' end)
+   else 'Unknown' end as origin_text,
+ case when length(d) > 200 then concat(left(d, 200), '...') else d end as snippet
+ from (select *, trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g')) as d from reranked)"""
+                                          .replace("CARD1", fixed.CARD_SIZE_TAIL.replace("'", "''"))
+                                          .replace("CARD2", fixed.CARD_BIG_SIZE_TAIL.replace("'", "''"))
+                                          .replace("CARD3", fixed.CARD_GENDER_TAIL.replace("'", "''"))
+                                          .replace("BRAND", O.brand_display_sql("brand", "source_site"))))
+def h15(spark, sf_dir):
+    _, rr = _reranked(spark, sf_dir)
+    return RK.result_cards(rr).drop("link")
+
+
+@register("j03_tracked_url")
+def j03(spark, sf_dir):
+    """Click-tracking links of the result cards (form encoding: checked by golden tests)."""
+    _, rr = _reranked(spark, sf_dir)
+    return RK.result_cards(rr).select("query_id", "ordinal", "url", "link")
+
+
+@register("j02_add_utm")
+def j02(spark, sf_dir):
+    """UTM-tagged landing URLs for every logged click (golden tests check the encoding)."""
+    c = adapters.clicks(Tables(spark, sf_dir))
+    utm = {"utm_source": "shelfspark", "utm_medium": "referral", "utm_campaign": F.col("source"),
+           "utm_term": U.utm_term(F.col("product_name")), "referrer": "shelfspark"}
+    return c.select("id", "url", U.add_utm(F.concat(F.lit("https://shop.example.com"), F.col("url"), F.lit("?ref=")), utm)
+                    .alias("final_url"))
