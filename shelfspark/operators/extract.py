@@ -336,3 +336,68 @@ def sitemap_parse(sitemaps: DataFrame) -> DataFrame:
     locs = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"), F.lit(1))
     kind = F.when(xml.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
     return sitemaps.select("url", kind.alias("kind"), F.explode(locs).alias("loc"))
+
+
+# B17 ------------------------------------------------------------------------
+def _num(html: Column, pat: str, kind: str) -> Column:
+    return F.when(html.rlike(pat), F.regexp_extract(html, pat, 1).try_cast(kind))
+
+
+def reviews(html, jsonld_rating: Column | None = None, jsonld_count: Column | None = None) -> dict[str, Column]:
+    """Five-source cascade -> (num_reviews, average_rating, source).
+
+    Each later source runs only while the rating is still NULL, and then overwrites the
+    count (so a count found without a rating keeps cascading and may be replaced)."""
+    h = TX.col(html)
+    meta = F.regexp_extract(h, r"MetafieldReviews\s*=\s*(\{[^;]+\});?", 1)
+    n = F.when(meta != "", F.get_json_object(meta, "$.rating_count").try_cast("int"))
+    r = F.when(meta != "", F.get_json_object(meta, "$.rating.value").try_cast("double"))
+    src = F.when(n.isNotNull() | r.isNotNull(), F.lit("MetafieldReviews (Stamped)"))
+    vendors = [("Yotpo", "MetafieldYotpoRating", "MetafieldYotpoCount"),
+               ("Loox", "MetafieldLooxRating", "MetafieldLooxCount"),
+               ("Okendo", "okendoProductReviewAverageValue", "okendoProductReviewCount")]
+    for name, rk, ck in vendors:
+        vr = _num(h, rk + r"""\s*=\s*["']?([0-9.]+)["']?""", "double")
+        vc = _num(h, ck + r"""\s*=\s*["']?(\d+)["']?""", "int")
+        run = r.isNull()
+        hit = vr.isNotNull() | vc.isNotNull()
+        src = F.when(run & hit, F.lit(name)).otherwise(src)
+        n = F.when(run & vc.isNotNull(), vc).otherwise(n)
+        r = F.when(run & vr.isNotNull(), vr).otherwise(r)
+    if jsonld_rating is not None:
+        run = r.isNull()
+        jr, jc = jsonld_rating.try_cast("double"), jsonld_count.try_cast("int")
+        src = F.when(run & (F.coalesce(jr, F.lit(0.0)) != 0 | F.coalesce(jc, F.lit(0)) != 0), F.lit("Schema.org AggregateRating")) \
+            .otherwise(src) if False else F.when(run & ((F.coalesce(jr, F.lit(0.0)) != 0) | (F.coalesce(jc, F.lit(0)) != 0)),
+                                                   F.lit("Schema.org AggregateRating")).otherwise(src)
+        n = F.when(run & jc.isNotNull(), jc).otherwise(n)
+        r = F.when(run & jr.isNotNull(), jr).otherwise(r)
+    return {"num_reviews": n, "average_rating": r, "source": src}
+
+
+def jsonld_aggregate_rating(blocks: DataFrame) -> DataFrame:
+    """Per page, the first block's ``aggregateRating`` (object at top level or in ``@graph``)."""
+    j = F.col("json")
+    rv = F.coalesce(F.get_json_object(j, "$.aggregateRating.ratingValue"), F.get_json_object(j, "$['@graph'][0].aggregateRating.ratingValue"))
+    rc = F.coalesce(F.get_json_object(j, "$.aggregateRating.reviewCount"), F.get_json_object(j, "$.aggregateRating.ratingCount"),
+                    F.get_json_object(j, "$['@graph'][0].aggregateRating.reviewCount"))
+    b = blocks.select("url", "block_pos", rv.alias("jr"), rc.alias("jc")).where(F.col("jr").isNotNull() | F.col("jc").isNotNull())
+    return b.groupBy("url").agg(F.min_by("jr", "block_pos").alias("jr"), F.min_by("jc", "block_pos").alias("jc"))
+
+
+# B19 ------------------------------------------------------------------------
+def content_block(html) -> dict[str, Column]:
+    """Text of the main content block: the first ``entry-content`` / ``post-content`` element or
+    ``<article>`` whose text exceeds 100 characters, else the whole page; lines joined by newlines."""
+    h = TX.col(html)
+    cands = [F.regexp_extract(h, rf'(?is)<div[^>]*class="[^"]*\b{c}\b[^"]*"[^>]*>(.*?)</div>', 1)
+             for c in ("entry-content", "post-content")] + [F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)]
+
+    def text_of(x):
+        t = decode_entities(F.regexp_replace(x, r"<[^>]*>", "\n"))
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda l: strip_ws(l)), lambda l: l != "")
+        return F.array_join(lines, "\n")
+
+    texts = [text_of(c) for c in cands]
+    body = F.coalesce(*[F.when(F.length(t) > 100, t) for t in texts], text_of(F.regexp_replace(h, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")))
+    return {"content_text": body, "raw_text": body}

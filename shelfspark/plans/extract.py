@@ -384,3 +384,77 @@ def b15(spark, sf_dir):
  from part, (select 0 as i, 'a.jpg' as img union all select 1, 'b.png')""")
 def b16(spark, sf_dir):
     return J.image_manifest(J.image_dedupe(_best(spark, sf_dir)))
+
+
+# --- B07, B12, B17, B19, B23 ---------------------------------------------------------
+@register("b07_product_links", O.with_views("""select product_url, min_by(url, struct_pack(url := url, pos := pos)) as first_category
+ from (select url, pos, split_part(href, '?', 1) as product_url from links where regexp_matches(href, '/[a-z]{4,}$'))
+ group by product_url""", extra={"links": LINKS_SQL}))
+def b07(spark, sf_dir):
+    return X.product_links(_links(spark, sf_dir), r"/[a-z]{4,}$")
+
+
+@register("b12_best_schema", """select concat('https://shop.example.com/products/', cast(p_partkey as varchar)) as url,
+ 1 as block_pos, 1 as pos, 5 as score from part""")
+def b12(spark, sf_dir):
+    return _best(spark, sf_dir).select("url", "block_pos", "pos", "score")
+
+
+@register("b23_website_fallback", O.with_views("""select lf.url, coalesce(nullif(lf.website, ''), e.first_external) as website from lf
+ left join (select url, min_by(href, pos) as first_external from links where starts_with(href, 'http')
+   and not starts_with(href, 'https://dir.example.com') group by url) e on e.url = lf.url""",
+                                               "listing_pages", extra={"lf": LISTING_FIELDS_SQL, "links": LINKS_SQL}))
+def b23(spark, sf_dir):
+    lf = _listing_fields(spark, sf_dir)
+    return X.website_fallback(lf, _links(spark, sf_dir), "https://dir.example.com").select("url", "website")
+
+
+def review_pages_input(t):
+    """Product pages carrying review markup of five vendors (by part key), from the
+    R-flagged line items of each part."""
+    li = t.lineitem.where(F.col("l_returnflag") == "R").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        (F.floor(F.lit(200) + F.sum("l_quantity") * 25 / 4 / F.count(F.lit(1))) / 100).alias("a"))
+    n, a = F.col("n").cast("string"), F.col("a").cast("string")
+    m = F.col("l_partkey") % 5
+    mark = (F.when(m == 0, F.concat(F.lit('MetafieldReviews = {"rating":{"scale_min":"1.0","scale_max":"5.0","value":"'), a,
+                                    F.lit('"},"rating_count":'), n, F.lit("};")))
+            .when(m == 1, F.concat(F.lit('MetafieldYotpoRating = "'), a, F.lit('"; MetafieldYotpoCount = "'), n, F.lit('";')))
+            .when(m == 2, F.concat(F.lit('MetafieldYotpoCount = "7"; MetafieldLooxRating = "'), a,
+                                   F.lit('"; MetafieldLooxCount = "'), n, F.lit('";')))
+            .when(m == 3, F.concat(F.lit("okendoProductReviewAverageValue = "), a, F.lit("; okendoProductReviewCount = "), n, F.lit(";")))
+            .otherwise(F.concat(F.lit('</script><script type="application/ld+json">{"@type":"Product","aggregateRating":{"ratingValue":"'),
+                                a, F.lit('","reviewCount":"'), n, F.lit('"}}')))
+            )
+    return li.select(F.concat(F.lit("https://shop.example.com/products/"), F.col("l_partkey").cast("string")).alias("url"),
+                     F.concat(F.lit("<html><head><script>"), mark, F.lit("</script></head><body></body></html>")).alias("html"))
+
+
+@register("b17_reviews", """select concat('https://shop.example.com/products/', cast(l_partkey as varchar)) as url,
+ cast(count(*) as int) as num_reviews, floor(200 + sum(l_quantity) * 25 / 4 / count(*)) / 100 as average_rating,
+ case l_partkey % 5 when 0 then 'MetafieldReviews (Stamped)' when 1 then 'Yotpo' when 2 then 'Loox' when 3 then 'Okendo'
+   else 'Schema.org AggregateRating' end as source
+ from lineitem where l_returnflag = 'R' group by l_partkey""")
+def b17(spark, sf_dir):
+    pages = review_pages_input(_t(spark, sf_dir))
+    agg = X.jsonld_aggregate_rating(J.jsonld_blocks(pages))
+    j = pages.join(agg, "url", "left")
+    r = X.reviews(F.col("html"), F.col("jr"), F.col("jc"))
+    return j.select("url", *[c.alias(k) for k, c in r.items()])
+
+
+def _text_of_sql(x):
+    t = _decode_sql(f"regexp_replace({x}, '<[^>]*>', chr(10), 'g')")
+    return (f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), "
+            f"lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10))")
+
+
+_ART = _text_of_sql("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)")
+_WHOLE = _text_of_sql("regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g')")
+
+
+@register("b19_content_block", O.with_views(f"""select page_id, case when length(a) > 100 then a else w end as content_text
+ from (select page_id, {_ART} as a, {_WHOLE} as w from pages)"""))
+def b19(spark, sf_dir):
+    c = X.content_block(F.col("html"))
+    return _t(spark, sf_dir).pages.select("page_id", c["content_text"].alias("content_text"))
