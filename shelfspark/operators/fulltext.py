@@ -35,9 +35,16 @@ in out on off over under again further then once here there when where why how a
 other some such no nor not only own same so than too very s t can will just don should now""".split()
 
 
+SEPARATOR_RE = r"[^\p{L}\p{N}]+"
+
+
 def tokens(c: Column) -> Column:
-    """Lower-cased letter/digit runs of a text column, as an array."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
+    """Lower-cased letter/digit runs of a text column, as an array.
+
+    Same tokens as extracting ``TOKEN_RE`` matches, computed as a split on the complement
+    class (several times cheaper than match extraction on long texts)."""
+    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATOR_RE)
+    return F.filter(parts, lambda x: x != "")
 
 
 def analyze(df: DataFrame, id_cols: list[str], text: Column, mode: str = "simple") -> DataFrame:

@@ -21,7 +21,7 @@ from ..functions import queryparse as QP
 from ..functions import text as TX
 from ..functions import urls as U
 from . import fulltext as FT
-from .vector import q6, top_k_per_group, vector_topk
+from .vector import q6, top_k_per_group, vector_topk, vector_topk_blocked  # noqa: F401
 
 DISPLAY = ["name", "brand", "description", "price", "currency", "url", "source_site", "num_reviews",
            "average_rating", "images", "made_in_canada", "made_in_canada_reason"]
@@ -85,7 +85,7 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
     p = prepare_products(products)
     pq = prepare_queries(queries)
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
-    vec = vector_topk(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, pred)
+    vec = vector_topk_blocked(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, use_parsed, origin_only)
     txt = text_topk(p, pq, k, pred, mode)
     cand = vec.select("query_id", "id", "vector_similarity", F.lit(0.0).alias("text_rank"),
                       F.lit("vector").alias("branch")).unionByName(

@@ -112,3 +112,100 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("hits"))
     tot = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
     return tot.join(hit, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("k")).alias("recall"))
+
+
+# H01, blocked form -------------------------------------------------------------
+# Exact top-k for a batch of queries without materialising (product, query) rows:
+# products are hashed into bounded blocks; the (size-checked) query batch is replicated
+# to every block; a cogroup kernel multiplies each block by the query matrix (numpy),
+# applies the per-query filters and keeps the k best of each query in the block
+# (ties at the k-th value kept).  A per-query window then picks the global top k.
+BLOCK_ROWS = 50_000
+
+VEC_OUT = "query_id long, id long, url string, vector_similarity double"
+
+
+def _stack(col, dim=None):
+    import numpy as np
+
+    vals = [np.asarray(v, dtype=np.float64) if v is not None else None for v in col]
+    if not vals:
+        return np.zeros((0, dim or 0))
+    d = dim or max((len(v) for v in vals if v is not None), default=0)
+    out = np.full((len(vals), d), np.nan)
+    for i, v in enumerate(vals):
+        if v is not None and len(v) == d:
+            out[i] = v
+    return out
+
+
+def _block_kernel(k: int, use_parsed: bool, origin_only):
+    import numpy as np
+    import pandas as pd
+
+    def run(prod: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if prod.empty or qs.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "url": [], "vector_similarity": []})
+        P = _stack(prod["embedding"])
+        Q = _stack(qs["query_vector"], P.shape[1])
+        pn = np.sqrt(np.einsum("ij,ij->i", P, P))
+        qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            S = (P @ Q.T) / (pn[:, None] * qn[None, :])
+            S = np.floor(S * 1e6 + 0.5) / 1e6
+        ok_all = np.isfinite(S)
+        mic = (prod["made_in_canada"].to_numpy() == True)  # noqa: E712  (NULL is not true)
+        price = pd.to_numeric(prod["price_num"], errors="coerce").to_numpy(dtype=float)
+        rating = pd.to_numeric(prod["average_rating"], errors="coerce").to_numpy(dtype=float)
+        brand = prod["brand_lc"].to_numpy()
+        brand_cache: dict = {}
+        ids, urls = prod["id"].to_numpy(), prod["url"].to_numpy()
+        out = []
+        for j, q in enumerate(qs.itertuples(index=False)):
+            m = ok_all[:, j].copy()
+            want_origin = bool(q.q_origin) if origin_only is None else bool(origin_only)
+            if want_origin:
+                m &= mic
+            if use_parsed:
+                if q.q_min_price is not None and not pd.isna(q.q_min_price):
+                    m &= price >= q.q_min_price
+                if q.q_max_price is not None and not pd.isna(q.q_max_price):
+                    m &= price <= q.q_max_price
+                if q.q_min_rating is not None and not pd.isna(q.q_min_rating):
+                    m &= rating >= q.q_min_rating
+                if q.q_brand is not None and not (isinstance(q.q_brand, float) and pd.isna(q.q_brand)):
+                    if q.q_brand not in brand_cache:
+                        brand_cache[q.q_brand] = np.array([b is not None and q.q_brand in b for b in brand], dtype=bool)
+                    m &= brand_cache[q.q_brand]
+            idx = np.nonzero(m)[0]
+            if idx.size == 0:
+                continue
+            s = S[idx, j]
+            if idx.size > k:
+                kth = np.partition(s, -k)[-k]
+                keep = s >= kth
+                idx, s = idx[keep], s[keep]
+            out.append(pd.DataFrame({"query_id": np.full(idx.size, q.query_id, dtype=np.int64),
+                                     "id": ids[idx].astype(np.int64), "url": urls[idx], "vector_similarity": s}))
+        if not out:
+            return pd.DataFrame({"query_id": [], "id": [], "url": [], "vector_similarity": []})
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def vector_topk_blocked(products: DataFrame, queries: DataFrame, k: int = 250, use_parsed: bool = True,
+                        origin_only: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query_id, id, url, vector_similarity, rank)``; same result as ``vector_topk``
+    with the per-query filter predicate, computed block-wise (see above)."""
+    limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
+    p = products.where(F.col("embedding").isNotNull())
+    n = p.count()
+    n_blocks = max(1, -(-n // block_rows))
+    pcols = ["id", "url", "embedding", "price_num", "average_rating", "brand_lc", "made_in_canada"]
+    qcols = ["query_id", "query_vector", "q_min_price", "q_max_price", "q_min_rating", "q_brand", "q_origin"]
+    pb = p.select(*pcols).withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    qb = queries.select(*qcols).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    local = pb.groupBy("_blk").cogroup(qb.groupBy("_blk")).applyInPandas(
+        _block_kernel(k, use_parsed, origin_only), VEC_OUT)
+    return top_k_per_group(local, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import fulltext as FT
 from ..operators import hybrid as HY
+from ..operators import vector as V
 from ..operators.vector import q6, vector_topk
 from ..sources import adapters
 from ..sources.tables import Tables
@@ -43,6 +44,16 @@ def h08(spark, sf_dir):
 @register("h01_vector_topk", search_sql("""select query_id, row_number() over (partition by query_id order by vs desc, url) as rank,
  id, url, vs as vector_similarity from vec"""))
 def h01(spark, sf_dir):
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    r = V.vector_topk_blocked(pp.select("id", "url", "embedding", *HY.FILTER_COLS), pq, fixed.SQL_CANDIDATES)
+    return r.select("query_id", "rank", "id", "url", "vector_similarity")
+
+
+@register("h01_vector_topk_pairs", search_sql("""select query_id, row_number() over (partition by query_id order by vs desc, url) as rank,
+ id, url, vs as vector_similarity from vec"""))
+def h01p(spark, sf_dir):
+    """H01 as an explicit pair join (broadcast of the checked batch); the reference plan for the blocked kernel."""
     p, q = _pq(spark, sf_dir)
     pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
     r = vector_topk(pp.select("id", "url", "embedding", *HY.FILTER_COLS), pq, fixed.SQL_CANDIDATES, HY.filter_pred())
