@@ -28,3 +28,19 @@ def fits(df: DataFrame, bound: int) -> bool:
 def check_broadcast(df: DataFrame, bound: int, what: str) -> None:
     if not fits(df, bound):
         raise TooLargeToBroadcast(f"{what}: more than {bound} rows; split the batch")
+
+
+def batch_sizes(products: DataFrame, queries: DataFrame, terms) -> dict:
+    """One job: product rows (upper bound, before filters), query rows and total distinct
+    query terms; used to size product blocks and to check the broadcast bounds."""
+    from pyspark.sql import functions as F
+
+    a = products.agg(F.lit("products").alias("what"), F.count(F.lit(1)).alias("n"))
+    b = queries.agg(F.lit("queries").alias("what"), F.count(F.lit(1)).alias("n"))
+    c = queries.agg(F.lit("terms").alias("what"), F.coalesce(F.sum(F.size(terms)), F.lit(0)).cast("long").alias("n"))
+    got = {r["what"]: r["n"] for r in a.unionByName(b).unionByName(c).collect()}
+    if got["queries"] > MAX_QUERY_BATCH:
+        raise TooLargeToBroadcast(f"query batch: {got['queries']} rows > {MAX_QUERY_BATCH}; split the batch")
+    if got["terms"] > MAX_QUERY_TERMS:
+        raise TooLargeToBroadcast(f"query terms: {got['terms']} > {MAX_QUERY_TERMS}; split the batch")
+    return got

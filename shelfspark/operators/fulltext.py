@@ -62,15 +62,16 @@ def analyze(df: DataFrame, id_cols: list[str], text: Column, mode: str = "simple
     return out
 
 
-def query_terms(queries: DataFrame, text: Column, mode: str = "simple") -> DataFrame:
-    """Distinct terms of each query with a dense index: ``(query_id, term, term_idx, n_terms)``."""
+def query_terms(queries: DataFrame, text: Column, mode: str = "simple", keep: list[str] | None = None) -> DataFrame:
+    """Distinct terms of each query with a dense index: ``(query_id, term, term_idx, n_terms, keep...)``."""
+    keep = keep or []
     toks = tokens(text)
     if mode == "english":
         toks = F.filter(toks, lambda t: ~t.isin(ENGLISH_STOP_WORDS))
-    q = queries.select("query_id", F.array_distinct(toks).alias("terms"))
+    q = queries.select("query_id", *keep, F.array_distinct(toks).alias("terms"))
     q = q.where(F.size("terms") > 0)  # an empty text query matches nothing
     return q.select(
-        "query_id", F.posexplode("terms").alias("term_idx", "term"), F.size("terms").alias("n_terms"))
+        "query_id", F.posexplode("terms").alias("term_idx", "term"), F.size("terms").alias("n_terms"), *keep)
 
 
 def matched_occurrences(doc_terms: DataFrame, qterms: DataFrame, extra_cols: list[str] | None = None) -> DataFrame:

@@ -67,13 +67,14 @@ def search_text(p: DataFrame) -> Column:
                        F.coalesce(p["description"], F.lit("")))
 
 
-def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "simple") -> DataFrame:
+def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "simple", checked: bool = False) -> DataFrame:
     """Text branch: documents matching every intent term and the filters; top k by rank per query."""
     doc_terms = FT.analyze(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
                            ["id", "url", *FILTER_COLS], search_text(p), mode)
-    qterms = FT.query_terms(pq, F.col("intent"), mode).join(
-        pq.drop("query_vector", "intent"), "query_id")
-    limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
+    params = [c for c in pq.columns if c.startswith("q_")]
+    qterms = FT.query_terms(pq, F.col("intent"), mode, keep=params)
+    if not checked:
+        limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
     occ = doc_terms.join(F.broadcast(qterms), "term").where(pred)
     ranked = FT.match_and_rank(occ.select("query_id", "id", "url", "term_idx", "n_terms", "pos"), ["url"])
     return top_k_per_group(ranked, ["query_id"], [F.desc("text_rank"), F.asc("url")], k)
@@ -83,10 +84,14 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
                origin_only: bool | None = None, mode: str = "simple") -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
-    pq = prepare_queries(queries)
+    # the parsed batch is small and read by both branches: cut its lineage once
+    # (reliable checkpoint in the shared folder) so the regex parse runs and plans once
+    pq = prepare_queries(queries).checkpoint(eager=True)
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
-    vec = vector_topk_blocked(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, use_parsed, origin_only)
-    txt = text_topk(p, pq, k, pred, mode)
+    sizes = limits.batch_sizes(p, pq, F.array_distinct(FT.tokens(F.col("intent"))))
+    vec = vector_topk_blocked(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, use_parsed, origin_only,
+                              n_products=sizes["products"])
+    txt = text_topk(p, pq, k, pred, mode, checked=True)
     cand = vec.select("query_id", "id", "vector_similarity", F.lit(0.0).alias("text_rank"),
                       F.lit("vector").alias("branch")).unionByName(
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",

@@ -195,12 +195,18 @@ def _block_kernel(k: int, use_parsed: bool, origin_only):
 
 
 def vector_topk_blocked(products: DataFrame, queries: DataFrame, k: int = 250, use_parsed: bool = True,
-                        origin_only: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                        origin_only: bool | None = None, block_rows: int = BLOCK_ROWS,
+                        n_products: int | None = None) -> DataFrame:
     """``(query_id, id, url, vector_similarity, rank)``; same result as ``vector_topk``
-    with the per-query filter predicate, computed block-wise (see above)."""
-    limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
+    with the per-query filter predicate, computed block-wise (see above).
+
+    ``n_products`` (an upper bound on product rows) skips the sizing job when the caller
+    has already counted the batch (``limits.batch_sizes``)."""
     p = products.where(F.col("embedding").isNotNull())
-    n = p.count()
+    if n_products is None:
+        limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
+        n_products = p.count()
+    n = n_products
     n_blocks = max(1, -(-n // block_rows))
     pcols = ["id", "url", "embedding", "price_num", "average_rating", "brand_lc", "made_in_canada"]
     qcols = ["query_id", "query_vector", "q_min_price", "q_max_price", "q_min_rating", "q_brand", "q_origin"]

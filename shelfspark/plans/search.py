@@ -18,7 +18,7 @@ from .search_sql import search_sql
 
 def _pq(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return adapters.catalog(t), adapters.search_queries(t)
+    return adapters.stored(spark, sf_dir, "catalog"), adapters.search_queries(t)
 
 
 @register("h07_hybrid_search", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
@@ -65,7 +65,7 @@ def h03(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
     pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
     doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
-    qterms = FT.query_terms(pq, F.col("intent")).join(pq.drop("query_vector", "intent"), "query_id")
+    qterms = FT.query_terms(pq, F.col("intent"), keep=[c for c in pq.columns if c.startswith("q_")])
     occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
     return occ.groupBy("query_id", "id").agg(F.first("n_terms").alias("n"), F.count_distinct("term_idx").alias("f")).where(
         "n = f").select("query_id", "id")
@@ -105,7 +105,7 @@ def d03(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
     pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
     doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
-    qterms = FT.query_terms(pq, F.col("intent")).join(pq.drop("query_vector", "intent"), "query_id")
+    qterms = FT.query_terms(pq, F.col("intent"), keep=[c for c in pq.columns if c.startswith("q_")])
     occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
     return occ.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("occurrences"),
                                              F.count_distinct("term_idx").alias("terms_found"))

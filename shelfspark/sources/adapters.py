@@ -219,3 +219,28 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "product_pages": product_pages(t), "listing_pages": listing_pages(t), "logs": logs(t),
         "search_queries": search_queries(t),
     }
+
+
+# The search queries read the catalogue as a stored table (as a catalogue is in use:
+# built by the extraction / upsert pipeline, then searched many times).  The derived
+# table is written once per application and source folder under the shared checkpoint
+# folder, so every later plan scans parquet instead of re-running the five-way join.
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:
+    """A derived view (``catalog`` ...) materialised once as parquet and read back."""
+    import uuid
+
+    from ..session import shared_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    path = None if rebuild else _STORED.get(key)
+    if path is None:
+        path = shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+        df = globals()[name](Tables(spark, sf_dir))
+        # enough files for every core to scan in parallel; hash-partitioned by the key
+        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df.repartition(n, "id").write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
