@@ -15,7 +15,7 @@ from ..functions import fixed
 from ..operators import extract as X
 from ..operators import jsonld as J
 from ..sources import adapters
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from . import oracle as O
 from .registry import register
 
@@ -24,6 +24,10 @@ def _t(spark, sf_dir):
     return Tables(spark, sf_dir)
 
 
+def _pages(spark, sf_dir):
+    return spread(Tables(spark, sf_dir).pages)
+
+
 def _re(p):
     return "'" + p.replace("'", "''") + "'"
 
@@ -42,7 +46,7 @@ LINKS_SQL = f"""select url, pos, {_resolve_sql('raw_href', 'url')} as href from
 
 
 def _links(spark, sf_dir):
-    return X.page_links(_t(spark, sf_dir).pages)
+    return X.page_links(_pages(spark, sf_dir))
 
 
 @register("b05_page_links", O.with_views("select url, pos, href from links", extra={"links": LINKS_SQL}))
@@ -123,7 +127,7 @@ def _strip_sql(x):
 @register("b18_page_text", O.with_views(f"""select page_id, case when length(t) >= 50 then t end as content,
  length(t) as n_chars from (select page_id, {_page_text_sql('html')} as t from pages)"""))
 def b18(spark, sf_dir):
-    p = _t(spark, sf_dir).pages
+    p = _pages(spark, sf_dir)
     t = X.page_text(F.col("html"), min_len=0)
     return p.select("page_id", F.when(F.length(t) >= 50, t).alias("content"), F.length(t).alias("n_chars"))
 
@@ -133,7 +137,7 @@ def b18(spark, sf_dir):
  from (select page_id, h1, {_strip_sql("replace(replace(" + _decode_sql("regexp_replace(h1, '<[^>]*>', '', 'g')") + ", '🍁', ''), '📈', '')")} as t
  from (select page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) as h1 from pages))"""))
 def b20(spark, sf_dir):
-    return _t(spark, sf_dir).pages.select("page_id", X.title_name(F.col("html")).alias("name"))
+    return _pages(spark, sf_dir).select("page_id", X.title_name(F.col("html")).alias("name"))
 
 
 _SKIP = " or ".join(f"starts_with(t, '{s}')" for s in fixed.DESCRIPTION_SKIP_PREFIXES)
@@ -144,7 +148,7 @@ _SKIP = " or ".join(f"starts_with(t, '{s}')" for s in fixed.DESCRIPTION_SKIP_PRE
    lambda t: not ({_SKIP})), ' ') end as description
  from (select page_id, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1) as paras from pages)"""))
 def b24(spark, sf_dir):
-    return _t(spark, sf_dir).pages.select("page_id", X.description(F.col("html")).alias("description"))
+    return _pages(spark, sf_dir).select("page_id", X.description(F.col("html")).alias("description"))
 
 
 # --- listings ------------------------------------------------------------------
@@ -348,7 +352,7 @@ def b02(spark, sf_dir):
 
 # --- JSON-LD round trip over rendered product pages ----------------------------------
 def _best(spark, sf_dir):
-    pp = adapters.product_pages(_t(spark, sf_dir))
+    pp = spread(adapters.product_pages(_t(spark, sf_dir)))
     return J.best_schema(J.jsonld_products(J.jsonld_blocks(pp)))
 
 
@@ -457,4 +461,4 @@ _WHOLE = _text_of_sql("regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(
  from (select page_id, {_ART} as a, {_WHOLE} as w from pages)"""))
 def b19(spark, sf_dir):
     c = X.content_block(F.col("html"))
-    return _t(spark, sf_dir).pages.select("page_id", c["content_text"].alias("content_text"))
+    return _pages(spark, sf_dir).select("page_id", c["content_text"].alias("content_text"))

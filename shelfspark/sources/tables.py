@@ -31,3 +31,16 @@ class Tables:
         if name in TABLES:
             return table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that has fewer partitions than task slots.
+
+    CPU-heavy per-row parsing (HTML regexes, JSON) of a small table stored as one row
+    group would otherwise run in a single task.  Large tables already have at least one
+    partition per slot, so this adds no shuffle where data is big.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
