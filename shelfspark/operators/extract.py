@@ -401,3 +401,49 @@ def content_block(html) -> dict[str, Column]:
     texts = [text_of(c) for c in cands]
     body = F.coalesce(*[F.when(F.length(t) > 100, t) for t in texts], text_of(F.regexp_replace(h, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")))
     return {"content_text": body, "raw_text": body}
+
+
+# B03 ------------------------------------------------------------------------
+def sitemap_docs(sitemaps: DataFrame) -> DataFrame:
+    """B02 with positions: ``(url, kind, pos, loc)`` for every loc of every landed sitemap."""
+    xml = F.col("xml")
+    locs = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"), F.lit(1))
+    kind = F.when(xml.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
+    return sitemaps.select("url", kind.alias("kind"), F.posexplode(locs).alias("pos", "loc"))
+
+
+def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_docs: int = 50) -> DataFrame:
+    """Breadth-first walk from each site's root sitemaps over nested sitemaps; the first
+    ``max_docs`` documents in visit order are read; returns ``(base, url)`` of the distinct page
+    URLs they list that contain ``pattern`` and are on the site's host.
+
+    The walk is exact FIFO order with first-discovery de-dupe: each level's new documents are
+    numbered after all earlier ones by (parent order, position).  One round of joins per
+    level; each level is checkpointed (shared folder) so lineage stays short.
+    """
+    by_base = Window.partitionBy("base")
+    r = roots.select("base", F.col("sitemap_url").alias("doc"), "ord")
+    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("base", "doc").orderBy("ord"))).where("_r = 1")
+    seen = r.select("base", "doc", F.row_number().over(by_base.orderBy("ord")).alias("order")).checkpoint()
+    nested = docs.where(F.col("kind") == "nested").select(F.col("url").alias("doc"), "pos", F.col("loc").alias("child"))
+    frontier = seen
+    while True:
+        grow = frontier.where(F.col("order") <= max_docs).join(nested, "doc").select(
+            "base", F.col("child").alias("doc"), F.col("order").alias("parent_order"), "pos")
+        grow = grow.join(seen.select("base", "doc"), ["base", "doc"], "left_anti")
+        w = Window.partitionBy("base", "doc").orderBy("parent_order", "pos")
+        grow = grow.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        offset = seen.groupBy("base").agg(F.max("order").alias("_top"))
+        new = grow.join(offset, "base").select(
+            "base", "doc", (F.col("_top") + F.dense_rank().over(by_base.orderBy("parent_order", "pos"))).alias("order"))
+        new = new.checkpoint()
+        if new.where(F.col("order") <= max_docs).isEmpty():
+            seen = seen.unionByName(new).checkpoint()
+            break
+        seen = seen.unionByName(new).checkpoint()
+        frontier = new
+    visited = seen.where(F.col("order") <= max_docs)
+    pages = docs.where(F.col("kind") == "url").select(F.col("url").alias("doc"), F.col("loc").alias("url"))
+    found = visited.join(pages, "doc").where(
+        F.col("url").contains(pattern) & (U.url_host(F.col("url")) == U.url_host(F.col("base"))))
+    return found.select("base", "url").distinct()

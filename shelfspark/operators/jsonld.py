@@ -122,3 +122,29 @@ def image_manifest(products: DataFrame, cap: int = 8) -> DataFrame:
     ext = F.when(ext == "", F.lit(".jpg")).otherwise(ext)
     name = safe_filename(F.concat(F.col("url"), F.lit("_img"), F.col("idx").cast("string"), ext))
     return ex.select("url", "idx", "image_url", name.alias("file_name"))
+
+
+# B14 ------------------------------------------------------------------------
+def _meta(html, prop: str):
+    """``content`` of ``<meta property="prop">`` (either attribute order); NULL when absent."""
+    a = F.regexp_extract(html, rf'(?is)<meta\s[^>]*property\s*=\s*"{prop}"[^>]*\scontent\s*=\s*"([^"]*)"', 1)
+    b = F.regexp_extract(html, rf'(?is)<meta\s[^>]*content\s*=\s*"([^"]*)"[^>]*\sproperty\s*=\s*"{prop}"', 1)
+    has = html.rlike(rf'(?is)<meta\s[^>]*property\s*=\s*"{prop}"')
+    v = F.when(a != "", a).when(b != "", b)
+    return F.when(has, F.regexp_replace(v, r"^\s+|\s+$", ""))
+
+
+def og_fallback(products: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fill name / description from og:title / og:description when missing (empty), and
+    images from og:image when there are none; ``(url, ...)`` of ``products`` joined to ``pages``."""
+    j = products.join(pages.select("url", "html"), "url", "right")
+    h = F.col("html")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    title, desc, img = _meta(h, "og:title"), _meta(h, "og:description"), _meta(h, "og:image")
+    imgs = F.coalesce(F.col("images"), F.array().cast("array<string>"))
+    return j.select(
+        "url",
+        F.when(empty("name") & (F.coalesce(title, F.lit("")) != ""), title).otherwise(F.col("name")).alias("name"),
+        F.when(empty("description") & (F.coalesce(desc, F.lit("")) != ""), desc).otherwise(F.col("description")).alias("description"),
+        F.when((F.size(imgs) == 0) & (F.coalesce(img, F.lit("")) != ""), F.array(img)).otherwise(imgs).alias("images"),
+    )

@@ -247,3 +247,15 @@ def a05(spark, sf_dir):
     IO.append_events(c, path, environment="development", ts_col="clicked_at")
     back = spark.read.parquet(path)
     return back.groupBy("environment", "event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a02_read_json_array", with_views("""select url, name, products, manufactured_in, website, canadian_owned_text,
+ cast(null as varchar) as category, cast(null as boolean) as is_shopify_store from lf""",
+                                            "listing_pages", extra={"lf": __import__("shelfspark.plans.extract", fromlist=["x"]).LISTING_FIELDS_SQL}))
+def a02(spark, sf_dir):
+    from .extract import _listing_fields
+    lf = _listing_fields(spark, sf_dir).select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text")
+    path = IO.write_json_arrays(lf, IO.scratch(spark, "a02"), rows_per_file=20)
+    back = IO.read_json_array(spark, path)
+    return back.select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text", "category",
+                       "is_shopify_store")

@@ -462,3 +462,69 @@ _WHOLE = _text_of_sql("regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(
 def b19(spark, sf_dir):
     c = X.content_block(F.col("html"))
     return _pages(spark, sf_dir).select("page_id", c["content_text"].alias("content_text"))
+
+
+# --- B03: sitemap closure over sitemaps rendered from pages ----------------------------------
+def closure_input(t):
+    """Roots: one root sitemap per page (``{origin}/sm-{id}.xml``, ordered by page id per site).
+    Documents: sm-{id} is an index pointing to deep-{id} when id % 3 = 0, else a urlset of the
+    page URL and ``/p/{id}``; deep-{id} lists ``/d/{id}`` and ``/p/{id}``."""
+    p = spread(t.pages)
+    o = X.origin(F.col("url"))
+    sid = F.col("page_id").cast("string")
+    roots = p.select(o.alias("base"), F.col("page_id").alias("ord"), F.concat(o, F.lit("/sm-"), sid, F.lit(".xml")).alias("sitemap_url"))
+    ns = '<?xml version="1.0"?><{t} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    sm = F.when(F.col("page_id") % 3 == 0, F.concat(
+        F.lit(ns.format(t="sitemapindex") + "<sitemap><loc>"), o, F.lit("/deep-"), sid, F.lit(".xml</loc></sitemap></sitemapindex>"))
+    ).otherwise(F.concat(F.lit(ns.format(t="urlset") + "<url><loc>"), F.col("url"), F.lit("</loc></url><url><loc>"), o,
+                         F.lit("/p/"), sid, F.lit("</loc></url></urlset>")))
+    deep = F.concat(F.lit(ns.format(t="urlset") + "<url><loc>"), o, F.lit("/d/"), sid, F.lit("</loc></url><url><loc>"), o,
+                    F.lit("/p/"), sid, F.lit("</loc></url></urlset>"))
+    docs = p.select(F.concat(o, F.lit("/sm-"), sid, F.lit(".xml")).alias("url"), sm.alias("xml")).unionByName(
+        p.where(F.col("page_id") % 3 == 0).select(F.concat(o, F.lit("/deep-"), sid, F.lit(".xml")).alias("url"), deep.alias("xml")))
+    return roots, docs
+
+
+CLOSURE_MAX_DOCS = 16
+
+
+@register("b03_sitemap_closure", f"""with pg as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as base from pages),
+ ordered as (select *, row_number() over (partition by base order by page_id) as o, count(*) over (partition by base) as n from pg),
+ deep as (select *, n + row_number() over (partition by base order by o) as od from ordered where page_id % 3 = 0),
+ found as (
+  select base, url from ordered where o <= {CLOSURE_MAX_DOCS} and page_id % 3 <> 0
+  union all select base, concat(base, '/p/', cast(page_id as varchar)) from ordered where o <= {CLOSURE_MAX_DOCS} and page_id % 3 <> 0
+  union all select base, concat(base, '/d/', cast(page_id as varchar)) from deep where od <= {CLOSURE_MAX_DOCS}
+  union all select base, concat(base, '/p/', cast(page_id as varchar)) from deep where od <= {CLOSURE_MAX_DOCS})
+ select distinct base, url from found
+ where regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)""")
+def b03(spark, sf_dir):
+    roots, docs = closure_input(_t(spark, sf_dir))
+    return X.sitemap_closure(roots, X.sitemap_docs(docs), pattern="/", max_docs=CLOSURE_MAX_DOCS)
+
+
+# --- B14: Open Graph fallback over pages rendered from part ------------------------------------
+def og_pages_input(t):
+    """Product pages whose JSON-LD carries only the sku for odd part keys (name, description
+    and images must come from og meta tags, written in both attribute orders)."""
+    p = spread(t.part)
+    odd = F.col("p_partkey") % 2 == 1
+    key = F.col("p_partkey").cast("string")
+    ld = F.when(odd, F.concat(F.lit('{"@type":"Product","sku":"'), key, F.lit('"}'))).otherwise(
+        F.concat(F.lit('{"@type":"Product","sku":"'), key, F.lit('","name":"'), F.col("p_name"),
+                 F.lit('","description":"'), F.col("p_type"), F.lit('","image":"ld.jpg"}')))
+    html = F.concat(
+        F.lit('<html><head><meta property="og:title" content=" '), F.col("p_name"), F.lit(' ">'),
+        F.lit('<meta content="'), F.col("p_type"), F.lit('" property="og:description">'),
+        F.lit('<meta property="og:image" content="og-'), key, F.lit('.jpg">'),
+        F.lit('<script type="application/ld+json">'), ld, F.lit("</script></head><body></body></html>"))
+    return p.select(F.concat(F.lit("https://shop.example.com/products/"), key).alias("url"), html.alias("html"))
+
+
+@register("b14_og_fallback", """select concat('https://shop.example.com/products/', cast(p_partkey as varchar)) as url,
+ p_name as name, p_type as description,
+ case when p_partkey % 2 = 1 then [concat('og-', cast(p_partkey as varchar), '.jpg')] else ['ld.jpg'] end as images from part""")
+def b14(spark, sf_dir):
+    pages = og_pages_input(_t(spark, sf_dir))
+    best = J.best_schema(J.jsonld_products(J.jsonld_blocks(pages)))
+    return J.og_fallback(best.select("url", "name", "description", "images"), pages)

@@ -64,3 +64,15 @@ def write_snapshot(df: DataFrame, base: str) -> str:
     path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return path
+
+
+def write_json_arrays(df: DataFrame, path: str, key: str = "url", rows_per_file: int = 1000) -> str:
+    """A03 (array form): files that each hold one JSON array of records, as a JSON dump of a
+    list does.  Records are hashed by ``key`` into ``ceil(n / rows_per_file)`` buckets, so every
+    array (one group, one file) stays bounded whatever the table size."""
+    n = df.count()
+    buckets = max(1, -(-n // rows_per_file))
+    rec = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(*df.columns)).alias("j"))
+    arrays = rec.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("bucket").text(path)
+    return path
