@@ -94,9 +94,9 @@ def dump_urls(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """A10: first ``n`` rows by url plus how many remain (one aggregate, one top-n)."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     head = df.select("name", "url").orderBy("url").limit(n)
-    return head.crossJoin(F.broadcast(total)).select("name", "url", (F.col("_total") - n).alias("remaining"))
+    return head.select("name", "url", (total - n).alias("remaining"))
 
 
 def source_count(df: DataFrame, source_site: str | None = None, by_site: bool = False) -> DataFrame:
@@ -192,3 +192,23 @@ def upsert_quarantine(new: DataFrame, valid: F.Column | None = None, key: str =
     counts = tagged.agg(F.count_if(F.col("_reason").isNull()).alias("saved"),
                         F.count_if(F.col("_reason").isNotNull()).alias("failed"))
     return good, rejects, counts
+
+
+# D04 / G04 -------------------------------------------------------------------
+def secondary_source(df: DataFrame, side: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """Left join of a keyed side table (service replies re-aimed as tables: enrichment,
+    embeddings, rerank scores).  The side is broadcast only when its row count is within
+    ``bound``; otherwise Spark plans a shuffle join (AQE may still switch at run time)."""
+    from .. import limits
+
+    if bound is not None and limits.fits(side, bound):
+        side = F.broadcast(side)
+    return df.join(side, key, "left")
+
+
+def ordered_distinct(df: DataFrame, group: list[str], key: str, order: str) -> DataFrame:
+    """First occurrence of each ``key`` within ``group`` (by ``order``); order kept."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*group, key).orderBy(order)
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

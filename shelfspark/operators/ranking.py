@@ -33,6 +33,10 @@ def greedy_dedupe(ranked: DataFrame, max_per_brand_type: int = 0, rank_col: str
                   group: str = "query_id") -> DataFrame:
     """Keep a row iff no earlier kept row has its name key or url base (and the
     (brand, type) cap is not reached).  Adds ``dedupe_rank`` (1-based, in kept order)."""
+    # the fold holds one query's candidate list; the funnel bounds it (rank <= SQL_CANDIDATES)
+    biggest = ranked.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if biggest > MAX_FOLD_ROWS:
+        raise ValueError(f"greedy_dedupe: a group has {biggest} rows (> {MAX_FOLD_ROWS}); cut it to the funnel first")
     k = dedupe_keys(ranked)
     items = F.array_sort(F.collect_list(F.struct(
         F.col(rank_col).alias("r"), F.col("_name_key").alias("n"), F.col("_url_base").alias("u"),

@@ -101,15 +101,37 @@ def origin_stats(listings: DataFrame, flags: list[str]) -> DataFrame:
                      pct(F.col("unknown"), F.col("total")).alias("unknown_pct"))
 
 
+def running_prefix(df: DataFrame, order: str, values: dict[str, Column]) -> DataFrame:
+    """Global running sums in ``order`` without moving all rows to one task.
+
+    Two passes: a range partitioning by ``order`` gives each partition a contiguous slice;
+    sums run inside each partition (window partitioned by partition id), and each slice is
+    shifted by the totals of the slices before it (a table with one row per partition).
+    Adds ``seq`` (1-based global position) and one running column per ``values`` key.
+    """
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    parts = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    vals = {k: v.cast("long") for k, v in values.items()}
+    w_local = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.select("*", F.count(F.lit(1)).over(w_local).alias("_seq"),
+                         *[F.sum(v).over(w_local).alias("_l_" + k) for k, v in vals.items()])
+    totals = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias("_t_" + k) for k, v in vals.items()])
+    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_o_seq"),
+                            *[F.coalesce(F.sum("_t_" + k).over(w_off), F.lit(0)).alias("_o_" + k) for k in vals])
+    j = local.join(F.broadcast(offsets), "_pid")
+    out = j.withColumn("seq", F.col("_seq") + F.col("_o_seq"))
+    for k in vals:
+        out = out.withColumn(k, F.col("_l_" + k) + F.col("_o_" + k))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def running_stats(listings: DataFrame, flag: str, order: str = "url", every: int = 25) -> DataFrame:
     """cumulative yes / no / unknown counts and percentages, reported every ``every`` rows."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = F.col(flag)
-    df = listings.select(
-        F.row_number().over(Window.orderBy(order)).alias("seq"),
-        F.sum(F.when(c, 1).otherwise(0)).over(w).alias("yes"),
-        F.sum(F.when(~c, 1).otherwise(0)).over(w).alias("no"),
-        F.sum(F.when(c.isNull(), 1).otherwise(0)).over(w).alias("unknown"))
+    df = running_prefix(listings.select(order, flag), order, {
+        "yes": F.when(c, 1).otherwise(0), "no": F.when(~c, 1).otherwise(0),
+        "unknown": F.when(c.isNull(), 1).otherwise(0)})
     df = df.where(F.col("seq") % every == 0)
     return df.select("seq", "yes", "no", "unknown", pct(F.col("yes"), F.col("seq")).alias("yes_pct"))
 

@@ -37,11 +37,12 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 
 
 def pair_with_queries(products: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every product row next to every query of a bounded batch (broadcast)."""
-    if limits.fits(queries, limits.MAX_QUERY_BATCH):
-        return products.crossJoin(F.broadcast(queries))
-    # past the bound: the un-hinted product of the two sides (no side held whole)
-    return products.crossJoin(queries)
+    """Every product row next to every query of a bounded batch (the reference's
+    single-row parameter relation, generalised to a batch).  The batch is broadcast only
+    after its size is checked; a larger batch must be split (``vector_topk_blocked`` scores
+    any batch without materialising pairs)."""
+    limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
+    return products.crossJoin(F.broadcast(queries))
 
 
 def cosine_pairs(products: DataFrame, queries: DataFrame, pred=None) -> DataFrame:

@@ -259,3 +259,12 @@ def a02(spark, sf_dir):
     back = IO.read_json_array(spark, path)
     return back.select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text", "category",
                        "is_shopify_store")
+
+
+@register("d04_secondary_source", with_views("""select c.url, l.quality, l.toxic from catalog c left join labels l on l.doc_id = c.id""",
+                                             "catalog"))
+def d04(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    side = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return C.secondary_source(adapters.catalog(t).select("id", "url"), side, "id", bound=1_000_000).select(
+        "url", "quality", "toxic")

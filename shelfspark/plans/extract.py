@@ -528,3 +528,10 @@ def b14(spark, sf_dir):
     pages = og_pages_input(_t(spark, sf_dir))
     best = J.best_schema(J.jsonld_products(J.jsonld_blocks(pages)))
     return J.og_fallback(best.select("url", "name", "description", "images"), pages)
+
+
+@register("g04_ordered_distinct", O.with_views("""select url, pos, href from links
+ qualify row_number() over (partition by url, href order by pos) = 1""", extra={"links": LINKS_SQL}))
+def g04(spark, sf_dir):
+    from ..operators.catalog import ordered_distinct
+    return ordered_distinct(_links(spark, sf_dir), ["url"], "href", "pos")

@@ -54,3 +54,47 @@ def test_event_lines_drop_malformed(spark):
     lines = spark.createDataFrame([(1, 0, None, ": ping"), (1, 1, None, "data: {bad"), (1, 2, None, 'data: {"type":"done"}')],
                                   "run_id int, seq int, ts timestamp, line string")
     assert [r["type"] for r in R.event_lines(lines).collect()] == ["done"]
+
+
+def test_sitemap_closure_cap_and_order(spark):
+    roots = spark.createDataFrame([("https://a.com", 1, "https://a.com/r1.xml"), ("https://a.com", 2, "https://a.com/r2.xml")],
+                                  "base string, ord int, sitemap_url string")
+    docs = spark.createDataFrame([
+        ("https://a.com/r1.xml", "nested", 0, "https://a.com/n1.xml"),
+        ("https://a.com/r1.xml", "nested", 1, "https://a.com/r2.xml"),   # already queued: not re-added
+        ("https://a.com/r2.xml", "url", 0, "https://a.com/p/2"),
+        ("https://a.com/r2.xml", "url", 1, "https://b.com/p/x"),          # other host: dropped
+        ("https://a.com/n1.xml", "nested", 0, "https://a.com/n2.xml"),
+        ("https://a.com/n1.xml", "url", 0, "https://a.com/p/n1"),
+        ("https://a.com/n2.xml", "url", 0, "https://a.com/p/n2"),
+    ], "url string, kind string, pos int, loc string")
+    got3 = sorted(r["url"] for r in X.sitemap_closure(roots, docs, "/p/", max_docs=3).collect())
+    got9 = sorted(r["url"] for r in X.sitemap_closure(roots, docs, "/p/", max_docs=9).collect())
+    assert got3 == ["https://a.com/p/2", "https://a.com/p/n1"]          # r1, r2, n1 visited; n2 beyond cap
+    assert got9 == ["https://a.com/p/2", "https://a.com/p/n1", "https://a.com/p/n2"]
+
+
+def test_og_fallback_both_orders(spark):
+    html = ('<meta content="D" property="og:description"><meta property="og:title" content=" T ">'
+            '<meta property="og:image" content="i.jpg">')
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    prods = spark.createDataFrame([("u", None, "", None)], "url string, name string, description string, images array<string>")
+    r = J.og_fallback(prods, pages).first()
+    assert (r["name"], r["description"], r["images"]) == ("T", "D", ["i.jpg"])
+
+
+def test_reviews_cascade(spark):
+    rows = [('MetafieldReviews = {"rating":{"scale_min":"1.0","scale_max":"5.0","value":"5.0"},"rating_count":6};',),
+            ('MetafieldYotpoRating = "4.5"; MetafieldYotpoCount = "123";',),
+            ('MetafieldYotpoCount = "7"; MetafieldLooxRating = "4.0"; MetafieldLooxCount = "9";',)]
+    df = spark.createDataFrame(rows, "h string")
+    r = X.reviews(F.col("h"))
+    got = [(x[0], x[1]) for x in df.select(r["num_reviews"], r["average_rating"]).collect()]
+    assert got == [(6, 5.0), (123, 4.5), (9, 4.0)]
+
+
+def test_running_prefix_matches_global(spark):
+    df = spark.range(0, 1000).select(F.format_string("k%04d", "id").alias("k"), (F.col("id") % 3 == 0).alias("f"))
+    out = R.running_stats(df, "f", order="k", every=100).orderBy("seq").collect()
+    assert [r["seq"] for r in out] == list(range(100, 1001, 100))
+    assert [r["yes"] for r in out] == [len([i for i in range(s) if i % 3 == 0]) for s in range(100, 1001, 100)]
