@@ -141,3 +141,27 @@ def text_match(docs: DataFrame, queries: DataFrame, doc_text: Column, query_text
     return occ.groupBy("query_id", "id").agg(
         F.first("n_terms").alias("n_terms"), F.count_distinct("term_idx").alias("n_found")
     ).where(F.col("n_found") == F.col("n_terms")).select("query_id", "id")
+
+
+# Inverted index -------------------------------------------------------------------------
+# Term occurrences stored once per catalogue snapshot, partitioned by a hash bucket of the
+# term.  A query batch joins on (term_bucket, term): the broadcast query terms prune the
+# index scan to the buckets its terms fall in (dynamic partition pruning), so a batch reads
+# a fraction of the index instead of re-tokenising every document.
+INDEX_BUCKETS = 64
+
+
+def term_bucket(term: Column, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, id_cols: list[str], text: Column, mode: str = "simple",
+                buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """``(id..., term, pos, term_bucket)`` occurrence rows of every document."""
+    return analyze(docs, id_cols, text, mode).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+
+
+def write_index(index: DataFrame, path: str) -> str:
+    """One folder per term bucket (files clustered by bucket, then term)."""
+    index.repartition("term_bucket").sortWithinPartitions("term").write.partitionBy("term_bucket").parquet(path)
+    return path

@@ -67,21 +67,36 @@ def search_text(p: DataFrame) -> Column:
                        F.coalesce(p["description"], F.lit("")))
 
 
-def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "simple", checked: bool = False) -> DataFrame:
-    """Text branch: documents matching every intent term and the filters; top k by rank per query."""
-    doc_terms = FT.analyze(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
-                           ["id", "url", *FILTER_COLS], search_text(p), mode)
+def search_index(products: DataFrame, mode: str = "simple", buckets: int = FT.INDEX_BUCKETS) -> DataFrame:
+    """Inverted index of the searchable text with the filter attributes the text branch needs."""
+    p = prepare_products(products)
+    return FT.build_index(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
+                          ["id", "url", *FILTER_COLS], search_text(p), mode, buckets)
+
+
+def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "simple", checked: bool = False,
+              index: DataFrame | None = None) -> DataFrame:
+    """Text branch: documents matching every intent term and the filters; top k by rank per query.
+
+    With ``index`` (``search_index`` output, stored partitioned by ``term_bucket``) the join
+    also matches the bucket, so only the buckets of the batch's terms are scanned."""
     params = [c for c in pq.columns if c.startswith("q_")]
     qterms = FT.query_terms(pq, F.col("intent"), mode, keep=params)
     if not checked:
         limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
-    occ = doc_terms.join(F.broadcast(qterms), "term").where(pred)
+    if index is None:
+        doc_terms = FT.analyze(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
+                               ["id", "url", *FILTER_COLS], search_text(p), mode)
+        occ = doc_terms.join(F.broadcast(qterms), "term").where(pred)
+    else:
+        qb = qterms.withColumn("term_bucket", FT.term_bucket(F.col("term")))
+        occ = index.join(F.broadcast(qb), ["term_bucket", "term"]).where(pred)
     ranked = FT.match_and_rank(occ.select("query_id", "id", "url", "term_idx", "n_terms", "pos"), ["url"])
     return top_k_per_group(ranked, ["query_id"], [F.desc("text_rank"), F.asc("url")], k)
 
 
 def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES, use_parsed: bool = True,
-               origin_only: bool | None = None, mode: str = "simple") -> DataFrame:
+               origin_only: bool | None = None, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
     # the parsed batch is small and read by both branches: cut its lineage once
@@ -91,7 +106,7 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
     sizes = limits.batch_sizes(p, pq, F.array_distinct(FT.tokens(F.col("intent"))))
     vec = vector_topk_blocked(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, use_parsed, origin_only,
                               n_products=sizes["products"])
-    txt = text_topk(p, pq, k, pred, mode, checked=True)
+    txt = text_topk(p, pq, k, pred, mode, checked=True, index=index)
     cand = vec.select("query_id", "id", "vector_similarity", F.lit(0.0).alias("text_rank"),
                       F.lit("vector").alias("branch")).unionByName(
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",
@@ -136,9 +151,9 @@ def hybrid_score(alpha: float = fixed.ALPHA, origin_boost: float = fixed.ORIGIN_
 def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES,
                   final_k: int = fixed.SQL_CANDIDATES, alpha: float = fixed.ALPHA,
                   origin_boost: float = fixed.ORIGIN_BOOST_MAIN, min_reviews: int = fixed.MIN_REVIEWS_FOR_TRUST,
-                  mode: str = "simple") -> DataFrame:
+                  mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
     """Ranked candidates per query with ``hybrid_score`` (before de-dupe and rerank)."""
-    merged = merge_candidates(candidates(products, queries, k, mode=mode))
+    merged = merge_candidates(candidates(products, queries, k, mode=mode, index=index))
     scored = minmax_norm(merged, "vector_similarity", "vector_similarity_norm", 1.0)
     scored = minmax_norm(scored, "text_rank", "text_rank_norm", 0.0)
     scored = scored.withColumn("hybrid_score", q6(hybrid_score(alpha, origin_boost, min_reviews)))
@@ -147,12 +162,12 @@ def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CA
 
 def hybrid_search_basic(products: DataFrame, queries: DataFrame, k: int = fixed.INITIAL_SEARCH_LIMIT,
                         limit: int = 25, origin_boost: float = fixed.ORIGIN_BOOST_API,
-                        origin_only: bool = False, mode: str = "simple") -> DataFrame:
+                        origin_only: bool = False, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
     """Un-normalised ``0.5 v + 0.5 t + boost`` over candidates merged by exact url.
 
     Only the request's origin flag filters; parsed price / rating / brand do not.
     """
-    cand = candidates(products, queries, k, use_parsed=False, origin_only=origin_only, mode=mode)
+    cand = candidates(products, queries, k, use_parsed=False, origin_only=origin_only, mode=mode, index=index)
     merged = merge_candidates(cand, key="url")
     score = (0.5 * F.col("vector_similarity") + 0.5 * F.col("text_rank")
              + F.when(F.col("made_in_canada") == F.lit(True), F.lit(origin_boost)).otherwise(F.lit(0.0)))

@@ -33,10 +33,6 @@ def greedy_dedupe(ranked: DataFrame, max_per_brand_type: int = 0, rank_col: str
                   group: str = "query_id") -> DataFrame:
     """Keep a row iff no earlier kept row has its name key or url base (and the
     (brand, type) cap is not reached).  Adds ``dedupe_rank`` (1-based, in kept order)."""
-    # the fold holds one query's candidate list; the funnel bounds it (rank <= SQL_CANDIDATES)
-    biggest = ranked.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if biggest > MAX_FOLD_ROWS:
-        raise ValueError(f"greedy_dedupe: a group has {biggest} rows (> {MAX_FOLD_ROWS}); cut it to the funnel first")
     k = dedupe_keys(ranked)
     items = F.array_sort(F.collect_list(F.struct(
         F.col(rank_col).alias("r"), F.col("_name_key").alias("n"), F.col("_url_base").alias("u"),
@@ -58,6 +54,10 @@ def greedy_dedupe(ranked: DataFrame, max_per_brand_type: int = 0, rank_col: str
         )
 
     g = k.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.aggregate(items, init, step, lambda a: a["kept"]).alias("kept"))
+    # the fold holds one query's candidate list, which the funnel bounds (rank <= SQL_CANDIDATES);
+    # a larger group fails the job instead of growing one task without limit
+    g = g.withColumn("kept", F.when(F.col("_n") <= MAX_FOLD_ROWS, F.col("kept")).otherwise(
+        F.raise_error(F.lit(f"greedy_dedupe: a group exceeds {MAX_FOLD_ROWS} rows; cut it to the funnel first"))))
     g = g.select(group, F.posexplode("kept").alias("_pos", rank_col)).select(
         group, rank_col, (F.col("_pos") + 1).alias("dedupe_rank"))
     return ranked.join(g, [group, rank_col])

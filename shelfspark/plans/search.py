@@ -21,12 +21,18 @@ def _pq(spark, sf_dir):
     return adapters.stored(spark, sf_dir, "catalog"), adapters.search_queries(t)
 
 
+def _index(spark, sf_dir):
+    """The stored inverted index of the stored catalogue (built once per session)."""
+    return adapters.materialize(spark, sf_dir, "catalog_index",
+                                lambda: HY.search_index(adapters.stored(spark, sf_dir, "catalog")), FT.write_index)
+
+
 @register("h07_hybrid_search", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
  url, name, brand, vector_similarity as similarity, {tr} as text_rank, hybrid_score, made_in_canada, num_reviews
  from hybrid qualify rank <= 250""".format(tr=O.q6("text_rank"))))
 def h07(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    r = HY.hybrid_search(p, q)
+    r = HY.hybrid_search(p, q, index=_index(spark, sf_dir))
     return r.select("query_id", "rank", "url", "name", "brand", F.col("vector_similarity").alias("similarity"),
                     q6(F.col("text_rank")).alias("text_rank"), "hybrid_score", "made_in_canada", "num_reviews")
 
@@ -37,7 +43,7 @@ def h07(spark, sf_dir):
     k=fixed.INITIAL_SEARCH_LIMIT, basic=True))
 def h08(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    r = HY.hybrid_search_basic(p, q)
+    r = HY.hybrid_search_basic(p, q, index=_index(spark, sf_dir))
     return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
 
 
@@ -75,7 +81,7 @@ def h03(spark, sf_dir):
 def h04(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
     pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred())
+    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred(), index=_index(spark, sf_dir))
     return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
 
 
@@ -114,14 +120,14 @@ def d03(spark, sf_dir):
 @register("g03_union_all", search_sql("select query_id, branch, count(*) as n from cand group by query_id, branch"))
 def g03(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.candidates(p, q).groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("n"))
+    return HY.candidates(p, q, index=_index(spark, sf_dir)).groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("e12_merge_candidates", search_sql(f"""select query_id, url_base, url, name, brand, {O.q6('vector_similarity')} as vector_similarity,
  {O.q6('text_rank')} as text_rank, made_in_canada, num_reviews from merged"""))
 def e12(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    m = HY.merge_candidates(HY.candidates(p, q))
+    m = HY.merge_candidates(HY.candidates(p, q, index=_index(spark, sf_dir)))
     return m.select("query_id", "url_base", "url", "name", "brand", q6(F.col("vector_similarity")).alias("vector_similarity"),
                     q6(F.col("text_rank")).alias("text_rank"), "made_in_canada", "num_reviews")
 
@@ -130,7 +136,7 @@ def e12(spark, sf_dir):
  {O.q6('text_rank_norm')} as text_rank_norm from scored"""))
 def f01(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    m = HY.merge_candidates(HY.candidates(p, q))
+    m = HY.merge_candidates(HY.candidates(p, q, index=_index(spark, sf_dir)))
     s = HY.minmax_norm(HY.minmax_norm(m, "vector_similarity", "vector_similarity_norm", 1.0), "text_rank", "text_rank_norm", 0.0)
     return s.select("query_id", "url_base", q6(F.col("vector_similarity_norm")).alias("vector_similarity_norm"),
                     q6(F.col("text_rank_norm")).alias("text_rank_norm"))
@@ -140,7 +146,7 @@ def f01(spark, sf_dir):
  qualify row_number() over (partition by query_id order by hybrid_score desc, url) <= 10"""))
 def g01(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.hybrid_search(p, q, final_k=10).select("query_id", "url", "hybrid_score")
+    return HY.hybrid_search(p, q, final_k=10, index=_index(spark, sf_dir)).select("query_id", "url", "hybrid_score")
 
 
 # --- after H07: de-dupe, rerank, cards, funnel -------------------------------
@@ -150,7 +156,7 @@ from .search_sql import ranking_sql  # noqa: E402
 
 def _ranked(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.hybrid_search(p, q)
+    return HY.hybrid_search(p, q, index=_index(spark, sf_dir))
 
 
 def _reranked(spark, sf_dir):

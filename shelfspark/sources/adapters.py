@@ -228,8 +228,15 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _STORED: dict = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:
-    """A derived view (``catalog`` ...) materialised once as parquet and read back."""
+def _write_by_id(spark: SparkSession, df: DataFrame, path: str) -> None:
+    # enough files for every core to scan in parallel; hash-partitioned by the key
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, "id").write.parquet(path)
+
+
+def materialize(spark: SparkSession, sf_dir: str, name: str, build, write=None, rebuild: bool = False) -> DataFrame:
+    """Write ``build()`` once per (application, source folder, name) under the shared folder and
+    read it back; ``write(df, path)`` chooses the layout (default: files hashed by ``id``)."""
     import uuid
 
     from ..session import shared_dir
@@ -238,9 +245,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -
     path = None if rebuild else _STORED.get(key)
     if path is None:
         path = shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-        df = globals()[name](Tables(spark, sf_dir))
-        # enough files for every core to scan in parallel; hash-partitioned by the key
-        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        df.repartition(n, "id").write.parquet(path)
+        (write or (lambda d, p: _write_by_id(spark, d, p)))(build(), path)
         _STORED[key] = path
     return spark.read.parquet(path)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:
+    """A derived view (``catalog`` ...) materialised once as parquet and read back."""
+    return materialize(spark, sf_dir, name, lambda: globals()[name](Tables(spark, sf_dir)), rebuild=rebuild)
