@@ -72,6 +72,8 @@ VIEWS = {
  from benchmark b join part p on p.p_partkey = b.item_id join embeddings e on e.vec_id = b.item_id""".replace("BRANDS", BRANDS_SQL),
 }
 
+VIEWS_SQL_CLICKS = "clicks AS (" + VIEWS["clicks"] + ")"
+
 # views that other views need
 DEPENDS = {"catalog": ["reviews"]}
 

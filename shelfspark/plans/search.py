@@ -252,16 +252,42 @@ def h15(spark, sf_dir):
     return RK.result_cards(rr).drop("link")
 
 
-@register("j03_tracked_url")
+def _enc(x):
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
+@register("j03_tracked_url", ranking_sql(f"""select query_id, rerank_rank as ordinal, url,
+ concat('http://localhost:8000/click?', concat_ws('&', concat('url=', {_enc("coalesce(url, '')")}),
+   case when coalesce(source_site, '') <> '' then concat('source=', {_enc('source_site')}) end,
+   'source_type=product',
+   case when coalesce(left(name, 100), '') <> '' then concat('product_name=', {_enc('left(name, 100)')}) end)) as link
+ from reranked"""))
 def j03(spark, sf_dir):
-    """Click-tracking links of the result cards (form encoding: checked by golden tests)."""
+    """Click-tracking links of the result cards (form encoding; the oracle uses url_encode with + for spaces)."""
     _, rr = _reranked(spark, sf_dir)
     return RK.result_cards(rr).select("query_id", "ordinal", "url", "link")
 
 
-@register("j02_add_utm")
+_UTM_SQL = f"""with u as (select id, url, concat('https://shop.example.com', url, '?ref=') as u,
+   [{{'k': 'utm_source', 'v': 'shelfspark'}}, {{'k': 'utm_medium', 'v': 'referral'}}, {{'k': 'utm_campaign', 'v': source}},
+    {{'k': 'utm_term', 'v': left(lower(replace(product_name, ' ', '_')), 50)}}, {{'k': 'referrer', 'v': 'shelfspark'}}] as utm
+   from clicks),
+ p as (select *, list_filter(list_transform(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'),
+     lambda s: contains(s, '=')), lambda s: {{'k': url_decode(split_part(s, '=', 1)), 'v': url_decode(substr(s, instr(s, '=') + 1))}}),
+     lambda x: coalesce(x.v, '') <> '') as kv0 from u),
+ d as (select *, list_filter(kv0, lambda x, i: not list_contains(list_transform(kv0[1:i - 1], lambda y: y.k), x.k)) as kv from p),
+ a as (select *, list_concat(kv, list_filter(utm, lambda e: e.v is not null
+     and not list_contains(list_transform(kv, lambda y: y.k), e.k))) as allkv from d)
+ select id, url, concat(regexp_extract(u, '^([^?#]*)', 1),
+   case when len(allkv) > 0 then concat('?', array_to_string(list_transform(allkv,
+     lambda x: concat({_enc('x.k')}, '=', {_enc('x.v')})), '&')) else '' end,
+   case when regexp_extract(u, '#(.*)$', 1) <> '' then concat('#', regexp_extract(u, '#(.*)$', 1)) else '' end) as final_url
+ from a"""
+
+
+@register("j02_add_utm", "WITH " + O.VIEWS_SQL_CLICKS + _UTM_SQL.replace("with u as", ", u as", 1))
 def j02(spark, sf_dir):
-    """UTM-tagged landing URLs for every logged click (golden tests check the encoding)."""
+    """UTM-tagged landing URLs for every logged click: blank params dropped, present keys kept, order kept."""
     c = adapters.clicks(Tables(spark, sf_dir))
     utm = {"utm_source": "shelfspark", "utm_medium": "referral", "utm_campaign": F.col("source"),
            "utm_term": U.utm_term(F.col("product_name")), "referrer": "shelfspark"}
