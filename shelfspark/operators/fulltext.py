@@ -17,6 +17,7 @@ over that pair's occurrences, which all come from one document row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import limits
@@ -56,18 +57,35 @@ def analyze(df: DataFrame, id_cols: list[str], text: Column, mode: str = "simple
     out = df.select(*id_cols, F.posexplode(tokens(text)).alias("pos0", "term"))
     out = out.select(*id_cols, "term", (F.col("pos0") + 1).alias("pos"))
     if mode == "english":
-        out = out.where(~F.col("term").isin(ENGLISH_STOP_WORDS))
+        out = stem_terms(out.where(~F.col("term").isin(ENGLISH_STOP_WORDS)))
     elif mode != "simple":
         raise ValueError(f"unknown analyzer mode {mode!r}")
     return out
 
 
+def stem_terms(df: DataFrame, col: str = "term") -> DataFrame:
+    """Replace ``col`` by its English stem: the stemmer runs once per distinct term (Arrow
+    batches) and the stems are joined back on the term."""
+    from ..functions.stem import stem_udf
+
+    vocab = df.select(col).distinct()
+    stems = vocab.select(col, stem_udf(F.col(col)).alias("_stem"))
+    return df.join(stems, col).withColumn(col, F.col("_stem")).drop("_stem")
+
+
 def query_terms(queries: DataFrame, text: Column, mode: str = "simple", keep: list[str] | None = None) -> DataFrame:
     """Distinct terms of each query with a dense index: ``(query_id, term, term_idx, n_terms, keep...)``."""
     keep = keep or []
     toks = tokens(text)
     if mode == "english":
+        from ..functions.stem import stem_udf
+
         toks = F.filter(toks, lambda t: ~t.isin(ENGLISH_STOP_WORDS))
+        ex = queries.select("query_id", *keep, F.explode(toks).alias("term"))
+        ex = ex.select("query_id", *keep, stem_udf(F.col("term")).alias("term")).dropDuplicates(["query_id", "term"])
+        w = Window.partitionBy("query_id")
+        return ex.select("query_id", (F.dense_rank().over(w.orderBy("term")) - 1).cast("int").alias("term_idx"), "term",
+                         F.count(F.lit(1)).over(w).cast("int").alias("n_terms"), *keep)
     q = queries.select("query_id", *keep, F.array_distinct(toks).alias("terms"))
     q = q.where(F.size("terms") > 0)  # an empty text query matches nothing
     return q.select(

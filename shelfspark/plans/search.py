@@ -293,3 +293,22 @@ def j02(spark, sf_dir):
            "utm_term": U.utm_term(F.col("product_name")), "referrer": "shelfspark"}
     return c.select("id", "url", U.add_utm(F.concat(F.lit("https://shop.example.com"), F.col("url"), F.lit("?ref=")), utm)
                     .alias("final_url"))
+
+
+# --- english analyser (stop words + stemming); DuckDB here has no stemmer -> rows-only checks ---
+@register("h05_analyzer_english")
+def h05e(spark, sf_dir):
+    """Per product: tokens kept after stop words, distinct stems, last position (gaps kept)."""
+    p, _ = _pq(spark, sf_dir)
+    t = FT.analyze(p, ["id"], HY.search_text(p), mode="english")
+    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("term").alias("n_terms"),
+                               F.max("pos").alias("max_pos"))
+
+
+@register("h04_text_rank_cd_english")
+def h04e(spark, sf_dir):
+    """Cover-density rank with the english analyser on both sides (stems match inflections)."""
+    p, q = _pq(spark, sf_dir)
+    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
+    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred(), mode="english")
+    return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
