@@ -421,6 +421,9 @@ def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_d
     numbered after all earlier ones by (parent order, position).  One round of joins per
     level; each level is checkpointed (shared folder) so lineage stays short.
     """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(roots.sparkSession)
     by_base = Window.partitionBy("base")
     r = roots.select("base", F.col("sitemap_url").alias("doc"), "ord")
     r = r.withColumn("_r", F.row_number().over(Window.partitionBy("base", "doc").orderBy("ord"))).where("_r = 1")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import limits
+from ..session import ensure_checkpoint_dir
 from ..functions import fixed
 from ..functions import queryparse as QP
 from ..functions import text as TX
@@ -101,6 +102,7 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
     p = prepare_products(products)
     # the parsed batch is small and read by both branches: cut its lineage once
     # (reliable checkpoint in the shared folder) so the regex parse runs and plans once
+    ensure_checkpoint_dir(p.sparkSession)
     pq = prepare_queries(queries).checkpoint(eager=True)
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
     sizes = limits.batch_sizes(p, pq, F.array_distinct(FT.tokens(F.col("intent"))))

@@ -249,9 +249,14 @@ def a05(spark, sf_dir):
     return back.groupBy("environment", "event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _listing_fields_sql():
+    from .extract import LISTING_FIELDS_SQL
+    return LISTING_FIELDS_SQL
+
+
 @register("a02_read_json_array", with_views("""select url, name, products, manufactured_in, website, canadian_owned_text,
  cast(null as varchar) as category, cast(null as boolean) as is_shopify_store from lf""",
-                                            "listing_pages", extra={"lf": __import__("shelfspark.plans.extract", fromlist=["x"]).LISTING_FIELDS_SQL}))
+                                            "listing_pages", extra={"lf": _listing_fields_sql()}))
 def a02(spark, sf_dir):
     from .extract import _listing_fields
     lf = _listing_fields(spark, sf_dir).select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text")

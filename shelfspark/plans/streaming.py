@@ -9,6 +9,7 @@ from ..sources import adapters
 from ..sources import io as IO
 from ..sources.tables import Tables
 from ..streaming import events as S
+from .catalog import _NEW
 from .oracle import with_views
 from .registry import register
 
@@ -59,7 +60,7 @@ def k03(spark, sf_dir):
 
 @register("k04_upsert_stream", with_views("""select count(*) as n, count_if(name = upper(name)) as updated from (
  select n.url, n.name from new n union all select o.url, o.name from catalog o anti join new n on n.url = o.url)""",
-                                          "catalog", extra={"new": __import__("shelfspark.plans.catalog", fromlist=["_NEW"])._NEW}))
+                                          "catalog", extra={"new": _NEW}))
 def k04(spark, sf_dir):
     from .catalog import relanded_input
     t = Tables(spark, sf_dir)

@@ -229,9 +229,8 @@ _STORED: dict = {}
 
 
 def _write_by_id(spark: SparkSession, df: DataFrame, path: str) -> None:
-    # enough files for every core to scan in parallel; hash-partitioned by the key
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.repartition(n, "id").write.parquet(path)
+    # one file per task slot so every core scans in parallel; hash-partitioned by the key
+    df.repartition(max(1, spark.sparkContext.defaultParallelism), "id").write.parquet(path)
 
 
 def materialize(spark: SparkSession, sf_dir: str, name: str, build, write=None, rebuild: bool = False) -> DataFrame:
