@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..functions import timeutil as TU
 from ..functions import urls as U
 
 
@@ -66,7 +67,7 @@ def job_status_counts(job_events: DataFrame, at: Column) -> DataFrame:
     with the longest elapsed time among running jobs."""
     ev = job_events.where(F.col("ts") <= at)
     last = ev.groupBy("job").agg(F.max_by("state", "ts").alias("state"), F.max("ts").alias("since"))
-    elapsed = (at.cast("timestamp").cast("long") - F.col("since").cast("timestamp").cast("long"))
+    elapsed = F.timestamp_diff("SECOND", F.col("since"), at)
     return last.groupBy("state").agg(F.count(F.lit(1)).alias("jobs"),
                                      F.max(F.when(F.col("state") == "running", elapsed)).alias("max_elapsed_s"))
 
@@ -168,7 +169,7 @@ def event_phase_times(events: DataFrame, lines: DataFrame | None = None) -> Data
 
     The run starts at its first received line (``lines``) when given, else at its first event."""
     secs = lambda a, b: F.bround(b.cast("double") - a.cast("double"), 0).cast("long")
-    t = F.col("ts").cast("timestamp").cast("double")
+    t = TU.epoch_seconds("ts")
     g = events.groupBy("run_id").agg(
         F.min(t).alias("t0"),
         F.min(F.when(F.col("type").isin("tool_start", "content"), t)).alias("t_first"),
@@ -176,11 +177,11 @@ def event_phase_times(events: DataFrame, lines: DataFrame | None = None) -> Data
         F.min(F.when(F.col("type") == "tool_complete", t)).alias("t_done"),
     )
     first_content_after = events.join(g.select("run_id", "t_done"), "run_id").where(
-        (F.col("type") == "content") & (F.col("ts").cast("timestamp").cast("double") >= F.col("t_done"))).groupBy(
-        "run_id").agg(F.min(F.col("ts").cast("timestamp").cast("double")).alias("t_gen"))
+        (F.col("type") == "content") & (TU.epoch_seconds("ts") >= F.col("t_done"))).groupBy(
+        "run_id").agg(F.min(TU.epoch_seconds("ts")).alias("t_gen"))
     j = g.join(first_content_after, "run_id", "left")
     if lines is not None:
-        starts = lines.groupBy("run_id").agg(F.min(F.col("ts").cast("timestamp").cast("double")).alias("t_start"))
+        starts = lines.groupBy("run_id").agg(F.min(TU.epoch_seconds("ts")).alias("t_start"))
         j = j.join(starts, "run_id", "left").withColumn("t0", F.coalesce("t_start", "t0"))
     stack = F.expr("stack(3, 'planning', planning, 'tool', tool, 'analyzing', analyzing) as (phase, seconds)")
     return j.select("run_id", secs(F.col("t0"), F.col("t_first")).alias("planning"),

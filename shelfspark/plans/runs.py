@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timeutil as TU
 from ..operators import extract as X
 from ..operators import runs as R
 from ..sources import adapters
@@ -24,7 +25,7 @@ def report_input(t):
     o = t.orders.select(F.col("o_orderkey").alias("job"), "o_orderdate", "o_totalprice")
     j = lg.join(o, "job")
     st = R.log_stats(F.col("text"))
-    start = F.col("o_orderdate").cast("timestamp").cast("double")
+    start = TU.epoch_seconds("o_orderdate")
     return j.select("job", "exit_code", *[c.alias(k) for k, c in st.items()],
                     R.blocked_flag(F.col("text")).alias("blocked_403"), start.alias("ts_start"),
                     (start + F.col("o_totalprice") / 100).alias("ts_end"))
@@ -176,7 +177,7 @@ def event_lines_input(t):
     base = F.lit(1704067200).cast("long") + F.col("conv_id") * 3600 + F.col("turn") * 60
 
     def ts(seq):
-        return F.timestamp_seconds(base + seq * m).cast("timestamp_ntz").alias("ts")
+        return TU.ntz_from_seconds(base + seq * m).alias("ts")
 
     n = F.size(F.split("text", "\n"))
     fixed_rows = c.select(run, F.posexplode(F.array(

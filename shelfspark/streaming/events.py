@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import timeutil as TU
 from ..operators import catalog as C
 from ..sources import io as IO
 
@@ -21,8 +22,8 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> Da
 
 
 def with_event_time(df: DataFrame, ts_col: str) -> DataFrame:
-    """Watermarks need a zoned timestamp: the stored wall-clock value read in the session zone."""
-    return df.withColumn("_event_time", F.col(ts_col).cast("timestamp"))
+    """Watermarks need a zoned timestamp: the stored wall clock read as UTC (session zone ignored)."""
+    return df.withColumn("_event_time", TU.utc_instant(ts_col))
 
 
 # K01 ------------------------------------------------------------------------
@@ -47,7 +48,7 @@ def hourly_stream(pageviews: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Views per hour, each hour emitted once the watermark passes its end."""
     pv = with_event_time(pageviews, "viewed_at").withWatermark("_event_time", delay)
     g = pv.groupBy(F.window("_event_time", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("views"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "views")
+    return g.select(TU.utc_wallclock(F.col("w.start")).alias("hour"), "views")
 
 
 # K03 ------------------------------------------------------------------------
