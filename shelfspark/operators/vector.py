@@ -52,8 +52,9 @@ def cosine_pairs(products: DataFrame, queries: DataFrame, pred=None) -> DataFram
     pairs = pair_with_queries(p, q)
     if pred is not None:
         pairs = pairs.where(pred)
-    sim = dot(F.col("embedding"), F.col("query_vector")) / (F.col("_pn") * F.col("_qn"))
-    return pairs.withColumn("vector_similarity", q6(sim)).drop("_pn", "_qn")
+    # zero vectors have no direction: NULL similarity, never a division error
+    sim = F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.col("_pn") * F.col("_qn"))
+    return pairs.withColumn("vector_similarity", q6(sim)).where(F.col("vector_similarity").isNotNull()).drop("_pn", "_qn")
 
 
 def vector_topk(products: DataFrame, queries: DataFrame, k: int = 250, pred=None,
@@ -79,9 +80,10 @@ def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: in
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    p = products.where(F.col("embedding").isNotNull())
-    unit = F.transform("embedding", lambda v: v.cast("double") / norm(F.col("embedding")))
-    feats = p.withColumn("features", array_to_vector(unit))
+    p = products.where(F.col("embedding").isNotNull()).withColumn("_n", norm(F.col("embedding")))
+    p = p.where(F.col("_n") > 0)
+    unit = F.transform("embedding", lambda v: v.cast("double") / F.col("_n"))
+    feats = p.withColumn("features", array_to_vector(unit)).drop("_n")
     k = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
     model = k.fit(feats)
     return model, model.transform(feats).drop("features")
@@ -90,20 +92,17 @@ def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: in
 def vector_topk_ivf(assigned: DataFrame, model, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
     """Approximate top-k: each query probes its ``probes`` nearest lists; exact cosine
     inside them.  The query -> list pairs are an equi-join key, so only probed lists meet."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    centers = [c.tolist() for c in model.clusterCenters()]  # lists x dim: the index, bounded by ``lists``
+    centers = [c.tolist() for c in model.clusterCenters()]  # the fitted model: lists x dim, bounded by ``lists``
     cdf = assigned.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centers)], "list_id int, center array<double>")
     q = queries.withColumn("_qn", norm(F.col("query_vector")))
     qc = q.select("query_id", "query_vector", "_qn").crossJoin(F.broadcast(cdf))
-    qc = qc.withColumn("_d", dot(F.col("query_vector"), F.col("center")) / (F.col("_qn") * norm(F.col("center"))))
+    qc = qc.withColumn("_d", F.try_divide(dot(F.col("query_vector"), F.col("center")), F.col("_qn") * norm(F.col("center"))))
     probe = top_k_per_group(qc, ["query_id"], [F.desc("_d"), F.asc("list_id")], probes, "_pr").select(
         "query_id", "list_id", "query_vector", "_qn")
     pairs = assigned.withColumn("_pn", norm(F.col("embedding"))).join(probe, "list_id")
-    sim = dot(F.col("embedding"), F.col("query_vector")) / (F.col("_pn") * F.col("_qn"))
-    pairs = pairs.withColumn("vector_similarity", q6(sim))
+    sim = F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.col("_pn") * F.col("_qn"))
+    pairs = pairs.withColumn("vector_similarity", q6(sim)).where(F.col("vector_similarity").isNotNull())
     top = top_k_per_group(pairs, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)
-    _ = (array_to_vector, vector_to_array)
     return top.select("query_id", "id", "url", "vector_similarity", "rank")
 
 

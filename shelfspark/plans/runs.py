@@ -132,7 +132,7 @@ def f03(spark, sf_dir):
 
 def _storefront_listings(spark, sf_dir):
     lf = _listing_fields(spark, sf_dir)
-    n = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
+    n = F.regexp_extract("url", r"(\d+)$", 1).try_cast("long")
     body = F.when(n % 3 == 0, F.concat(F.lit('{"id":'), n.cast("string"), F.lit("}"))).otherwise(F.lit("[]"))
     d = X.storefront_detect(F.col("website"), F.lit(200), body)
     return lf.withColumn("is_shopify_store", d["is_shopify_store"]).withColumn("_n", n)

@@ -21,7 +21,7 @@ def _s(c: Column | str) -> Column:
 
 
 def _k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
 
 
 def _env(user_id: Column) -> Column:

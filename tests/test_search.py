@@ -69,3 +69,18 @@ def test_flagship_entry(spark):
     df = E.entry(spark)
     assert "hybrid_score" in df.columns
     assert df.count() > 0
+
+
+def test_zero_vector_is_skipped_not_an_error(spark):
+    from shelfspark.operators import vector as V
+
+    prods = spark.createDataFrame(
+        [(1, "u1", [0.0, 0.0], 1.0, 4.0, "b", True), (2, "u2", [1.0, 0.0], 1.0, 4.0, "b", True)],
+        "id long, url string, embedding array<float>, price_num double, average_rating double, brand_lc string, "
+        "made_in_canada boolean")
+    qs = spark.createDataFrame([(7, [1.0, 1.0], None, None, None, None, False)],
+                               "query_id long, query_vector array<float>, q_min_price double, q_max_price double, "
+                               "q_min_rating double, q_brand string, q_origin boolean")
+    blocked = [(r["id"], r["vector_similarity"]) for r in V.vector_topk_blocked(prods, qs, 5).collect()]
+    pairs = [(r["id"], r["vector_similarity"]) for r in V.vector_topk(prods, qs, 5).collect()]
+    assert blocked == pairs == [(2, pytest.approx(0.707107))]
