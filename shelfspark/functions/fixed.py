@@ -15,6 +15,9 @@ ORIGIN_KEYWORDS = ["made in canada", "canadian made", "made-in-canada", "fabriqu
 MAX_PRICE_WORDS = r"(?:under|less than|below|max|<)"
 MIN_PRICE_WORDS = r"(?:over|more than|above|min|>)"
 ORIGIN_PHRASES = r"(?:made[- ]?in[- ]?canada|canadian[- ]?made|fabriqué au canada)"
+PRICE_NUMBER = r"(\d+(?:\.\d{2})?)"
+PRICE_RANGE_JOINER = r"\s*[-–to]+\s*"
+RATING_PHRASE = r"(\d+(?:\.\d)?)\+?\s*(?:stars?|rating)"
 
 # --- fixed values: product-name normalisation -----------------------------
 SIZE_WORDS = r"(xs|s|m|l|xl|xxl|xxxl|os|one\s*size|small|medium|large|x-?large|xx-?large|size\s+\w+)"
@@ -116,3 +119,19 @@ LISTING_FIELD_PATTERNS = {
 WEBSITE_PATTERN_FULL_LINE = r"Website:\s*(.+?)(?:\n|$)"
 DESCRIPTION_SKIP_PREFIXES = ["Name:", "Products:", "Manufactured", "Website:", "Where to", "Canadian"]
 TITLE_MARKERS = ["🍁", "📈"]
+
+# --- fixed values: review markup on product pages (checked in this order) ---
+REVIEW_JSON_VAR = r"MetafieldReviews\s*=\s*(\{[^;]+\});?"
+REVIEW_VENDORS = [
+    ("Yotpo", "MetafieldYotpoRating", "MetafieldYotpoCount"),
+    ("Loox", "MetafieldLooxRating", "MetafieldLooxCount"),
+    ("Okendo", "okendoProductReviewAverageValue", "okendoProductReviewCount"),
+]
+REVIEW_RATING_VALUE = r"""\s*=\s*["']?([0-9.]+)["']?"""
+REVIEW_COUNT_VALUE = r"""\s*=\s*["']?(\d+)["']?"""
+
+# --- fixed values: job log lines ---------------------------------------------
+LOG_PRODUCTS_FOUND = r"Found (\d+) product URLs?"
+LOG_PRODUCTS_SAVED = r"Saved (\d+) products? to PostgreSQL"
+LOG_CATEGORIES_FOUND = r"Found (\d+) category pages?"
+LOG_IMAGES = r"🖼️ Extracted (\d+) image"

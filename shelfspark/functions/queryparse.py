@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from . import fixed
 from .text import col, squeeze
 
-NUM = r"(\d+(?:\.\d{2})?)"
-NUM_NC = r"\d+(?:\.\d{2})?"
+# detection patterns capture the numbers; removal patterns are the same without groups
+NUM = fixed.PRICE_NUMBER
+NUM_NC = NUM[1:-1]
 MAX_RE = fixed.MAX_PRICE_WORDS + r"\s*\$?" + NUM
 MAX_RM = fixed.MAX_PRICE_WORDS + r"\s*\$?" + NUM_NC
 MIN_RE = fixed.MIN_PRICE_WORDS + r"\s*\$?" + NUM
 MIN_RM = fixed.MIN_PRICE_WORDS + r"\s*\$?" + NUM_NC
-RANGE_RE = r"\$?" + NUM + r"\s*[-–to]+\s*\$?" + NUM
-RANGE_RM = r"\$?" + NUM_NC + r"\s*[-–to]+\s*\$?" + NUM_NC
-RATING_RE = r"(\d+(?:\.\d)?)\+?\s*(?:stars?|rating)"
-RATING_RM = r"\d+(?:\.\d)?\+?\s*(?:stars?|rating)"
+RANGE_RE = r"\$?" + NUM + fixed.PRICE_RANGE_JOINER + r"\$?" + NUM
+RANGE_RM = r"\$?" + NUM_NC + fixed.PRICE_RANGE_JOINER + r"\$?" + NUM_NC
+RATING_RE = fixed.RATING_PHRASE
+RATING_RM = fixed.RATING_PHRASE.replace(r"(\d+(?:\.\d)?)", r"\d+(?:\.\d)?", 1)
 
 CI = "(?iu)"  # Java needs the u flag for case-insensitive non-ASCII (É)
 

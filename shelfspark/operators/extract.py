@@ -349,16 +349,13 @@ def reviews(html, jsonld_rating: Column | None = None, jsonld_count: Column | No
     Each later source runs only while the rating is still NULL, and then overwrites the
     count (so a count found without a rating keeps cascading and may be replaced)."""
     h = TX.col(html)
-    meta = F.regexp_extract(h, r"MetafieldReviews\s*=\s*(\{[^;]+\});?", 1)
+    meta = F.regexp_extract(h, fixed.REVIEW_JSON_VAR, 1)
     n = F.when(meta != "", F.get_json_object(meta, "$.rating_count").try_cast("int"))
     r = F.when(meta != "", F.get_json_object(meta, "$.rating.value").try_cast("double"))
     src = F.when(n.isNotNull() | r.isNotNull(), F.lit("MetafieldReviews (Stamped)"))
-    vendors = [("Yotpo", "MetafieldYotpoRating", "MetafieldYotpoCount"),
-               ("Loox", "MetafieldLooxRating", "MetafieldLooxCount"),
-               ("Okendo", "okendoProductReviewAverageValue", "okendoProductReviewCount")]
-    for name, rk, ck in vendors:
-        vr = _num(h, rk + r"""\s*=\s*["']?([0-9.]+)["']?""", "double")
-        vc = _num(h, ck + r"""\s*=\s*["']?(\d+)["']?""", "int")
+    for name, rk, ck in fixed.REVIEW_VENDORS:
+        vr = _num(h, rk + fixed.REVIEW_RATING_VALUE, "double")
+        vc = _num(h, ck + fixed.REVIEW_COUNT_VALUE, "int")
         run = r.isNull()
         hit = vr.isNotNull() | vc.isNotNull()
         src = F.when(run & hit, F.lit(name)).otherwise(src)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as TX
 from ..functions import timeutil as TU
 from ..functions import urls as U
@@ -19,11 +20,11 @@ def _int_match(text: Column, pat: str) -> Column:
 def log_stats(text) -> dict[str, Column]:
     """Counters mined from a job's combined stderr + stdout text."""
     t = TX.col(text)
-    imgs = F.regexp_extract_all(t, F.lit(r"🖼️ Extracted (\d+) image"), F.lit(1))
+    imgs = F.regexp_extract_all(t, F.lit(fixed.LOG_IMAGES), F.lit(1))
     return {
-        "products_found": _int_match(t, r"Found (\d+) product URLs?"),
-        "products_saved": _int_match(t, r"Saved (\d+) products? to PostgreSQL"),
-        "categories_found": _int_match(t, r"Found (\d+) category pages?"),
+        "products_found": _int_match(t, fixed.LOG_PRODUCTS_FOUND),
+        "products_saved": _int_match(t, fixed.LOG_PRODUCTS_SAVED),
+        "categories_found": _int_match(t, fixed.LOG_CATEGORIES_FOUND),
         "images_extracted": F.when(F.size(imgs) > 0, F.aggregate(imgs, F.lit(0).cast("long"),
                                                                lambda a, x: a + x.try_cast("long"))),
     }
