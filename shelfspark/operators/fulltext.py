@@ -143,7 +143,7 @@ def match_and_rank(occ: DataFrame, keep_cols: list[str] | None = None) -> DataFr
     """
     keep_cols = keep_cols or []
     g = occ.groupBy("query_id", "id", *keep_cols).agg(
-        F.first("n_terms").alias("n_terms"),
+        F.max("n_terms").alias("n_terms"),
         F.count_distinct("term_idx").alias("n_found"),
         F.array_sort(F.collect_list(F.struct("pos", "term_idx"))).alias("occ"),
     ).where(F.col("n_found") == F.col("n_terms"))
@@ -157,7 +157,7 @@ def text_match(docs: DataFrame, queries: DataFrame, doc_text: Column, query_text
     qt = query_terms(queries, query_text, mode)
     occ = matched_occurrences(dt, qt)
     return occ.groupBy("query_id", "id").agg(
-        F.first("n_terms").alias("n_terms"), F.count_distinct("term_idx").alias("n_found")
+        F.max("n_terms").alias("n_terms"), F.count_distinct("term_idx").alias("n_found")
     ).where(F.col("n_found") == F.col("n_terms")).select("query_id", "id")
 
 

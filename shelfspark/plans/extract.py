@@ -309,11 +309,13 @@ def b30(spark, sf_dir):
 
 
 def robots_input(t):
-    p = t.pages
-    base = X.origin(F.col("url"))
+    """One robots file per site, declaring the sitemap of the site's first page (smallest id)."""
+    p = t.pages.select(X.origin(F.col("url")).alias("base"), "page_id").groupBy("base").agg(
+        F.min("page_id").alias("page_id"))
+    base = F.col("base")
     body = F.concat(F.lit("User-agent: *\nDisallow: /cart\nSITEMAP: "), base, F.lit("/sm-"), F.col("page_id").cast("string"),
                     F.lit(".xml\nsitemap: "), base, F.lit("/sitemap.xml\n"))
-    return p.select(base.alias("base"), body.alias("body")).dropDuplicates(["base"])
+    return p.select("base", body.alias("body"))
 
 
 @register("b01_robots_sitemaps", """select base, ord, sitemap_url from (

@@ -73,7 +73,7 @@ def h03(spark, sf_dir):
     doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
     qterms = FT.query_terms(pq, F.col("intent"), keep=[c for c in pq.columns if c.startswith("q_")])
     occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
-    return occ.groupBy("query_id", "id").agg(F.first("n_terms").alias("n"), F.count_distinct("term_idx").alias("f")).where(
+    return occ.groupBy("query_id", "id").agg(F.max("n_terms").alias("n"), F.count_distinct("term_idx").alias("f")).where(
         "n = f").select("query_id", "id")
 
 
