@@ -84,6 +84,10 @@ def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "si
     params = [c for c in pq.columns if c.startswith("q_")]
     qterms = FT.query_terms(pq, F.col("intent"), mode, keep=params)
     if not checked:
+        # the batch's terms are small: materialise them once (reliable checkpoint), then size
+        # check, broadcast and partition pruning all read that copy
+        ensure_checkpoint_dir(pq.sparkSession)
+        qterms = qterms.checkpoint(eager=True)
         limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
     if index is None:
         doc_terms = FT.analyze(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),

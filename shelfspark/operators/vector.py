@@ -204,6 +204,10 @@ def vector_topk_blocked(products: DataFrame, queries: DataFrame, k: int = 250, u
     has already counted the batch (``limits.batch_sizes``)."""
     p = products.where(F.col("embedding").isNotNull())
     if n_products is None:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(products.sparkSession)
+        queries = queries.checkpoint(eager=True)  # small batch: computed once, read by check and kernel
         limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
         n_products = p.count()
     n = n_products
