@@ -112,9 +112,12 @@ def running_prefix(df: DataFrame, order: str, values: dict[str, Column]) -> Data
     Adds ``seq`` (1-based global position) and one running column per ``values`` key.
     """
     n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    parts = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    # a row hash breaks ties, so range boundaries can split a run of equal keys (a hot value
+    # does not end up whole in one partition); order among equal keys is arbitrary anyway
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    parts = df.withColumn("_tie", tie).repartitionByRange(n, order, "_tie").withColumn("_pid", F.spark_partition_id())
     vals = {k: v.cast("long") for k, v in values.items()}
-    w_local = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_local = Window.partitionBy("_pid").orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = parts.select("*", F.count(F.lit(1)).over(w_local).alias("_seq"),
                          *[F.sum(v).over(w_local).alias("_l_" + k) for k, v in vals.items()])
     totals = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias("_t_" + k) for k, v in vals.items()])

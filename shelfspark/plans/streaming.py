@@ -66,9 +66,10 @@ def k04(spark, sf_dir):
     t = Tables(spark, sf_dir)
     old = adapters.catalog(t).select("url", "name", "description", "source_site")
     landed = IO.scratch(spark, "k04-landed")
-    relanded_input(t).write.parquet(landed)
-    upd = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    sink = S.SnapshotUpsert(spark, IO.scratch(spark, "k04-table"), old, preserve=["source_site"], now="2024-02-01 00:00:00")
+    relanded_input(t).repartition(4, "url").write.parquet(landed)  # four files -> four micro-batches
+    upd = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    sink = S.ChangeLogUpsert(spark, IO.scratch(spark, "k04-table"), old, preserve=["source_site"],
+                             now="2024-02-01 00:00:00")
     S.run_to_end(S.upsert_stream(upd, sink, IO.scratch(spark, "k04-ckpt")))
-    final = spark.read.parquet(sink.current)
+    final = spark.read.parquet(sink.compact())
     return final.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == F.upper("name")).alias("updated"))

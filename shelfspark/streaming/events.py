@@ -59,22 +59,48 @@ def dedupe_stream(events: DataFrame, key: str, ts_col: str, delay: str = "1 day"
 
 
 # K04 ------------------------------------------------------------------------
-class SnapshotUpsert:
-    """``foreachBatch`` sink that upserts each micro-batch into the current snapshot
-    and writes a new snapshot folder (the pointer is the latest folder name)."""
+class ChangeLogUpsert:
+    """``foreachBatch`` sink for keyed upserts whose cost per micro-batch is the batch,
+    not the table.
+
+    Each micro-batch is appended to a change log, one folder per epoch (a replayed epoch
+    overwrites its own folder, so replays are idempotent).  The table is the base snapshot
+    merged with the log on read (``upsert_by_key``: latest row per key by epoch, then by
+    ``seq_col`` within a batch); ``compact()`` folds the log into a new snapshot folder.
+    """
 
     def __init__(self, spark: SparkSession, base: str, initial: DataFrame, key: str = "url",
-                 preserve: list[str] | None = None, now: str | None = None):
-        self.spark, self.base, self.key, self.preserve, self.now = spark, base, key, preserve or [], now
-        self.current = IO.write_snapshot(initial, base)
+                 seq_col: str | None = None, preserve: list[str] | None = None, now: str | None = None):
+        self.spark, self.base, self.key, self.seq_col = spark, base.rstrip("/"), key, seq_col
+        self.preserve, self.now = preserve or [], now
+        self.snapshot = IO.write_snapshot(initial, self.base)
+        self.log = f"{self.base}/changes-{self.snapshot.rsplit('-', 1)[-1]}"
+        self.epochs = 0
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        old = self.spark.read.parquet(self.current)
-        merged = C.upsert_by_key(old, batch, key=self.key, preserve=self.preserve, now=self.now)
-        self.current = IO.write_snapshot(merged, self.base)
-
-
-def upsert_stream(updates: DataFrame, sink: SnapshotUpsert, checkpoint: str):
+        seq = F.col(self.seq_col).cast("long") if self.seq_col else F.lit(0).cast("long")
+        (batch.withColumn("_in_batch", seq).write.mode("overwrite")
+         .parquet(f"{self.log}/epoch={int(epoch_id)}"))
+        self.epochs += 1
+
+    def table(self) -> DataFrame:
+        """Merge on read: the snapshot with every logged change applied in order."""
+        old = self.spark.read.parquet(self.snapshot)
+        if self.epochs == 0:
+            return old
+        changes = self.spark.read.parquet(self.log)
+        changes = changes.withColumn("_order", F.col("epoch").cast("long") * (1 << 32) + F.col("_in_batch"))
+        return C.upsert_by_key(old, changes, key=self.key, seq="_order", preserve=self.preserve, now=self.now)
+
+    def compact(self) -> str:
+        """Write the merged table as the new snapshot and start an empty log."""
+        self.snapshot = IO.write_snapshot(self.table(), self.base)
+        self.log = f"{self.base}/changes-{self.snapshot.rsplit('-', 1)[-1]}"
+        self.epochs = 0
+        return self.snapshot
+
+
+def upsert_stream(updates: DataFrame, sink: ChangeLogUpsert, checkpoint: str):
     return (updates.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
