@@ -207,8 +207,10 @@ def secondary_source(df: DataFrame, side: DataFrame, key: str, bound: int | None
 
 
 def ordered_distinct(df: DataFrame, group: list[str], key: str, order: str) -> DataFrame:
-    """First occurrence of each ``key`` within ``group`` (by ``order``); order kept."""
-    from pyspark.sql import Window
+    """First occurrence of each ``key`` within ``group`` (by ``order``); order kept.
 
-    w = Window.partitionBy(*group, key).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    The first row is ``min(struct(order, rest...))`` per (group, key): an aggregate that is
+    combined map-side, so a key repeated in a third of the rows does not fill one task."""
+    rest = [c for c in df.columns if c not in (*group, key, order)]
+    first = df.groupBy(*group, key).agg(F.min(F.struct(order, *rest)).alias("_f"))
+    return first.select(*group, key, *[F.col(f"_f.{c}").alias(c) for c in (order, *rest)]).select(*df.columns)

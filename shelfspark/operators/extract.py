@@ -92,9 +92,10 @@ def product_links(links: DataFrame, product_regex: str, url_regex: str | None =
     out = links.where(F.col("href").rlike(product_regex)).select("url", "pos", h.alias("product_url"))
     if url_regex:
         out = out.where(F.col("product_url").rlike(url_regex))
-    w = Window.partitionBy("product_url").orderBy("url", "pos")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "product_url", F.col("url").alias("first_category"))
+    # first occurrence as an aggregate (min of (page, position)): combined map-side, so a link
+    # shown on every page does not gather all its rows in one task
+    return out.groupBy("product_url").agg(F.min(F.struct("url", "pos")).alias("_f")).select(
+        "product_url", F.col("_f.url").alias("first_category"))
 
 
 # B08 / B09 ------------------------------------------------------------------
@@ -115,9 +116,8 @@ def listing_links(links: DataFrame, home_links: DataFrame | None = None) -> Data
     h = F.col("href")
     ok = (origin(h) == origin(F.col("url"))) & ~h.contains("/category/") & ~h.contains("/tag/") & ~h.contains("#")
     cand = links.where(ok)
-    w = Window.partitionBy("href").orderBy("url", "pos")
-    first = cand.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        F.col("href").alias("listing_url"), F.col("url").alias("category_page"))
+    first = cand.groupBy("href").agg(F.min(F.struct("url", "pos")).alias("_f")).select(
+        F.col("href").alias("listing_url"), F.col("_f.url").alias("category_page"))
     if home_links is not None:
         extra = home_links.where(ok).select(F.col("href").alias("listing_url")).distinct().join(
             first, "listing_url", "left_anti").withColumn("category_page", F.lit(None).cast("string"))
@@ -324,8 +324,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     fb = robots.select("base", F.posexplode(F.array(*[F.lit(p) for p in FALLBACK_SITEMAPS])).alias("j", "p")).select(
         "base", (F.lit(1 << 40) + F.col("j")).alias("ord"), F.concat(base, F.col("p")).alias("sitemap_url"))
     allu = declared.unionByName(fb)
-    w = Window.partitionBy("base", "sitemap_url").orderBy("ord")
-    first = allu.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    first = allu.groupBy("base", "sitemap_url").agg(F.min("ord").alias("ord"))
     return first.select("base", F.dense_rank().over(Window.partitionBy("base").orderBy("ord")).alias("ord"), "sitemap_url")
 
 
@@ -422,8 +421,7 @@ def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_d
 
     ensure_checkpoint_dir(roots.sparkSession)
     by_base = Window.partitionBy("base")
-    r = roots.select("base", F.col("sitemap_url").alias("doc"), "ord")
-    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("base", "doc").orderBy("ord"))).where("_r = 1")
+    r = roots.groupBy("base", F.col("sitemap_url").alias("doc")).agg(F.min("ord").alias("ord"))
     seen = r.select("base", "doc", F.row_number().over(by_base.orderBy("ord")).alias("order")).checkpoint()
     nested = docs.where(F.col("kind") == "nested").select(F.col("url").alias("doc"), "pos", F.col("loc").alias("child"))
     frontier = seen
@@ -431,8 +429,9 @@ def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_d
         grow = frontier.where(F.col("order") <= max_docs).join(nested, "doc").select(
             "base", F.col("child").alias("doc"), F.col("order").alias("parent_order"), "pos")
         grow = grow.join(seen.select("base", "doc"), ["base", "doc"], "left_anti")
-        w = Window.partitionBy("base", "doc").orderBy("parent_order", "pos")
-        grow = grow.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        # first discovery wins: an aggregate, combined map-side
+        grow = grow.groupBy("base", "doc").agg(F.min(F.struct("parent_order", "pos")).alias("_f")).select(
+            "base", "doc", F.col("_f.parent_order").alias("parent_order"), F.col("_f.pos").alias("pos"))
         offset = seen.groupBy("base").agg(F.max("order").alias("_top"))
         new = grow.join(offset, "base").select(
             "base", "doc", (F.col("_top") + F.dense_rank().over(by_base.orderBy("parent_order", "pos"))).alias("order"))
