@@ -74,11 +74,36 @@ def job_status_counts(job_events: DataFrame, at: Column) -> DataFrame:
 
 
 # F02 ------------------------------------------------------------------------
+def lag_across_ranges(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
+    """``lag(col) over (partition by key order by order)`` for each of ``cols`` (as ``prev_<col>``),
+    without gathering a key's rows in one task: rows are range-partitioned by (key, order), so a
+    long key spans several partitions; lag runs inside each partition, and the first row of a
+    partition takes the last row of the previous partition (a one-row-per-partition table)
+    when the key continues across the boundary."""
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    parts = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(key, order)
+    local = parts.select("*", F.row_number().over(w).alias("_i"),
+                         F.lag(key).over(w).alias("_prev_key"), *[F.lag(c).over(w).alias("_lag_" + c) for c in cols])
+    last = parts.groupBy("_pid").agg(F.max_by(F.struct(key, *cols), F.struct(key, order)).alias("_row"))
+    # predecessor of each non-empty partition = last row of the previous non-empty one
+    # (a table with one row per partition, so the global window here is tiny)
+    last = last.select("_pid", F.lag("_row").over(Window.orderBy("_pid")).alias("_last"))
+    j = local.join(F.broadcast(last), "_pid", "left")
+    first = F.col("_i") == 1
+    same = F.when(first, F.col(f"_last.{key}") == F.col(key)).otherwise(F.col("_prev_key") == F.col(key))
+    out = j
+    for c in cols:
+        prev = F.when(first, F.col(f"_last.{c}")).otherwise(F.col("_lag_" + c))
+        out = out.withColumn("prev_" + c, F.when(F.coalesce(same, F.lit(False)), prev))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def prev_user_query(conv: DataFrame) -> DataFrame:
     """for each assistant message, the preceding message when it is a user message."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    prev_role, prev_text = F.lag("role").over(w), F.lag("text").over(w)
-    out = conv.select("conv_id", "turn", "role", F.when(prev_role == "user", prev_text).alias("query"))
+    lagged = lag_across_ranges(conv.select("conv_id", "turn", "role", "text"), "conv_id", "turn", ["role", "text"])
+    out = lagged.select("conv_id", "turn", "role",
+                        F.when(F.col("prev_role") == "user", F.col("prev_text")).alias("query"))
     return out.where(F.col("role") == "assistant").drop("role")
 
 

@@ -98,3 +98,25 @@ def test_running_prefix_matches_global(spark):
     out = R.running_stats(df, "f", order="k", every=100).orderBy("seq").collect()
     assert [r["seq"] for r in out] == list(range(100, 1001, 100))
     assert [r["yes"] for r in out] == [len([i for i in range(s) if i % 3 == 0]) for s in range(100, 1001, 100)]
+
+
+def test_lag_across_ranges_matches_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{c}-{t}") for c in range(3) for t in range(400 if c == 1 else 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(tuple(r) for r in R.lag_across_ranges(df, "conv_id", "turn", ["text"]).select(
+        "conv_id", "turn", "prev_text").collect())
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    want = sorted(tuple(r) for r in df.select("conv_id", "turn", F.lag("text").over(w)).collect())
+    assert got == want
+
+
+def test_lag_across_ranges_with_empty_partitions(spark):
+    from pyspark.sql import Window
+
+    # far fewer rows than range partitions: some partitions are empty
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "conv_id long, turn long, text string")
+    got = sorted(tuple(r) for r in R.lag_across_ranges(df, "conv_id", "turn", ["text"]).select(
+        "conv_id", "turn", "prev_text").collect())
+    assert got == [(1, 1, None), (1, 2, "a"), (1, 3, "b")]
