@@ -118,6 +118,12 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",
                    F.lit("text").alias("branch")))
     # at most 2k rows per query: a bounded side, broadcast against the product scan
+    if "id_bucket" in p.columns:
+        # stored catalogue in id-bucket folders: the broadcast candidates prune the scan
+        from ..sources.adapters import id_bucket
+
+        cand = cand.withColumn("id_bucket", id_bucket("id"))
+        return p.select("id_bucket", "id", *DISPLAY).join(F.broadcast(cand), ["id_bucket", "id"]).drop("id_bucket")
     disp = p.select("id", *DISPLAY)
     return disp.join(F.broadcast(cand), "id")
 

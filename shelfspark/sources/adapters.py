@@ -249,6 +249,20 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build, write=None,
     return spark.read.parquet(path)
 
 
+ID_BUCKETS = 64
+
+
+def id_bucket(c) -> Column:
+    return F.pmod(F.xxhash64(F.col(c) if isinstance(c, str) else c), F.lit(ID_BUCKETS)).cast("int")
+
+
+def write_by_id_bucket(df: DataFrame, path: str) -> None:
+    """Folders by a hash bucket of ``id``: a join that names the bucket of its (few) keys
+    reads only those folders (dynamic partition pruning), a keyed lookup without an index."""
+    df.withColumn("id_bucket", id_bucket("id")).repartition("id_bucket").write.partitionBy("id_bucket").parquet(path)
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:
-    """A derived view (``catalog`` ...) materialised once as parquet and read back."""
-    return materialize(spark, sf_dir, name, lambda: globals()[name](Tables(spark, sf_dir)), rebuild=rebuild)
+    """A derived view (``catalog`` ...) materialised once as parquet (folders by id bucket) and read back."""
+    return materialize(spark, sf_dir, name, lambda: globals()[name](Tables(spark, sf_dir)), write_by_id_bucket,
+                       rebuild=rebuild)
