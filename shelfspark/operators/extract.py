@@ -363,9 +363,8 @@ def reviews(html, jsonld_rating: Column | None = None, jsonld_count: Column | No
     if jsonld_rating is not None:
         run = r.isNull()
         jr, jc = jsonld_rating.try_cast("double"), jsonld_count.try_cast("int")
-        src = F.when(run & (F.coalesce(jr, F.lit(0.0)) != 0 | F.coalesce(jc, F.lit(0)) != 0), F.lit("Schema.org AggregateRating")) \
-            .otherwise(src) if False else F.when(run & ((F.coalesce(jr, F.lit(0.0)) != 0) | (F.coalesce(jc, F.lit(0)) != 0)),
-                                                   F.lit("Schema.org AggregateRating")).otherwise(src)
+        found = (F.coalesce(jr, F.lit(0.0)) != 0) | (F.coalesce(jc, F.lit(0)) != 0)
+        src = F.when(run & found, F.lit("Schema.org AggregateRating")).otherwise(src)
         n = F.when(run & jc.isNotNull(), jc).otherwise(n)
         r = F.when(run & jr.isNotNull(), jr).otherwise(r)
     return {"num_reviews": n, "average_rating": r, "source": src}
