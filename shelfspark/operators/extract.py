@@ -328,13 +328,36 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return first.select("base", F.dense_rank().over(Window.partitionBy("base").orderBy("ord")).alias("ord"), "sitemap_url")
 
 
+LOC_RE = r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"
+WELL_FORMED_SITEMAP = (r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(<!--.*?-->\s*)*<(?:[A-Za-z0-9_]+:)?(urlset|sitemapindex)\b[^>]*>"
+                       r".*</(?:[A-Za-z0-9_]+:)?(urlset|sitemapindex)>\s*$")
+BARE_AMPERSAND = r"&(?![A-Za-z]+;|#[0-9]+;|#x[0-9A-Fa-f]+;)"
+
+
+def sitemap_entries(xml) -> Column:
+    """B02 kernel as an expression: ``array<struct<kind, loc>>`` of one landed sitemap.
+
+    A well-formed urlset lists pages, a sitemapindex lists nested sitemaps.  Anything that is
+    not a well-formed sitemap document (checked: sitemap root enclosing the text, no bare '&')
+    falls back to its absolute links -- '/'-terminated ones are nested sitemaps, others pages --
+    followed by any ``<loc>`` entries as pages."""
+    x = TX.col(xml)
+    locs = F.regexp_extract_all(x, F.lit(LOC_RE), F.lit(1))
+    ok = x.rlike(WELL_FORMED_SITEMAP) & ~x.rlike(BARE_AMPERSAND)
+    kind = F.when(x.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
+    parsed = F.transform(locs, lambda l: F.struct(kind.alias("kind"), l.alias("loc")))
+    hrefs = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r'(?i)<a\s[^>]*href\s*=\s*"([^"]*)"'), F.lit(1)),
+                                 lambda h: strip_ws(h)), lambda h: (h != "") & h.startswith("http"))
+    from_links = F.transform(hrefs, lambda h: F.struct(
+        F.when(h.endswith("/"), F.lit("nested")).otherwise(F.lit("url")).alias("kind"), h.alias("loc")))
+    from_locs = F.transform(locs, lambda l: F.struct(F.lit("url").alias("kind"), l.alias("loc")))
+    return F.when(ok, parsed).otherwise(F.concat(from_links, from_locs))
+
+
 def sitemap_parse(sitemaps: DataFrame) -> DataFrame:
-    """``(url, xml)`` -> ``(url, kind, loc)``: urlset locs are pages, sitemapindex locs
-    are nested sitemaps."""
-    xml = F.col("xml")
-    locs = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"), F.lit(1))
-    kind = F.when(xml.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
-    return sitemaps.select("url", kind.alias("kind"), F.explode(locs).alias("loc"))
+    """``(url, xml)`` -> ``(url, kind, loc)`` (see ``sitemap_entries``)."""
+    e = sitemaps.select("url", F.explode(sitemap_entries(F.col("xml"))).alias("e"))
+    return e.select("url", F.col("e.kind").alias("kind"), F.col("e.loc").alias("loc"))
 
 
 # B17 ------------------------------------------------------------------------
@@ -400,11 +423,9 @@ def content_block(html) -> dict[str, Column]:
 
 # B03 ------------------------------------------------------------------------
 def sitemap_docs(sitemaps: DataFrame) -> DataFrame:
-    """B02 with positions: ``(url, kind, pos, loc)`` for every loc of every landed sitemap."""
-    xml = F.col("xml")
-    locs = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"), F.lit(1))
-    kind = F.when(xml.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
-    return sitemaps.select("url", kind.alias("kind"), F.posexplode(locs).alias("pos", "loc"))
+    """B02 with positions: ``(url, kind, pos, loc)`` for every entry of every landed sitemap."""
+    e = sitemaps.select("url", F.posexplode(sitemap_entries(F.col("xml"))).alias("pos", "e"))
+    return e.select("url", F.col("e.kind").alias("kind"), "pos", F.col("e.loc").alias("loc"))
 
 
 def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_docs: int = 50) -> DataFrame:

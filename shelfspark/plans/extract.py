@@ -331,9 +331,14 @@ def b01(spark, sf_dir):
 
 
 def sitemaps_input(t):
+    """Landed sitemaps, one per page: a sitemapindex (odd ids), a urlset (even ids), and for ids
+    ending in 4 or 9 a broken HTML page (unclosed tags, bare '&') with absolute links and a loc."""
     p = t.pages
     idx = F.col("page_id") % 2 == 1
-    xml = F.when(idx, F.concat(F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    broken = F.concat(F.lit("<html><body><p>Tom & Jerry<br><a href=\""), X.origin(F.col("url")), F.lit("/cat/\">c</a>"),
+                      F.lit("<a href=\" "), X.origin(F.col("url")), F.lit("/p/"), F.col("page_id").cast("string"),
+                      F.lit(" \">p</a><a href=\"/rel\">r</a><loc>"), F.col("url"), F.lit("</loc></body>"))
+    xml = F.when(F.col("page_id") % 5 == 4, broken).when(idx, F.concat(F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
                                      '<sitemap><loc>'), X.origin(F.col("url")), F.lit("/sm-"), F.col("page_id").cast("string"),
                                F.lit(".xml</loc></sitemap></sitemapindex>"))).otherwise(
         F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.col("url"),
@@ -344,10 +349,16 @@ def sitemaps_input(t):
 
 @register("b02_sitemap_parse", """select concat('sm-', cast(page_id as varchar)) as url, 'nested' as kind,
  concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/sm-', cast(page_id as varchar), '.xml') as loc
- from pages where page_id % 2 = 1
- union all select concat('sm-', cast(page_id as varchar)), 'url', url from pages where page_id % 2 = 0
+ from pages where page_id % 2 = 1 and page_id % 5 <> 4
+ union all select concat('sm-', cast(page_id as varchar)), 'url', url from pages where page_id % 2 = 0 and page_id % 5 <> 4
  union all select concat('sm-', cast(page_id as varchar)), 'url',
- concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/p/', cast(page_id as varchar)) from pages where page_id % 2 = 0""")
+ concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/p/', cast(page_id as varchar)) from pages
+ where page_id % 2 = 0 and page_id % 5 <> 4
+ union all select concat('sm-', cast(page_id as varchar)), 'nested',
+ concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/cat/') from pages where page_id % 5 = 4
+ union all select concat('sm-', cast(page_id as varchar)), 'url',
+ concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/p/', cast(page_id as varchar)) from pages where page_id % 5 = 4
+ union all select concat('sm-', cast(page_id as varchar)), 'url', url from pages where page_id % 5 = 4""")
 def b02(spark, sf_dir):
     return X.sitemap_parse(sitemaps_input(_t(spark, sf_dir)))
 

@@ -120,3 +120,16 @@ def test_lag_across_ranges_with_empty_partitions(spark):
     got = sorted(tuple(r) for r in R.lag_across_ranges(df, "conv_id", "turn", ["text"]).select(
         "conv_id", "turn", "prev_text").collect())
     assert got == [(1, 1, None), (1, 2, "a"), (1, 3, "b")]
+
+
+def test_sitemap_parse_fallback(spark):
+    docs = spark.createDataFrame([
+        ("a", '<?xml version="1.0"?><sm:sitemapindex xmlns:sm="x"><sm:sitemap><sm:loc> https://h/s1.xml </sm:loc>'
+              '</sm:sitemap></sm:sitemapindex>'),
+        ("b", '<urlset><url><loc>https://h/p/1</loc></url></urlset>'),
+        ("c", '<html><body>A & B<br><a href="https://h/cat/">c</a><a href=" https://h/p/2 ">p</a>'
+              '<a href="/rel">r</a><loc>https://h/p/3</loc></body>'),
+    ], "url string, xml string")
+    got = sorted(tuple(r) for r in X.sitemap_parse(docs).collect())
+    assert got == [("a", "nested", "https://h/s1.xml"), ("b", "url", "https://h/p/1"),
+                   ("c", "nested", "https://h/cat/"), ("c", "url", "https://h/p/2"), ("c", "url", "https://h/p/3")]
