@@ -69,3 +69,30 @@ def test_changelog_upsert_later_epoch_wins(spark, tmp_path):
     assert got == [("u1", "y", "s1"), ("u2", "b", "s2"), ("u3", "c", "s3")]
     snap = sink.compact()
     assert sorted(tuple(r) for r in spark.read.parquet(snap).collect()) == got
+
+
+@pytest.mark.parametrize("name", ["l03_job_outcome", "e16_job_status_counts", "f05_event_phase_times", "e07_hourly_views"])
+def test_session_time_zone_does_not_change_results(spark, name):
+    fn = E.queries()[name]
+    utc = sorted(map(tuple, fn(spark, SF).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        other = sorted(map(tuple, fn(spark, SF).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other
+
+
+def test_upsert_hot_key_combines_map_side(spark):
+    old = spark.range(0, 300).select(F.format_string("u%d", "id").alias("url"), F.lit("old").alias("name"),
+                                     F.lit(0).cast("long").alias("seq"))
+    # a third of the new batch is one key, with increasing sequence numbers
+    hot = spark.range(0, 100).select(F.lit("u1").alias("url"), F.format_string("v%03d", "id").alias("name"),
+                                     F.col("id").alias("seq"))
+    cold = spark.range(100, 300).select(F.format_string("u%d", "id").alias("url"), F.lit("new").alias("name"),
+                                        F.col("id").alias("seq"))
+    merged = C.upsert_by_key(old.drop("seq"), hot.unionByName(cold).repartition(8), seq="seq")
+    rows = dict((r["url"], r["name"]) for r in merged.collect())
+    assert rows["u1"] == "v099" and rows["u0"] == "old" and rows["u150"] == "new" and len(rows) == 300
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan  # combined before the shuffle on url
