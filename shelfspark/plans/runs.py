@@ -97,14 +97,17 @@ def f02(spark, sf_dir):
 
 
 def _listings(spark, sf_dir):
-    lf = _listing_fields(spark, sf_dir)
+    """Listings with the three three-valued flags: ownership (B22), origin (B27), storefront."""
+    lst = _storefront_listings(spark, sf_dir)
     o = X.origin_from_location(F.col("manufactured_in"))
-    return lf.withColumn("made_in_canada", o["made_in_canada"])
+    return lst.withColumn("made_in_canada", o["made_in_canada"])
 
 
 _LST = f"""select *, case when lower(trim(canadian_owned_text)) in ('yes', 'true', '✓', '✔') then true
  when lower(trim(canadian_owned_text)) in ('no', 'false', '✗', '✘') then false end as canadian_owned,
- {_OF} as made_in_canada from lf"""
+ {_OF} as made_in_canada,
+ case when coalesce(website, '') = '' then null else cast(regexp_extract(url, '([0-9]+)$', 1) as bigint) % 3 = 0 end as is_shopify_store
+ from lf"""
 
 
 def _pct(x, total):
@@ -114,10 +117,20 @@ def _pct(x, total):
 @register("e13_origin_stats", O.with_views(" union all ".join(
     f"""select '{f}' as flag, count_if({f}) as yes, count_if(not {f}) as no, count_if({f} is null) as unknown,
  {_pct(f'count_if({f})', 'count(*)')} as yes_pct, {_pct(f'count_if(not {f})', 'count(*)')} as no_pct,
- {_pct(f'count_if({f} is null)', 'count(*)')} as unknown_pct from lst""" for f in ("canadian_owned", "made_in_canada")),
+ {_pct(f'count_if({f} is null)', 'count(*)')} as unknown_pct from lst""" for f in ("canadian_owned", "made_in_canada", "is_shopify_store")),
     "listing_pages", extra={"lf": LISTING_FIELDS_SQL, "lst": _LST}))
 def e13(spark, sf_dir):
-    return R.origin_stats(_listings(spark, sf_dir), ["canadian_owned", "made_in_canada"])
+    return R.origin_stats(_listings(spark, sf_dir), ["canadian_owned", "made_in_canada", "is_shopify_store"])
+
+
+@register("e13_extraction_methods", O.with_views("""select case when found < 3 or coalesce(website, '') = '' then 'second_source'
+ else 'regex' end as method, count(*) as n from lf group by 1""", "listing_pages", extra={"lf": LISTING_FIELDS_SQL}))
+def e13m(spark, sf_dir):
+    """How listings were extracted: page rules alone, or rules plus a second source."""
+    lf = _listing_fields(spark, sf_dir)
+    need = X.needs_enrichment(F.col("found"), F.col("website"))["needs_enrichment"]
+    return lf.groupBy(F.when(need, F.lit("second_source")).otherwise(F.lit("regex")).alias("method")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @register("f03_running_stats", O.with_views(f"""select seq, yes, no, unknown, {_pct('yes', 'seq')} as yes_pct from (
