@@ -312,3 +312,15 @@ def h04e(spark, sf_dir):
     pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
     r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred(), mode="english")
     return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
+
+
+@register("h08_hybrid_search_basic_origin_only", search_sql("""select query_id,
+ row_number() over (partition by query_id order by score desc, url) as rank, url, name, made_in_canada, score
+ from (select *, {s} as score from merged) qualify rank <= 25""".format(
+    s=O.q6("0.5 * vector_similarity + 0.5 * text_rank + case when made_in_canada = true then 0.3 else 0.0 end")),
+    k=fixed.INITIAL_SEARCH_LIMIT, basic=True, origin_only=True))
+def h08o(spark, sf_dir):
+    """H08 with the request's origin-only flag: both branches keep origin-flagged products only."""
+    p, q = _pq(spark, sf_dir)
+    r = HY.hybrid_search_basic(p, q, origin_only=True, index=_index(spark, sf_dir))
+    return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
