@@ -139,9 +139,12 @@ def result_cards(ranked: DataFrame, rank_col: str = "rerank_rank", base_url: str
                    ).otherwise(F.lit("Price N/A"))
     link = U.tracked_url(F.col("url"), base_url=base_url, enabled=tracking, source=F.col("source_site"),
                          source_type="product", product_name=F.col("name"))
+    image = (F.get_json_object(F.col("images_json"), "$[0]") if "images_json" in ranked.columns
+             else F.try_element_at(F.col("images"), F.lit(1)) if "images" in ranked.columns
+             else F.lit(None).cast("string"))
     return ranked.select(
         "query_id", F.col(rank_col).alias("ordinal"), "url",
-        clean_display_name("name").alias("title"),
+        clean_display_name("name").alias("title"), image.alias("image"),
         TX.brand_display("brand", "source_site").alias("brand_display"),
         price.alias("price_text"), rating.alias("rating_text"), origin.alias("origin_text"),
         snippet.alias("snippet"), link.alias("link"),

@@ -231,6 +231,7 @@ def h02(spark, sf_dir):
 
 
 @register("h15_result_cards", ranking_sql("""select query_id, rerank_rank as ordinal, url,
+ json_extract_string(images_json, '$[0]') as image,
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(name, 'Unknown Product'), '(?i)CARD1', '', 'g'), '(?i)CARD2', '', 'g'),
    '(?i)CARD3', '', 'g'), '^[ \\-–]+|[ \\-–]+$', '', 'g') as title,
  BRAND as brand_display,

@@ -20,7 +20,7 @@ def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool
     v["pq"] = """select query_id, query_vector, intent, min_price as q_min_price, max_price as q_max_price,
  min_rating as q_min_rating, lower(brand) as q_brand, wants_origin as q_origin from parsed"""
     v["p"] = f"""select id, url, name, brand, description, price, currency, source_site, num_reviews, average_rating,
- made_in_canada, made_in_canada_reason, embedding, {O.price_number_sql('price')} as price_num, lower(brand) as brand_lc,
+ made_in_canada, made_in_canada_reason, embedding, cast(null as varchar[]) as images, {O.price_number_sql('price')} as price_num, lower(brand) as brand_lc,
  concat_ws(' ', coalesce(name, ''), coalesce(brand, ''), coalesce(description, '')) as doc from catalog"""
     v["pairs"] = f"""select p.id, p.url, p.embedding, pq.query_id, pq.query_vector from p cross join pq
  where p.embedding is not null and {pred}"""
@@ -51,7 +51,7 @@ def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool
  from covers group by query_id, id, url"""
     v["txt"] = f"""select * from ranked qualify row_number() over (partition by query_id order by text_rank desc, url) <= {k}"""
     v["cand"] = """select p.id, p.name, p.brand, p.description, p.price, p.currency, p.url, p.source_site, p.num_reviews,
- p.average_rating, p.made_in_canada, p.made_in_canada_reason, c.query_id, c.vector_similarity, c.text_rank, c.branch
+ p.average_rating, p.made_in_canada, p.made_in_canada_reason, p.images, c.query_id, c.vector_similarity, c.text_rank, c.branch
  from p join (select query_id, id, vs as vector_similarity, 0.0 as text_rank, 'vector' as branch from vec
    union all select query_id, id, cast(null as double), text_rank, 'text' from txt) c on c.id = p.id"""
     key = "url" if basic else "url_base"
@@ -60,7 +60,8 @@ def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool
     v["merged"] = f"""select query_id, {key}, {url_agg} max(name) as name, max(brand) as brand, max(description) as description,
  max(price) as price, max(currency) as currency, max(source_site) as source_site, max(made_in_canada_reason) as made_in_canada_reason,
  max(coalesce(vector_similarity, 0.0)) as vector_similarity, max(coalesce(text_rank, 0.0)) as text_rank,
- max(num_reviews) as num_reviews, max(average_rating) as average_rating, bool_or(made_in_canada) as made_in_canada
+ max(num_reviews) as num_reviews, max(average_rating) as average_rating, bool_or(made_in_canada) as made_in_canada,
+ max(cast(to_json(images) as varchar)) as images_json
  from (select *{base_expr} from cand) group by query_id, {key}"""
     if not basic:
         v["scored"] = f"""select *,
