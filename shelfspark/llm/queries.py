@@ -4,21 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import brown_lm, embed_dedup, exact_dedup, langid, packing, pii, piece_codec, quality, sharding, simhash
 from .common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared language: lang; host: source. doc_id, lang, posterior, text_lang, declared, letters, kept."""
+    found = langid.identify(documents(spark, sf_dir))
+    return found.select(found["id"].alias("doc_id"), "lang", "posterior", "text_lang", "declared", "letters", "kept")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op6_simhash)
-}
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.piece_digests(documents(spark, sf_dir), piece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.lm_scores(documents(spark, sf_dir))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_language_id, op2_exact_dedup, op3_sharding, op4_packing, op5_quality, op6_simhash, op7_embedding_dedup, op8_pieces,
+    op9_brown_lm, op10_pii)}
 ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
