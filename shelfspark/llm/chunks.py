@@ -65,7 +65,7 @@ class PieceCodec:
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         probe = " a  b ﬁ \t"
-        self.by_chunk = all(MARK not in p.lstrip(MARK) for p in pieces) and sp.decode(sp.encode(probe)) == probe and sp.encode("a", out_type=str)[0].startswith(MARK)
+        self.by_chunk = all(MARK not in p.lstrip(MARK) for p in pieces) and sp.decode(sp.encode(probe)) == probe and sp.encode("a", out_type=str)[0].startswith(MARK) and sp.piece_to_id(MARK) != sp.unk_id()
         # a line feed that is no part of any piece is a boundary on both sides
         self.cut_lines = self.by_chunk and not any("\n" in p for p in pieces) and len(sp.encode("\n")) == len(sp.encode("")) + 2
         self.table = ChunkTable(self._segment, limit)
@@ -74,7 +74,8 @@ class PieceCodec:
     def _segment(self, chunks: list[str]) -> list[list[int]]:
         """A chunk starts with a marker, which the library adds itself, or with a line feed, before which it is cut off."""
         found = self.sp.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
-        return [x if c[0] == MARK else x[1:] for c, x in zip(chunks, found)]
+        alone = [self.sp.piece_to_id(MARK)]  # the library makes nothing of an empty text
+        return [alone if c == MARK else x if c[0] == MARK else x[1:] for c, x in zip(chunks, found)]
 
     def _cut(self, text: str) -> list[str]:
         if not text:

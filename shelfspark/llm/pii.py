@@ -309,5 +309,6 @@ def span_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = F.array(*[F.lit(k) for k in KINDS])
     said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["end"])))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kind = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
+    counts = [F.size(kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import column, store
 
 SHARDS = 16
-ROUNDS = 5
+ROUNDS = 8
 #: A linked part holds at most this share of a shard's target.
-PART_SHARE = 0.25
+PART_SHARE = 0.9
 
 
 def quotas(demand: np.ndarray, load: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -41,9 +41,7 @@ def quotas(demand: np.ndarray, load: np.ndarray, target: np.ndarray) -> np.ndarr
 
 def _propagate(linked: DataFrame, rows: int, shards: int, rounds: int) -> DataFrame:
     """(uid, part, shard) of the linked documents after the rounds."""
-    total = linked.count()
-    target = np.full(shards, total / shards) if total else np.zeros(shards)
-    limit = np.minimum(np.full(shards, rows // shards), np.ceil(target * 1.02) + 1)  # linked documents stay even as well
+    limit = np.full(shards, float(rows // shards))  # documents without links fill what stays open
     state = store(linked.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "shard-state")
     for turn in range(rounds):
         cells = state.groupBy("part", "shard").agg(F.count("*").alias("n"))
