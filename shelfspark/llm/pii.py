@@ -216,7 +216,7 @@ def reliabilities(patterns: dict[int, int], rounds: int = 60) -> tuple[dict[int,
                 mass = weight * (post if z else 1 - post) * (kind == k)
                 for j in range(LABELERS):
                     # a labeler is taken to be right more often than not; the prior counts say so
-                    prior = np.array([1.0, 1.0, 4.0]) if z else np.array([4.0, 1.0, 1.0])
+                    prior = np.array([1.0, 4.0, 20.0]) if z else np.array([20.0, 4.0, 1.0])
                     n = np.bincount(vote[:, j], weights=mass, minlength=3) + prior
                     given[k, z, j] = n / n.sum()
         share = np.array([((weight * post)[kind == k].sum() + 1) / (weight[kind == k].sum() + 2) for k in range(len(KINDS))])
