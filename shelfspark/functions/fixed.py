@@ -11,7 +11,8 @@ KNOWN_BRANDS = [
     "Naked & Famous", "Wings+Horns", "Frank And Oak", "Tentree", "Kotn",
     "Baffin", "Kamik", "Sorel", "Native Shoes",
 ]
-ORIGIN_KEYWORDS = ["made in canada", "canadian made", "made-in-canada", "fabriqué au canada"]
+# the first is looked for in text whose hyphens are read as blanks
+ORIGIN_KEYWORDS = ["made in canada", "canadian made", "fabriqué au canada"]
 MAX_PRICE_WORDS = r"(?:under|less than|below|max|<)"
 MIN_PRICE_WORDS = r"(?:over|more than|above|min|>)"
 ORIGIN_PHRASES = r"(?:made[- ]?in[- ]?canada|canadian[- ]?made|fabriqué au canada)"
@@ -135,3 +136,20 @@ LOG_PRODUCTS_FOUND = r"Found (\d+) product URLs?"
 LOG_PRODUCTS_SAVED = r"Saved (\d+) products? to PostgreSQL"
 LOG_CATEGORIES_FOUND = r"Found (\d+) category pages?"
 LOG_IMAGES = r"🖼️ Extracted (\d+) image"
+
+# --- fixed values: file names and store types ------------------------------
+UNSAFE_FILE_CHARS = "[^a-zA-Z0-9._-]+"
+STORE_CATEGORY_PATTERNS = {
+    "shopify": ["/collections/"],
+    "roots": ["/women/", "/men/", "/kids/", "/leather/", "/sale/", "/gifts/"],
+    "generic": [
+        "/collections/", "/category/", "/categories/", "/shop/",
+        "/women/", "/men/", "/kids/", "/sale/", "/new/",
+        "/accessories/", "/clothing/", "/shoes/", "/bags/",
+    ],
+}
+STORE_PRODUCT_PATTERNS = {
+    "shopify": r"/products/",
+    "roots": r"-\d+\.html",
+    "generic": r"/products/|/product/|-\d+\.html|/p/[^/]+",
+}

@@ -35,8 +35,9 @@ def _num(text: Column, pattern: str, group: int = 1) -> Column:
 def wants_origin(text) -> Column:
     """Any origin keyword contained in the lower-cased text."""
     low = F.lower(col(text))
-    out = F.lit(False)
-    for k in fixed.ORIGIN_KEYWORDS:
+    first, *others = fixed.ORIGIN_KEYWORDS
+    out = F.replace(low, F.lit("-"), F.lit(" ")).contains(first)
+    for k in others:
         out = out | low.contains(k)
     return out
 

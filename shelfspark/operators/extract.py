@@ -8,6 +8,9 @@ no shuffle unless an operator needs "first occurrence wins" across rows
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -39,24 +42,41 @@ def origin(url) -> Column:
     return F.regexp_extract(TX.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
+def fold_dots(url) -> Column:
+    """``url`` without ``.`` and ``..`` path segments, as a browser shows it."""
+    u = TX.col(url)
+    root, path = origin(u), F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    tail = F.regexp_extract(u, r"([?#].*)$", 1)
+    segs = F.split(path, "/")
+    folded = F.aggregate(segs, F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(
+        s == ".", acc).otherwise(F.array_append(acc, s)))
+    folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(root, F.array_join(folded, "/"), tail)).otherwise(u)
+
+
 def resolve(href, base) -> Column:
-    """Absolute URL of ``href`` on page ``base`` (scheme, host-relative, path-relative)."""
+    """Absolute URL of ``href`` on page ``base`` (scheme, host-relative, path-relative, dot segments)."""
     h, b = TX.col(href), TX.col(base)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     base_dir = F.regexp_extract(b, r"^([^?#]*/)", 1)
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin(b), h))
-            .when(h.startswith("#") | h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
-            .otherwise(F.concat(base_dir, h)))
+    return fold_dots(F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+                     .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+                     .when(h.startswith("/"), F.concat(origin(b), h))
+                     .when(h.startswith("#") | h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
+                     .otherwise(F.concat(base_dir, h)))
+
+
+# the value of an anchor's href in double, single or no quotes
+HREF_RE = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every ``<a href>`` of a page, resolved, with its position: ``(url, pos, href)``."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    """Every ``<a href>`` of a page (any quoting, entities decoded), resolved, with its position: ``(url, pos, href)``."""
+    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(HREF_RE), F.lit(1))
     out = pages.select(url_col, F.posexplode(hrefs).alias("pos", "raw_href"))
-    return out.select(F.col(url_col).alias("url"), (F.col("pos") + 1).alias("pos"),
-                      resolve(F.col("raw_href"), F.col(url_col)).alias("href"))
+    href = strip_ws(decode_entities(F.regexp_replace("raw_href", r"^[\"']|[\"']$", "")))
+    return out.select(F.col(url_col).alias("url"), (F.col("pos") + 1).alias("pos"), resolve(href, F.col(url_col)).alias("href"))
 
 
 # B04 ------------------------------------------------------------------------
@@ -98,6 +118,24 @@ def product_links(links: DataFrame, product_regex: str, url_regex: str | None =
         "product_url", F.col("_f.url").alias("first_category"))
 
 
+def store_category_links(links: DataFrame, store: str) -> DataFrame:
+    """B06 with the link patterns of a store type."""
+    return category_links(links, fixed.STORE_CATEGORY_PATTERNS[store])
+
+
+def store_product_links(links: DataFrame, store: str, url_regex: str | None = None) -> DataFrame:
+    """B07 with the product pattern of a store type."""
+    return product_links(links, fixed.STORE_PRODUCT_PATTERNS[store], url_regex)
+
+
+def new_per_category(links: DataFrame, products: DataFrame) -> DataFrame:
+    """Per category page, in url order, how many product links it showed first: ``(category, new_products)``;
+    pages that added none count zero."""
+    pages = links.select(F.col("url").alias("category")).distinct()
+    added = products.groupBy(F.col("first_category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return pages.join(added, "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("new_products"))
+
+
 # B08 / B09 ------------------------------------------------------------------
 def category_path(url) -> dict[str, Column]:
     """First two path segments as title-cased category / subcategory ('-' -> ' ')."""
@@ -233,19 +271,16 @@ def origin_from_location(location) -> dict[str, Column]:
     Canadian-made phrase -> true, foreign place -> false, otherwise NULL."""
     loc = TX.col(location)
     low = F.lower(loc)
-    flag = F.lit(None).cast("boolean")
-    reason = F.lit(None).cast("string")
-    rules = ([(n, F.lit(True), F.concat(F.lit("Location '"), loc, F.lit(f"' contains Canadian indicator: {lab}")))
-              for n, lab in fixed.CANADIAN_INDICATORS]
-             + [(p, F.lit(True), F.lit(f"Text implies Canadian manufacturing: '{p}'")) for p in fixed.CANADIAN_PHRASES]
-             + [(n, F.lit(False), F.concat(F.lit("Location '"), loc, F.lit(f"' indicates non-Canadian manufacturing ({n})")))
-                for n in fixed.NON_CANADIAN_INDICATORS])
-    for needle, f, r in reversed(rules):
-        hit = low.contains(needle)
-        flag = F.when(hit, f).otherwise(flag)
-        reason = F.when(hit, r).otherwise(reason)
+    # one pass: the first rule, in order, whose needle the text holds
+    rules = ([(n, True, True, f"' contains Canadian indicator: {lab}") for n, lab in fixed.CANADIAN_INDICATORS]
+             + [(p, True, False, f"Text implies Canadian manufacturing: '{p}'") for p in fixed.CANADIAN_PHRASES]
+             + [(n, False, True, f"' indicates non-Canadian manufacturing ({n})") for n in fixed.NON_CANADIAN_INDICATORS])
+    table = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(f).alias("flag"), F.lit(q).alias("quoted"), F.lit(r).alias("said"))
+                      for n, f, q, r in rules])
+    hit = F.try_element_at(F.filter(table, lambda r: low.contains(r["needle"])), F.lit(1))
+    reason = F.when(hit["quoted"], F.concat(F.lit("Location '"), loc, hit["said"])).otherwise(hit["said"])
     empty = F.coalesce(loc, F.lit("")) == ""
-    return {"made_in_canada": F.when(empty, F.lit(None).cast("boolean")).otherwise(flag),
+    return {"made_in_canada": F.when(empty, F.lit(None).cast("boolean")).otherwise(hit["flag"]),
             "made_in_canada_reason": F.when(empty, F.lit("No manufacturing location provided")).otherwise(reason)}
 
 
@@ -393,32 +428,73 @@ def reviews(html, jsonld_rating: Column | None = None, jsonld_count: Column | No
     return {"num_reviews": n, "average_rating": r, "source": src}
 
 
-def jsonld_aggregate_rating(blocks: DataFrame) -> DataFrame:
-    """Per page, the first block's ``aggregateRating`` (object at top level or in ``@graph``)."""
-    j = F.col("json")
-    rv = F.coalesce(F.get_json_object(j, "$.aggregateRating.ratingValue"), F.get_json_object(j, "$['@graph'][0].aggregateRating.ratingValue"))
-    rc = F.coalesce(F.get_json_object(j, "$.aggregateRating.reviewCount"), F.get_json_object(j, "$.aggregateRating.ratingCount"),
-                    F.get_json_object(j, "$['@graph'][0].aggregateRating.reviewCount"))
-    b = blocks.select("url", "block_pos", rv.alias("jr"), rc.alias("jc")).where(F.col("jr").isNotNull() | F.col("jc").isNotNull())
-    return b.groupBy("url").agg(F.min_by("jr", "block_pos").alias("jr"), F.min_by("jc", "block_pos").alias("jc"))
-
-
 # B19 ------------------------------------------------------------------------
-def content_block(html) -> dict[str, Column]:
-    """Text of the main content block: the first ``entry-content`` / ``post-content`` element or
-    ``<article>`` whose text exceeds 100 characters, else the whole page; lines joined by newlines."""
-    h = TX.col(html)
-    cands = [F.regexp_extract(h, rf'(?is)<div[^>]*class="[^"]*\b{c}\b[^"]*"[^>]*>(.*?)</div>', 1)
-             for c in ("entry-content", "post-content")] + [F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)]
-
-    def text_of(x):
-        t = decode_entities(F.regexp_replace(x, r"<[^>]*>", "\n"))
-        lines = F.filter(F.transform(F.split(t, "\n"), lambda l: strip_ws(l)), lambda l: l != "")
-        return F.array_join(lines, "\n")
-
-    texts = [text_of(c) for c in cands]
-    body = F.coalesce(*[F.when(F.length(t) > 100, t) for t in texts], text_of(F.regexp_replace(h, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")))
-    return {"content_text": body, "raw_text": body}
+CONTENT_CLASSES = ("entry-content", "post-content")
+CONTENT_MIN = 100
+
+
+class _Blocks(HTMLParser):
+    """Text of the first element of each wanted class, of the first ``article`` and of the whole page."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text = {k: [] for k in (*CONTENT_CLASSES, "article", "page")}
+        self.open: dict[str, list] = {}  # block -> [its tag, depth of that tag inside it]
+        self.met: set[str] = set()
+        self.skip = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        for block in self.open.values():
+            block[1] += block[0] == tag
+        classes = (dict(attrs).get("class") or "").split()
+        for k in (*CONTENT_CLASSES, "article"):
+            wanted = tag == "article" if k == "article" else k in classes and tag not in self.VOID
+            if wanted and k not in self.met:
+                self.met.add(k)
+                self.open[k] = [tag, 1]
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip = max(0, self.skip - 1)
+        for k, block in list(self.open.items()):
+            block[1] -= block[0] == tag
+            if not block[1]:
+                del self.open[k]
+
+    def handle_data(self, data):
+        if not self.skip:
+            lines = [x for x in (x.replace("\xa0", " ").strip() for x in data.split("\n")) if x]
+            for k in (*self.open, "page"):
+                self.text[k] += lines
+
+
+def main_text(html: str | None) -> str | None:
+    """B19 for one page; nested elements belong to the block that holds them."""
+    if html is None:
+        return None
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    texts = {k: "\n".join(v) for k, v in parser.text.items()}
+    return next((texts[k] for k in (*CONTENT_CLASSES, "article") if len(texts[k]) > CONTENT_MIN), texts["page"])
+
+
+def content_block(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` with ``content_text`` (and the same as ``raw_text``): the text of the first ``entry-content`` /
+    ``post-content`` element or ``<article>`` whose text exceeds 100 characters, else of the whole page without scripts
+    and styles; lines joined by newlines.  An Arrow kernel with the standard library's parser: nesting is beyond regex."""
+    at = pages.columns.index(html_col)
+    schema = pages.withColumns({"content_text": F.lit(None).cast("string"), "raw_text": F.lit(None).cast("string")}).schema
+
+    def kernel(batches):
+        for b in batches:
+            text = pa.array([main_text(h) for h in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text, text], names=[*b.schema.names, "content_text", "raw_text"])
+
+    return pages.mapInArrow(kernel, schema)
 
 
 # B03 ------------------------------------------------------------------------
@@ -428,40 +504,49 @@ def sitemap_docs(sitemaps: DataFrame) -> DataFrame:
     return e.select("url", F.col("e.kind").alias("kind"), "pos", F.col("e.loc").alias("loc"))
 
 
-def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_docs: int = 50) -> DataFrame:
-    """Breadth-first walk from each site's root sitemaps over nested sitemaps; the first
-    ``max_docs`` documents in visit order are read; returns ``(base, url)`` of the distinct page
-    URLs they list that contain ``pattern`` and are on the site's host.
+def _walk_all(roots: DataFrame, nested: DataFrame) -> DataFrame:
+    """``(base, doc)`` of every sitemap reachable from the roots.  One join per level; only the level's new documents
+    are written (checkpoint in the shared folder), earlier levels are read as they lie."""
+    level = roots.select("base", F.col("sitemap_url").alias("doc")).distinct().checkpoint()
+    seen = level
+    while True:
+        grown = level.join(nested, "doc").select("base", F.col("child").alias("doc")).distinct()
+        level = grown.join(seen, ["base", "doc"], "left_anti").checkpoint()
+        if level.isEmpty():
+            return seen
+        seen = seen.unionByName(level)
 
-    The walk is exact FIFO order with first-discovery de-dupe: each level's new documents are
-    numbered after all earlier ones by (parent order, position).  One round of joins per
-    level; each level is checkpointed (shared folder) so lineage stays short.
-    """
-    from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(roots.sparkSession)
+def _walk_first(roots: DataFrame, nested: DataFrame, max_docs: int) -> DataFrame:
+    """``(base, doc)`` of the first ``max_docs`` documents per site in exact FIFO order with first-discovery de-dupe:
+    each level's new documents are numbered after all earlier ones by (parent order, position).  Numbering needs a
+    site's documents in order, so this optional form suits a small ``max_docs``."""
     by_base = Window.partitionBy("base")
     r = roots.groupBy("base", F.col("sitemap_url").alias("doc")).agg(F.min("ord").alias("ord"))
-    seen = r.select("base", "doc", F.row_number().over(by_base.orderBy("ord")).alias("order")).checkpoint()
-    nested = docs.where(F.col("kind") == "nested").select(F.col("url").alias("doc"), "pos", F.col("loc").alias("child"))
-    frontier = seen
+    level = r.select("base", "doc", F.row_number().over(by_base.orderBy("ord")).alias("order")).checkpoint()
+    seen = level
     while True:
-        grow = frontier.where(F.col("order") <= max_docs).join(nested, "doc").select(
+        grow = level.where(F.col("order") <= max_docs).join(nested, "doc").select(
             "base", F.col("child").alias("doc"), F.col("order").alias("parent_order"), "pos")
         grow = grow.join(seen.select("base", "doc"), ["base", "doc"], "left_anti")
-        # first discovery wins: an aggregate, combined map-side
-        grow = grow.groupBy("base", "doc").agg(F.min(F.struct("parent_order", "pos")).alias("_f")).select(
-            "base", "doc", F.col("_f.parent_order").alias("parent_order"), F.col("_f.pos").alias("pos"))
-        offset = seen.groupBy("base").agg(F.max("order").alias("_top"))
-        new = grow.join(offset, "base").select(
-            "base", "doc", (F.col("_top") + F.dense_rank().over(by_base.orderBy("parent_order", "pos"))).alias("order"))
-        new = new.checkpoint()
-        if new.where(F.col("order") <= max_docs).isEmpty():
-            seen = seen.unionByName(new).checkpoint()
-            break
-        seen = seen.unionByName(new).checkpoint()
-        frontier = new
-    visited = seen.where(F.col("order") <= max_docs)
+        grow = grow.groupBy("base", "doc").agg(F.min(F.struct("parent_order", "pos")).alias("_f"))
+        top = seen.groupBy("base").agg(F.max("order").alias("_top"))
+        order = F.col("_top") + F.dense_rank().over(by_base.orderBy("_f.parent_order", "_f.pos"))
+        level = grow.join(top, "base").select("base", "doc", order.alias("order")).checkpoint()
+        if level.isEmpty():
+            return seen.where(F.col("order") <= max_docs).select("base", "doc")
+        seen = seen.unionByName(level)
+
+
+def sitemap_closure(roots: DataFrame, docs: DataFrame, pattern: str = "/", max_docs: int | None = None) -> DataFrame:
+    """Breadth-first walk from each site's root sitemaps over nested sitemaps, all of them unless ``max_docs``
+    documents per site are asked for; returns ``(base, url)`` of the distinct page URLs they list that contain
+    ``pattern`` and are on the site's host."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(roots.sparkSession)
+    nested = docs.where(F.col("kind") == "nested").select(F.col("url").alias("doc"), "pos", F.col("loc").alias("child"))
+    visited = _walk_all(roots, nested) if max_docs is None else _walk_first(roots, nested, max_docs)
     pages = docs.where(F.col("kind") == "url").select(F.col("url").alias("doc"), F.col("loc").alias("url"))
     found = visited.join(pages, "doc").where(
         F.col("url").contains(pattern) & (U.url_host(F.col("url")) == U.url_host(F.col("base"))))

@@ -1,96 +1,133 @@
-"""JSON-LD product extraction from landed pages.
+"""JSON-LD product extraction from landed pages (B10-B16) and ratings found in it.
 
-B10 (script blocks, trailing-comma salvage) and B12-B16 are Column
-expressions; the only Python is the B11 walk of a nested JSON value, which
-runs as an Arrow ``mapInPandas`` kernel over the block rows (one block per
-row, standard-library ``json``), so Spark still partitions the work.
+Python parses JSON and walks nested values, in Arrow kernels over the block rows (one block per
+row, standard-library ``json``), so Spark still partitions the work.  Everything that reads a found
+object — fields, score, images, file names — is a Column expression over its JSON text.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BLOCK_RE = r'(?is)<script[^>]*type\s*=\s*"application/ld\+json"[^>]*>(.*?)</script>'
+from ..functions import fixed
+
+BLOCK_RE = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+
+
+def _decoded(*texts):
+    """The first of the texts that is JSON, parsed; repeated keys keep their last value."""
+    for t in texts:
+        try:
+            return t, json.loads(t)
+        except ValueError:
+            continue
+    return None, None
+
+
+def _valid_kernel(batches):
+    for b in batches:
+        url, pos, raw, salvaged = (b.column(i) for i in range(4))
+        found = [_decoded(r, s)[0] for r, s in zip(raw.to_pylist(), salvaged.to_pylist())]
+        yield pa.RecordBatch.from_arrays([url, pos, pa.array(found, pa.string())], names=["url", "block_pos", "json"])
 
 
 def jsonld_blocks(pages: DataFrame) -> DataFrame:
     """``(url, block_pos, json)`` for every decodable JSON-LD block (salvaging trailing commas)."""
     raw = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK_RE), F.lit(1))).alias("block_pos", "raw"))
     raw = raw.select("url", (F.col("block_pos") + 1).alias("block_pos"),
-                     F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"))
+                     F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw")).where(F.col("raw") != "")
     salvaged = F.regexp_replace(F.regexp_replace("raw", r",\s*}", "}"), r",\s*]", "]")
-    js = (F.when(F.try_parse_json("raw").isNotNull(), F.col("raw"))
-          .when(F.try_parse_json(salvaged).isNotNull(), salvaged))
-    return raw.where(F.col("raw") != "").select("url", "block_pos", js.alias("json")).where(F.col("json").isNotNull())
-
-
-PRODUCT_SCHEMA = ("url string, block_pos long, pos long, product string, score int, name string, description string, "
-                  "sku string, brand string, images array<string>, price string, currency string, availability string")
-
-
-def _text(v):
-    if v is None:
-        return None
-    return v if isinstance(v, str) else json.dumps(v) if isinstance(v, (dict, list)) else str(v)
-
-
-def _fields(obj: dict) -> dict:
-    brand = obj.get("brand")
-    brand = brand.get("name") if isinstance(brand, dict) else brand if isinstance(brand, str) else None
-    img = obj.get("image")
-    images = [img] if isinstance(img, str) else [x for x in img if isinstance(x, str)] if isinstance(img, list) else []
-    offers = obj.get("offers")
-    offer = offers[0] if isinstance(offers, list) and offers else offers
-    price = currency = availability = None
-    if isinstance(offer, dict):
-        price = str(offer.get("price")) if offer.get("price") is not None else None
-        currency = _text(offer.get("priceCurrency"))
-        availability = _text(offer.get("availability"))
-    score = (2 if obj.get("name") else 0) + (2 if obj.get("offers") else 0) + (1 if obj.get("image") else 0)
-    return {"score": score, "name": _text(obj.get("name")), "description": _text(obj.get("description")),
-            "sku": _text(obj.get("sku")), "brand": _text(brand), "images": images, "price": price,
-            "currency": currency, "availability": availability}
-
-
-def _is_product(obj: dict) -> bool:
-    t = obj.get("@type") or obj.get("type")
-    if not t:
-        return False
-    return any(str(x).lower() == "product" for x in (t if isinstance(t, list) else [t]))
-
-
-def _walk(obj, out: list):
-    """Pre-order: a product object is emitted before any nested product."""
-    if isinstance(obj, dict):
-        if _is_product(obj):
-            out.append(obj)
-        for v in obj.values():
-            _walk(v, out)
-    elif isinstance(obj, list):
-        for it in obj:
-            _walk(it, out)
-
-
-def _products_kernel(batches):
-    cols = [c.split(" ")[0] for c in PRODUCT_SCHEMA.split(", ")]
-    for pdf in batches:
-        rows = []
-        for url, bpos, js in zip(pdf["url"], pdf["block_pos"], pdf["json"]):
-            found: list = []
-            _walk(json.loads(js), found)
-            for i, obj in enumerate(found, 1):
-                rows.append({"url": url, "block_pos": int(bpos), "pos": i, "product": json.dumps(obj), **_fields(obj)})
-        yield pd.DataFrame(rows, columns=cols)
+    return raw.select("url", "block_pos", "raw", salvaged.alias("salvaged")).mapInArrow(
+        _valid_kernel, "url string, block_pos int, json string").where(F.col("json").isNotNull())
+
+
+def objects_in_order(value):
+    """Every object of a JSON value, outer before inner, in document order, with an explicit stack (any depth)."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            yield v
+            stack.extend(reversed(v.values()))
+        elif isinstance(v, list):
+            stack.extend(reversed(v))
+
+
+def _types(obj: dict) -> list[str]:
+    t = obj.get("@type") or obj.get("type") or []
+    return [str(x).lower() for x in (t if isinstance(t, list) else [t])]
+
+
+def _rating(obj: dict):
+    """The rating that an object is or holds, as an object."""
+    if "aggregaterating" in _types(obj)[:1]:
+        return obj
+    held = obj.get("aggregateRating")
+    return held if isinstance(held, dict) else None
+
+
+def _found_kernel(pick):
+    def run(batches):
+        for b in batches:
+            out = []
+            for url, pos, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                hits = filter(None, map(pick, objects_in_order(json.loads(text))))
+                out += [(url, pos, i, json.dumps(o, ensure_ascii=False)) for i, o in enumerate(hits, 1)]
+            cols = list(zip(*out)) or [[], [], [], []]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["url", "block_pos", "pos", "product"])
+
+    return run
+
+
+FOUND = "url string, block_pos long, pos long, product string"
+
+
+def _kind(v: Column, path: str) -> Column:
+    """Type name of the value at ``path`` of a variant; NULL when absent."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def product_fields(product: Column) -> dict[str, Column]:
+    """Fields and score of a product object given as JSON text."""
+    v = F.try_parse_json(product)
+    get = lambda path: F.get_json_object(product, path)
+    is_text = lambda path: F.coalesce(_kind(v, path) == "STRING", F.lit(False))
+    first = F.coalesce(_kind(v, "$.offers"), F.lit("")).startswith("ARRAY")
+    offer = lambda k: F.when(first, get(f"$.offers[0].{k}")).otherwise(get(f"$.offers.{k}"))
+    images = F.filter(F.try_variant_get(v, "$.image", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    images = F.transform(images, lambda x: x.cast("string"))
+    said = lambda path: F.coalesce(~get(path).isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False)).cast("int")
+    return {
+        "score": 2 * said("$.name") + 2 * said("$.offers") + said("$.image"),
+        "name": get("$.name"), "description": get("$.description"), "sku": get("$.sku"),
+        "brand": F.when(is_text("$.brand"), get("$.brand")).otherwise(get("$.brand.name")),
+        "images": F.coalesce(F.when(is_text("$.image"), F.array(get("$.image"))), images, F.array().cast("array<string>")),
+        "price": offer("price"), "currency": offer("priceCurrency"), "availability": offer("availability"),
+    }
 
 
 def jsonld_products(blocks: DataFrame) -> DataFrame:
-    """B11 (+B13 fields): every product object of every block, in walk order."""
-    return blocks.select("url", "block_pos", "json").mapInPandas(_products_kernel, PRODUCT_SCHEMA)
+    """B11 (+B13 fields): every product object of every block, in document order."""
+    found = blocks.select("url", "block_pos", "json").mapInArrow(_found_kernel(lambda o: o if "product" in _types(o) else None), FOUND)
+    return found.select("*", *[c.alias(k) for k, c in product_fields(F.col("product")).items()])
+
+
+def jsonld_aggregate_rating(blocks: DataFrame) -> DataFrame:
+    """B17 source: per page the rating and review count of the first aggregate rating, at any depth, of the first block
+    where either is a number: ``(url, jr, jc)``."""
+    found = blocks.select("url", "block_pos", "json").mapInArrow(_found_kernel(_rating), FOUND).where("pos = 1")
+    get = lambda k: F.get_json_object("product", f"$.{k}")
+    rating = get("ratingValue").try_cast("double")
+    count = F.when(get("reviewCount").isNotNull(), get("reviewCount")).otherwise(get("ratingCount")).try_cast("int")
+    found = found.select("url", "block_pos", rating.alias("jr"), count.alias("jc"))
+    found = found.where((F.coalesce("jr", F.lit(0.0)) != 0) | (F.coalesce("jc", F.lit(0)) != 0))
+    return found.groupBy("url").agg(F.min(F.struct("block_pos", "jr", "jc")).alias("_f")).select("url", "_f.jr", "_f.jc")
 
 
 def best_schema(products: DataFrame) -> DataFrame:
@@ -106,16 +143,17 @@ def image_dedupe(df: DataFrame) -> DataFrame:
     return df.withColumn("images_removed", F.size(imgs) - F.size(d)).withColumn("images", d)
 
 
-def safe_filename(c) -> F.Column:
-    s = F.regexp_replace(c, "[^a-zA-Z0-9._-]+", "_")
-    s = F.left(F.regexp_replace(s, "^_+|_+$", ""), F.lit(180))
-    return F.when(s == "", F.lit("file")).otherwise(s)
+def safe_filename(c) -> Column:
+    """File name of at most 180 characters; a longer one ends in a hash of the whole, so that names stay distinct."""
+    s = F.regexp_replace(F.regexp_replace(c, fixed.UNSAFE_FILE_CHARS, "_"), "^_+|_+$", "")
+    long = F.concat(F.left(s, F.lit(163)), F.lit("_"), F.lower(F.lpad(F.hex(F.xxhash64(c)), 16, "0")))
+    return F.when(s == "", F.lit("file")).when(F.length(s) > 180, long).otherwise(s)
 
 
-def image_manifest(products: DataFrame, cap: int = 8) -> DataFrame:
-    """First ``cap`` images per product -> ``(url, idx, image_url, file_name)``."""
-    ex = products.select("url", F.posexplode(F.slice(F.coalesce("images", F.array().cast("array<string>")), 1, cap))
-                         .alias("idx", "image_url"))
+def image_manifest(products: DataFrame, cap: int | None = None) -> DataFrame:
+    """Images per product (the first ``cap`` where given) -> ``(url, idx, image_url, file_name)``."""
+    images = F.coalesce("images", F.array().cast("array<string>"))
+    ex = products.select("url", F.posexplode(images if cap is None else F.slice(images, 1, cap)).alias("idx", "image_url"))
     path = F.regexp_extract("image_url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     last = F.regexp_extract(path, r"([^/]*)$", 1)
     ext = F.regexp_extract(last, r"[^.](\.[^.]*)$", 1)

@@ -40,13 +40,40 @@ def _resolve_sql(h, b):
             f" else concat(regexp_extract({b}, '^([^?#]*/)', 1), {h}) end)")
 
 
-LINKS_SQL = f"""select url, pos, {_resolve_sql('raw_href', 'url')} as href from (
- select url, unnest(h) as raw_href, generate_subscripts(h, 1) as pos from (
- select url, regexp_extract_all(html, {_re('(?i)<a' + chr(92) + 's[^>]*href="([^"]*)"')}, 1) as h from pages))"""
+def link_pages(pages):
+    """The pages with their anchors written in all forms: double quotes (page_id % 3 = 0), single quotes (1), none (2),
+    and one more anchor with a dot segment, an entity and another attribute before it."""
+    m, h = F.col("page_id") % 3, F.col("html")
+    html = (F.when(m == 1, F.regexp_replace(h, 'href="([^"]*)"', "href='$1'"))
+            .when(m == 2, F.regexp_replace(h, 'href="([^" >]*)"', "href=$1")).otherwise(h))
+    return pages.withColumn("html", F.concat(html, F.lit('<a class=x href=" ../z?a=1&amp;b=2 ">z</a>')))
+
+
+_LINK_PAGES_SQL = """(select url, concat(case page_id % 3 when 1 then regexp_replace(html, 'href="([^"]*)"', 'href=''\\1''', 'g')
+   when 2 then regexp_replace(html, 'href="([^" >]*)"', 'href=\\1', 'g') else html end,
+   '<a class=x href=" ../z?a=1&amp;b=2 ">z</a>') as html from pages)"""
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _decode_sql(x):
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_HREF_SQL = _strip_sql(_decode_sql("""regexp_replace(quoted, '^["'']|["'']$', '', 'g')"""))
+LINKS_SQL = f"""select url, pos, case when starts_with(raw_href, '../')
+   then regexp_replace({_resolve_sql('raw_href', 'url')}, '/[^/]+/[.][.]/', '/') else {_resolve_sql('raw_href', 'url')} end as href from (
+ select url, {_HREF_SQL} as raw_href, pos from (
+ select url, unnest(h) as quoted, generate_subscripts(h, 1) as pos from (
+ select url, regexp_extract_all(html, {_re(X.HREF_RE)}, 1) as h from {_LINK_PAGES_SQL})))"""
 
 
 def _links(spark, sf_dir):
-    return X.page_links(_pages(spark, sf_dir))
+    return X.page_links(link_pages(_pages(spark, sf_dir)))
 
 
 @register("b05_page_links", O.with_views("select url, pos, href from links", extra={"links": LINKS_SQL}))
@@ -77,9 +104,9 @@ def b09(spark, sf_dir):
 
 @register("b04_url_filter", O.with_views("""select url, href from links
  where contains(href, '/en/') and regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)
- and regexp_matches(href, '/[a-z]+$') order by href limit 50""", extra={"links": LINKS_SQL}))
+ and regexp_matches(href, '/[a-z]+$')""", extra={"links": LINKS_SQL}))
 def b04(spark, sf_dir):
-    return X.url_filter(_links(spark, sf_dir), "url", pattern="/en/", regex="/[a-z]+$", limit=50).select("url", "href")
+    return X.url_filter(_links(spark, sf_dir), "url", pattern="/en/", regex="/[a-z]+$").select("url", "href")
 
 
 @register("b06_category_links", O.with_views("""select distinct url, href as category_url from links
@@ -114,16 +141,6 @@ def _page_text_sql(h):
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-def _decode_sql(x):
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
-
-
-def _strip_sql(x):
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
 @register("b18_page_text", O.with_views(f"""select page_id, case when length(t) >= 50 then t end as content,
  length(t) as n_chars from (select page_id, {_page_text_sql('html')} as t from pages)"""))
 def b18(spark, sf_dir):
@@ -411,6 +428,19 @@ def b07(spark, sf_dir):
     return X.product_links(_links(spark, sf_dir), r"/[a-z]{4,}$")
 
 
+_FIRSTS_SQL = """select first_category, count(*) as n from (select min_by(url, struct_pack(url := url, pos := pos)) as first_category
+   from (select url, pos, split_part(href, '?', 1) as product_url from links where regexp_matches(href, '/[a-z]{4,}$')) group by product_url)
+  group by first_category"""
+
+
+@register("b07_new_per_category", O.with_views("""select c.url as category, coalesce(f.n, 0) as new_products
+ from (select distinct url from links) c left join firsts f on f.first_category = c.url""", extra={"links": LINKS_SQL, "firsts": _FIRSTS_SQL}))
+def b07n(spark, sf_dir):
+    """How many product links each page showed first."""
+    links = _links(spark, sf_dir)
+    return X.new_per_category(links, X.product_links(links, r"/[a-z]{4,}$"))
+
+
 @register("b12_best_schema", """select concat('https://shop.example.com/products/', cast(p_partkey as varchar)) as url,
  1 as block_pos, 1 as pos, 5 as score from part""")
 def b12(spark, sf_dir):
@@ -427,9 +457,9 @@ def b23(spark, sf_dir):
 
 
 def review_pages_input(t):
-    """Product pages carrying review markup of five vendors (by part key), from the
-    R-flagged line items of each part."""
-    li = t.lineitem.where(F.col("l_returnflag") == "R").groupBy("l_partkey").agg(
+    """Product pages carrying review markup of five vendors (by part key), from the line items of
+    each part; ratings in JSON-LD lie deep in the second node of a graph, after one with a repeated key."""
+    li = t.lineitem.groupBy("l_partkey").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         (F.floor(F.lit(200) + F.sum("l_quantity") * 25 / 4 / F.count(F.lit(1))) / 100).alias("a"))
     n, a = F.col("n").cast("string"), F.col("a").cast("string")
@@ -440,8 +470,9 @@ def review_pages_input(t):
             .when(m == 2, F.concat(F.lit('MetafieldYotpoCount = "7"; MetafieldLooxRating = "'), a,
                                    F.lit('"; MetafieldLooxCount = "'), n, F.lit('";')))
             .when(m == 3, F.concat(F.lit("okendoProductReviewAverageValue = "), a, F.lit("; okendoProductReviewCount = "), n, F.lit(";")))
-            .otherwise(F.concat(F.lit('</script><script type="application/ld+json">{"@type":"Product","aggregateRating":{"ratingValue":"'),
-                                a, F.lit('","reviewCount":"'), n, F.lit('"}}')))
+            .otherwise(F.concat(F.lit("</script><script type='application/ld+json'>"), F.lit('{"@graph":[{"@type":"WebSite","a":1,"a":2},'
+                                '{"mainEntity":{"@type":"Product","aggregateRating":{"ratingValue":"'),
+                                a, F.lit('","reviewCount":"'), n, F.lit('"}}}]}')))
             )
     return li.select(F.concat(F.lit("https://shop.example.com/products/"), F.col("l_partkey").cast("string")).alias("url"),
                      F.concat(F.lit("<html><head><script>"), mark, F.lit("</script></head><body></body></html>")).alias("html"))
@@ -451,17 +482,17 @@ def review_pages_input(t):
  cast(count(*) as int) as num_reviews, floor(200 + sum(l_quantity) * 25 / 4 / count(*)) / 100 as average_rating,
  case l_partkey % 5 when 0 then 'MetafieldReviews (Stamped)' when 1 then 'Yotpo' when 2 then 'Loox' when 3 then 'Okendo'
    else 'Schema.org AggregateRating' end as source
- from lineitem where l_returnflag = 'R' group by l_partkey""")
+ from lineitem group by l_partkey""")
 def b17(spark, sf_dir):
     pages = review_pages_input(_t(spark, sf_dir))
-    agg = X.jsonld_aggregate_rating(J.jsonld_blocks(pages))
+    agg = J.jsonld_aggregate_rating(J.jsonld_blocks(pages))
     j = pages.join(agg, "url", "left")
     r = X.reviews(F.col("html"), F.col("jr"), F.col("jc"))
     return j.select("url", *[c.alias(k) for k, c in r.items()])
 
 
 def _text_of_sql(x):
-    t = _decode_sql(f"regexp_replace({x}, '<[^>]*>', chr(10), 'g')")
+    t = _decode_sql(f"replace(replace(regexp_replace({x}, '<[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·')")
     return (f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), "
             f"lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10))")
 
@@ -473,8 +504,7 @@ _WHOLE = _text_of_sql("regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(
 @register("b19_content_block", O.with_views(f"""select page_id, case when length(a) > 100 then a else w end as content_text
  from (select page_id, {_ART} as a, {_WHOLE} as w from pages)"""))
 def b19(spark, sf_dir):
-    c = X.content_block(F.col("html"))
-    return _pages(spark, sf_dir).select("page_id", c["content_text"].alias("content_text"))
+    return X.content_block(_pages(spark, sf_dir).select("page_id", "html")).select("page_id", "content_text")
 
 
 # --- B03: sitemap closure over sitemaps rendered from pages ----------------------------------
@@ -498,22 +528,16 @@ def closure_input(t):
     return roots, docs
 
 
-CLOSURE_MAX_DOCS = 16
-
-
-@register("b03_sitemap_closure", f"""with pg as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as base from pages),
- ordered as (select *, row_number() over (partition by base order by page_id) as o, count(*) over (partition by base) as n from pg),
- deep as (select *, n + row_number() over (partition by base order by o) as od from ordered where page_id % 3 = 0),
+@register("b03_sitemap_closure", """with pg as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as base from pages),
  found as (
-  select base, url from ordered where o <= {CLOSURE_MAX_DOCS} and page_id % 3 <> 0
-  union all select base, concat(base, '/p/', cast(page_id as varchar)) from ordered where o <= {CLOSURE_MAX_DOCS} and page_id % 3 <> 0
-  union all select base, concat(base, '/d/', cast(page_id as varchar)) from deep where od <= {CLOSURE_MAX_DOCS}
-  union all select base, concat(base, '/p/', cast(page_id as varchar)) from deep where od <= {CLOSURE_MAX_DOCS})
+  select base, url from pg where page_id % 3 <> 0
+  union all select base, concat(base, '/p/', cast(page_id as varchar)) from pg
+  union all select base, concat(base, '/d/', cast(page_id as varchar)) from pg where page_id % 3 = 0)
  select distinct base, url from found
  where regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)""")
 def b03(spark, sf_dir):
     roots, docs = closure_input(_t(spark, sf_dir))
-    return X.sitemap_closure(roots, X.sitemap_docs(docs), pattern="/", max_docs=CLOSURE_MAX_DOCS)
+    return X.sitemap_closure(roots, X.sitemap_docs(docs), pattern="/")
 
 
 # --- B14: Open Graph fallback over pages rendered from part ------------------------------------

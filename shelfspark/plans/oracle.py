@@ -16,7 +16,7 @@ K = "cast(json_extract_string(props, '$.k') as integer)"
 VIEWS = {
     "reviews": """select l_partkey, cast(count(*) as int) as n,
  floor(200 + sum(l_quantity) * 25 / 4 / count(*)) / 100 as a
- from lineitem where l_returnflag = 'R' group by l_partkey""",
+ from lineitem group by l_partkey""",
     "catalog": """select d.doc_id as id,
  concat('https://', d.source, '.example.com/products/', replace(p.p_name,' ','-'), '-', cast(d.doc_id % 7 as varchar),
    case when d.doc_id % 4 = 0 then '-xl' when d.doc_id % 4 = 1 then '-s' else '' end, '?ref=', cast(d.doc_id as varchar)) as url,
@@ -27,7 +27,7 @@ VIEWS = {
  l.quality = 1 as made_in_canada,
  case when l.quality is null then null else concat('quality=', cast(l.quality as varchar)) end as made_in_canada_reason,
  r.n as num_reviews, r.a as average_rating
- from documents d join embeddings e on d.doc_id = e.vec_id join part p on p.p_partkey = d.doc_id
+ from documents d left join embeddings e on d.doc_id = e.vec_id join part p on p.p_partkey = d.doc_id
  left join labels l on l.doc_id = d.doc_id
  left join reviews r on r.l_partkey = d.doc_id""",
     "clicks": f"""select event_id as id, concat('/item/', cast(k % 40 as varchar)) as url, concat('src', cast(k % 5 as varchar)) as source,
@@ -128,7 +128,8 @@ def parsed_queries_sql(src: str = "search_queries") -> str:
     brand = "coalesce(" + ", ".join(
         f"case when contains(lower(text), '{b.lower().replace(chr(39), chr(39) * 2)}') then '{b.replace(chr(39), chr(39) * 2)}' end"
         for b in fixed.KNOWN_BRANDS) + ")"
-    origin = " or ".join(f"contains(lower(text), '{k}')" for k in fixed.ORIGIN_KEYWORDS)
+    folded = "replace(lower(text), '-', ' ')"
+    origin = " or ".join(f"contains({'lower(text)' if i else folded}, '{k}')" for i, k in enumerate(fixed.ORIGIN_KEYWORDS))
     has_range = f"regexp_matches(text, {_re(qp.RANGE_RE)})"
     return f"""select * exclude (_intent),
  case when {has_range} then cast(regexp_extract(text, {_re(qp.RANGE_RE)}, 1) as double) else {num(qp.MIN_RE)} end as min_price,
