@@ -143,42 +143,41 @@ def origin_filter(df: DataFrame, wanted: bool = False) -> DataFrame:
 
 
 # A07 / A08 -------------------------------------------------------------------
-def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "url", seq: str | None = None,
+def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "url", seq: str | list[str] | None = None,
                   preserve: list[str] | None = None, now: str | None = None) -> DataFrame:
-    """Whole-row upsert: the latest row per key wins (NULLs overwrite), ``created_at``
-    keeps the first value, ``preserve`` columns keep the stored value, and rows written by
-    this batch get ``scraped_at`` / ``updated_at`` = ``now``.
+    """Whole-row upsert: the latest row per key wins whole (NULLs overwrite), ``created_at``
+    keeps the first value, ``preserve`` columns keep the value first stored for the key — a stored
+    NULL too — and rows written by this batch get ``scraped_at`` / ``updated_at`` = ``now``.
 
-    One ``groupBy(key)`` with ``max_by`` over (batch, seq): partial aggregation runs before
+    Rows of a key are ordered by (batch, ``seq`` columns) and, where these tie, by the row itself.
+    One ``groupBy(key)`` with the largest and the smallest row: partial aggregation runs before
     the shuffle, so a key repeated in many input rows is combined map-side.
     """
-    preserve = preserve or []
-    cols = [c for c in old.columns if c not in (key,)]
-    new_cols = set(new.columns)
-    o = old.select(key, *cols, F.lit(0).alias("_batch"), F.lit(0).cast("long").alias("_seq"))
-    n = new.select(key, *[F.col(c) if c in new_cols else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in cols],
-                   F.lit(1).alias("_batch"),
-                   (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("_seq"))
-    u = o.unionByName(n)
-    order = F.struct("_batch", "_seq")
-    aggs = []
-    for c in cols:
-        if c in preserve:
-            aggs.append(F.coalesce(F.max_by(F.col(c), F.when(F.col("_batch") == 0, F.lit(1))),
-                                   F.max_by(F.col(c), order)).alias(c))
-        elif c == "created_at":
-            aggs.append(F.min(c).alias(c))
-        else:
-            aggs.append(F.max_by(F.col(c), order).alias(c))
-    g = u.groupBy(key).agg(*aggs, F.max("_batch").alias("_touched"), F.min("_batch").alias("_first_batch"))
-    ts = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
-    out = g
-    for c in ("scraped_at", "updated_at"):
-        if c in cols:
-            out = out.withColumn(c, F.when(F.col("_touched") == 1, ts).otherwise(F.col(c)))
+    seqs = [seq] if isinstance(seq, str) else list(seq or [])
+    cols = [c for c in old.columns if c != key]
+    kept = [c for c in (preserve or []) if c in cols]
+    row = F.struct(*cols).alias("_row")
+    o = old.select(key, F.lit(0).alias("_batch"), *[F.lit(0).cast("long").alias(f"_seq{i}") for i in range(len(seqs))], row)
+    have = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType) for c in cols]
+    n = new.select(key, F.lit(1).alias("_batch"), *[F.col(s).cast("long").alias(f"_seq{i}") for i, s in enumerate(seqs)],
+                   F.struct(*[c.cast(old.schema[x].dataType).alias(x) for c, x in zip(have, cols)]).alias("_row"))
+    whole = F.struct("_batch", *[f"_seq{i}" for i in range(len(seqs))], "_row")
+    first = F.struct("_batch", *[f"_seq{i}" for i in range(len(seqs))], F.struct(F.lit(0).alias("_"), *[F.col(f"_row.{c}").alias(c) for c in kept]).alias("_row"))
+    aggs = [F.max(whole).alias("_last"), F.min(first).alias("_first")]
     if "created_at" in cols:
-        out = out.withColumn("created_at", F.coalesce(F.col("created_at"), F.when(F.col("_first_batch") == 1, ts)))
-    return out.drop("_touched", "_first_batch")
+        aggs.append(F.min("_row.created_at").alias("_created"))
+    g = o.unionByName(n).groupBy(key).agg(*aggs)
+    touched, added = F.col("_last._batch") == 1, F.col("_first._batch") == 1
+    ts = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
+
+    def value(c):
+        if c in ("scraped_at", "updated_at"):
+            return F.when(touched, ts).otherwise(F.col(f"_last._row.{c}"))
+        if c == "created_at":
+            return F.coalesce("_created", F.when(added, ts))
+        return F.col(f"_first._row.{c}" if c in kept else f"_last._row.{c}")
+
+    return g.select(key, *[value(c).alias(c) for c in cols])
 
 
 def upsert_quarantine(new: DataFrame, valid: F.Column | None = None, key: str = "url"):
@@ -195,14 +194,9 @@ def upsert_quarantine(new: DataFrame, valid: F.Column | None = None, key: str =
 
 
 # D04 / G04 -------------------------------------------------------------------
-def secondary_source(df: DataFrame, side: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+def secondary_source(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Left join of a keyed side table (service replies re-aimed as tables: enrichment,
-    embeddings, rerank scores).  The side is broadcast only when its row count is within
-    ``bound``; otherwise Spark plans a shuffle join (AQE may still switch at run time)."""
-    from .. import limits
-
-    if bound is not None and limits.fits(side, bound):
-        side = F.broadcast(side)
+    embeddings, rerank scores).  Spark picks the join by the sizes it finds."""
     return df.join(side, key, "left")
 
 

@@ -8,9 +8,9 @@ occurrences of query terms, in position order, are split into minimal
 covers (shortest spans holding every query term), and each cover adds
 ``w / (1 + noise)`` where noise counts the non-query positions inside it.
 
-Plan shape: the tokeniser is a narrow ``posexplode``; the query-term side is
-a bounded batch and is broadcast, so only occurrences of query terms reach
-the single shuffle (grouping by ``(query_id, id)``).  The per-pair fold runs
+Plan shape: the tokeniser is a narrow ``posexplode``; a small query-term side is
+broadcast by Spark's own size check, so only occurrences of query terms reach
+the shuffle that groups by ``(query_id, id)``.  The per-pair fold runs
 over that pair's occurrences, which all come from one document row.
 """
 
@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .. import limits
-
 TOKEN_RE = r"[\p{L}\p{N}]+"
 # default weight of unlabelled text (stored as a 4-byte float, read back as double)
 COVER_WEIGHT = 0.10000000149011612
@@ -94,8 +92,7 @@ def query_terms(queries: DataFrame, text: Column, mode: str = "simple", keep: li
 
 def matched_occurrences(doc_terms: DataFrame, qterms: DataFrame, extra_cols: list[str] | None = None) -> DataFrame:
     """Occurrence rows of query terms: ``(query_id, id, term_idx, n_terms, pos, extra...)``."""
-    limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
-    return doc_terms.join(F.broadcast(qterms), "term").select(
+    return doc_terms.join(qterms, "term").select(
         "query_id", "id", "term_idx", "n_terms", "pos", *(extra_cols or []))
 
 
@@ -151,11 +148,8 @@ def match_and_rank(occ: DataFrame, keep_cols: list[str] | None = None) -> DataFr
     return g.select("query_id", "id", *keep_cols, rank.alias("text_rank"))
 
 
-def text_match(docs: DataFrame, queries: DataFrame, doc_text: Column, query_text: Column, mode: str = "simple"):
-    """``(query_id, id)`` of documents containing every query term."""
-    dt = analyze(docs, ["id"], doc_text, mode)
-    qt = query_terms(queries, query_text, mode)
-    occ = matched_occurrences(dt, qt)
+def text_match(occ: DataFrame) -> DataFrame:
+    """``(query_id, id)`` of documents containing every query term, from their occurrence rows."""
     return occ.groupBy("query_id", "id").agg(
         F.max("n_terms").alias("n_terms"), F.count_distinct("term_idx").alias("n_found")
     ).where(F.col("n_found") == F.col("n_terms")).select("query_id", "id")
@@ -164,7 +158,7 @@ def text_match(docs: DataFrame, queries: DataFrame, doc_text: Column, query_text
 # Inverted index -------------------------------------------------------------------------
 # Term occurrences stored once per catalogue snapshot, partitioned by a hash bucket of the
 # term.  A query batch joins on (term_bucket, term): the broadcast query terms prune the
-# index scan to the buckets its terms fall in (dynamic partition pruning), so a batch reads
+# index scan to the buckets its terms fall in (dynamic partition pruning), so a small batch reads
 # a fraction of the index instead of re-tokenising every document.
 INDEX_BUCKETS = 64
 
@@ -180,6 +174,10 @@ def build_index(docs: DataFrame, id_cols: list[str], text: Column, mode: str = "
 
 
 def write_index(index: DataFrame, path: str) -> str:
-    """One folder per term bucket (files clustered by bucket, then term)."""
-    index.repartition("term_bucket").sortWithinPartitions("term").write.partitionBy("term_bucket").parquet(path)
+    """One folder per term bucket, sorted by term inside each file, so that row-group statistics prune as well.
+
+    The range exchange orders by (bucket, term, id): a very common word, or a large bucket, is spread over as many
+    files as its rows need, and the number of tasks follows the data, not the number of buckets."""
+    index.repartitionByRange("term_bucket", "term", "id").sortWithinPartitions("term_bucket", "term", "id").write.partitionBy(
+        "term_bucket").parquet(path)
     return path

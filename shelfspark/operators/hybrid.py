@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .. import limits
 from ..session import ensure_checkpoint_dir
 from ..functions import fixed
 from ..functions import queryparse as QP
 from ..functions import text as TX
 from ..functions import urls as U
 from . import fulltext as FT
-from .vector import q6, top_k_per_group, vector_topk, vector_topk_blocked  # noqa: F401
+from .vector import q6, top_k_per_group, vector_topk
 
 DISPLAY = ["name", "brand", "description", "price", "currency", "url", "source_site", "num_reviews",
            "average_rating", "images", "made_in_canada", "made_in_canada_reason"]
@@ -75,33 +74,31 @@ def search_index(products: DataFrame, mode: str = "simple", buckets: int = FT.IN
                           ["id", "url", *FILTER_COLS], search_text(p), mode, buckets)
 
 
-def text_topk(p: DataFrame, pq: DataFrame, k: int, pred: Column, mode: str = "simple", checked: bool = False,
-              index: DataFrame | None = None) -> DataFrame:
-    """Text branch: documents matching every intent term and the filters; top k by rank per query.
+def text_occurrences(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
+    """Occurrences of each query's terms in the documents that pass its filters.
 
-    With ``index`` (``search_index`` output, stored partitioned by ``term_bucket``) the join
-    also matches the bucket, so only the buckets of the batch's terms are scanned."""
+    ``index`` is a stored ``search_index``; without it the documents are analysed here.  The join names the bucket as
+    well as the term, so that a small batch, which Spark broadcasts by its own size check, prunes the index's folders."""
     params = [c for c in pq.columns if c.startswith("q_")]
     qterms = FT.query_terms(pq, F.col("intent"), mode, keep=params)
-    if not checked:
-        # the batch's terms are small: materialise them once (reliable checkpoint), then size
-        # check, broadcast and partition pruning all read that copy
-        ensure_checkpoint_dir(pq.sparkSession)
-        qterms = qterms.checkpoint(eager=True)
-        limits.check_broadcast(qterms, limits.MAX_QUERY_TERMS, "query terms")
-    if index is None:
-        doc_terms = FT.analyze(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
-                               ["id", "url", *FILTER_COLS], search_text(p), mode)
-        occ = doc_terms.join(F.broadcast(qterms), "term").where(pred)
-    else:
-        qb = qterms.withColumn("term_bucket", FT.term_bucket(F.col("term")))
-        occ = index.join(F.broadcast(qb), ["term_bucket", "term"]).where(pred)
+    qterms = qterms.withColumn("term_bucket", FT.term_bucket(F.col("term")))
+    index = search_index(p, mode) if index is None else index
+    return index.join(qterms, ["term_bucket", "term"]).where(pred)
+
+
+def text_topk(p: DataFrame, pq: DataFrame, k: int | None, pred: Column, mode: str = "simple",
+              index: DataFrame | None = None) -> DataFrame:
+    """Text branch: documents matching every intent term and the filters, with their rank; top k per query, or all
+    (``k`` None)."""
+    occ = text_occurrences(p, pq, pred, mode, index)
     ranked = FT.match_and_rank(occ.select("query_id", "id", "url", "term_idx", "n_terms", "pos"), ["url"])
+    if k is None:
+        return ranked
     return top_k_per_group(ranked, ["query_id"], [F.desc("text_rank"), F.asc("url")], k)
 
 
 def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES, use_parsed: bool = True,
-               origin_only: bool | None = None, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
+               origin_only: bool | None = None, mode: str = "english", index: DataFrame | None = None) -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
     # the parsed batch is small and read by both branches: cut its lineage once
@@ -109,23 +106,21 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
     ensure_checkpoint_dir(p.sparkSession)
     pq = prepare_queries(queries).checkpoint(eager=True)
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
-    sizes = limits.batch_sizes(p, pq, F.array_distinct(FT.tokens(F.col("intent"))))
-    vec = vector_topk_blocked(p.select("id", "url", "embedding", *FILTER_COLS), pq, k, use_parsed, origin_only,
-                              n_products=sizes["products"])
-    txt = text_topk(p, pq, k, pred, mode, checked=True, index=index)
+    vec = vector_topk(p, pq, k, use_parsed, origin_only)
+    txt = text_topk(p, pq, k, pred, mode, index=index)
     cand = vec.select("query_id", "id", "vector_similarity", F.lit(0.0).alias("text_rank"),
                       F.lit("vector").alias("branch")).unionByName(
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",
                    F.lit("text").alias("branch")))
-    # at most 2k rows per query: a bounded side, broadcast against the product scan
+    # at most 2k rows per query; a plain equi-join, so that Spark chooses by the size it finds.  The stored catalogue
+    # also joins on its folder key, which prunes the scan where the candidates are few
+    keys = ["id"]
     if "id_bucket" in p.columns:
-        # stored catalogue in id-bucket folders: the broadcast candidates prune the scan
         from ..sources.adapters import id_bucket
 
         cand = cand.withColumn("id_bucket", id_bucket("id"))
-        return p.select("id_bucket", "id", *DISPLAY).join(F.broadcast(cand), ["id_bucket", "id"]).drop("id_bucket")
-    disp = p.select("id", *DISPLAY)
-    return disp.join(F.broadcast(cand), "id")
+        keys = ["id_bucket", "id"]
+    return p.select(*keys, *DISPLAY).join(cand, keys).drop("id_bucket")
 
 
 def merge_candidates(cand: DataFrame, key: str = "url_base") -> DataFrame:
@@ -163,7 +158,7 @@ def hybrid_score(alpha: float = fixed.ALPHA, origin_boost: float = fixed.ORIGIN_
 def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES,
                   final_k: int = fixed.SQL_CANDIDATES, alpha: float = fixed.ALPHA,
                   origin_boost: float = fixed.ORIGIN_BOOST_MAIN, min_reviews: int = fixed.MIN_REVIEWS_FOR_TRUST,
-                  mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
+                  mode: str = "english", index: DataFrame | None = None) -> DataFrame:
     """Ranked candidates per query with ``hybrid_score`` (before de-dupe and rerank)."""
     merged = merge_candidates(candidates(products, queries, k, mode=mode, index=index))
     scored = minmax_norm(merged, "vector_similarity", "vector_similarity_norm", 1.0)
@@ -174,7 +169,7 @@ def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CA
 
 def hybrid_search_basic(products: DataFrame, queries: DataFrame, k: int = fixed.INITIAL_SEARCH_LIMIT,
                         limit: int = 25, origin_boost: float = fixed.ORIGIN_BOOST_API,
-                        origin_only: bool = False, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
+                        origin_only: bool = False, mode: str = "english", index: DataFrame | None = None) -> DataFrame:
     """Un-normalised ``0.5 v + 0.5 t + boost`` over candidates merged by exact url.
 
     Only the request's origin flag filters; parsed price / rating / brand do not.

@@ -2,7 +2,7 @@
 
 The de-dupe is order dependent (a row is dropped only by an earlier *kept*
 row), so it is a fold.  It runs per query over the ranked candidate list,
-which the funnel bounds at ``SQL_CANDIDATES`` rows, inside one aggregate.
+whose length is a parameter of the funnel, inside one aggregate.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from ..functions import text as TX
 from ..functions import urls as U
 from .vector import top_k_per_group
 
-MAX_FOLD_ROWS = 10 * fixed.SQL_CANDIDATES
-
-
 def dedupe_keys(df: DataFrame) -> DataFrame:
     brand_lc = F.lower(F.coalesce(F.col("brand"), F.lit("")))
     ptype = TX.product_type("name")
@@ -32,13 +29,19 @@ def dedupe_keys(df: DataFrame) -> DataFrame:
 def greedy_dedupe(ranked: DataFrame, max_per_brand_type: int = 0, rank_col: str = "rank",
                   group: str = "query_id") -> DataFrame:
     """Keep a row iff no earlier kept row has its name key or url base (and the
-    (brand, type) cap is not reached).  Adds ``dedupe_rank`` (1-based, in kept order)."""
+    (brand, type) cap is not reached).  Adds ``dedupe_rank`` (1-based, in kept order).
+
+    The fold needs a query's ranked list in order: the list is the funnel's, so its length is the
+    candidate parameter, not the data.  Each row travels whole in the list and the kept ones are
+    unfolded from it, so nothing is joined back."""
     k = dedupe_keys(ranked)
+    rows = F.struct(*[c for c in ranked.columns if c != group])
     items = F.array_sort(F.collect_list(F.struct(
         F.col(rank_col).alias("r"), F.col("_name_key").alias("n"), F.col("_url_base").alias("u"),
-        F.col("_bt_key").alias("b"))))
+        F.col("_bt_key").alias("b"), rows.alias("row"))))
     init = F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("urls"),
-                    F.array().cast("array<string>").alias("bts"), F.array().cast("array<int>").alias("kept"))
+                    F.array().cast("array<string>").alias("bts"), F.array().cast("array<int>").alias("kept"),
+                    F.lit(1).alias("at"))
 
     def step(acc, x):
         dup = F.array_contains(acc["names"], x["n"]) | F.array_contains(acc["urls"], x["u"])
@@ -50,17 +53,16 @@ def greedy_dedupe(ranked: DataFrame, max_per_brand_type: int = 0, rank_col: str
             F.when(keep, F.array_append(acc["names"], x["n"])).otherwise(acc["names"]).alias("names"),
             F.when(keep, F.array_append(acc["urls"], x["u"])).otherwise(acc["urls"]).alias("urls"),
             F.when(keep & x["b"].isNotNull(), F.array_append(acc["bts"], x["b"])).otherwise(acc["bts"]).alias("bts"),
-            F.when(keep, F.array_append(acc["kept"], x["r"].cast("int"))).otherwise(acc["kept"]).alias("kept"),
+            F.when(keep, F.array_append(acc["kept"], acc["at"])).otherwise(acc["kept"]).alias("kept"),
+            (acc["at"] + 1).alias("at"),
         )
 
-    g = k.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.aggregate(items, init, step, lambda a: a["kept"]).alias("kept"))
-    # the fold holds one query's candidate list, which the funnel bounds (rank <= SQL_CANDIDATES);
-    # a larger group fails the job instead of growing one task without limit
-    g = g.withColumn("kept", F.when(F.col("_n") <= MAX_FOLD_ROWS, F.col("kept")).otherwise(
-        F.raise_error(F.lit(f"greedy_dedupe: a group exceeds {MAX_FOLD_ROWS} rows; cut it to the funnel first"))))
-    g = g.select(group, F.posexplode("kept").alias("_pos", rank_col)).select(
-        group, rank_col, (F.col("_pos") + 1).alias("dedupe_rank"))
-    return ranked.join(g, [group, rank_col])
+    g = k.groupBy(group).agg(items.alias("_items"))
+    keys = F.transform("_items", lambda x: F.struct(x["n"].alias("n"), x["u"].alias("u"), x["b"].alias("b")))
+    g = g.withColumn("_kept", F.aggregate(keys, init, step, lambda a: a["kept"]))
+    g = g.select(group, "_items", F.posexplode("_kept").alias("_pos", "_at"))
+    g = g.select(group, F.element_at("_items", F.col("_at"))["row"].alias("_row"), (F.col("_pos") + 1).alias("dedupe_rank"))
+    return g.select(*[F.col(group) if c == group else F.col(f"_row.{c}").alias(c) for c in ranked.columns], "dedupe_rank")
 
 
 def cap_per_group(ranked: DataFrame, n: int, rank_col: str = "rank", group: str = "query_id") -> DataFrame:

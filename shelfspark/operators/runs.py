@@ -114,15 +114,13 @@ def pct(part: Column, total: Column) -> Column:
 
 def origin_stats(listings: DataFrame, flags: list[str]) -> DataFrame:
     """Yes / no / unknown counts and percentages for each three-valued flag (one population)."""
-    parts = []
-    for f in flags:
-        c = F.col(f)
-        parts.append(listings.agg(
-            F.lit(f).alias("flag"), F.count_if(c).alias("yes"), F.count_if(~c).alias("no"),
-            F.count_if(c.isNull()).alias("unknown"), F.count(F.lit(1)).alias("total")))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+    # one scan: all counts in one aggregate, then a row per flag
+    aggs = [x for i, f in enumerate(flags) for x in (
+        F.count_if(F.col(f)).alias(f"y{i}"), F.count_if(~F.col(f)).alias(f"n{i}"), F.count_if(F.col(f).isNull()).alias(f"u{i}"))]
+    g = listings.agg(*aggs, F.count(F.lit(1)).alias("total"))
+    rows = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"y{i}").alias("yes"), F.col(f"n{i}").alias("no"), F.col(f"u{i}").alias("unknown"))
+                     for i, f in enumerate(flags)])
+    df = g.select("total", F.inline(rows))
     return df.select("flag", "yes", "no", "unknown", pct(F.col("yes"), F.col("total")).alias("yes_pct"),
                      pct(F.col("no"), F.col("total")).alias("no_pct"),
                      pct(F.col("unknown"), F.col("total")).alias("unknown_pct"))
@@ -199,18 +197,17 @@ def event_phase_times(events: DataFrame, lines: DataFrame | None = None) -> Data
     The run starts at its first received line (``lines``) when given, else at its first event."""
     secs = lambda a, b: F.bround(b.cast("double") - a.cast("double"), 0).cast("long")
     t = TU.epoch_seconds("ts")
+    # one pass over the events; the first content after the tool is found among the run's content times
     g = events.groupBy("run_id").agg(
         F.min(t).alias("t0"),
         F.min(F.when(F.col("type").isin("tool_start", "content"), t)).alias("t_first"),
         F.min(F.when(F.col("type") == "tool_start", t)).alias("t_tool"),
         F.min(F.when(F.col("type") == "tool_complete", t)).alias("t_done"),
+        F.collect_set(F.when(F.col("type") == "content", t)).alias("contents"),
     )
-    first_content_after = events.join(g.select("run_id", "t_done"), "run_id").where(
-        (F.col("type") == "content") & (TU.epoch_seconds("ts") >= F.col("t_done"))).groupBy(
-        "run_id").agg(F.min(TU.epoch_seconds("ts")).alias("t_gen"))
-    j = g.join(first_content_after, "run_id", "left")
+    j = g.withColumn("t_gen", F.array_min(F.filter("contents", lambda c: c >= F.col("t_done"))))
     if lines is not None:
-        starts = lines.groupBy("run_id").agg(F.min(TU.epoch_seconds("ts")).alias("t_start"))
+        starts = lines.groupBy("run_id").agg(F.min(t).alias("t_start"))
         j = j.join(starts, "run_id", "left").withColumn("t0", F.coalesce("t_start", "t0"))
     stack = F.expr("stack(3, 'planning', planning, 'tool', tool, 'analyzing', analyzing) as (phase, seconds)")
     return j.select("run_id", secs(F.col("t0"), F.col("t_first")).alias("planning"),

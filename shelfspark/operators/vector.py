@@ -1,20 +1,19 @@
 """Exact and approximate vector top-k (H01, H02) with cosine similarity.
 
-Exact search compares every (query, product) pair, as an exact k-NN must:
-the query batch is a bounded, size-checked side that is broadcast while the
-product side streams; a per-query ``row_number() <= k`` lets Spark keep only
-k rows per query and partition before the shuffle (WindowGroupLimit).
-Norms are computed once per row, before the pairing.
+Exact search compares every query with every product, as an exact k-NN must, but never makes the
+pairs: the product scan streams through an Arrow kernel that multiplies each batch by a tile of the
+query batch and keeps k rows per query and task.  Nothing below the kernel shuffles on the product
+side; only the kept rows do.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .. import limits
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
@@ -36,46 +35,16 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def pair_with_queries(products: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every product row next to every query of a bounded batch (the reference's
-    single-row parameter relation, generalised to a batch).  The batch is broadcast only
-    after its size is checked; a larger batch must be split (``vector_topk_blocked`` scores
-    any batch without materialising pairs)."""
-    limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
-    return products.crossJoin(F.broadcast(queries))
-
-
-def cosine_pairs(products: DataFrame, queries: DataFrame, pred=None) -> DataFrame:
-    """(product cols..., query cols..., vector_similarity) for pairs passing ``pred``."""
-    p = products.where(F.col("embedding").isNotNull()).withColumn("_pn", norm(F.col("embedding")))
-    q = queries.withColumn("_qn", norm(F.col("query_vector")))
-    pairs = pair_with_queries(p, q)
-    if pred is not None:
-        pairs = pairs.where(pred)
-    # zero vectors have no direction: NULL similarity, never a division error
-    sim = F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.col("_pn") * F.col("_qn"))
-    return pairs.withColumn("vector_similarity", q6(sim)).where(F.col("vector_similarity").isNotNull()).drop("_pn", "_qn")
-
-
-def vector_topk(products: DataFrame, queries: DataFrame, k: int = 250, pred=None,
-                keep: list[str] | None = None) -> DataFrame:
-    """The ``k`` most similar products per query among those passing ``pred``.
-
-    Returns ``(query_id, id, url, keep..., vector_similarity, rank)``; ties by url.
-    """
-    keep = keep or []
-    pairs = cosine_pairs(products, queries, pred)
-    top = top_k_per_group(pairs, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)
-    return top.select("query_id", "id", "url", *[c for c in keep if c not in ("id", "url")],
-                      "vector_similarity", "rank")
+# H02 ------------------------------------------------------------------------
+FIT_ROWS = 200_000
 
 
-# H02 ------------------------------------------------------------------------
-def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10):
+def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10, fit_rows: int = FIT_ROWS):
     """Coarse quantiser: k-means over L2-normalised embeddings (cosine geometry).
 
-    Returns ``(model, assigned)``, ``assigned`` = products with ``list_id``.  Training and
-    assignment are distributed (MLlib); nothing is collected.
+    Returns ``(centers, assigned)``: centres as ``(list_id, center)``, at most ``lists`` rows, and every product with its
+    ``list_id``.  The centres are fitted on the ``fit_rows`` products with the smallest hash of the id (a bounded
+    sample); training and assignment are distributed (MLlib).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -85,17 +54,31 @@ def ivf_index(products: DataFrame, lists: int = 100, seed: int = 7, max_iter: in
     unit = F.transform("embedding", lambda v: v.cast("double") / F.col("_n"))
     feats = p.withColumn("features", array_to_vector(unit)).drop("_n")
     k = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
-    model = k.fit(feats)
-    return model, model.transform(feats).drop("features")
+    model = k.fit(feats.orderBy(F.xxhash64("id")).limit(fit_rows))
+    centers = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    return products.sparkSession.createDataFrame(centers, "list_id int, center array<double>"), model.transform(feats).drop("features")
+
+
+def stored_ivf_index(products: DataFrame, store, lists: int = 100, **options):
+    """The index built once and kept: ``store(name, build)`` writes ``build()`` under ``name`` unless it is there, and
+    reads it back.  Assigned products are laid out by list, each list over as many files as its rows need."""
+    built = []
+
+    def part(i):
+        if not built:
+            built.extend(ivf_index(products, lists, **options))
+        return built[i]
+
+    assigned = store(f"ivf_{lists}_assigned", lambda: part(1).repartitionByRange("list_id", "id").sortWithinPartitions("list_id"))
+    return store(f"ivf_{lists}_centers", lambda: part(0)), assigned
 
 
-def vector_topk_ivf(assigned: DataFrame, model, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
+def vector_topk_ivf(centers: DataFrame, assigned: DataFrame, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
     """Approximate top-k: each query probes its ``probes`` nearest lists; exact cosine
-    inside them.  The query -> list pairs are an equi-join key, so only probed lists meet."""
-    centers = [c.tolist() for c in model.clusterCenters()]  # the fitted model: lists x dim, bounded by ``lists``
-    cdf = assigned.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centers)], "list_id int, center array<double>")
+    inside them.  The query -> list pairs are an equi-join key, so only probed lists meet; a large list is one
+    skewed key, which the skew join splits.  Choosing lists compares each query with the (at most ``lists``) centres."""
     q = queries.withColumn("_qn", norm(F.col("query_vector")))
-    qc = q.select("query_id", "query_vector", "_qn").crossJoin(F.broadcast(cdf))
+    qc = q.select("query_id", "query_vector", "_qn").crossJoin(F.broadcast(centers))
     qc = qc.withColumn("_d", F.try_divide(dot(F.col("query_vector"), F.col("center")), F.col("_qn") * norm(F.col("center"))))
     probe = top_k_per_group(qc, ["query_id"], [F.desc("_d"), F.asc("list_id")], probes, "_pr").select(
         "query_id", "list_id", "query_vector", "_qn")
@@ -114,108 +97,149 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return tot.join(hit, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("k")).alias("recall"))
 
 
-# H01, blocked form -------------------------------------------------------------
-# Exact top-k for a batch of queries without materialising (product, query) rows:
-# products are hashed into bounded blocks; the (size-checked) query batch is replicated
-# to every block; a cogroup kernel multiplies each block by the query matrix (numpy),
-# applies the per-query filters and keeps the k best of each query in the block
-# (ties at the k-th value kept).  A per-query window then picks the global top k.
-BLOCK_ROWS = 50_000
+# H01 -------------------------------------------------------------------------
+# A tile is a part of the query batch with a fixed number of bytes; a batch of any size is searched
+# tile by tile, so the size of what is sent to a task does not grow with the batch.
+TILE_BYTES = 32 << 20
+PRODUCT_ROWS = 8192
+SCORE_CELLS = 4 << 20
 
 VEC_OUT = "query_id long, id long, url string, vector_similarity double"
+PRODUCT_COLS = ["id", "url", "embedding", "price_num", "average_rating", "brand_lc", "made_in_canada"]
+QUERY_COLS = ["query_id", "query_vector", "q_min_price", "q_max_price", "q_min_rating", "q_brand", "q_origin"]
 
 
-def _stack(col, dim=None):
-    import numpy as np
+def dimension_rejects(products: DataFrame, dim: int) -> DataFrame:
+    """Products whose embedding is present but has another dimension than the batch's: they are not comparable."""
+    return products.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim))
 
-    vals = [np.asarray(v, dtype=np.float64) if v is not None else None for v in col]
-    if not vals:
-        return np.zeros((0, dim or 0))
-    d = dim or max((len(v) for v in vals if v is not None), default=0)
-    out = np.full((len(vals), d), np.nan)
-    for i, v in enumerate(vals):
-        if v is not None and len(v) == d:
-            out[i] = v
+
+def query_tiles(queries: DataFrame, tile_bytes: int = TILE_BYTES) -> tuple[int, list[DataFrame]]:
+    """(dimension, tiles) of a query batch, which should be stored: each tile has about ``tile_bytes`` of vectors."""
+    dim, n = queries.agg(F.coalesce(F.max(F.size("query_vector")), F.lit(0)), F.count("query_vector")).first()
+    tiles = -(-n * max(1, dim) * 8 // tile_bytes)
+    part = F.pmod(F.xxhash64("query_id", F.lit("tile")), F.lit(max(1, tiles)))
+    return dim, [queries.where(part == t) for t in range(tiles)]
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an array column as doubles; rows that are NULL, of another dimension or hold NULLs become NaN."""
+    out = np.full((len(column), dim), np.nan)
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(sizes == dim)
+    if len(at) and dim:
+        flat = column.take(pa.array(at)).flatten()
+        out[at] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), dim)
     return out
 
 
-def _block_kernel(k: int, use_parsed: bool, origin_only):
-    import numpy as np
-    import pandas as pd
-
-    def run(prod: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if prod.empty or qs.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "url": [], "vector_similarity": []})
-        P = _stack(prod["embedding"])
-        Q = _stack(qs["query_vector"], P.shape[1])
-        pn = np.sqrt(np.einsum("ij,ij->i", P, P))
-        qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = (P @ Q.T) / (pn[:, None] * qn[None, :])
-            S = np.floor(S * 1e6 + 0.5) / 1e6
-        ok_all = np.isfinite(S)
-        mic = (prod["made_in_canada"].to_numpy() == True)  # noqa: E712  (NULL is not true)
-        price = pd.to_numeric(prod["price_num"], errors="coerce").to_numpy(dtype=float)
-        rating = pd.to_numeric(prod["average_rating"], errors="coerce").to_numpy(dtype=float)
-        brand = prod["brand_lc"].to_numpy()
-        brand_cache: dict = {}
-        ids, urls = prod["id"].to_numpy(), prod["url"].to_numpy()
-        out = []
-        for j, q in enumerate(qs.itertuples(index=False)):
-            m = ok_all[:, j].copy()
-            want_origin = bool(q.q_origin) if origin_only is None else bool(origin_only)
-            if want_origin:
-                m &= mic
-            if use_parsed:
-                if q.q_min_price is not None and not pd.isna(q.q_min_price):
-                    m &= price >= q.q_min_price
-                if q.q_max_price is not None and not pd.isna(q.q_max_price):
-                    m &= price <= q.q_max_price
-                if q.q_min_rating is not None and not pd.isna(q.q_min_rating):
-                    m &= rating >= q.q_min_rating
-                if q.q_brand is not None and not (isinstance(q.q_brand, float) and pd.isna(q.q_brand)):
-                    if q.q_brand not in brand_cache:
-                        brand_cache[q.q_brand] = np.array([b is not None and q.q_brand in b for b in brand], dtype=bool)
-                    m &= brand_cache[q.q_brand]
-            idx = np.nonzero(m)[0]
-            if idx.size == 0:
-                continue
-            s = S[idx, j]
-            if idx.size > k:
-                kth = np.partition(s, -k)[-k]
-                keep = s >= kth
-                idx, s = idx[keep], s[keep]
-            out.append(pd.DataFrame({"query_id": np.full(idx.size, q.query_id, dtype=np.int64),
-                                     "id": ids[idx].astype(np.int64), "url": urls[idx], "vector_similarity": s}))
-        if not out:
-            return pd.DataFrame({"query_id": [], "id": [], "url": [], "vector_similarity": []})
-        return pd.concat(out, ignore_index=True)
+def _passes(batch: dict, q, use_parsed: bool, origin_only) -> np.ndarray:
+    """The per-query filters on one batch; NULL product values fail a set filter."""
+    ok = np.ones(len(batch["mic"]), dtype=bool)
+    if q["q_origin"] if origin_only is None else origin_only:
+        ok &= batch["mic"]
+    if use_parsed:
+        if q["q_min_price"] is not None:
+            ok &= batch["price"] >= q["q_min_price"]
+        if q["q_max_price"] is not None:
+            ok &= batch["price"] <= q["q_max_price"]
+        if q["q_min_rating"] is not None:
+            ok &= batch["rating"] >= q["q_min_rating"]
+        if q["q_brand"] is not None:
+            if q["q_brand"] not in batch["brands"]:
+                batch["brands"][q["q_brand"]] = np.array([b is not None and q["q_brand"] in b for b in batch["brand"]], dtype=bool)
+            ok &= batch["brands"][q["q_brand"]]
+    return ok
+
+
+def _batches(batches, dim: int, n_queries: int):
+    """Product batches in slices, so that a slice times the tile stays within ``SCORE_CELLS``."""
+    rows = max(64, min(PRODUCT_ROWS, SCORE_CELLS // max(1, n_queries)))
+    number = lambda c: c.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            c = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+            yield {"ids": c["id"].to_numpy(zero_copy_only=False), "urls": c["url"], "vectors": c["embedding"],
+                   "price": number(c["price_num"]), "rating": number(c["average_rating"]), "brand": c["brand_lc"].to_pylist(), "brands": {},
+                   "mic": c["made_in_canada"].fill_null(False).to_numpy(zero_copy_only=False)}
+
+
+def _topk_kernel(qs: list, dim: int, k: int, use_parsed: bool, origin_only):
+    def run(batches):
+        vectors = np.array([q["query_vector"] if len(q["query_vector"]) == dim else [np.nan] * dim for q in qs], dtype=np.float64)
+        lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        best = [(np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)) for _ in qs]
+        for b in _batches(batches, dim, len(qs)):
+            x = _matrix(b["vectors"], dim)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # zero vectors have no direction: no similarity, never a division error
+                s = (x @ vectors.T) / (np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * lengths[None, :])
+                s = np.floor(s * 1e6 + 0.5) / 1e6
+            s[~np.isfinite(s)] = -np.inf
+            urls = None
+            for j, q in enumerate(qs):
+                held = best[j]
+                least = held[0].min() if len(held[0]) >= k else -2.0
+                at = np.flatnonzero((s[:, j] >= least) & _passes(b, q, use_parsed, origin_only))
+                if not len(at):
+                    continue
+                urls = np.array(b["urls"].to_pylist(), dtype=object) if urls is None else urls
+                score = np.concatenate([held[0], s[at, j]])
+                ids, names = np.concatenate([held[1], b["ids"][at]]), np.concatenate([held[2], urls[at]])
+                if len(score) > k:  # rows that tie with the k-th stay: the url decides later
+                    keep = score >= np.partition(score, -k)[-k]
+                    score, ids, names = score[keep], ids[keep], names[keep]
+                best[j] = (score, ids, names)
+        for q, (score, ids, names) in zip(qs, best):
+            if len(score):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(score), q["query_id"], dtype=np.int64)), pa.array(ids.astype(np.int64)), pa.array(names.tolist(), pa.string()), pa.array(score)],
+                    names=["query_id", "id", "url", "vector_similarity"])
+
+    return run
+
+
+def _count_kernel(qs: list, dim: int, use_parsed: bool, origin_only):
+    def run(batches):
+        total = np.zeros(len(qs), dtype=np.int64)
+        for b in _batches(batches, dim, len(qs)):
+            there = b["vectors"].is_valid().to_numpy(zero_copy_only=False)
+            total += [int((there & _passes(b, q, use_parsed, origin_only)).sum()) for q in qs]
+        yield pa.RecordBatch.from_arrays([pa.array([q["query_id"] for q in qs], pa.int64()), pa.array(total)], names=["query_id", "n"])
 
     return run
 
 
-def vector_topk_blocked(products: DataFrame, queries: DataFrame, k: int = 250, use_parsed: bool = True,
-                        origin_only: bool | None = None, block_rows: int = BLOCK_ROWS,
-                        n_products: int | None = None) -> DataFrame:
-    """``(query_id, id, url, vector_similarity, rank)``; same result as ``vector_topk``
-    with the per-query filter predicate, computed block-wise (see above).
-
-    ``n_products`` (an upper bound on product rows) skips the sizing job when the caller
-    has already counted the batch (``limits.batch_sizes``)."""
-    p = products.where(F.col("embedding").isNotNull())
-    if n_products is None:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(products.sparkSession)
-        queries = queries.checkpoint(eager=True)  # small batch: computed once, read by check and kernel
-        limits.check_broadcast(queries, limits.MAX_QUERY_BATCH, "query batch")
-        n_products = p.count()
-    n = n_products
-    n_blocks = max(1, -(-n // block_rows))
-    pcols = ["id", "url", "embedding", "price_num", "average_rating", "brand_lc", "made_in_canada"]
-    qcols = ["query_id", "query_vector", "q_min_price", "q_max_price", "q_min_rating", "q_brand", "q_origin"]
-    pb = p.select(*pcols).withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    qb = queries.select(*qcols).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    local = pb.groupBy("_blk").cogroup(qb.groupBy("_blk")).applyInPandas(
-        _block_kernel(k, use_parsed, origin_only), VEC_OUT)
+def _tiled(products: DataFrame, queries: DataFrame, schema: str, kernel, tile_bytes: int) -> DataFrame:
+    """The kernel of each tile over the product scan; one scan per tile."""
+    p = products.select(*PRODUCT_COLS).where(F.col("embedding").isNotNull())
+    dim, tiles = query_tiles(queries, tile_bytes)
+    out = products.sparkSession.createDataFrame([], schema)
+    for tile in tiles:
+        qs = [r.asDict() for r in tile.select(*QUERY_COLS).where(F.col("query_vector").isNotNull()).collect()]  # one tile: bounded bytes
+        if qs:
+            out = out.unionByName(p.mapInArrow(kernel(qs, dim), schema))
+    return out
+
+
+def vector_topk(products: DataFrame, queries: DataFrame, k: int = 250, use_parsed: bool = True,
+                origin_only: bool | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """The ``k`` most similar products per query among those passing its filters:
+    ``(query_id, id, url, vector_similarity, rank)``; ties by url.
+
+    ``queries`` is the parsed batch (``hybrid.prepare_queries``), best stored or checkpointed: it is read once per
+    tile.  Products whose vector has another dimension than the batch are not comparable (``dimension_rejects``).
+    """
+    local = _tiled(products, queries, VEC_OUT, lambda qs, dim: _topk_kernel(qs, dim, k, use_parsed, origin_only), tile_bytes)
     return top_k_per_group(local, ["query_id"], [F.desc("vector_similarity"), F.asc("url")], k)
+
+
+def candidate_counts(products: DataFrame, queries: DataFrame, use_parsed: bool = True, origin_only: bool | None = None,
+                     tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """``(query_id, n_candidates)``: products with a vector that pass each query's filters, for queries with any.
+
+    The reference's single-row parameter relation, generalised to a batch: every product meets every query inside the
+    tiled kernel, and a task returns one count per query."""
+    local = _tiled(products, queries, "query_id long, n long", lambda qs, dim: _count_kernel(qs, dim, use_parsed, origin_only), tile_bytes)
+    return local.groupBy("query_id").agg(F.sum("n").alias("n_candidates")).where("n_candidates > 0")

@@ -271,5 +271,5 @@ def a02(spark, sf_dir):
 def d04(spark, sf_dir):
     t = Tables(spark, sf_dir)
     side = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
-    return C.secondary_source(adapters.catalog(t).select("id", "url"), side, "id", bound=1_000_000).select(
+    return C.secondary_source(adapters.catalog(t).select("id", "url"), side, "id").select(
         "url", "quality", "toxic")

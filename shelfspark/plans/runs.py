@@ -21,9 +21,7 @@ def _t(spark, sf_dir):
 
 def report_input(t):
     """Job report rows: the rendered logs of ``orders`` plus run times."""
-    lg = adapters.logs(t)
-    o = t.orders.select(F.col("o_orderkey").alias("job"), "o_orderdate", "o_totalprice")
-    j = lg.join(o, "job")
+    j = adapters.logs(t)
     st = R.log_stats(F.col("text"))
     start = TU.epoch_seconds("o_orderdate")
     return j.select("job", "exit_code", *[c.alias(k) for k, c in st.items()],

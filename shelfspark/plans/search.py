@@ -8,7 +8,8 @@ from ..functions import fixed
 from ..operators import fulltext as FT
 from ..operators import hybrid as HY
 from ..operators import vector as V
-from ..operators.vector import q6, vector_topk
+from ..operators.vector import q6
+from ..session import ensure_checkpoint_dir
 from ..sources import adapters
 from ..sources.tables import Tables
 from . import oracle as O
@@ -21,10 +22,17 @@ def _pq(spark, sf_dir):
     return adapters.stored(spark, sf_dir, "catalog"), adapters.search_queries(t)
 
 
-def _index(spark, sf_dir):
-    """The stored inverted index of the stored catalogue (built once per session)."""
-    return adapters.materialize(spark, sf_dir, "catalog_index",
-                                lambda: HY.search_index(adapters.stored(spark, sf_dir, "catalog")), FT.write_index)
+def _index(spark, sf_dir, mode="simple"):
+    """The stored inverted index of the stored catalogue, one per analyser (built once per source state)."""
+    return adapters.materialize(spark, sf_dir, f"catalog_index_{mode}",
+                                lambda: HY.search_index(adapters.stored(spark, sf_dir, "catalog"), mode), FT.write_index)
+
+
+def _parsed(spark, sf_dir):
+    """(prepared products, parsed query batch cut from its lineage)."""
+    p, q = _pq(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    return HY.prepare_products(p), HY.prepare_queries(q).checkpoint(eager=True)
 
 
 @register("h07_hybrid_search", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
@@ -32,7 +40,7 @@ def _index(spark, sf_dir):
  from hybrid qualify rank <= 250""".format(tr=O.q6("text_rank"))))
 def h07(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    r = HY.hybrid_search(p, q, index=_index(spark, sf_dir))
+    r = HY.hybrid_search(p, q, mode="simple", index=_index(spark, sf_dir))
     return r.select("query_id", "rank", "url", "name", "brand", F.col("vector_similarity").alias("similarity"),
                     q6(F.col("text_rank")).alias("text_rank"), "hybrid_score", "made_in_canada", "num_reviews")
 
@@ -43,45 +51,37 @@ def h07(spark, sf_dir):
     k=fixed.INITIAL_SEARCH_LIMIT, basic=True))
 def h08(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    r = HY.hybrid_search_basic(p, q, index=_index(spark, sf_dir))
+    r = HY.hybrid_search_basic(p, q, mode="simple", index=_index(spark, sf_dir))
     return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
 
 
 @register("h01_vector_topk", search_sql("""select query_id, row_number() over (partition by query_id order by vs desc, url) as rank,
  id, url, vs as vector_similarity from vec"""))
 def h01(spark, sf_dir):
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    r = V.vector_topk_blocked(pp.select("id", "url", "embedding", *HY.FILTER_COLS), pq, fixed.SQL_CANDIDATES)
+    pp, pq = _parsed(spark, sf_dir)
+    r = V.vector_topk(pp, pq, fixed.SQL_CANDIDATES)
     return r.select("query_id", "rank", "id", "url", "vector_similarity")
 
 
 @register("h01_vector_topk_pairs", search_sql("""select query_id, row_number() over (partition by query_id order by vs desc, url) as rank,
  id, url, vs as vector_similarity from vec"""))
 def h01p(spark, sf_dir):
-    """H01 as an explicit pair join (broadcast of the checked batch); the reference plan for the blocked kernel."""
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    r = vector_topk(pp.select("id", "url", "embedding", *HY.FILTER_COLS), pq, fixed.SQL_CANDIDATES, HY.filter_pred())
+    """H01 with a small tile: the batch is searched in several tiles and gives the same rows."""
+    pp, pq = _parsed(spark, sf_dir)
+    r = V.vector_topk(pp, pq, fixed.SQL_CANDIDATES, tile_bytes=8 << 10)
     return r.select("query_id", "rank", "id", "url", "vector_similarity")
 
 
 @register("h03_text_match", search_sql("select query_id, id from matched"))
 def h03(spark, sf_dir):
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
-    qterms = FT.query_terms(pq, F.col("intent"), keep=[c for c in pq.columns if c.startswith("q_")])
-    occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
-    return occ.groupBy("query_id", "id").agg(F.max("n_terms").alias("n"), F.count_distinct("term_idx").alias("f")).where(
-        "n = f").select("query_id", "id")
+    pp, pq = _parsed(spark, sf_dir)
+    return FT.text_match(HY.text_occurrences(pp, pq, HY.filter_pred(), index=_index(spark, sf_dir)))
 
 
 @register("h04_text_rank_cd", search_sql(f"select query_id, id, {O.q6('text_rank')} as text_rank from ranked"))
 def h04(spark, sf_dir):
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred(), index=_index(spark, sf_dir))
+    pp, pq = _parsed(spark, sf_dir)
+    r = HY.text_topk(pp, pq, None, HY.filter_pred(), index=_index(spark, sf_dir))
     return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
 
 
@@ -98,21 +98,15 @@ def h05(spark, sf_dir):
 
 @register("d01_query_cross", search_sql("select query_id, count(*) as n_candidates from pairs group by query_id"))
 def d01(spark, sf_dir):
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    from ..operators.vector import pair_with_queries
-    pairs = pair_with_queries(pp.where(F.col("embedding").isNotNull()).select("id", *HY.FILTER_COLS), pq)
-    return pairs.where(HY.filter_pred()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    pp, pq = _parsed(spark, sf_dir)
+    return V.candidate_counts(pp, pq)
 
 
 @register("d03_match_predicate_join", search_sql(
     "select query_id, id, count(*) as occurrences, count(distinct term_idx) as terms_found from occ group by query_id, id"))
 def d03(spark, sf_dir):
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    doc_terms = FT.analyze(pp, ["id", *HY.FILTER_COLS], HY.search_text(pp))
-    qterms = FT.query_terms(pq, F.col("intent"), keep=[c for c in pq.columns if c.startswith("q_")])
-    occ = doc_terms.join(F.broadcast(qterms), "term").where(HY.filter_pred())
+    pp, pq = _parsed(spark, sf_dir)
+    occ = HY.text_occurrences(pp, pq, HY.filter_pred(), index=_index(spark, sf_dir))
     return occ.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("occurrences"),
                                              F.count_distinct("term_idx").alias("terms_found"))
 
@@ -120,14 +114,14 @@ def d03(spark, sf_dir):
 @register("g03_union_all", search_sql("select query_id, branch, count(*) as n from cand group by query_id, branch"))
 def g03(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.candidates(p, q, index=_index(spark, sf_dir)).groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("n"))
+    return HY.candidates(p, q, mode="simple", index=_index(spark, sf_dir)).groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("e12_merge_candidates", search_sql(f"""select query_id, url_base, url, name, brand, {O.q6('vector_similarity')} as vector_similarity,
  {O.q6('text_rank')} as text_rank, made_in_canada, num_reviews from merged"""))
 def e12(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    m = HY.merge_candidates(HY.candidates(p, q, index=_index(spark, sf_dir)))
+    m = HY.merge_candidates(HY.candidates(p, q, mode="simple", index=_index(spark, sf_dir)))
     return m.select("query_id", "url_base", "url", "name", "brand", q6(F.col("vector_similarity")).alias("vector_similarity"),
                     q6(F.col("text_rank")).alias("text_rank"), "made_in_canada", "num_reviews")
 
@@ -136,7 +130,7 @@ def e12(spark, sf_dir):
  {O.q6('text_rank_norm')} as text_rank_norm from scored"""))
 def f01(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    m = HY.merge_candidates(HY.candidates(p, q, index=_index(spark, sf_dir)))
+    m = HY.merge_candidates(HY.candidates(p, q, mode="simple", index=_index(spark, sf_dir)))
     s = HY.minmax_norm(HY.minmax_norm(m, "vector_similarity", "vector_similarity_norm", 1.0), "text_rank", "text_rank_norm", 0.0)
     return s.select("query_id", "url_base", q6(F.col("vector_similarity_norm")).alias("vector_similarity_norm"),
                     q6(F.col("text_rank_norm")).alias("text_rank_norm"))
@@ -146,7 +140,7 @@ def f01(spark, sf_dir):
  qualify row_number() over (partition by query_id order by hybrid_score desc, url) <= 10"""))
 def g01(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.hybrid_search(p, q, final_k=10, index=_index(spark, sf_dir)).select("query_id", "url", "hybrid_score")
+    return HY.hybrid_search(p, q, final_k=10, mode="simple", index=_index(spark, sf_dir)).select("query_id", "url", "hybrid_score")
 
 
 # --- after H07: de-dupe, rerank, cards, funnel -------------------------------
@@ -156,7 +150,7 @@ from .search_sql import ranking_sql  # noqa: E402
 
 def _ranked(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
-    return HY.hybrid_search(p, q, index=_index(spark, sf_dir))
+    return HY.hybrid_search(p, q, mode="simple", index=_index(spark, sf_dir))
 
 
 def _reranked(spark, sf_dir):
@@ -210,8 +204,12 @@ def h14(spark, sf_dir):
  union all select query_id, 'limited', count(*) from limited group by 1
  union all select query_id, 'reranked', count(*) from reranked group by 1)"""))
 def g02(spark, sf_dir):
-    d, rr = _reranked(spark, sf_dir)
-    return RK.funnel(_ranked(spark, sf_dir), d, rr)
+    # all stages from one ranked table: the search runs once
+    ensure_checkpoint_dir(spark)
+    ranked = _ranked(spark, sf_dir).checkpoint(eager=True)
+    d = RK.greedy_dedupe(ranked)
+    lim = d.where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT)
+    return RK.funnel(ranked, d, RK.rerank(lim, score_col=F.col("vector_similarity")))
 
 
 # --- H02, H15, J02, J03 ---------------------------------------------------------------------
@@ -222,11 +220,10 @@ from ..operators import vector as V  # noqa: E402
 @register("h02_vector_topk_ivf")
 def h02(spark, sf_dir):
     """Approximate top-10 with 16 lists / 4 probes and its recall@10 against exact search (rows-only check)."""
-    p, q = _pq(spark, sf_dir)
-    pp = HY.prepare_products(p).select("id", "url", "embedding")
-    model, assigned = V.ivf_index(pp, lists=16)
-    approx = V.vector_topk_ivf(assigned, model, q, k=10, probes=4)
-    exact = vector_topk(pp, q, 10)
+    pp, pq = _parsed(spark, sf_dir)
+    index = V.stored_ivf_index(pp.select("id", "url", "embedding"), lambda name, build: adapters.materialize(spark, sf_dir, name, build, lambda d, p: d.write.parquet(p)), lists=16)
+    approx = V.vector_topk_ivf(*index, pq.select("query_id", "query_vector"), k=10, probes=4)
+    exact = V.vector_topk(pp, pq, 10, use_parsed=False, origin_only=False)
     return V.recall_at_k(approx, exact)
 
 
@@ -309,9 +306,8 @@ def h05e(spark, sf_dir):
 @register("h04_text_rank_cd_english")
 def h04e(spark, sf_dir):
     """Cover-density rank with the english analyser on both sides (stems match inflections)."""
-    p, q = _pq(spark, sf_dir)
-    pp, pq = HY.prepare_products(p), HY.prepare_queries(q)
-    r = HY.text_topk(pp, pq, 1 << 30, HY.filter_pred(), mode="english")
+    pp, pq = _parsed(spark, sf_dir)
+    r = HY.text_topk(pp, pq, None, HY.filter_pred(), "english", _index(spark, sf_dir, "english"))
     return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
 
 
@@ -323,5 +319,23 @@ def h04e(spark, sf_dir):
 def h08o(spark, sf_dir):
     """H08 with the request's origin-only flag: both branches keep origin-flagged products only."""
     p, q = _pq(spark, sf_dir)
-    r = HY.hybrid_search_basic(p, q, origin_only=True, index=_index(spark, sf_dir))
+    r = HY.hybrid_search_basic(p, q, origin_only=True, mode="simple", index=_index(spark, sf_dir))
+    return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
+
+
+# the reference's own configuration: the English analyser on both sides (no stemmer in DuckDB -> rows-only checks)
+@register("h07_hybrid_search_english")
+def h07e(spark, sf_dir):
+    """H07 over the stored English index."""
+    p, q = _pq(spark, sf_dir)
+    r = HY.hybrid_search(p, q, index=_index(spark, sf_dir, "english"))
+    return r.select("query_id", "rank", "url", "name", "brand", F.col("vector_similarity").alias("similarity"),
+                    q6(F.col("text_rank")).alias("text_rank"), "hybrid_score", "made_in_canada", "num_reviews")
+
+
+@register("h08_hybrid_search_basic_english")
+def h08e(spark, sf_dir):
+    """H08 over the stored English index."""
+    p, q = _pq(spark, sf_dir)
+    r = HY.hybrid_search_basic(p, q, index=_index(spark, sf_dir, "english"))
     return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")

@@ -41,11 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is.  Only when it is unset on a local master (tests) do we pick a scratch folder; on a
+    cluster a machine-local folder would lose data, so an unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="shelfspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -29,11 +29,10 @@ def _env(user_id: Column) -> Column:
 
 
 def catalog(t: Tables) -> DataFrame:
-    """products: one row per document that has an embedding and a part."""
+    """products: one row per document that has a part; the embedding may be missing."""
     d, e, p, lab, li = t.documents, t.embeddings, t.part, t.labels, t.lineitem
     reviews = (
-        li.where(F.col("l_returnflag") == "R")
-        .groupBy("l_partkey")
+        li.groupBy("l_partkey")
         .agg(
             F.count(F.lit(1)).cast("int").alias("n"),
             (F.floor(F.lit(200) + F.sum("l_quantity") * 25 / 4 / F.count(F.lit(1))) / 100).alias("a"),
@@ -41,7 +40,7 @@ def catalog(t: Tables) -> DataFrame:
     )
     m4 = F.col("doc_id") % 4
     j = (
-        d.join(e, d.doc_id == e.vec_id)
+        d.join(e, d.doc_id == e.vec_id, "left")
         .join(p, p.p_partkey == d.doc_id)
         .join(lab.select(F.col("doc_id").alias("l_doc"), "quality"), F.col("l_doc") == d.doc_id, "left")
         .join(reviews, F.col("l_partkey") == d.doc_id, "left")
@@ -176,6 +175,7 @@ def logs(t: Tables) -> DataFrame:
             ),
         ).alias("text"),
         F.when(failed, F.lit(1)).otherwise(F.lit(0)).alias("exit_code"),
+        "o_orderdate", "o_totalprice",
     )
 
 
@@ -228,24 +228,37 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _STORED: dict = {}
 
 
-def _write_by_id(spark: SparkSession, df: DataFrame, path: str) -> None:
-    # one file per task slot so every core scans in parallel; hash-partitioned by the key
-    df.repartition(max(1, spark.sparkContext.defaultParallelism), "id").write.parquet(path)
+def _write_by_id(df: DataFrame, path: str) -> None:
+    df.repartition("id").write.parquet(path)
+
+
+def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and modification times of the files under the source folder, by Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def materialize(spark: SparkSession, sf_dir: str, name: str, build, write=None, rebuild: bool = False) -> DataFrame:
-    """Write ``build()`` once per (application, source folder, name) under the shared folder and
-    read it back; ``write(df, path)`` chooses the layout (default: files hashed by ``id``)."""
+    """Write ``build()`` once per (application, state of the source files, name) under the shared folder and
+    read it back; ``write(df, path)`` chooses the layout (default: files hashed by ``id``).  A changed source is
+    built anew."""
     import uuid
 
     from ..session import shared_dir
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    path = None if rebuild else _STORED.get(key)
-    if path is None:
+    state = _source_state(spark, sf_dir)
+    known, path = _STORED.get(key, (None, None))
+    if rebuild or known != state:
         path = shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-        (write or (lambda d, p: _write_by_id(spark, d, p)))(build(), path)
-        _STORED[key] = path
+        (write or _write_by_id)(build(), path)
+        _STORED[key] = (state, path)
     return spark.read.parquet(path)
 
 
@@ -259,7 +272,8 @@ def id_bucket(c) -> Column:
 def write_by_id_bucket(df: DataFrame, path: str) -> None:
     """Folders by a hash bucket of ``id``: a join that names the bucket of its (few) keys
     reads only those folders (dynamic partition pruning), a keyed lookup without an index."""
-    df.withColumn("id_bucket", id_bucket("id")).repartition("id_bucket").write.partitionBy("id_bucket").parquet(path)
+    # ranges of (bucket, id): a bucket takes as many tasks and files as its rows need
+    df.withColumn("id_bucket", id_bucket("id")).repartitionByRange("id_bucket", "id").write.partitionBy("id_bucket").parquet(path)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:

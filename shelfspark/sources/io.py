@@ -81,34 +81,3 @@ def write_json_arrays(df: DataFrame, path: str, key: str = "url", rows_per_file:
     arrays = arrays.select("bucket", F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")).alias("value"))
     arrays.write.partitionBy("bucket").text(path)
     return path
-
-
-def write_snapshot(df: DataFrame, base: str) -> str:
-    """Write a new snapshot folder of a table and return it (the caller swaps its pointer)."""
-    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return path
-
-
-def write_json_arrays(df: DataFrame, path: str, key: str = "url", rows_per_file: int = 1000) -> str:
-    """A03 (array form): files that each hold one JSON array of records, as a JSON dump of a
-    list does.  Records are dealt round-robin into ``ceil(n / rows_per_file)`` buckets (balanced
-    whatever the keys, even with one hot key), so every array -- one group, one file -- stays
-    bounded.  Records are ordered by ``key`` inside each array."""
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
-    rec = df.repartition(buckets).select(F.spark_partition_id().alias("bucket"), F.col(key).alias("_k"),
-                                         F.to_json(F.struct(*df.columns)).alias("j"))
-    rec = rec.select("bucket", F.struct("_k", "j").alias("kj"))
-    arrays = rec.groupBy("bucket").agg(F.array_sort(F.collect_list("kj")).alias("kj")).select(
-        "bucket", F.transform("kj", lambda x: x["j"]).alias("j"))
-    arrays = arrays.select("bucket", F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("bucket").text(path)
-    return path
-
-
-def _unused_write_json_arrays_by_key(df: DataFrame, path: str, key: str, buckets: int):  # pragma: no cover
-    rec = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(*df.columns)).alias("j"))
-    arrays = rec.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("bucket").text(path)
-    return path

@@ -28,13 +28,8 @@ def with_event_time(df: DataFrame, ts_col: str) -> DataFrame:
 
 # K01 ------------------------------------------------------------------------
 def validate_feedback(fb: DataFrame) -> DataFrame:
-    """C07 + C08: keep ratings 'up' / 'down'; cap free-text lengths."""
-    out = fb.where(F.col("rating").isin("up", "down"))
-    if "query" in out.columns:
-        out = out.withColumn("query", F.left("query", F.lit(2000)))
-    if "response" in out.columns:
-        out = out.withColumn("response", F.left("response", F.lit(5000)))
-    return out
+    """Keep ratings 'up' / 'down'.  Free texts are stored whole; C08 cuts them for display."""
+    return fb.where(F.col("rating").isin("up", "down"))
 
 
 def ingest_stream(events: DataFrame, sink: str, checkpoint: str, partition_cols=("environment",)):
@@ -65,38 +60,57 @@ class ChangeLogUpsert:
 
     Each micro-batch is appended to a change log, one folder per epoch (a replayed epoch
     overwrites its own folder, so replays are idempotent).  The table is the base snapshot
-    merged with the log on read (``upsert_by_key``: latest row per key by epoch, then by
-    ``seq_col`` within a batch); ``compact()`` folds the log into a new snapshot folder.
+    merged with the log on read (``upsert_by_key``: latest row per key by (epoch, ``seq_col``));
+    ``compact()`` folds the log into a new snapshot folder.
+
+    Nothing lives in the driver only: which snapshot and log are current is written to a manifest
+    in the base folder (the highest committed version counts), and which epochs are in the log is
+    read from the folder.  Opening an existing base goes on where it stopped; ``initial`` is then
+    not used.
     """
 
-    def __init__(self, spark: SparkSession, base: str, initial: DataFrame, key: str = "url",
+    def __init__(self, spark: SparkSession, base: str, initial: DataFrame | None = None, key: str = "url",
                  seq_col: str | None = None, preserve: list[str] | None = None, now: str | None = None):
         self.spark, self.base, self.key, self.seq_col = spark, base.rstrip("/"), key, seq_col
         self.preserve, self.now = preserve or [], now
-        self.snapshot = IO.write_snapshot(initial, self.base)
-        self.log = f"{self.base}/changes-{self.snapshot.rsplit('-', 1)[-1]}"
-        self.epochs = 0
+        found = self._committed("manifest/v=*")
+        if found:
+            path = max(found, key=lambda p: int(p.rsplit("=", 1)[1]))
+            r = spark.read.json(path).first()
+            self.version, self.snapshot, self.log = int(path.rsplit("=", 1)[1]), r["snapshot"], r["log"]
+        else:
+            self.version = 0
+            self._switch(IO.write_snapshot(initial, self.base))
+
+    def _committed(self, pattern: str) -> list[str]:
+        """Folders under the base that match and were written to the end."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{pattern}/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return [f.getPath().getParent().toString() for f in (found or [])]
+
+    def _switch(self, snapshot: str) -> None:
+        self.snapshot, self.log, self.version = snapshot, f"{self.base}/changes-{snapshot.rsplit('-', 1)[-1]}", self.version + 1
+        self.spark.createDataFrame([(self.snapshot, self.log)], "snapshot string, log string").coalesce(1).write.json(
+            f"{self.base}/manifest/v={self.version}")
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         seq = F.col(self.seq_col).cast("long") if self.seq_col else F.lit(0).cast("long")
         (batch.withColumn("_in_batch", seq).write.mode("overwrite")
          .parquet(f"{self.log}/epoch={int(epoch_id)}"))
-        self.epochs += 1
 
     def table(self) -> DataFrame:
         """Merge on read: the snapshot with every logged change applied in order."""
         old = self.spark.read.parquet(self.snapshot)
-        if self.epochs == 0:
+        epochs = self._committed(f"{self.log.rsplit('/', 1)[-1]}/epoch=*")
+        if not epochs:
             return old
-        changes = self.spark.read.parquet(self.log)
-        changes = changes.withColumn("_order", F.col("epoch").cast("long") * (1 << 32) + F.col("_in_batch"))
-        return C.upsert_by_key(old, changes, key=self.key, seq="_order", preserve=self.preserve, now=self.now)
+        changes = self.spark.read.option("basePath", self.log).parquet(*sorted(epochs))
+        return C.upsert_by_key(old, changes, key=self.key, seq=["epoch", "_in_batch"], preserve=self.preserve, now=self.now)
 
     def compact(self) -> str:
-        """Write the merged table as the new snapshot and start an empty log."""
-        self.snapshot = IO.write_snapshot(self.table(), self.base)
-        self.log = f"{self.base}/changes-{self.snapshot.rsplit('-', 1)[-1]}"
-        self.epochs = 0
+        """Write the merged table as the new snapshot, with an empty log, and switch to it."""
+        self._switch(IO.write_snapshot(self.table(), self.base))
         return self.snapshot
 
 
