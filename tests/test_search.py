@@ -81,6 +81,6 @@ def test_zero_vector_is_skipped_not_an_error(spark):
     qs = spark.createDataFrame([(7, [1.0, 1.0], None, None, None, None, False)],
                                "query_id long, query_vector array<float>, q_min_price double, q_max_price double, "
                                "q_min_rating double, q_brand string, q_origin boolean")
-    blocked = [(r["id"], r["vector_similarity"]) for r in V.vector_topk_blocked(prods, qs, 5).collect()]
+    blocked = [(r["id"], r["vector_similarity"]) for r in V.vector_topk(prods, qs, 5, tile_bytes=1).collect()]
     pairs = [(r["id"], r["vector_similarity"]) for r in V.vector_topk(prods, qs, 5).collect()]
     assert blocked == pairs == [(2, pytest.approx(0.707107))]
