@@ -48,7 +48,7 @@ def main() -> None:
     from shelfspark.operators import fulltext as FT
     from shelfspark.operators import hybrid as HY
     t0 = time.perf_counter()
-    adapters.materialize(spark, sf_dir, "catalog_index",
+    adapters.materialize(spark, sf_dir, "catalog_index_simple",
                          lambda: HY.search_index(adapters.stored(spark, sf_dir, "catalog")), FT.write_index, rebuild=True)
     times["term_index_build"] = round(time.perf_counter() - t0, 3)
     for n in names:

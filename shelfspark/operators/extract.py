@@ -169,14 +169,16 @@ def listing_links(links: DataFrame, home_links: DataFrame | None = None) -> Data
 DROP_BLOCKS = ["script", "style", "nav", "footer", "header"]
 
 
-def page_text(html, max_len: int | None = None, min_len: int = 50) -> Column:
-    """Visible text: drop script/style/nav/footer/header blocks and comments, tags -> ' ',
-    entities decoded, whitespace squeezed; shorter than ``min_len`` -> NULL."""
+def page_text(html, max_len: int | None = None, min_len: int = 50, markdown=None) -> Column:
+    """The page's markdown where there is any, else its visible text: drop script/style/nav/footer/header blocks
+    and comments, tags -> ' ', entities decoded, whitespace squeezed; shorter than ``min_len`` -> NULL."""
     x = TX.col(html)
     for t in DROP_BLOCKS:
         x = F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = TX.squeeze(decode_entities(strip_tags(x)))
+    if markdown is not None:
+        x = F.when(F.coalesce(TX.col(markdown), F.lit("")) != "", TX.col(markdown)).otherwise(x)
     if max_len:
         x = F.left(x, F.lit(max_len))
     return F.when(F.length(x) >= min_len, x)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -74,29 +77,48 @@ def job_status_counts(job_events: DataFrame, at: Column) -> DataFrame:
 
 
 # F02 ------------------------------------------------------------------------
+def _in_ranges(df: DataFrame, order: list[str], kernel, schema, name: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, run through an Arrow kernel per partition, written once to the
+    shared folder and read back: whatever reads it twice sees the same ranges, and nothing shuffles again.  The number
+    of ranges follows the data (Spark's shuffle partitions, coalesced by size)."""
+    from ..sources.io import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(kernel, schema).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def lag_across_ranges(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
     """``lag(col) over (partition by key order by order)`` for each of ``cols`` (as ``prev_<col>``),
     without gathering a key's rows in one task: rows are range-partitioned by (key, order), so a
-    long key spans several partitions; lag runs inside each partition, and the first row of a
+    long key spans several partitions; each task lags its own rows, and the first row of a
     partition takes the last row of the previous partition (a one-row-per-partition table)
     when the key continues across the boundary."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    parts = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(key, order)
-    local = parts.select("*", F.row_number().over(w).alias("_i"),
-                         F.lag(key).over(w).alias("_prev_key"), *[F.lag(c).over(w).alias("_lag_" + c) for c in cols])
-    last = parts.groupBy("_pid").agg(F.max_by(F.struct(key, *cols), F.struct(key, order)).alias("_row"))
+    lagged = [key, *cols]
+    schema = df.withColumns({"_pid": F.lit(0), "_first": F.lit(True), **{f"_lag_{c}": F.col(c) for c in lagged}}).schema
+
+    def kernel(batches):
+        pid, held = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(b.schema.names.index(c)) for c in lagged]
+            before = held or [pa.nulls(1, c.type) for c in own]
+            lag = [pa.concat_arrays([h, c.slice(0, b.num_rows - 1)]) for h, c in zip(before, own)]
+            first = pa.array([held is None] + [False] * (b.num_rows - 1))
+            held = [c.slice(b.num_rows - 1, 1) for c in own]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * b.num_rows, pa.int32()), first, *lag], names=schema.names)
+
+    local = _in_ranges(df, [key, order], kernel, schema, "lag-ranges")
+    last = local.groupBy("_pid").agg(F.max_by(F.struct(*lagged), F.struct(key, order)).alias("_row"))
     # predecessor of each non-empty partition = last row of the previous non-empty one
     # (a table with one row per partition, so the global window here is tiny)
     last = last.select("_pid", F.lag("_row").over(Window.orderBy("_pid")).alias("_last"))
     j = local.join(F.broadcast(last), "_pid", "left")
-    first = F.col("_i") == 1
-    same = F.when(first, F.col(f"_last.{key}") == F.col(key)).otherwise(F.col("_prev_key") == F.col(key))
-    out = j
-    for c in cols:
-        prev = F.when(first, F.col(f"_last.{c}")).otherwise(F.col("_lag_" + c))
-        out = out.withColumn("prev_" + c, F.when(F.coalesce(same, F.lit(False)), prev))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    first = F.col("_first")
+    same = F.coalesce(F.when(first, F.col(f"_last.{key}")).otherwise(F.col(f"_lag_{key}")) == F.col(key), F.lit(False))
+    prev = [F.when(same, F.when(first, F.col(f"_last.{c}")).otherwise(F.col(f"_lag_{c}"))).alias(f"prev_{c}") for c in cols]
+    return j.select(*df.columns, *prev)
 
 
 def prev_user_query(conv: DataFrame) -> DataFrame:
@@ -130,28 +152,33 @@ def running_prefix(df: DataFrame, order: str, values: dict[str, Column]) -> Data
     """Global running sums in ``order`` without moving all rows to one task.
 
     Two passes: a range partitioning by ``order`` gives each partition a contiguous slice;
-    sums run inside each partition (window partitioned by partition id), and each slice is
-    shifted by the totals of the slices before it (a table with one row per partition).
+    each task sums its own rows, and each slice is shifted by the totals of the slices before it
+    (a table with one row per partition).
     Adds ``seq`` (1-based global position) and one running column per ``values`` key.
     """
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
     # a row hash breaks ties, so range boundaries can split a run of equal keys (a hot value
     # does not end up whole in one partition); order among equal keys is arbitrary anyway
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    parts = df.withColumn("_tie", tie).repartitionByRange(n, order, "_tie").withColumn("_pid", F.spark_partition_id())
-    vals = {k: v.cast("long") for k, v in values.items()}
-    w_local = Window.partitionBy("_pid").orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parts.select("*", F.count(F.lit(1)).over(w_local).alias("_seq"),
-                         *[F.sum(v).over(w_local).alias("_l_" + k) for k, v in vals.items()])
-    totals = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias("_t_" + k) for k, v in vals.items()])
+    rows = df.withColumns({"_tie": tie, "_v_seq": F.lit(1).cast("long"), **{f"_v_{k}": F.coalesce(v.cast("long"), F.lit(0).cast("long")) for k, v in values.items()}})
+    names = ["seq", *values]
+    schema = rows.withColumn("_pid", F.lit(0)).schema
+
+    def kernel(batches):
+        pid, held = TaskContext.get().partitionId(), dict.fromkeys(names, 0)
+        for b in batches:
+            cols = dict(zip(b.schema.names, b.columns))
+            for k in names:
+                sums = np.cumsum(cols[f"_v_{k}"].to_numpy(zero_copy_only=False)) + held[k]
+                held[k] = int(sums[-1]) if len(sums) else held[k]
+                cols[f"_v_{k}"] = pa.array(sums)
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([pid] * b.num_rows, pa.int32())], names=schema.names)
+
+    local = _in_ranges(rows, [order, "_tie"], kernel, schema, "sum-ranges")
+    totals = local.groupBy("_pid").agg(*[F.max_by(f"_v_{k}", "_v_seq").alias(f"_t_{k}") for k in names])
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_o_seq"),
-                            *[F.coalesce(F.sum("_t_" + k).over(w_off), F.lit(0)).alias("_o_" + k) for k in vals])
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}") for k in names])
     j = local.join(F.broadcast(offsets), "_pid")
-    out = j.withColumn("seq", F.col("_seq") + F.col("_o_seq"))
-    for k in vals:
-        out = out.withColumn(k, F.col("_l_" + k) + F.col("_o_" + k))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return j.select(*df.columns, *[(F.col(f"_v_{k}") + F.col(f"_o_{k}")).alias(k) for k in names])
 
 
 def running_stats(listings: DataFrame, flag: str, order: str = "url", every: int = 25) -> DataFrame:

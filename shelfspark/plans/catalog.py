@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import catalog as C
 from ..sources import adapters
+from ..sources import io as IO
 from ..sources.tables import Tables
 from . import oracle as O
 from .oracle import with_views
@@ -26,7 +27,9 @@ def q6(c):
 @register("a01_read_catalog", with_views(f"""select url, name, brand, price, currency, source_site, made_in_canada,
  made_in_canada_reason, num_reviews, {O.q6('average_rating')} as average_rating, len(embedding) as dim from catalog""", "catalog"))
 def a01(spark, sf_dir):
-    p = C.typed_products(_v(spark, sf_dir, "catalog"))
+    path = IO.scratch(spark, "a01")
+    C.typed_products(_v(spark, sf_dir, "catalog")).write.parquet(path)
+    p = C.read_catalog(spark, path)
     return p.select("url", "name", "brand", "price", "currency", "source_site", "made_in_canada",
                     "made_in_canada_reason", "num_reviews", q6("average_rating").alias("average_rating"),
                     F.size("embedding").alias("dim"))
@@ -145,6 +148,24 @@ def b31(spark, sf_dir):
     return p.select("url", T.product_embedding_text("name", "description", "url").alias("text"))
 
 
+def _listing_fields_sql():
+    from .extract import LISTING_FIELDS_SQL
+    return LISTING_FIELDS_SQL
+
+
+_LISTING_TEXT = """concat_ws(' | ', case when coalesce(name, '') <> '' then concat('Company: ', name) end,
+   case when coalesce(products, '') <> '' then concat('Products: ', products) end,
+   case when coalesce(manufactured_in, '') <> '' then concat('Manufactured in: ', manufactured_in) end)"""
+
+
+@register("b31_listing_embedding_text", with_views(f"select url, case when {_LISTING_TEXT} <> '' then {_LISTING_TEXT} else url end as text from lf",
+                                                   "listing_pages", extra={"lf": _listing_fields_sql()}))
+def b31l(spark, sf_dir):
+    from .extract import _listing_fields
+    lf = _listing_fields(spark, sf_dir)
+    return lf.select("url", T.listing_embedding_text("name", "products", F.lit(None).cast("string"), "manufactured_in", "url").alias("text"))
+
+
 # One registered query per parsed field, all over the search batch
 _PARSED = O.parsed_queries_sql("search_queries")
 for _key, _cols in {
@@ -167,7 +188,6 @@ for _key, _cols in {
 
 
 # --- A06-A08, A03-A05: maintenance, sinks ---------------------------------------------
-from ..sources import io as IO  # noqa: E402
 
 
 def relanded_input(t):
@@ -249,18 +269,13 @@ def a05(spark, sf_dir):
     return back.groupBy("environment", "event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _listing_fields_sql():
-    from .extract import LISTING_FIELDS_SQL
-    return LISTING_FIELDS_SQL
-
-
 @register("a02_read_json_array", with_views("""select url, name, products, manufactured_in, website, canadian_owned_text,
  cast(null as varchar) as category, cast(null as boolean) as is_shopify_store from lf""",
                                             "listing_pages", extra={"lf": _listing_fields_sql()}))
 def a02(spark, sf_dir):
     from .extract import _listing_fields
     lf = _listing_fields(spark, sf_dir).select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text")
-    path = IO.write_json_arrays(lf, IO.scratch(spark, "a02"), rows_per_file=20)
+    path = IO.write_json_arrays(lf, IO.scratch(spark, "a02"), rows_per_file=10_000)
     back = IO.read_json_array(spark, path)
     return back.select("url", "name", "products", "manufactured_in", "website", "canadian_owned_text", "category",
                        "is_shopify_store")

@@ -149,6 +149,15 @@ def b18(spark, sf_dir):
     return p.select("page_id", F.when(F.length(t) >= 50, t).alias("content"), F.length(t).alias("n_chars"))
 
 
+@register("b18_page_text_markdown", O.with_views(f"""select page_id, case when length(t) >= 50 then t end as content
+ from (select page_id, case when page_id % 2 = 0 then concat('# ', url, chr(10), chr(10), repeat('* item ', cast(page_id % 20 as int))) else {_page_text_sql('html')} end as t from pages)"""))
+def b18m(spark, sf_dir):
+    """Every second page comes with markdown, which is preferred."""
+    p = _pages(spark, sf_dir)
+    markdown = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# "), F.col("url"), F.lit("\n\n"), F.repeat(F.lit("* item "), (F.col("page_id") % 20).cast("int"))))
+    return p.select("page_id", X.page_text(F.col("html"), markdown=markdown).alias("content"))
+
+
 @register("b20_title_name", O.with_views(f"""select page_id, case when h1 = '' then null
  when contains(t, ':') then {_strip_sql("substr(t, instr(t, ':') + 1)")} else t end as name
  from (select page_id, h1, {_strip_sql("replace(replace(" + _decode_sql("regexp_replace(h1, '<[^>]*>', '', 'g')") + ", '🍁', ''), '📈', '')")} as t

@@ -198,6 +198,17 @@ def h14(spark, sf_dir):
     return rr.select("query_id", "rerank_rank", "url", "rerank_score")
 
 
+@register("h14_rerank_scores", ranking_sql("""select query_id, rerank_rank, url, rerank_score from (
+ select query_id, url, s as rerank_score, row_number() over (partition by query_id order by s desc nulls last, rank) as rerank_rank
+ from (select *, case when length(name) % 3 <> 0 then cast(length(name) as double) end as s from limited)) where rerank_rank <= 50"""))
+def h14s(spark, sf_dir):
+    """H14 from a table of scores, as an external scorer leaves it; some rows have none."""
+    ensure_checkpoint_dir(spark)
+    lim = RK.greedy_dedupe(_ranked(spark, sf_dir)).where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT).checkpoint(eager=True)
+    scores = lim.where(F.length("name") % 3 != 0).select("query_id", "url", F.length("name").cast("double").alias("score"))
+    return RK.rerank(lim, scores=scores).select("query_id", "rerank_rank", "url", "rerank_score")
+
+
 @register("g02_funnel", ranking_sql("""select query_id, stage, n from (
  select query_id, 'sql' as stage, count(*) as n from ranked250 group by 1
  union all select query_id, 'deduped', count(*) from deduped group by 1

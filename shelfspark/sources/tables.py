@@ -33,14 +33,15 @@ class Tables:
         raise AttributeError(name)
 
 
+#: Session setting: number of partitions that small, CPU-heavy scans are dealt over; unset, scans are left as they are.
+SPREAD = "shelfspark.scan.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition a scan that has fewer partitions than task slots.
+    """``df`` dealt round-robin over as many partitions as the session setting ``SPREAD`` says, if it says any.
 
-    CPU-heavy per-row parsing (HTML regexes, JSON) of a small table stored as one row
-    group would otherwise run in a single task.  Large tables already have at least one
-    partition per slot, so this adds no shuffle where data is big.
+    Per-row parsing (HTML regexes, JSON) of a small table stored as one row group would otherwise run in a single
+    task.  Large tables have a partition per block already and need no such setting.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n)) if n else df

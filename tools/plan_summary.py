@@ -26,7 +26,7 @@ MARKERS = {
     "window group limit (top-k before shuffle)": r"WindowGroupLimit",
     "take ordered (top-k)": r"TakeOrderedAndProject",
     "dynamic partition pruning": r"dynamicpruningexpression\((?!true)",
-    "python kernel": r"FlatMapCoGroupsInPandas|MapInPandas|ArrowEvalPython|BatchEvalPython",
+    "python kernel": r"FlatMapCoGroupsInPandas|MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython",
     "cartesian / nested loop": r"CartesianProduct|BroadcastNestedLoopJoin",
 }
 
