@@ -31,7 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master.startswith("local"):  # one machine, small tables of one row group each: use all its cores
-        b = b.config("shelfspark.scan.partitions", str(os.environ.get("SHELFSPARK_SPREAD", shuffle_partitions)))
+        b = b.config("spark.shelfspark.scan.partitions", str(os.environ.get("SHELFSPARK_SPREAD", shuffle_partitions)))
     b = b.config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

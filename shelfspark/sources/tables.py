@@ -34,7 +34,7 @@ class Tables:
 
 
 #: Session setting: number of partitions that small, CPU-heavy scans are dealt over; unset, scans are left as they are.
-SPREAD = "shelfspark.scan.partitions"
+SPREAD = "spark.shelfspark.scan.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
