@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import ensure_checkpoint_dir
 from ..functions import fixed
 from ..functions import queryparse as QP
 from ..functions import text as TX
 from ..functions import urls as U
+from ..sources import io as IO
 from . import fulltext as FT
 from .vector import q6, top_k_per_group, vector_topk
 
@@ -101,10 +101,9 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
                origin_only: bool | None = None, mode: str = "english", index: DataFrame | None = None) -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
-    # the parsed batch is small and read by both branches: cut its lineage once
-    # (reliable checkpoint in the shared folder) so the regex parse runs and plans once
-    ensure_checkpoint_dir(p.sparkSession)
-    pq = prepare_queries(queries).checkpoint(eager=True)
+    # the parsed batch is read by both branches: written once, so the regex parse runs and plans once and Spark
+    # plans the joins with its true size
+    pq = IO.keep(prepare_queries(queries), "parsed-queries")
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
     vec = vector_topk(p, pq, k, use_parsed, origin_only)
     txt = text_topk(p, pq, k, pred, mode, index=index)
@@ -112,8 +111,9 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
                       F.lit("vector").alias("branch")).unionByName(
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",
                    F.lit("text").alias("branch")))
-    # at most 2k rows per query; a plain equi-join, so that Spark chooses by the size it finds.  The stored catalogue
-    # also joins on its folder key, which prunes the scan where the candidates are few
+    # at most 2k rows per query, written first: Spark then joins by their true size, and where they are few enough to
+    # broadcast, the stored catalogue's folder key prunes its scan instead of the catalogue being shuffled
+    cand = IO.keep(cand, "candidates")
     keys = ["id"]
     if "id_bucket" in p.columns:
         from ..sources.adapters import id_bucket

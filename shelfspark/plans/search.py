@@ -9,8 +9,8 @@ from ..operators import fulltext as FT
 from ..operators import hybrid as HY
 from ..operators import vector as V
 from ..operators.vector import q6
-from ..session import ensure_checkpoint_dir
 from ..sources import adapters
+from ..sources import io as IO
 from ..sources.tables import Tables
 from . import oracle as O
 from .registry import register
@@ -29,10 +29,9 @@ def _index(spark, sf_dir, mode="simple"):
 
 
 def _parsed(spark, sf_dir):
-    """(prepared products, parsed query batch cut from its lineage)."""
+    """(prepared products, parsed query batch written once)."""
     p, q = _pq(spark, sf_dir)
-    ensure_checkpoint_dir(spark)
-    return HY.prepare_products(p), HY.prepare_queries(q).checkpoint(eager=True)
+    return HY.prepare_products(p), IO.keep(HY.prepare_queries(q), "parsed-queries")
 
 
 @register("h07_hybrid_search", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
@@ -203,8 +202,7 @@ def h14(spark, sf_dir):
  from (select *, case when length(name) % 3 <> 0 then cast(length(name) as double) end as s from limited)) where rerank_rank <= 50"""))
 def h14s(spark, sf_dir):
     """H14 from a table of scores, as an external scorer leaves it; some rows have none."""
-    ensure_checkpoint_dir(spark)
-    lim = RK.greedy_dedupe(_ranked(spark, sf_dir)).where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT).checkpoint(eager=True)
+    lim = IO.keep(RK.greedy_dedupe(_ranked(spark, sf_dir)).where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT), "limited")
     scores = lim.where(F.length("name") % 3 != 0).select("query_id", "url", F.length("name").cast("double").alias("score"))
     return RK.rerank(lim, scores=scores).select("query_id", "rerank_rank", "url", "rerank_score")
 
@@ -216,8 +214,7 @@ def h14s(spark, sf_dir):
  union all select query_id, 'reranked', count(*) from reranked group by 1)"""))
 def g02(spark, sf_dir):
     # all stages from one ranked table: the search runs once
-    ensure_checkpoint_dir(spark)
-    ranked = _ranked(spark, sf_dir).checkpoint(eager=True)
+    ranked = IO.keep(_ranked(spark, sf_dir), "ranked")
     d = RK.greedy_dedupe(ranked)
     lim = d.where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT)
     return RK.funnel(ranked, d, RK.rerank(lim, score_col=F.col("vector_similarity")))
