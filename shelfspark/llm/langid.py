@@ -5,6 +5,10 @@ languages. The texts' own most likely languages then give, by grouped aggregatio
 (language declared given language written) and the priors: all documents -> address suffix -> host, each smoothed
 towards the level above it. A document's posterior multiplies the three. Documents without any letter, and documents
 whose best language stays below ``min_posterior``, are rejected.
+
+Every language that ``MIN_DOCS`` documents declare is a class at any size of the corpus. A declaration with fewer has too
+little text for a model: it is one more candidate for the documents that make it, under evenly spread trigrams, and wins
+where no class explains the text better than that.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 from .common import column, fresh, store
 
 BUCKETS = 1 << 13
-#: A declared language becomes a class where it has this share of the documents, so there are at most 200 classes.
+#: A declared language becomes a class with this many documents, or with this share of a small table's.
+MIN_DOCS = 20
 MIN_SHARE = 0.005
+#: Cells of the (document, language) tables that a task holds at once.
+CELLS = 1 << 21
 #: Trigrams of a text are far from independent: together they count as this many at most.
 EFFECTIVE = 96.0
 SMOOTHING = 20.0
@@ -75,40 +82,72 @@ def _counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def text_model(rows: DataFrame, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram bucket | language), [bucket, language]; at most 1 / min_share languages."""
+def _model(rows: DataFrame, min_share: float) -> tuple[list[str], np.ndarray, dict[str, int]]:
+    """Languages, log P(trigram bucket | language), and the documents of each declaration, of which there are at most
+    26 ** 2 + 26 ** 3. The table takes 32 KB a language."""
     counts = store(_counts(rows), "langid-counts")
-    docs = {r["lang"]: r["n"] for r in counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(int(1 / min_share)).collect()}
-    total = counts.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
-    langs = sorted(k for k, n in docs.items() if n >= min_share * total)
-    n = np.full((BUCKETS, len(langs)), 0.5)
-    # bounded: buckets x languages rows
-    table = counts.where(F.col("lang").isin(langs) & (F.col("bucket") >= 0)).toPandas()
-    n[table["bucket"].to_numpy(dtype=int), [langs.index(x) for x in table["lang"]]] += table["n"].to_numpy(dtype=float)
-    return langs, np.log(n / n.sum(axis=0, keepdims=True)).astype(np.float32)
-
-
-def _scored(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """Narrow rows: id, mark (hash of the text), tag, host, suffix, letters, text_lang (number), ll (tempered log likelihoods)."""
-    kinds = {"tag": "string", "host": "string", "suffix": "string", "letters": "long", "text_lang": "int", "ll": "array<double>"}
+    docs = {r["lang"]: r["n"] for r in counts.where("bucket = -1").collect()}
+    least = min(MIN_DOCS, min_share * sum(docs.values()))
+    langs = sorted(k for k, n in docs.items() if n >= least)
+
+    def dense(table: pa.Table) -> pa.Table:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        n[table["bucket"].to_numpy()] = table["n"].to_numpy()
+        return pa.table({"lang": table["lang"][:1].cast(pa.string()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    logp = np.empty((BUCKETS, len(langs)), dtype=np.float32)
+    at = {x: i for i, x in enumerate(langs)}
+    logp[:] = np.log(1 / BUCKETS)
+    for r in counts.where(F.col("lang").isin(langs) & (F.col("bucket") >= 0)).groupBy("lang").applyInArrow(dense, "lang string, n binary").toLocalIterator():
+        n = np.frombuffer(r["n"], dtype=np.int64) + 0.5
+        logp[:, at[r["lang"]]] = np.log(n / n.sum())
+    return langs, logp, docs
+
+
+def text_model(rows: DataFrame, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
+    """Languages and log P(trigram bucket | language), [bucket, language]."""
+    return _model(rows, min_share)[:2]
+
+
+def _slices(batches, width: int):
+    """Parts of the batches whose rows, with ``width`` cells each, make at most CELLS cells."""
+    step = max(1, CELLS // width)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _scored(rows: DataFrame, langs: list[str], logp: np.ndarray, docs: dict[str, int]) -> DataFrame:
+    """Narrow rows: id, mark (hash of the text), tag, host, suffix, letters, text_lang (number), ll (tempered log
+    likelihoods), and for declarations that are no class: own (the language), own_log (its log likelihood and prior).
+
+    text_lang is null where the declaration's evenly spread trigrams explain the text better than any class.
+    """
+    kinds = {"tag": "string", "host": "string", "suffix": "string", "letters": "long", "text_lang": "int", "ll": "array<double>", "own": "string", "own_log": "double"}
     schema = rows.select("id", "mark", *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()]).schema
+    known, total = set(langs), sum(docs.values())
 
     def kernel(batches):
-        for batch in batches:
+        for batch in _slices(batches, len(langs)):
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            tags, letters, best, lls = [], [], [], []
+            tags, letters, best, lls, own, own_log = [], [], [], [], [], []
             for text, declared in zip(cols["text"].to_pylist(), cols["declared"].to_pylist()):
                 tag = primary_tag(declared)
-                tags.append(tag if tag in langs else "other" if tag else "none")
+                tags.append(tag if tag in known else "other" if tag else "none")
                 at, n = trigrams(text or "")
                 ll = sum((logp[at[k: k + 65536]].sum(axis=0, dtype=np.float64) for k in range(0, len(at), 65536)), np.zeros(len(langs)))
                 ll *= min(1.0, EFFECTIVE / max(1, len(at)))
+                even = -np.log(BUCKETS) * min(EFFECTIVE, len(at))
+                rare = bool(n) and tags[-1] == "other"
+                own.append(tag if rare else None)
+                own_log.append(even + np.log(docs[tag] / total) if rare else None)
                 letters.append(n)
-                best.append(int(np.argmax(ll)) if n and len(langs) else None)
-                lls.append(ll.tolist())
+                best.append(int(np.argmax(ll)) if n and not (rare and even > ll.max()) else None)
+                lls.append(ll)
             yield pa.RecordBatch.from_arrays(
-                [cols["id"], cols["mark"], pa.array(tags), cols["host"], cols["suffix"], pa.array(letters, pa.int64()), pa.array(best, pa.int32()), pa.array(lls, pa.list_(pa.float64()))],
-                names=["id", "mark", "tag", "host", "suffix", "letters", "text_lang", "ll"])
+                [cols["id"], cols["mark"], pa.array(tags), cols["host"], cols["suffix"], pa.array(letters, pa.int64()), pa.array(best, pa.int32()), pa.array(lls, pa.list_(pa.float64())),
+                 pa.array(own, pa.string()), pa.array(own_log, pa.float64())],
+                names=["id", "mark", *kinds])
 
     return rows.mapInArrow(kernel, schema)
 
@@ -142,35 +181,57 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         column(df, id_col).alias("id"), column(df, text_col).cast("string").alias("text"), F.xxhash64(column(df, text_col)).alias("mark"),
         (column(df, declared_col).cast("string") if declared_col else null).alias("declared"),
         host.alias("host"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"))
-    langs, logp = text_model(rows, min_share)
+    langs, logp, docs = _model(rows, min_share)
     if not langs:
         return rows.select("id", "mark", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), null.alias("text_lang"), null.alias("declared"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("kept"))
     size = len(langs)
-    scored = store(_scored(rows, langs, logp), "langid-scored")
+    scored = store(_scored(rows, langs, logp, docs), "langid-scored")
 
-    # trust in declarations and the top prior: small tables, (languages + 2) x languages
-    said = np.ones((size + 2, size)) / (size + 2)
-    tags = [*langs, "other", "none"]
+    # trust in declarations and the top prior; of the (languages + 2) x languages cells only those with documents are held
+    said, by_lang = {}, np.ones(size)
     for r in scored.where("text_lang is not null").groupBy("tag", "text_lang").count().collect():
-        said[tags.index(r["tag"]), r["text_lang"]] += r["count"]
-    top = said.sum(axis=0) / said.sum()
-    trust = np.log(said / said.sum(axis=0, keepdims=True))
-    array = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    declared = F.create_map(*[x for t, row in zip(tags, trust) for x in (F.lit(t), array(row))])
+        said.setdefault(r["tag"], {})[r["text_lang"]] = np.log(1 / (size + 2) + r["count"])
+        by_lang[r["text_lang"]] += r["count"]
+    top = by_lang / by_lang.sum()
+    above = F.split(F.lit(",".join(repr(float(x)) for x in top)), ",").cast("array<double>")
 
-    by_suffix = _log_prior(_by_language(scored, "suffix"), "suffix", size, array(top), SMOOTHING).select("suffix", F.col("prior").alias("above"))
+    by_suffix = _log_prior(_by_language(scored, "suffix"), "suffix", size, above, SMOOTHING).select("suffix", F.col("prior").alias("above"))
     by_host = _by_language(scored, "host", "suffix").join(store(by_suffix, "langid-suffix"), "suffix")
     by_host = store(_log_prior(by_host, "host", size, F.col("above"), SMOOTHING).select("host", "prior"), "langid-host")
 
-    joined = scored.join(by_host, "host", "left").withColumn("prior", F.coalesce("prior", array(top)))
-    joined = joined.withColumn("trust", F.element_at(declared, F.col("tag")))
-    log = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.element_at("ll", k) + F.element_at("trust", k) + F.log(F.element_at("prior", k)))
-    out = joined.withColumn("log", log).withColumn("best", F.array_max("log"))
-    names = F.array(*[F.lit(x) for x in langs])
-    mass = F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best")))
-    out = out.withColumn("posterior", F.when(F.col("letters") > 0, 1 / mass).otherwise(F.lit(0.0)))
-    out = out.withColumn("lang", F.when(F.col("letters") > 0, F.element_at(names, F.array_position("log", F.col("best")).cast("int"))).otherwise(F.lit(UNKNOWN)))
-    return out.select("id", "mark", "lang", "posterior", F.element_at(names, F.col("text_lang") + 1).alias("text_lang"), F.col("tag").alias("declared"), "letters", (F.col("posterior") >= min_posterior).alias("kept"))
+    joined = scored.join(by_host, "host", "left").select("id", "mark", "tag", "letters", "text_lang", "ll", F.coalesce("prior", above).alias("prior"), "own", "own_log")
+    return _fused(joined, langs, said, by_lang, min_posterior)
+
+
+def _fused(joined: DataFrame, langs: list[str], said: dict[str, dict[int, float]], by_lang: np.ndarray, min_posterior: float) -> DataFrame:
+    """The rows of ``identify``: log likelihoods, trust and log priors added up, the declaration's own language beside them."""
+    size = len(langs)
+    schema = joined.select("id", "mark", *[F.lit(None).cast(k).alias(n) for n, k in (
+        ("lang", "string"), ("posterior", "double"), ("text_lang", "string"), ("declared", "string"), ("letters", "long"), ("kept", "boolean"))]).schema
+    never = np.log(1 / (size + 2)) - np.log(by_lang)
+
+    def kernel(batches):
+        for batch in _slices(batches, size):
+            ident, mark, tag, letters, text_lang, ll, prior, own, own_log = batch.columns
+            log = ll.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) + np.log(prior.flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+            tags = np.array(tag.to_pylist(), dtype=object)
+            for t in set(tags.tolist()):
+                trust, seen = never.copy(), said.get(t, {})
+                at = list(seen)
+                trust[at] = np.array(list(seen.values())) - np.log(by_lang[at])
+                log[tags == t] += trust
+            beside = own_log.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            best, at = np.maximum(log.max(axis=1), beside), log.argmax(axis=1)
+            mass = np.exp(log - best[:, None]).sum(axis=1) + np.exp(beside - best)
+            some = letters.to_numpy() > 0
+            posterior = np.where(some, 1 / mass, 0.0)
+            owns = own.to_pylist()
+            lang = [(o if o and b == top else langs[k]) if s else UNKNOWN for o, b, top, k, s in zip(owns, beside, best, at, some)]
+            text = [langs[k] if k is not None else o for k, o in zip(text_lang.to_pylist(), owns)]
+            yield pa.RecordBatch.from_arrays(
+                [ident, mark, pa.array(lang, pa.string()), pa.array(posterior), pa.array(text, pa.string()), tag, letters, pa.array(posterior >= min_posterior)], names=schema.names)
+
+    return joined.mapInArrow(kernel, schema)
 
 
 def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

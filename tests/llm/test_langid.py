@@ -83,3 +83,28 @@ def test_posterior_by_hand(spark):
         log = ll[r.id] + np.log(said / said.sum(axis=0))[langs.index(rows[r.id][2])] + np.log(p)
         want = np.exp(log - log.max())
         assert math.isclose(r.posterior, 1 / want.sum(), rel_tol=1e-9) and r.lang == langs[int(np.argmax(log))]
+
+
+def test_rare_languages_are_found_at_any_size(spark):
+    words = {"en": "the house and street with three people who were waiting", "fi": "kaupungin kadulla odottivat ihmiset joilla oli yhteinen asia", "cy": "roedd y bobl yn aros ar y stryd ger yr hen eglwys"}
+
+    def text(lang, i):
+        w = words[lang].split()
+        return " ".join(w[(i * 7 + k * (1 + i % 3)) % len(w)] for k in range(12))
+
+    rows = [(i, text("en", i), "en", "s") for i in range(8000)]
+    rows += [(10_000 + i, text("fi", i), "fi" if i < 30 else "en", "s") for i in range(33)]  # 0.4 % of the documents, three declared wrongly
+    rows += [(20_000 + i, text("cy", i), "cy", "s") for i in range(2)]  # too few for a model
+    rows += [(30_000, text("en", 1), "zz", "s")]  # no such language: the text is English
+    got = {r.id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.kept for r in got.values())
+    assert {r.lang for i, r in got.items() if i < 10_000} == {"en"}
+    assert {r.lang for i, r in got.items() if 10_000 <= i < 20_000} == {"fi"}
+    assert [(got[i].lang, got[i].text_lang) for i in (20_000, 20_001)] == [("cy", "cy")] * 2 and got[30_000].lang == "en"
+
+
+def test_very_many_languages(spark):
+    tags = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    rows = [(k * 25 + i, f"{t}{t}q {t}x{t} {t}v{t}w {t}{t}{t}", t, f"h{i}") for k, t in enumerate(tags) for i in range(25)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r.lang == tags[r.id // 25] and r.kept for r in got)
