@@ -1,9 +1,10 @@
 """Sharding (operator 3): balanced label propagation over documents linked by equal texts, under the law ``rows``.
 
-Linked documents start in a random shard. In each round a group's documents ask for the shard that holds most of the
-group; the demands between each two shards are a 16 x 16 table of counts, from which the driver fixes how large a share
-of each demand fits the quotas (swaps between shards, and free room up to a shard's target). Documents move with that
-probability. What is left over a target, and all documents without links, fill the shards up to their exact targets,
+Linked documents start in a random shard. In each round a group's documents ask for the shard where most of the group
+fits: the members there and the room that no document staying there takes, up to the group. The demands between each two
+shards are a table of counts by bins of groups, from which the driver fixes what fits the quotas: bins move whole into
+free room; of the rest a share moves by swaps between shards and into what room is left. The rounds end when every group
+is whole, or when ``rounds`` rounds in a row bring no more together; the best state seen counts. What is left over a target, and all documents without links, fill the shards up to their exact targets,
 whose counts differ by at most one. A group larger than a part of a shard is cut into linked parts first: it cannot stay
 together, and no round may depend on one group fitting.
 
@@ -22,6 +23,8 @@ from .common import column, store
 
 SHARDS = 16
 ROUNDS = 8
+#: Groups are moved in so many bins, dealt anew in each round.
+BINS = 64
 #: A linked part holds at most this share of a shard's target.
 PART_SHARE = 0.9
 
@@ -39,30 +42,64 @@ def quotas(demand: np.ndarray, load: np.ndarray, target: np.ndarray) -> np.ndarr
     return np.where(demand > 0, moved / np.maximum(demand, 1), 0.0)
 
 
+def moves(flow: np.ndarray, load: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Share of the demand [bin, from, to] that may move so that no load ends above its target (in expectation).
+
+    A bin moves whole where the free room of its shard takes all of it; the rest moves by ``quotas``, bin after bin.
+    """
+    share, load = np.zeros(flow.shape), load.copy()
+    for to in range(flow.shape[2]):
+        for k in range(flow.shape[0]):
+            n = flow[k, :, to].sum()
+            if 0 < n <= target[to] - load[to]:
+                share[k, :, to] = 1.0
+                load[to] += n
+    rest = np.where(share > 0, 0.0, flow)
+    budget = quotas(rest.sum(axis=0), load, target) * rest.sum(axis=0)
+    for k in range(flow.shape[0]):
+        part = np.minimum(rest[k], budget)
+        budget = budget - part
+        share[k] += np.where(rest[k] > 0, part / np.maximum(rest[k], 1), 0.0)
+    return share
+
+
 def _propagate(linked: DataFrame, rows: int, shards: int, rounds: int) -> DataFrame:
     """(uid, part, shard) of the linked documents after the rounds."""
     limit = np.full(shards, float(rows // shards))  # documents without links fill what stays open
-    state = store(linked.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "shard-state")
-    for turn in range(rounds):
-        cells = state.groupBy("part", "shard").agg(F.count("*").alias("n"))
-        wanted = cells.groupBy("part").agg(F.max(F.struct("n", F.xxhash64("part", "shard").alias("tie"), "shard")).alias("most"), F.count("*").alias("spread"))
-        wanted = store(wanted.where("spread > 1").select("part", F.col("most.shard").alias("to")), "shard-wanted")
-        asking = state.join(wanted, "part")
-        table = asking.where("shard <> to").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()  # at most shards * shards rows
-        if not table:
-            break
-        demand, load = np.zeros((shards, shards)), np.zeros(shards)
-        for r in table:
-            demand[r["shard"], r["to"]] = r["n"]
-        for r in state.groupBy("shard").count().collect():  # one row per shard
-            load[r["shard"]] = r["count"]
-        share = quotas(demand, load, limit)
-        chance = F.element_at(F.array(*[F.lit(float(x)) for x in share.ravel()]), F.col("shard") * shards + F.col("to") + 1)
+    state = store(linked.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).withColumn("to", F.lit(None).cast("int")), "shard-state")
+    free, least, best, since, turn = limit, None, state, 0, 0
+    while True:
+        cells = state.groupBy("part", "shard").agg(F.count("*").alias("n"), F.max("to").alias("before"))
+        parts = cells.groupBy("part").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max("before").alias("before"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by"))  # at most shards entries
+        here = lambda s: F.coalesce(F.element_at("by", s), F.lit(0))
+        open_ = F.array(*[F.lit(int(x)).cast("long") for x in free])
+        fits = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(
+            F.least("size", here(s) + F.element_at(open_, s + 1)).alias("score"), here(s).alias("n"), F.xxhash64("part", s).alias("tie"), s.alias("to"))))
+        # a part in two thinks again, or all parts of a full shard would leave it together
+        again = F.pmod(F.xxhash64("part", F.lit(-1 - turn)), F.lit(2)) == 0
+        wanted = parts.where("size > most").withColumn("to", F.when(F.col("before").isNull() | again, fits["to"]).otherwise(F.col("before")))
+        wanted = store(wanted.select("part", F.col("to").cast("int").alias("to"), (F.col("size") - F.col("most")).alias("apart")), "shard-wanted")
+        apart = wanted.agg(F.coalesce(F.sum("apart"), F.lit(0))).first()[0]
+        if least is None or apart < least:
+            least, best, since = apart, state, 0
+        if not apart or since >= rounds:
+            return best.select("uid", "part", "shard")
+
+        asked = state.drop("to").join(wanted.drop("apart"), "part", "left").withColumn("bin", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(BINS)).cast("int"))
+        flow, load, stay = np.zeros((BINS, shards, shards)), np.zeros(shards), np.zeros(shards)
+        for r in asked.groupBy("shard", "to", "bin").agg(F.count("*").alias("n")).collect():  # at most shards * (shards + 1) * BINS rows
+            load[r["shard"]] += r["n"]
+            if r["to"] is None or r["to"] == r["shard"]:
+                stay[r["shard"]] += r["n"]
+            else:
+                flow[r["bin"], r["shard"], r["to"]] = r["n"]
+        share = moves(flow, load, limit)
+        share = F.split(F.lit(",".join(f"{x:.12g}" for x in share.ravel())), ",").cast("array<double>")
+        chance = F.element_at(share, (F.col("bin") * shards + F.col("shard")) * shards + F.col("to") + 1)
         coin = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        moved = state.join(wanted, "part", "left")
-        moved = moved.withColumn("shard", F.when(F.col("to").isNotNull() & (coin < chance), F.col("to")).otherwise(F.col("shard")))
-        state = store(moved.select("uid", "part", "shard"), "shard-state")
-    return state
+        moved = asked.withColumn("shard", F.when(F.col("to").isNotNull() & (F.col("shard") != F.col("to")) & (coin < chance), F.col("to")).otherwise(F.col("shard")))
+        state = store(moved.select("uid", "part", "shard", "to"), "shard-state")
+        free, since, turn = np.maximum(0, limit - stay), since + 1, turn + 1
 
 
 def _numbered(df: DataFrame, label: str, name: str) -> DataFrame:

@@ -55,3 +55,21 @@ def test_quotas_never_overfill():
     moved = sharding.quotas(demand, load, np.full(16, 100.0)) * demand
     after = load + moved.sum(axis=0) - moved.sum(axis=1)
     assert (moved <= demand + 1e-9).all() and (after <= np.maximum(load, 100) + 1e-6).all()
+
+
+def test_large_groups_find_shards_with_room(spark):
+    """A third of the rows in one group (parts of at most 0.9 shard), groups of half and of a third of a shard: all fit."""
+    for rows in (
+            [(i, "copy" if i % 3 == 0 else f"text {i}") for i in range(3200)],
+            [(i, f"group {i % 16}" if i < 1600 else f"text {i}") for i in range(3200)],
+            [(i, f"group {i % 24}" if i < 1584 else f"text {i}") for i in range(3200)]):
+        got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        laws(got)
+        text, spread = dict(rows), defaultdict(Counter)
+        for r in got:
+            spread[text[r.doc_id]][r.shard] += 1
+        for t, shards in spread.items():
+            if t == "copy":  # 1,067 rows in parts of at most 180
+                assert sum(n for _, n in shards.most_common(6)) == 1067
+            else:
+                assert len(shards) == 1, (t, shards)
