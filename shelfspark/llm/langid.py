@@ -163,6 +163,18 @@ def _by_language(scored: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("by"))
 
 
+def _undeclared(rows: DataFrame) -> DataFrame:
+    """The rows of ``identify`` where no declaration names a language."""
+    null = F.lit(None).cast("string")
+
+    def kernel(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([trigrams(t or "")[1] for t in batch.column(2).to_pylist()], pa.int64())], names=["id", "mark", "letters"])
+
+    out = rows.select("id", "mark", "text").mapInArrow(kernel, rows.select("id", "mark", F.lit(None).cast("long").alias("letters")).schema)
+    return out.select("id", "mark", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), null.alias("text_lang"), null.alias("declared"), "letters", F.lit(False).alias("kept"))
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source",
              address_col: str | None = None, min_posterior: float = MIN_POSTERIOR, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per input row: id, mark (hash of the text), lang, posterior, text_lang, declared, letters, kept.
@@ -183,7 +195,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         host.alias("host"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"))
     langs, logp, docs = _model(rows, min_share)
     if not langs:
-        return rows.select("id", "mark", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), null.alias("text_lang"), null.alias("declared"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("kept"))
+        return _undeclared(rows)
     size = len(langs)
     scored = store(_scored(rows, langs, logp, docs), "langid-scored")
 
@@ -237,10 +249,11 @@ def _fused(joined: DataFrame, langs: list[str], said: dict[str, dict[int, float]
 def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` whose language is identified, all columns unchanged.
 
+    Where no declaration names a language at all, nothing can be identified: then every row with a letter stays.
     The rejected rows, few and narrow, are matched by id and text; of rows that repeat both all go if one is rejected.
     """
     none, ident, mark = fresh(df, "llm_none", "llm_id", "llm_mark")
-    gone = identify(df, id_col, text_col, **options).where("not kept")
+    gone = identify(df, id_col, text_col, **options).where(~F.col("kept") & ((F.col("lang") != UNKNOWN) | (F.col("letters") == 0)))
     gone = store(gone.select(F.col("id").isNull().alias(none), F.coalesce(F.col("id").cast("string"), F.lit("")).alias(ident), F.col("mark").alias(mark)).distinct(), "langid-rejected")
     keyed = df.withColumns({none: column(df, id_col).isNull(), ident: F.coalesce(column(df, id_col).cast("string"), F.lit("")), mark: F.xxhash64(column(df, text_col))})
     return keyed.join(gone, [none, ident, mark], "left_anti").select(*["`" + c.replace("`", "``") + "`" for c in df.columns])

@@ -108,3 +108,9 @@ def test_very_many_languages(spark):
     rows = [(k * 25 + i, f"{t}{t}q {t}x{t} {t}v{t}w {t}{t}{t}", t, f"h{i}") for k, t in enumerate(tags) for i in range(25)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert len(got) == len(rows) and all(r.lang == tags[r.id // 25] and r.kept for r in got)
+
+
+def test_stage_keeps_clean_texts_without_any_declaration(spark):
+    for declared in ("cast(null as string)", "'English'"):
+        df = odd_rows(spark).selectExpr("doc_id", "text", f"{declared} as lang", "source")
+        assert sorted(r.doc_id or 0 for r in langid.drop_unidentified(df).collect()) == sorted([0, 3, 4, 5, 6, 7, 8, 9, 9, 10, 13, 14, 15])
