@@ -6,8 +6,9 @@
 2. NN-descent over the leaders: lists start from windows of several random-hyperplane orders and are refined by joins
    with the neighbours of neighbours. A list holds the K nearest and, beyond K, every leader within reach of a link, so
    a list that is full of links grows instead of losing some.
-3. An audit takes a bounded number of leaders as queries against all leaders and measures the share of reachable pairs
-   found; below the goal, more orders and rounds follow.
+3. An audit takes leaders, with and without links found, as queries against all leaders, block by block until enough
+   reachable pairs have been seen or every leader has been asked, and measures the share of those pairs found. Below the
+   goal, more orders, rounds and audits follow; a search that stays below it raises. Pairs that the audit sees are kept.
 4. Two balls whose farthest members must be linked are linked as a whole (counts add up, no pairs are made); balls that
    only may hold links are compared member by member, in tiles. Cosines are in double precision throughout.
 """
@@ -29,7 +30,10 @@ SLICE = 2048
 SPAN = 192
 MAX_ROUNDS = 5
 AUDIT_QUERIES = 256
+AUDIT_BLOCK = 4096
+AUDIT_PAIRS = 1000
 AUDIT_GOAL = 0.995
+ATTEMPTS = 6
 #: Allowance for rounding where an angle decides; what lies inside is compared vector by vector.
 SLACK = 1e-5
 
@@ -192,35 +196,74 @@ def _refined(pairs: DataFrame, leaders: DataFrame, angle: float, neighbours: int
     return store(_merged(kept.union(found)), "nn-pairs")
 
 
-def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, queries: int = AUDIT_QUERIES) -> tuple[int, int]:
-    """(reachable pairs that the pair table holds, all reachable pairs) of a bounded number of query leaders, by brute
-    force over all leaders."""
-    sample = leaders.orderBy(F.xxhash64("lid")).limit(queries).select("lid", "dim", "r", "v").collect()
+def _reachable(leaders: DataFrame, sample: list, angle: float) -> DataFrame:
+    """(linked, a, b, cosine, near): every pair of a query leader and a leader within its reach, once for each query."""
 
     def kernel(batches):
         by_dim = {}
         for s in sample:
             by_dim.setdefault(s["dim"], []).append(s)
-        by_dim = {d: (np.array([s["lid"] for s in x]), np.array([s["r"] for s in x]), _unit([bytes(s["v"]) for s in x])) for d, x in by_dim.items()}
+        by_dim = {d: (np.array([s["lid"] for s in x]), np.array([s["r"] for s in x]), np.array([s["linked"] for s in x]), _unit([bytes(s["v"]) for s in x])) for d, x in by_dim.items()}
         for batch in batches:
             lids, dims, rs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             raw = batch.column(3).to_pylist()
-            for dim, (q, qr, qx) in by_dim.items():
-                for at in np.array_split(np.flatnonzero(dims == dim), 1 + len(raw) // 4096):
+            for dim, (q, qr, linked, qx) in by_dim.items():
+                mine = np.flatnonzero(dims == dim)
+                for at in np.array_split(mine, 1 + len(mine) // 512):
                     if not len(at):
                         continue
-                    reach = _degrees(qx @ _unit([raw[i] for i in at]).T) <= angle + qr[:, None] + rs[at][None, :]
-                    i, j = np.nonzero(reach & (q[:, None] != lids[at][None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q[i], lids[at][j])), pa.array(np.maximum(q[i], lids[at][j]))], names=["a", "b"])
+                    cosine = qx @ _unit([raw[i] for i in at]).T
+                    widest = min(180.0, angle + qr.max() + rs[at].max() + SLACK)
+                    i, j = np.nonzero(cosine >= np.cos(np.radians(widest)))
+                    c = cosine[i, j]
+                    ok = (_degrees(c) <= angle + qr[i] + rs[at][j]) & (q[i] != lids[at][j])
+                    i, j, c = i[ok], j[ok], c[ok]
+                    a, b = q[i], lids[at][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(linked[i]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c), pa.array(np.ones(len(i), dtype=bool))], names=["linked", "a", "b", "cosine", "near"])
 
-    truth = store(leaders.select("lid", "dim", "r", "v").mapInArrow(kernel, "a long, b long").distinct(), "nn-audit")
-    return truth.join(pairs, ["a", "b"]).count(), truth.count()
+    return store(leaders.select("lid", "dim", "r", "v").mapInArrow(kernel, "linked boolean, " + PAIR_DDL), "nn-audit")
+
+
+def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, turn: int = 0) -> tuple[float, bool, DataFrame | None]:
+    """Estimated share of all reachable pairs that the pair table holds; whether every leader was asked; the pairs seen.
+
+    Leaders with and without links found are drawn apart and weighted by their numbers. Blocks of queries grow until
+    AUDIT_PAIRS reachable pairs have been seen, or there is no leader left to ask: where links are very rare, this is
+    the comparison of all leaders with all.
+    """
+    near = pairs.where("near")
+    linked = near.select(F.col("a").alias("lid")).union(near.select("b")).distinct().withColumn("linked", F.lit(True))
+    place = F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = store(leaders.join(linked, "lid", "left").select("lid", "dim", "r", "v", F.coalesce("linked", F.lit(False)).alias("linked"), place.alias("place")), "nn-audited")
+    size = {r["linked"]: r["count"] for r in drawn.groupBy("linked").count().collect()}
+    asked, seen, held, at = ({k: 0 for k in size} for _ in range(4))
+    block, truth = AUDIT_QUERIES // 2, None
+    while any(at[k] < 1 for k in size) and sum(seen.values()) < AUDIT_PAIRS:
+        upto = {k: min(1.0, at[k] + block / n) for k, n in size.items()}
+        chosen = F.lit(False)
+        for k in size:
+            chosen = chosen | ((F.col("linked") == k) & (F.col("place") >= at[k]) & (F.col("place") < upto[k]))
+        sample = drawn.where(chosen).select("lid", "dim", "r", "v", "linked").collect()  # about 2 * AUDIT_BLOCK rows at most
+        for s in sample:
+            asked[s["linked"]] += 1
+        found = _reachable(leaders, sample, angle)
+        known = found.join(pairs.select("a", "b", F.lit(1).alias("known")), ["a", "b"], "left")
+        for r in known.groupBy("linked").agg(F.count("*").alias("n"), F.count("known").alias("known")).collect():
+            seen[r["linked"]] += r["n"]
+            held[r["linked"]] += r["known"]
+        found = found.select("a", "b", "cosine", "near")
+        truth = found if truth is None else truth.union(found)
+        at, block = upto, min(4 * block, AUDIT_BLOCK)
+    weight = {k: size[k] / max(1, asked[k]) for k in size}
+    there = sum(weight[k] * seen[k] for k in size)
+    share = sum(weight[k] * held[k] for k in size) / there if there else 1.0
+    return share, all(at[k] >= 1 for k in size), truth
 
 
 def nn_descent(leaders: DataFrame, angle: float, neighbours: int = NEIGHBOURS, orders: int = ORDERS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Pairs (a, b, cosine, near) of leaders (lid, dim, r, v); the audited share of reachable pairs meets the goal."""
     pairs = store(_merged(_windows(leaders, angle, neighbours, orders, 11)), "nn-pairs")
-    for attempt in range(3):
+    for attempt in range(ATTEMPTS):
         reached = pairs.where("near").count()
         for _ in range(max_rounds):
             pairs = _refined(pairs, leaders, angle, neighbours)
@@ -228,12 +271,14 @@ def nn_descent(leaders: DataFrame, angle: float, neighbours: int = NEIGHBOURS, o
             if now <= reached * 1.001:
                 break
             reached = now
-        found, there = audit_recall(pairs, leaders, angle)
-        if found >= AUDIT_GOAL * there:
-            break
+        share, whole, truth = audit_recall(pairs, leaders, angle, attempt)
+        if share < 1:
+            pairs = store(_merged(pairs.union(truth)), "nn-pairs")
+        if whole or share >= AUDIT_GOAL:
+            return pairs
         more = _windows(leaders, angle, neighbours, 2 * orders, 100 + attempt)
         pairs = store(_merged(pairs.union(more)), "nn-pairs")
-    return pairs
+    raise RuntimeError(f"{share:.4f} of the reachable pairs found after {ATTEMPTS} searches, {AUDIT_GOAL} needed")
 
 
 def _compared(partial: DataFrame, members: DataFrame, min_cosine: float, tile: int = 1024) -> DataFrame:

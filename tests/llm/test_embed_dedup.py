@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from shelfspark.llm import embed_dedup
 
@@ -66,3 +67,25 @@ def test_sf001_and_audit(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     assert found(df, min_cosine=0.45, neighbours=12) == brute(rows, 0.45)  # a limit at which these vectors do link
+
+
+def test_rare_links_are_all_found(spark):
+    """Forty links among 4,000 vectors: a fixed number of queries would hardly meet one."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(40, 32))
+    side -= (side * x[:40]).sum(axis=1, keepdims=True) * x[:40]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[2000:2040] = np.cos(np.radians(24)) * x[:40] + np.sin(np.radians(24)) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, orders=1, neighbours=2) == brute(rows)
+
+
+def test_search_below_the_goal_raises(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "audit_recall", lambda pairs, *_: (0.9, False, pairs.limit(0)))
+    monkeypatch.setattr(embed_dedup, "ATTEMPTS", 2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(50, 8)))]
+    with pytest.raises(RuntimeError):
+        found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
