@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, embed_dedup, exact_dedup, langid, packing, pii, piece_codec, quality, sharding, simhash
+from . import brown_lm, embed_dedup, exact_dedup, langid, packing, pii, piece_codec, prefix_trie, quality, sharding, simhash
 from .common import documents
 
 
@@ -53,7 +53,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_exact_dedup, op3_sharding, op4_packing, op5_quality, op6_simhash, op7_embedding_dedup, op8_pieces,
-    op9_brown_lm, op10_pii)}
-ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    op9_brown_lm, op10_pii, op11_prefix_trie)}
+ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
