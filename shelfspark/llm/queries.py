@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, embed_dedup, exact_dedup, langid, packing, pii, piece_codec, prefix_trie, quality, sharding, simhash
+from . import brown_lm, embed_dedup, exact_dedup, html_main, langid, lexical_rank, packing, pii, piece_codec, prefix_trie, quality, sharding, simhash
 from .common import documents
 
 
@@ -57,7 +57,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.search(lexical_rank.build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_exact_dedup, op3_sharding, op4_packing, op5_quality, op6_simhash, op7_embedding_dedup, op8_pieces,
-    op9_brown_lm, op10_pii, op11_prefix_trie)}
-ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
+    op9_brown_lm, op10_pii, op11_prefix_trie, op12_html_main,
+    op13_lexical_rank)}
+ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_lexical_rank": lexical_rank.ORACLE_SQL}
