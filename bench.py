@@ -44,12 +44,10 @@ def main() -> None:
     t0 = time.perf_counter()
     adapters.stored(spark, sf_dir, "catalog", rebuild=True)
     times["catalog_build"] = round(time.perf_counter() - t0, 3)
-    # ... and its inverted index (term-bucket partitions), also timed on its own
-    from shelfspark.operators import fulltext as FT
-    from shelfspark.operators import hybrid as HY
+    # ... and its inverted index (blocked postings), also timed on its own
+    from shelfspark.plans import search
     t0 = time.perf_counter()
-    adapters.materialize(spark, sf_dir, "catalog_index_simple",
-                         lambda: HY.search_index(adapters.stored(spark, sf_dir, "catalog")), FT.write_index, rebuild=True)
+    search._index(spark, sf_dir, rebuild=True)
     times["term_index_build"] = round(time.perf_counter() - t0, 3)
     for n in names:
         best = None

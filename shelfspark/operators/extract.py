@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import markup
 from ..functions import text as TX
 from ..functions import urls as U
 
@@ -26,17 +27,6 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(TX.col(c), WS_TRIM, "")
 
 
-def decode_entities(c) -> Column:
-    x = TX.col(c)
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
-
-
-def strip_tags(c, sep: str = " ") -> Column:
-    return F.regexp_replace(TX.col(c), r"<[^>]*>", sep)
-
-
 # B05 ------------------------------------------------------------------------
 def origin(url) -> Column:
     return F.regexp_extract(TX.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
@@ -67,16 +57,10 @@ def resolve(href, base) -> Column:
                      .otherwise(F.concat(base_dir, h)))
 
 
-# the value of an anchor's href in double, single or no quotes
-HREF_RE = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-
-
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every ``<a href>`` of a page (any quoting, entities decoded), resolved, with its position: ``(url, pos, href)``."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(HREF_RE), F.lit(1))
-    out = pages.select(url_col, F.posexplode(hrefs).alias("pos", "raw_href"))
-    href = strip_ws(decode_entities(F.regexp_replace("raw_href", r"^[\"']|[\"']$", "")))
-    return out.select(F.col(url_col).alias("url"), (F.col("pos") + 1).alias("pos"), resolve(href, F.col(url_col)).alias("href"))
+    """Every ``<a href>`` of a page (any quoting, references decoded), resolved, with its position: ``(url, pos, href)``."""
+    out = pages.select(F.col(url_col).alias("url"), F.posexplode(markup.page(F.col(html_col))["links"]).alias("pos", "raw_href"))
+    return out.select("url", (F.col("pos") + 1).alias("pos"), resolve(F.col("raw_href"), F.col("url")).alias("href"))
 
 
 # B04 ------------------------------------------------------------------------
@@ -166,17 +150,11 @@ def listing_links(links: DataFrame, home_links: DataFrame | None = None) -> Data
 
 
 # B18 ------------------------------------------------------------------------
-DROP_BLOCKS = ["script", "style", "nav", "footer", "header"]
-
-
 def page_text(html, max_len: int | None = None, min_len: int = 50, markdown=None) -> Column:
-    """The page's markdown where there is any, else its visible text: drop script/style/nav/footer/header blocks
-    and comments, tags -> ' ', entities decoded, whitespace squeezed; shorter than ``min_len`` -> NULL."""
-    x = TX.col(html)
-    for t in DROP_BLOCKS:
-        x = F.regexp_replace(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = TX.squeeze(decode_entities(strip_tags(x)))
+    """The page's markdown where there is any, else its visible text: no script/style/nav/footer/header blocks or
+    comments, whitespace squeezed; shorter than ``min_len`` -> NULL."""
+    x = TX.squeeze(F.coalesce(markup.page(TX.col(html))["text"], F.lit("")))
+    x = F.when(TX.col(html).isNotNull(), x)
     if markdown is not None:
         x = F.when(F.coalesce(TX.col(markdown), F.lit("")) != "", TX.col(markdown)).otherwise(x)
     if max_len:
@@ -187,8 +165,8 @@ def page_text(html, max_len: int | None = None, min_len: int = 50, markdown=None
 # B20 ------------------------------------------------------------------------
 def title_name(html) -> Column:
     """Text of the first <h1> without marker emoji; the part after the first ':' if any."""
-    h1 = F.regexp_extract(TX.col(html), r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    t = decode_entities(strip_tags(h1, ""))
+    h1 = markup.page(TX.col(html))["h1"]
+    t = h1
     for m in fixed.TITLE_MARKERS:
         t = F.replace(t, F.lit(m), F.lit(""))
     t = strip_ws(t)
@@ -199,10 +177,9 @@ def title_name(html) -> Column:
 # B24 ------------------------------------------------------------------------
 def description(html) -> Column:
     """Paragraph texts not starting with a field label, joined by spaces."""
-    paras = F.regexp_extract_all(TX.col(html), F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
-    texts = F.transform(paras, lambda p: strip_ws(decode_entities(strip_tags(p, ""))))
-    keep = F.filter(texts, lambda t: ~F.exists(F.array(*[F.lit(s) for s in fixed.DESCRIPTION_SKIP_PREFIXES]),
-                                               lambda s: t.startswith(s)))
+    paras = markup.page(TX.col(html))["paragraphs"]
+    keep = F.filter(F.transform(paras, strip_ws), lambda t: ~F.exists(F.array(*[F.lit(s) for s in fixed.DESCRIPTION_SKIP_PREFIXES]),
+                                                                      lambda s: t.startswith(s)))
     return F.when(F.size(paras) > 0, F.array_join(keep, " "))
 
 
@@ -365,35 +342,9 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return first.select("base", F.dense_rank().over(Window.partitionBy("base").orderBy("ord")).alias("ord"), "sitemap_url")
 
 
-LOC_RE = r"(?is)<(?:[A-Za-z0-9_]+:)?loc>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"
-WELL_FORMED_SITEMAP = (r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(<!--.*?-->\s*)*<(?:[A-Za-z0-9_]+:)?(urlset|sitemapindex)\b[^>]*>"
-                       r".*</(?:[A-Za-z0-9_]+:)?(urlset|sitemapindex)>\s*$")
-BARE_AMPERSAND = r"&(?![A-Za-z]+;|#[0-9]+;|#x[0-9A-Fa-f]+;)"
-
-
-def sitemap_entries(xml) -> Column:
-    """B02 kernel as an expression: ``array<struct<kind, loc>>`` of one landed sitemap.
-
-    A well-formed urlset lists pages, a sitemapindex lists nested sitemaps.  Anything that is
-    not a well-formed sitemap document (checked: sitemap root enclosing the text, no bare '&')
-    falls back to its absolute links -- '/'-terminated ones are nested sitemaps, others pages --
-    followed by any ``<loc>`` entries as pages."""
-    x = TX.col(xml)
-    locs = F.regexp_extract_all(x, F.lit(LOC_RE), F.lit(1))
-    ok = x.rlike(WELL_FORMED_SITEMAP) & ~x.rlike(BARE_AMPERSAND)
-    kind = F.when(x.rlike(r"(?i)<(?:[A-Za-z0-9_]+:)?sitemapindex\b"), F.lit("nested")).otherwise(F.lit("url"))
-    parsed = F.transform(locs, lambda l: F.struct(kind.alias("kind"), l.alias("loc")))
-    hrefs = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r'(?i)<a\s[^>]*href\s*=\s*"([^"]*)"'), F.lit(1)),
-                                 lambda h: strip_ws(h)), lambda h: (h != "") & h.startswith("http"))
-    from_links = F.transform(hrefs, lambda h: F.struct(
-        F.when(h.endswith("/"), F.lit("nested")).otherwise(F.lit("url")).alias("kind"), h.alias("loc")))
-    from_locs = F.transform(locs, lambda l: F.struct(F.lit("url").alias("kind"), l.alias("loc")))
-    return F.when(ok, parsed).otherwise(F.concat(from_links, from_locs))
-
-
 def sitemap_parse(sitemaps: DataFrame) -> DataFrame:
-    """``(url, xml)`` -> ``(url, kind, loc)`` (see ``sitemap_entries``)."""
-    e = sitemaps.select("url", F.explode(sitemap_entries(F.col("xml"))).alias("e"))
+    """``(url, xml)`` -> ``(url, kind, loc)`` (see ``markup.sitemap_entries``)."""
+    e = sitemaps.select("url", F.explode(markup.sitemap(F.col("xml"))).alias("e"))
     return e.select("url", F.col("e.kind").alias("kind"), F.col("e.loc").alias("loc"))
 
 
@@ -502,7 +453,7 @@ def content_block(pages: DataFrame, html_col: str = "html") -> DataFrame:
 # B03 ------------------------------------------------------------------------
 def sitemap_docs(sitemaps: DataFrame) -> DataFrame:
     """B02 with positions: ``(url, kind, pos, loc)`` for every entry of every landed sitemap."""
-    e = sitemaps.select("url", F.posexplode(sitemap_entries(F.col("xml"))).alias("pos", "e"))
+    e = sitemaps.select("url", F.posexplode(markup.sitemap(F.col("xml"))).alias("pos", "e"))
     return e.select("url", F.col("e.kind").alias("kind"), "pos", F.col("e.loc").alias("loc"))
 
 

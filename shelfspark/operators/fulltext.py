@@ -16,6 +16,8 @@ over that pair's occurrences, which all come from one document row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -156,28 +158,118 @@ def text_match(occ: DataFrame) -> DataFrame:
 
 
 # Inverted index -------------------------------------------------------------------------
-# Term occurrences stored once per catalogue snapshot, partitioned by a hash bucket of the
-# term.  A query batch joins on (term_bucket, term): the broadcast query terms prune the
-# index scan to the buckets its terms fall in (dynamic partition pruning), so a small batch reads
-# a fraction of the index instead of re-tokenising every document.
-INDEX_BUCKETS = 64
-
-
-def term_bucket(term: Column, buckets: int = INDEX_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build_index(docs: DataFrame, id_cols: list[str], text: Column, mode: str = "simple",
-                buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """``(id..., term, pos, term_bucket)`` occurrence rows of every document."""
-    return analyze(docs, id_cols, text, mode).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-
+# One posting row per (block of documents, term), stored once per catalogue snapshot.  Its narrow columns (documents that
+# hold the term, most occurrences in one) tell in which blocks all terms of a query meet and how well a document there
+# can rank at best; the wide ones (ids, positions) are read only there, the rarest term's first.  So a word that a third
+# of the documents hold costs its narrow rows, not its postings.
+BLOCK_DOCS = 1024
+FOLDERS = 64
+#: Blocks of each query that are ranked before the others are held against its k-th rank.
+FIRST_BLOCKS = 16
 
-def write_index(index: DataFrame, path: str) -> str:
-    """One folder per term bucket, sorted by term inside each file, so that row-group statistics prune as well.
 
-    The range exchange orders by (bucket, term, id): a very common word, or a large bucket, is spread over as many
-    files as its rows need, and the number of tasks follows the data, not the number of buckets."""
-    index.repartitionByRange("term_bucket", "term", "id").sortWithinPartitions("term_bucket", "term", "id").write.partitionBy(
-        "term_bucket").parquet(path)
-    return path
+@dataclass
+class TextIndex:
+    """``postings``: folder, block, term, n_docs, max_tf, ids, positions; ``docs``: folder, block, id and the documents'
+    own columns.  Both lie in folders by block, so that joins which name folder and block read only theirs."""
+
+    postings: DataFrame
+    docs: DataFrame
+
+
+def placed(df: DataFrame, blocks: int) -> DataFrame:
+    """``df`` with the block of each document (a hash of its id) and the block's folder."""
+    return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("folder", (F.col("block") % FOLDERS).cast("int"))
+
+
+def posting_rows(docs: DataFrame, text: Column, mode: str, blocks: int) -> DataFrame:
+    """The posting rows of ``docs`` (id and text); one shuffle by (block, term), whose groups a block's documents bound."""
+    occ = placed(analyze(docs, ["id"], text, mode), blocks).repartition("folder", "block", "term")
+    by_doc = occ.groupBy("folder", "block", "term", "id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    by_term = by_doc.groupBy("folder", "block", "term").agg(F.sort_array(F.collect_list(F.struct("id", "pos"))).alias("p"))
+    return by_term.select("folder", "block", "term", F.size("p").alias("n_docs"), F.array_max(F.transform("p", lambda x: F.size(x["pos"]))).alias("max_tf"),
+                          F.col("p.id").alias("ids"), F.col("p.pos").alias("positions"))
+
+
+def build_index(docs: DataFrame, keep: list[str], text: Column, mode: str = "simple", block_docs: int = BLOCK_DOCS) -> TextIndex:
+    """The index of ``docs`` (with a unique ``id``); ``keep`` names the columns that ranking and filters need."""
+    blocks = max(1, -(-docs.count() // block_docs))
+    return TextIndex(posting_rows(docs, text, mode, blocks), placed(docs.select("id", *keep), blocks))
+
+
+def write_by_folder(df: DataFrame, path: str) -> None:
+    """One folder per group of blocks, sorted by term (where there is one) inside each file for row-group statistics; AQE
+    splits large folders over several files and puts small ones together."""
+    order = ["folder", *[c for c in ("term", "block") if c in df.columns]]
+    df.hint("rebalance", "folder").sortWithinPartitions(*order).write.partitionBy("folder").parquet(path)
+
+
+def stored_index(build, store) -> TextIndex:
+    """The index that ``build()`` makes, kept by ``store(name, build, write)``, which reads it back and need not build it again."""
+    return TextIndex(store("postings", lambda: build().postings, write_by_folder), store("docs", lambda: build().docs, write_by_folder))
+
+
+def term_matches(index: TextIndex, qterms: DataFrame, pred: Column, keep: list[str]) -> DataFrame:
+    """Every document that holds a term of a query and passes ``pred``: ``(query_id, id, term_idx, n_terms, pos, keep...)``
+    with ``pos`` the array of positions."""
+    hits = index.postings.join(qterms, "term").select("*", F.explode(F.arrays_zip("ids", F.col("positions").alias("pos"))).alias("d"))
+    hits = hits.withColumn("id", F.col("d.ids")).withColumn("pos", F.col("d.pos")).drop("ids", "positions", "d")
+    return hits.join(index.docs, ["folder", "block", "id"]).where(pred).select("query_id", "id", "term_idx", "n_terms", "pos", *keep)
+
+
+def block_visits(index: TextIndex, qterms: DataFrame) -> DataFrame:
+    """Blocks where all terms of a query occur: ``(query_id, folder, block, least, bound)``, from narrow columns only.
+
+    ``least`` is the number of documents of the rarest term there.  ``bound``: each minimal cover starts at the last
+    occurrence of some term before one of the rarest term's, so there are at most terms x occurrences of them."""
+    heads = index.postings.select("folder", "block", "term", "n_docs", "max_tf").join(qterms.select("query_id", "term", "n_terms"), "term")
+    met = heads.groupBy("query_id", "folder", "block").agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"), F.min("n_docs").alias("least"), F.min("max_tf").alias("tf"))
+    bound = (F.lit(COVER_WEIGHT) * F.col("n_terms") * F.col("tf")).cast("float").cast("double")
+    return met.where("found = n_terms").select("query_id", "folder", "block", "least", bound.alias("bound"))
+
+
+def block_matches(index: TextIndex, qterms: DataFrame, visits: DataFrame, pred: Column, keep: list[str]) -> DataFrame:
+    """H03 in the visited blocks: documents that hold all terms and pass ``pred``: ``(query_id, id, keep..., n_terms, occ)``.
+
+    The postings of a query in a block meet in one row per (query, block), and ids are intersected from the rarest term
+    outward; ``occ`` holds the matches' (pos, term_idx) in order."""
+    params = [c for c in qterms.columns if c.startswith("q_")]
+    wanted = visits.select("query_id", "folder", "block").join(qterms.select("query_id", "term", "term_idx"), "query_id")
+    met = index.postings.select("folder", "block", "term", "n_docs", "ids", "positions").join(wanted, ["folder", "block", "term"])
+    met = met.groupBy("query_id", "folder", "block").agg(F.sort_array(F.collect_list(F.struct("n_docs", "term_idx", "ids", "positions"))).alias("l"))
+    ids = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.element_at("l", 1)["ids"], lambda acc, x: F.array_intersect(acc, x["ids"]))
+    places = lambda x, i: F.transform(F.element_at(x["positions"], F.array_position(x["ids"], i).cast("int")),
+                                      lambda p: F.struct(p.alias("pos"), x["term_idx"].alias("term_idx")))
+    docs = F.transform(ids, lambda i: F.struct(i.alias("id"), F.array_sort(F.flatten(F.transform("l", lambda x: places(x, i)))).alias("occ")))
+    hits = met.select("query_id", "folder", "block", F.size("l").alias("n_terms"), F.inline(docs))
+    hits = hits.join(index.docs, ["folder", "block", "id"]).join(qterms.where("term_idx = 0").select("query_id", *params), "query_id")
+    return hits.where(pred).select("query_id", "id", *keep, "n_terms", "occ")
+
+
+def ranked(matches: DataFrame, keep: list[str]) -> DataFrame:
+    """``matches`` with the cover-density rank, rounded to a 4-byte float like the text-search rank it reproduces."""
+    return matches.select("query_id", "id", *keep, _cover_density(F.col("occ"), F.col("n_terms")).cast("float").cast("double").alias("text_rank"))
+
+
+def search_index_topk(index: TextIndex, qterms: DataFrame, k: int | None, pred: Column, keep: list[str], order: list[Column]) -> DataFrame:
+    """H03 + H04 over the index: each query's ``k`` best documents by ``order`` (rank first), or all (``k`` None).
+
+    Each query first ranks its ``FIRST_BLOCKS`` blocks of highest bound; of the others only those whose bound reaches the
+    k-th rank found there are read."""
+    from .vector import top_k_per_group
+    from ..sources import io as IO
+
+    qterms = IO.keep(qterms, "query-terms")
+    visits = IO.keep(block_visits(index, qterms), "block-visits")
+    if k is None:
+        return ranked(block_matches(index, qterms, visits, pred, keep), keep)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("least"), "block"))
+    first = visits.withColumn("nth", nth).where(F.col("nth") <= FIRST_BLOCKS)
+    head = top_k_per_group(ranked(block_matches(index, qterms, first, pred, keep), keep), ["query_id"], order, k)
+    if (visits.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) <= FIRST_BLOCKS:
+        return head
+    head = IO.keep(head, "first-blocks")
+    kth = head.where(F.col("rank") == k).select("query_id", F.col("text_rank").alias("kth"))
+    rest = visits.join(first, ["query_id", "block"], "left_anti").join(kth, "query_id", "left").where("bound >= coalesce(kth, 0)")
+    tail = ranked(block_matches(index, qterms, rest, pred, keep), keep)
+    return top_k_per_group(head.drop("rank").unionByName(tail), ["query_id"], order, k)

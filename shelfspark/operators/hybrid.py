@@ -67,38 +67,38 @@ def search_text(p: DataFrame) -> Column:
                        F.coalesce(p["description"], F.lit("")))
 
 
-def search_index(products: DataFrame, mode: str = "simple", buckets: int = FT.INDEX_BUCKETS) -> DataFrame:
+def search_index(products: DataFrame, mode: str = "simple", block_docs: int = FT.BLOCK_DOCS) -> FT.TextIndex:
     """Inverted index of the searchable text with the filter attributes the text branch needs."""
     p = prepare_products(products)
-    return FT.build_index(p.select("id", "url", "name", "brand", "description", *FILTER_COLS),
-                          ["id", "url", *FILTER_COLS], search_text(p), mode, buckets)
+    return FT.build_index(p, ["url", *FILTER_COLS], search_text(p), mode, block_docs)
 
 
-def text_occurrences(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: DataFrame | None = None) -> DataFrame:
-    """Occurrences of each query's terms in the documents that pass its filters.
+def _terms(pq: DataFrame, mode: str) -> DataFrame:
+    return FT.query_terms(pq, F.col("intent"), mode, keep=[c for c in pq.columns if c.startswith("q_")])
+
+
+def text_occurrences(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None) -> DataFrame:
+    """The documents that hold a term of a query and pass its filters: ``(query_id, id, term_idx, n_terms, pos)``,
+    one row per term with its positions.  ``index`` is a stored ``search_index``; without it the documents are analysed here."""
+    return FT.term_matches(search_index(p, mode) if index is None else index, _terms(pq, mode), pred, [])
 
-    ``index`` is a stored ``search_index``; without it the documents are analysed here.  The join names the bucket as
-    well as the term, so that a small batch, which Spark broadcasts by its own size check, prunes the index's folders."""
-    params = [c for c in pq.columns if c.startswith("q_")]
-    qterms = FT.query_terms(pq, F.col("intent"), mode, keep=params)
-    qterms = qterms.withColumn("term_bucket", FT.term_bucket(F.col("term")))
-    index = search_index(p, mode) if index is None else index
-    return index.join(qterms, ["term_bucket", "term"]).where(pred)
+
+def text_match(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None) -> DataFrame:
+    """``(query_id, id)`` of the documents that hold every intent term and pass the filters."""
+    index, terms = search_index(p, mode) if index is None else index, _terms(pq, mode)
+    return FT.block_matches(index, terms, FT.block_visits(index, terms), pred, []).select("query_id", "id")
 
 
 def text_topk(p: DataFrame, pq: DataFrame, k: int | None, pred: Column, mode: str = "simple",
-              index: DataFrame | None = None) -> DataFrame:
+              index: FT.TextIndex | None = None) -> DataFrame:
     """Text branch: documents matching every intent term and the filters, with their rank; top k per query, or all
     (``k`` None)."""
-    occ = text_occurrences(p, pq, pred, mode, index)
-    ranked = FT.match_and_rank(occ.select("query_id", "id", "url", "term_idx", "n_terms", "pos"), ["url"])
-    if k is None:
-        return ranked
-    return top_k_per_group(ranked, ["query_id"], [F.desc("text_rank"), F.asc("url")], k)
+    index = search_index(p, mode) if index is None else index
+    return FT.search_index_topk(index, _terms(pq, mode), k, pred, ["url"], [F.desc("text_rank"), F.asc("url")])
 
 
 def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES, use_parsed: bool = True,
-               origin_only: bool | None = None, mode: str = "english", index: DataFrame | None = None) -> DataFrame:
+               origin_only: bool | None = None, mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
     # the parsed batch is read by both branches: written once, so the regex parse runs and plans once and Spark
@@ -158,7 +158,7 @@ def hybrid_score(alpha: float = fixed.ALPHA, origin_boost: float = fixed.ORIGIN_
 def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES,
                   final_k: int = fixed.SQL_CANDIDATES, alpha: float = fixed.ALPHA,
                   origin_boost: float = fixed.ORIGIN_BOOST_MAIN, min_reviews: int = fixed.MIN_REVIEWS_FOR_TRUST,
-                  mode: str = "english", index: DataFrame | None = None) -> DataFrame:
+                  mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
     """Ranked candidates per query with ``hybrid_score`` (before de-dupe and rerank)."""
     merged = merge_candidates(candidates(products, queries, k, mode=mode, index=index))
     scored = minmax_norm(merged, "vector_similarity", "vector_similarity_norm", 1.0)
@@ -169,7 +169,7 @@ def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CA
 
 def hybrid_search_basic(products: DataFrame, queries: DataFrame, k: int = fixed.INITIAL_SEARCH_LIMIT,
                         limit: int = 25, origin_boost: float = fixed.ORIGIN_BOOST_API,
-                        origin_only: bool = False, mode: str = "english", index: DataFrame | None = None) -> DataFrame:
+                        origin_only: bool = False, mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
     """Un-normalised ``0.5 v + 0.5 t + boost`` over candidates merged by exact url.
 
     Only the request's origin flag filters; parsed price / rating / brand do not.

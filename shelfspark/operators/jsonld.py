@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import markup
 
 BLOCK_RE = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 
@@ -163,22 +164,19 @@ def image_manifest(products: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 # B14 ------------------------------------------------------------------------
-def _meta(html, prop: str):
-    """``content`` of ``<meta property="prop">`` (either attribute order); NULL when absent."""
-    a = F.regexp_extract(html, rf'(?is)<meta\s[^>]*property\s*=\s*"{prop}"[^>]*\scontent\s*=\s*"([^"]*)"', 1)
-    b = F.regexp_extract(html, rf'(?is)<meta\s[^>]*content\s*=\s*"([^"]*)"[^>]*\sproperty\s*=\s*"{prop}"', 1)
-    has = html.rlike(rf'(?is)<meta\s[^>]*property\s*=\s*"{prop}"')
-    v = F.when(a != "", a).when(b != "", b)
-    return F.when(has, F.regexp_replace(v, r"^\s+|\s+$", ""))
+def _meta(page: Column, prop: str) -> Column:
+    """``content`` of the first ``<meta property="prop">``, stripped; NULL when absent or empty."""
+    first = F.get(F.filter(page["meta"], lambda m: m["property"] == prop), 0)["content"]
+    return F.nullif(F.regexp_replace(first, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def og_fallback(products: DataFrame, pages: DataFrame) -> DataFrame:
     """Fill name / description from og:title / og:description when missing (empty), and
     images from og:image when there are none; ``(url, ...)`` of ``products`` joined to ``pages``."""
     j = products.join(pages.select("url", "html"), "url", "right")
-    h = F.col("html")
+    page = markup.page(F.col("html"))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    title, desc, img = _meta(h, "og:title"), _meta(h, "og:description"), _meta(h, "og:image")
+    title, desc, img = (_meta(page, f"og:{x}") for x in ("title", "description", "image"))
     imgs = F.coalesce(F.col("images"), F.array().cast("array<string>"))
     return j.select(
         "url",

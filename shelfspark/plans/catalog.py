@@ -8,6 +8,7 @@ from ..functions import queryparse as QP
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import catalog as C
+from ..operators.buckets import BucketedTable
 from ..sources import adapters
 from ..sources import io as IO
 from ..sources.tables import Tables
@@ -214,22 +215,38 @@ _NEW = """select concat('https://', d.source, '.example.com/products/', replace(
  from documents d join part p on p.p_partkey = d.doc_id left join labels l on l.doc_id = d.doc_id"""
 
 
-@register("a07_upsert_by_key", with_views("""select n.url, n.name, n.description is null as description_null,
+_A07_SQL = with_views("""select n.url, n.name, n.description is null as description_null,
  coalesce(o.source_site, n.source_site) as source_site,
  coalesce(o.created_at, timestamp '2024-02-01 00:00:00') as created_at, timestamp '2024-02-01 00:00:00' as updated_at
  from new n left join old o on o.url = n.url
  union all select o.url, o.name, o.description is null, o.source_site, o.created_at, o.updated_at
- from old o anti join new n on n.url = o.url""", "catalog", extra={"old": _OLD, "new": _NEW}))
+ from old o anti join new n on n.url = o.url""", "catalog", extra={"old": _OLD, "new": _NEW})
+
+
+def _a07_old(t):
+    return adapters.catalog(t).select("url", "name", "description", "source_site",
+                                      F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+                                      F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
+
+
+@register("a07_upsert_by_key", _A07_SQL)
 def a07(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    old = adapters.catalog(t).select("url", "name", "description", "source_site",
-                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
-                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
-    m = C.upsert_by_key(old, relanded_input(t), preserve=["source_site"], now="2024-02-01 00:00:00")
+    m = C.upsert_by_key(_a07_old(t), relanded_input(t), preserve=["source_site"], now="2024-02-01 00:00:00")
     return m.select("url", "name", F.col("description").isNull().alias("description_null"), "source_site",
                     "created_at", "updated_at")
 
 
+@register("a07_upsert_bucketed", _A07_SQL)
+def a07b(spark, sf_dir):
+    """A07 on a stored table in hash buckets of its key: only the buckets that the batch touches are read and rewritten."""
+    t = Tables(spark, sf_dir)
+    stored = BucketedTable.create(_a07_old(t), IO.scratch(spark, "a07-table"), buckets=64)
+    stored.upsert(relanded_input(t), preserve=["source_site"], now="2024-02-01 00:00:00")
+    return BucketedTable(spark, stored.base).read().select("url", "name", F.col("description").isNull().alias("description_null"),
+                                                           "source_site", "created_at", "updated_at")
+
+
 @register("a08_upsert_quarantine", with_views("""select count_if(description is not null) as saved,
  count_if(description is null) as failed from new""", extra={"new": _NEW}))
 def a08(spark, sf_dir):

@@ -59,17 +59,20 @@ def _strip_sql(x):
 
 
 def _decode_sql(x):
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")]:  # the last: titles cut inside a reference
         x = f"replace({x}, '{a}', '{b}')"
     return x
 
 
+# the value of an anchor's href in double, single or no quotes, in the rendered pages
+HREF_RE = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+DROP_BLOCKS = ["script", "style", "nav", "footer", "header"]
 _HREF_SQL = _strip_sql(_decode_sql("""regexp_replace(quoted, '^["'']|["'']$', '', 'g')"""))
 LINKS_SQL = f"""select url, pos, case when starts_with(raw_href, '../')
    then regexp_replace({_resolve_sql('raw_href', 'url')}, '/[^/]+/[.][.]/', '/') else {_resolve_sql('raw_href', 'url')} end as href from (
  select url, {_HREF_SQL} as raw_href, pos from (
  select url, unnest(h) as quoted, generate_subscripts(h, 1) as pos from (
- select url, regexp_extract_all(html, {_re(X.HREF_RE)}, 1) as h from {_LINK_PAGES_SQL})))"""
+ select url, regexp_extract_all(html, {_re(HREF_RE)}, 1) as h from {_LINK_PAGES_SQL})))"""
 
 
 def _links(spark, sf_dir):
@@ -133,7 +136,7 @@ def b08(spark, sf_dir):
 
 def _page_text_sql(h):
     x = h
-    for t in X.DROP_BLOCKS:
+    for t in DROP_BLOCKS:
         x = f"regexp_replace({x}, {_re('(?is)<' + t + chr(92) + 'b[^>]*>.*?</' + t + '>')}, ' ', 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"

@@ -23,11 +23,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage is cut, and Spark knows the table's true size
-    when it plans what joins it."""
+def keep(df: DataFrame, name: str, write=None) -> DataFrame:
+    """``df`` written once to the shared folder (by ``write(df, path)`` where given) and read back: lineage is cut, and
+    Spark knows the table's true size when it plans what joins it."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path) if write else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -114,7 +114,8 @@ class ChangeLogUpsert:
         return self.snapshot
 
 
-def upsert_stream(updates: DataFrame, sink: ChangeLogUpsert, checkpoint: str):
+def upsert_stream(updates: DataFrame, sink, checkpoint: str):
+    """A stream of changes into ``sink``, a ``buckets.BucketedUpsert`` or a ``ChangeLogUpsert``."""
     return (updates.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
