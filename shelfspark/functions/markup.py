@@ -20,6 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style nav footer header noscript template".split())
 UNSEEN = frozenset("script style noscript template".split())
 
+#: Elements whose start ends an open paragraph.
+ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+header hgroup hr main menu nav ol p pre search section summary table ul""".split())
+
 PAGE = "struct<links: array<string>, meta: array<struct<property: string, content: string>>, h1: string, paragraphs: array<string>, text: string>"
 ENTRY = "array<struct<kind: string, loc: string>>"
 
@@ -48,9 +52,11 @@ class PageReader(HTMLParser):
             found = dict(reversed(attrs))  # the first of repeated attributes counts
             if found.get("property") is not None:
                 self.meta.append({"property": found["property"], "content": found.get("content")})
-        elif tag == "h1" and self.h1 is None:
+        if tag in ENDS_P and self.in_p:
+            self.handle_endtag("p")
+        if tag == "h1" and self.h1 is None:
             self.h1, self.in_h1 = [], True
-        elif tag == "p" and not self.in_p:
+        elif tag == "p":
             self.paragraphs.append([])
             self.in_p = True
         if tag not in VOID:
@@ -63,9 +69,9 @@ class PageReader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.in_h1 = self.in_h1 and tag != "h1"
-        self.in_p = self.in_p and tag != "p"
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k] == tag:
+                self.in_p = self.in_p and "p" not in self.open[k:]
                 del self.open[k:]
                 return
 

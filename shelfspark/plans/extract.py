@@ -175,7 +175,7 @@ _SKIP = " or ".join(f"starts_with(t, '{s}')" for s in fixed.DESCRIPTION_SKIP_PRE
 @register("b24_description", O.with_views(f"""select page_id, case when len(paras) > 0 then
  array_to_string(list_filter(list_transform(paras, lambda p: {_strip_sql(_decode_sql("regexp_replace(p, '<[^>]*>', '', 'g')"))}),
    lambda t: not ({_SKIP})), ' ') end as description
- from (select page_id, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1) as paras from pages)"""))
+ from (select page_id, regexp_extract_all(regexp_replace(html, '(<p>|</article>)', '</p>\\1', 'g'), '(?is)<p>(.*?)</p>', 1) as paras from pages)"""))
 def b24(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", X.description(F.col("html")).alias("description"))
 

@@ -35,6 +35,8 @@ def test_title_and_description(spark):
     html = "<h1 data-a='>'>\n🍁 Maker: Caf&eacute; &rsquo;s <i>Best</i> &#8217;</h1><h1>Second: no</h1><p class='>'>Name: x</p><p>One &ldquo;q&rdquo; < two</p><p><!-- c -->Three<br>x"
     row = one(spark, html).select(X.title_name(F.col("html")).alias("t"), X.description(F.col("html")).alias("d")).first()
     assert row.t == "Café ’s Best ’" and row.d == "One “q” < two Threex"
+    row = one(spark, "<article><p><b>a<p>b<div>no</div><p>c</article>no").select(X.description(F.col("html")).alias("d")).first()
+    assert row.d == "a b c"  # a paragraph ends with the next block and with what holds it
     row = one(spark, "<h2>x</h2>").select(X.title_name(F.col("html")).alias("t"), X.description(F.col("html")).alias("d")).first()
     assert row.t is None and row.d is None
 
@@ -73,4 +75,4 @@ def test_sitemaps(spark):
 
 def test_deep_and_long_pages():
     page = markup.PageReader("<div>" * 3000 + "x" + "<p>y " * 3000).row()
-    assert page["text"].count("y") == 3000 and len(page["paragraphs"]) == 1
+    assert page["text"].count("y") == 3000 and len(page["paragraphs"]) == 3000
