@@ -176,8 +176,8 @@ def stem(word: str) -> str:
 
 
 def _stem_or_keep(t: str) -> str:
-    # only alphabetic words are stemmed; numbers and mixed tokens pass through
-    return stem(t) if t is not None and t.isalpha() else t
+    # only words, hyphenated ones too, are stemmed; numbers, addresses and mixed tokens pass through
+    return stem(t) if t is not None and t.replace("-", "").isalpha() else t
 
 
 @F.pandas_udf(StringType())

@@ -48,45 +48,69 @@ def tokens(c: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def analyze(df: DataFrame, id_cols: list[str], text: Column, mode: str = "simple") -> DataFrame:
-    """``(id..., term, pos)``; positions are 1-based word positions.
+# Typed tokens (H05): the classes of a full-text parser, tried in this order at each place of the lower-cased text.
+_HOST = r"(?:[a-z0-9][a-z0-9_-]*\.)+[a-z][a-z0-9]+"
+TYPED_RE = "|".join([
+    r"<[a-z/!][^<>]*>", r"&(?:[a-z][a-z0-9]*|#[0-9]+|#x[0-9a-f]+);", r"[a-z][a-z0-9+.-]*://",  # tags, references, protocols: not indexed
+    r"[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9][a-z0-9-]*\.)+[a-z][a-z0-9]*",  # e-mail
+    _HOST + r"(?::[0-9]+)?/[^\s<>\"]*", _HOST,  # url, host
+    r"[0-9]+(?:\.[0-9]+){2,}", r"[-+]?[0-9]+\.[0-9]+(?:e[-+]?[0-9]+)?",  # version, decimal number
+    r"[0-9]+\p{L}[\p{L}\p{N}]*", r"[-+]?[0-9]+",  # word that starts with digits, whole number
+    r"\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+", r"\p{L}[\p{L}\p{N}]*", r"[\p{L}\p{N}]+"])  # hyphenated compound, word
+COMPOUND_RE = r"^\p{L}[\p{L}\p{N}]*-"
+#: Words, which stop words and stems apply to.
+WORD_RE = r"^[\p{L}-]+$"
+
+
+def typed_tokens(c: Column) -> Column:
+    """Tokens as a full-text parser types them, each at its own place: a hyphenated compound is followed by its parts, a
+    URL by its host and path; e-mail addresses, hosts and signed, decimal or version numbers are one token."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TYPED_RE), F.lit(0))
+    kept = F.filter(found, lambda t: ~(t.startswith("<") | t.startswith("&") | t.endswith("://")))
+    return F.flatten(F.transform(kept, lambda t: F.when(t.contains("@"), F.array(t))
+                                 .when(t.contains("/"), F.array(t, F.regexp_extract(t, "^[^/]*", 0), F.regexp_extract(t, "/.*$", 0)))
+                                 .when(t.rlike(COMPOUND_RE), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
+
+
+def mode_tokens(c: Column, mode: str) -> Column:
+    if mode not in ("simple", "english"):
+        raise ValueError(f"unknown analyzer mode {mode!r}")
+    return tokens(c) if mode == "simple" else typed_tokens(c)
+
+
+def analyze(df: DataFrame, id_cols: list[str], text: Column, mode: str = "simple", stems: DataFrame | None = None) -> DataFrame:
+    """``(id..., term, pos)``; positions are 1-based token positions.
 
-    ``english`` drops stop words but keeps their positions (gaps), as a
-    text-search vector does; ``simple`` keeps every token.
+    ``english`` types its tokens, drops stop words but keeps their positions (gaps), and stems words, by the algorithm or by a
+    table ``stems(term, stem)``; ``simple`` keeps every letter/digit run.
     """
-    out = df.select(*id_cols, F.posexplode(tokens(text)).alias("pos0", "term"))
+    out = df.select(*id_cols, F.posexplode(mode_tokens(text, mode)).alias("pos0", "term"))
     out = out.select(*id_cols, "term", (F.col("pos0") + 1).alias("pos"))
-    if mode == "english":
-        out = stem_terms(out.where(~F.col("term").isin(ENGLISH_STOP_WORDS)))
-    elif mode != "simple":
-        raise ValueError(f"unknown analyzer mode {mode!r}")
-    return out
+    return out if mode == "simple" else stem_terms(out.where(~F.col("term").isin(ENGLISH_STOP_WORDS)), stems=stems)
 
 
-def stem_terms(df: DataFrame, col: str = "term") -> DataFrame:
+def stem_terms(df: DataFrame, col: str = "term", stems: DataFrame | None = None) -> DataFrame:
     """Replace ``col`` by its English stem: the stemmer runs once per distinct term (Arrow
-    batches) and the stems are joined back on the term."""
+    batches) and the stems are joined back on the term; a table ``stems(term, stem)`` takes its place where given."""
+    if stems is not None:
+        return df.join(stems.select(F.col("term").alias(col), F.col("stem").alias("_stem")), col, "left").withColumn(col, F.coalesce("_stem", col)).drop("_stem")
     from ..functions.stem import stem_udf
 
     vocab = df.select(col).distinct()
-    stems = vocab.select(col, stem_udf(F.col(col)).alias("_stem"))
-    return df.join(stems, col).withColumn(col, F.col("_stem")).drop("_stem")
+    stemmed = vocab.select(col, stem_udf(F.col(col)).alias("_stem"))
+    return df.join(stemmed, col).withColumn(col, F.col("_stem")).drop("_stem")
 
 
-def query_terms(queries: DataFrame, text: Column, mode: str = "simple", keep: list[str] | None = None) -> DataFrame:
+def query_terms(queries: DataFrame, text: Column, mode: str = "simple", keep: list[str] | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Distinct terms of each query with a dense index: ``(query_id, term, term_idx, n_terms, keep...)``."""
     keep = keep or []
-    toks = tokens(text)
     if mode == "english":
-        from ..functions.stem import stem_udf
-
-        toks = F.filter(toks, lambda t: ~t.isin(ENGLISH_STOP_WORDS))
-        ex = queries.select("query_id", *keep, F.explode(toks).alias("term"))
-        ex = ex.select("query_id", *keep, stem_udf(F.col("term")).alias("term")).dropDuplicates(["query_id", "term"])
+        terms = F.filter(typed_tokens(text), lambda t: ~t.isin(ENGLISH_STOP_WORDS))
+        ex = stem_terms(queries.select("query_id", *keep, F.explode(terms).alias("term")), stems=stems).dropDuplicates(["query_id", "term"])
         w = Window.partitionBy("query_id")
         return ex.select("query_id", (F.dense_rank().over(w.orderBy("term")) - 1).cast("int").alias("term_idx"), "term",
                          F.count(F.lit(1)).over(w).cast("int").alias("n_terms"), *keep)
-    q = queries.select("query_id", *keep, F.array_distinct(toks).alias("terms"))
+    q = queries.select("query_id", *keep, F.array_distinct(tokens(text)).alias("terms"))
     q = q.where(F.size("terms") > 0)  # an empty text query matches nothing
     return q.select(
         "query_id", F.posexplode("terms").alias("term_idx", "term"), F.size("terms").alias("n_terms"), *keep)
@@ -182,19 +206,20 @@ def placed(df: DataFrame, blocks: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("folder", (F.col("block") % FOLDERS).cast("int"))
 
 
-def posting_rows(docs: DataFrame, text: Column, mode: str, blocks: int) -> DataFrame:
+def posting_rows(docs: DataFrame, text: Column, mode: str, blocks: int, stems: DataFrame | None = None) -> DataFrame:
     """The posting rows of ``docs`` (id and text); one shuffle by (block, term), whose groups a block's documents bound."""
-    occ = placed(analyze(docs, ["id"], text, mode), blocks).repartition("folder", "block", "term")
+    occ = placed(analyze(docs, ["id"], text, mode, stems), blocks).repartition("folder", "block", "term")
     by_doc = occ.groupBy("folder", "block", "term", "id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
     by_term = by_doc.groupBy("folder", "block", "term").agg(F.sort_array(F.collect_list(F.struct("id", "pos"))).alias("p"))
     return by_term.select("folder", "block", "term", F.size("p").alias("n_docs"), F.array_max(F.transform("p", lambda x: F.size(x["pos"]))).alias("max_tf"),
                           F.col("p.id").alias("ids"), F.col("p.pos").alias("positions"))
 
 
-def build_index(docs: DataFrame, keep: list[str], text: Column, mode: str = "simple", block_docs: int = BLOCK_DOCS) -> TextIndex:
+def build_index(docs: DataFrame, keep: list[str], text: Column, mode: str = "simple", block_docs: int = BLOCK_DOCS,
+                stems: DataFrame | None = None) -> TextIndex:
     """The index of ``docs`` (with a unique ``id``); ``keep`` names the columns that ranking and filters need."""
     blocks = max(1, -(-docs.count() // block_docs))
-    return TextIndex(posting_rows(docs, text, mode, blocks), placed(docs.select("id", *keep), blocks))
+    return TextIndex(posting_rows(docs, text, mode, blocks, stems), placed(docs.select("id", *keep), blocks))
 
 
 def write_by_folder(df: DataFrame, path: str) -> None:

@@ -67,38 +67,38 @@ def search_text(p: DataFrame) -> Column:
                        F.coalesce(p["description"], F.lit("")))
 
 
-def search_index(products: DataFrame, mode: str = "simple", block_docs: int = FT.BLOCK_DOCS) -> FT.TextIndex:
+def search_index(products: DataFrame, mode: str = "simple", block_docs: int = FT.BLOCK_DOCS, stems: DataFrame | None = None) -> FT.TextIndex:
     """Inverted index of the searchable text with the filter attributes the text branch needs."""
     p = prepare_products(products)
-    return FT.build_index(p, ["url", *FILTER_COLS], search_text(p), mode, block_docs)
+    return FT.build_index(p, ["url", *FILTER_COLS], search_text(p), mode, block_docs, stems)
 
 
-def _terms(pq: DataFrame, mode: str) -> DataFrame:
-    return FT.query_terms(pq, F.col("intent"), mode, keep=[c for c in pq.columns if c.startswith("q_")])
+def _terms(pq: DataFrame, mode: str, stems: DataFrame | None = None) -> DataFrame:
+    return FT.query_terms(pq, F.col("intent"), mode, [c for c in pq.columns if c.startswith("q_")], stems)
 
 
-def text_occurrences(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None) -> DataFrame:
+def text_occurrences(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """The documents that hold a term of a query and pass its filters: ``(query_id, id, term_idx, n_terms, pos)``,
     one row per term with its positions.  ``index`` is a stored ``search_index``; without it the documents are analysed here."""
-    return FT.term_matches(search_index(p, mode) if index is None else index, _terms(pq, mode), pred, [])
+    return FT.term_matches(search_index(p, mode, stems=stems) if index is None else index, _terms(pq, mode, stems), pred, [])
 
 
-def text_match(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None) -> DataFrame:
+def text_match(p: DataFrame, pq: DataFrame, pred: Column, mode: str = "simple", index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """``(query_id, id)`` of the documents that hold every intent term and pass the filters."""
-    index, terms = search_index(p, mode) if index is None else index, _terms(pq, mode)
+    index, terms = search_index(p, mode, stems=stems) if index is None else index, _terms(pq, mode, stems)
     return FT.block_matches(index, terms, FT.block_visits(index, terms), pred, []).select("query_id", "id")
 
 
 def text_topk(p: DataFrame, pq: DataFrame, k: int | None, pred: Column, mode: str = "simple",
-              index: FT.TextIndex | None = None) -> DataFrame:
+              index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Text branch: documents matching every intent term and the filters, with their rank; top k per query, or all
     (``k`` None)."""
-    index = search_index(p, mode) if index is None else index
-    return FT.search_index_topk(index, _terms(pq, mode), k, pred, ["url"], [F.desc("text_rank"), F.asc("url")])
+    index = search_index(p, mode, stems=stems) if index is None else index
+    return FT.search_index_topk(index, _terms(pq, mode, stems), k, pred, ["url"], [F.desc("text_rank"), F.asc("url")])
 
 
 def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES, use_parsed: bool = True,
-               origin_only: bool | None = None, mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
+               origin_only: bool | None = None, mode: str = "english", index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Vector ∪ text candidates with display columns (duplicates kept)."""
     p = prepare_products(products)
     # the parsed batch is read by both branches: written once, so the regex parse runs and plans once and Spark
@@ -106,7 +106,7 @@ def candidates(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDI
     pq = IO.keep(prepare_queries(queries), "parsed-queries")
     pred = filter_pred(use_parsed, None if origin_only is None else F.lit(bool(origin_only)))
     vec = vector_topk(p, pq, k, use_parsed, origin_only)
-    txt = text_topk(p, pq, k, pred, mode, index=index)
+    txt = text_topk(p, pq, k, pred, mode, index, stems)
     cand = vec.select("query_id", "id", "vector_similarity", F.lit(0.0).alias("text_rank"),
                       F.lit("vector").alias("branch")).unionByName(
         txt.select("query_id", "id", F.lit(None).cast("double").alias("vector_similarity"), "text_rank",
@@ -158,9 +158,9 @@ def hybrid_score(alpha: float = fixed.ALPHA, origin_boost: float = fixed.ORIGIN_
 def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CANDIDATES,
                   final_k: int = fixed.SQL_CANDIDATES, alpha: float = fixed.ALPHA,
                   origin_boost: float = fixed.ORIGIN_BOOST_MAIN, min_reviews: int = fixed.MIN_REVIEWS_FOR_TRUST,
-                  mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
+                  mode: str = "english", index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Ranked candidates per query with ``hybrid_score`` (before de-dupe and rerank)."""
-    merged = merge_candidates(candidates(products, queries, k, mode=mode, index=index))
+    merged = merge_candidates(candidates(products, queries, k, mode=mode, index=index, stems=stems))
     scored = minmax_norm(merged, "vector_similarity", "vector_similarity_norm", 1.0)
     scored = minmax_norm(scored, "text_rank", "text_rank_norm", 0.0)
     scored = scored.withColumn("hybrid_score", q6(hybrid_score(alpha, origin_boost, min_reviews)))
@@ -169,12 +169,12 @@ def hybrid_search(products: DataFrame, queries: DataFrame, k: int = fixed.SQL_CA
 
 def hybrid_search_basic(products: DataFrame, queries: DataFrame, k: int = fixed.INITIAL_SEARCH_LIMIT,
                         limit: int = 25, origin_boost: float = fixed.ORIGIN_BOOST_API,
-                        origin_only: bool = False, mode: str = "english", index: FT.TextIndex | None = None) -> DataFrame:
+                        origin_only: bool = False, mode: str = "english", index: FT.TextIndex | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Un-normalised ``0.5 v + 0.5 t + boost`` over candidates merged by exact url.
 
     Only the request's origin flag filters; parsed price / rating / brand do not.
     """
-    cand = candidates(products, queries, k, use_parsed=False, origin_only=origin_only, mode=mode, index=index)
+    cand = candidates(products, queries, k, use_parsed=False, origin_only=origin_only, mode=mode, index=index, stems=stems)
     merged = merge_candidates(cand, key="url")
     score = (0.5 * F.col("vector_similarity") + 0.5 * F.col("text_rank")
              + F.when(F.col("made_in_canada") == F.lit(True), F.lit(origin_boost)).otherwise(F.lit(0.0)))

@@ -14,7 +14,7 @@ from ..sources import io as IO
 from ..sources.tables import Tables
 from . import oracle as O
 from .registry import register
-from .search_sql import search_sql
+from .search_sql import INFLECTED, STEMS, search_sql
 
 
 def _pq(spark, sf_dir):
@@ -361,3 +361,55 @@ def h08e(spark, sf_dir):
     p, q = _pq(spark, sf_dir)
     r = HY.hybrid_search_basic(p, q, index=_index(spark, sf_dir, "english"))
     return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")
+
+
+# --- english analyser with stems from a table on both sides: value checks of tokens, stop words, positions and ranks ---
+def _stems(spark):
+    return spark.createDataFrame(list(STEMS.items()), "term string, stem string")
+
+
+def _inflected(spark, sf_dir):
+    """(products, queries whose nouns are inflected, stems, the stored index analysed with them)."""
+    p, q = _pq(spark, sf_dir)
+    stems = _stems(spark)
+    index = FT.stored_index(lambda: HY.search_index(p, "english", stems=stems), lambda name, build, write: adapters.materialize(
+        spark, sf_dir, f"catalog_index_stems_{name}", build, write))
+    return p, q.withColumn("text", F.regexp_replace("text", INFLECTED, "$1s")), stems, index
+
+
+@register("h05_analyzer_stems", search_sql("""select id, count(*) as n_tokens, count(distinct term) as n_terms, max(pos) as max_pos,
+ min(term) as first_term from dt group by id""", english=True))
+def h05s(spark, sf_dir):
+    """H05 in English: typed tokens, stop words that leave gaps, stems."""
+    p, _ = _pq(spark, sf_dir)
+    t = FT.analyze(p, ["id"], HY.search_text(p), "english", _stems(spark))
+    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("term").alias("n_terms"),
+                               F.max("pos").alias("max_pos"), F.min("term").alias("first_term"))
+
+
+@register("h04_text_rank_cd_stems", search_sql(f"select query_id, id, {O.q6('text_rank')} as text_rank from ranked", english=True))
+def h04t(spark, sf_dir):
+    p, q, stems, index = _inflected(spark, sf_dir)
+    pq = IO.keep(HY.prepare_queries(q), "parsed-queries")
+    r = HY.text_topk(HY.prepare_products(p), pq, None, HY.filter_pred(), "english", index, stems)
+    return r.select("query_id", "id", q6(F.col("text_rank")).alias("text_rank"))
+
+
+@register("h07_hybrid_search_stems", search_sql("""select query_id, row_number() over (partition by query_id order by hybrid_score desc, url) as rank,
+ url, name, brand, vector_similarity as similarity, {tr} as text_rank, hybrid_score, made_in_canada, num_reviews
+ from hybrid qualify rank <= 250""".format(tr=O.q6("text_rank")), english=True))
+def h07t(spark, sf_dir):
+    p, q, stems, index = _inflected(spark, sf_dir)
+    r = HY.hybrid_search(p, q, index=index, stems=stems)
+    return r.select("query_id", "rank", "url", "name", "brand", F.col("vector_similarity").alias("similarity"),
+                    q6(F.col("text_rank")).alias("text_rank"), "hybrid_score", "made_in_canada", "num_reviews")
+
+
+@register("h08_hybrid_search_basic_stems", search_sql("""select query_id, row_number() over (partition by query_id order by score desc, url) as rank,
+ url, name, made_in_canada, score from (select *, {s} as score from merged) qualify rank <= 25""".format(
+    s=O.q6("0.5 * vector_similarity + 0.5 * text_rank + case when made_in_canada = true then 0.3 else 0.0 end")),
+    k=fixed.INITIAL_SEARCH_LIMIT, basic=True, english=True))
+def h08t(spark, sf_dir):
+    p, q, stems, index = _inflected(spark, sf_dir)
+    r = HY.hybrid_search_basic(p, q, index=index, stems=stems)
+    return r.select("query_id", "rank", "url", "name", "made_in_canada", "score")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from ..operators.fulltext import COVER_WEIGHT, TOKEN_RE
+from ..operators.fulltext import COMPOUND_RE, COVER_WEIGHT, ENGLISH_STOP_WORDS, TOKEN_RE, TYPED_RE
 from . import oracle as O
 
 PRED = """coalesce((not q_origin or made_in_canada = true)
@@ -13,6 +13,34 @@ PRED = """coalesce((not q_origin or made_in_canada = true)
  and (q_brand is null or contains(brand_lc, q_brand)), false)"""
 
 
+#: Words of the catalogue and their published English stems, for the queries whose stems come from a table on both sides.
+STEMS = {"rings": "ring", "bolts": "bolt", "gears": "gear", "plates": "plate", "widgets": "widget", "rods": "rod", "anvils": "anvil", "large": "larg", "stars": "star"}
+INFLECTED = "(ring|bolt|gear|plate|widget|rod|anvil)"
+
+
+def typed_tokens_sql(x: str) -> str:
+    found = f"list_filter(regexp_extract_all(lower({x}), '{TYPED_RE}'), lambda t: not (starts_with(t, '<') or starts_with(t, '&') or ends_with(t, '://')))"
+    return f"""flatten(list_transform({found}, lambda t: case when contains(t, '@') then [t]
+ when contains(t, '/') then [t, regexp_extract(t, '^[^/]*'), regexp_extract(t, '/.*$')]
+ when regexp_matches(t, '{COMPOUND_RE}') then list_concat([t], string_split(t, '-')) else [t] end))"""
+
+
+def english_views() -> dict[str, str]:
+    """The analysed sides of ``views`` in English: typed tokens, stop words, stems from the table; nouns of the queries inflected."""
+    stop = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in STEMS.items())
+    return {
+        "stems": f"select * from (values {rows}) t(term, stem)",
+        "inflected": f"select query_id, regexp_replace(text, '{INFLECTED}', '\\1s', 'g') as text, query_vector from search_queries",
+        "parsed": O.parsed_queries_sql("inflected"),
+        "dt": f"""select x.* exclude (term), coalesce(stem, x.term) as term from (select id, url, price_num, average_rating, brand_lc, made_in_canada, unnest(toks) as term,
+ generate_subscripts(toks, 1) as pos from (select *, {typed_tokens_sql('doc')} as toks from p)) x left join stems on stems.term = x.term where x.term not in ({stop})""",
+        "qt": f"""select query_id, term, cast(dense_rank() over (partition by query_id order by term) - 1 as int) as term_idx,
+ count(*) over (partition by query_id) as n_terms from (select distinct query_id, coalesce(stem, x.term) as term
+ from (select query_id, unnest({typed_tokens_sql('intent')}) as term from pq) x left join stems on stems.term = x.term where x.term not in ({stop}))""",
+    }
+
+
 def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool = False) -> dict[str, str]:
     pred = f"coalesce(not {str(origin_only).lower()} or made_in_canada = true, false)" if basic else PRED
     v = {}
@@ -79,8 +107,12 @@ def views(k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool
     return v
 
 
-def search_sql(body: str, k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool = False) -> str:
-    return O.with_views(body, "catalog", "search_queries", extra=views(k, basic, origin_only))
+def search_sql(body: str, k: int = fixed.SQL_CANDIDATES, basic: bool = False, origin_only: bool = False, english: bool = False) -> str:
+    v = views(k, basic, origin_only)
+    if english:
+        e = english_views()
+        v = {"stems": e["stems"], "inflected": e["inflected"], **v, **e}
+    return O.with_views(body, "catalog", "search_queries", extra=v)
 
 
 def ranking_views() -> dict[str, str]:
