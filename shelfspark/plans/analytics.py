@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators.daily import DailyStates
 from ..sources import adapters
+from ..sources import io as IO
 from ..sources.tables import Tables
 from .oracle import lookback_sql as lb
 from .oracle import with_views
@@ -109,3 +112,45 @@ def e11(spark, sf_dir):
  group by session_id""", "feedback"))
 def e15(spark, sf_dir):
     return A.session_feedback(_v(spark, sf_dir, "feedback"))
+
+
+# --- look-backs from daily states ---------------------------------------------------------------------------------
+def _states(spark, rows, ts_col, dims, distinct, counts):
+    """Stored daily states of ``rows``: the days up to the middle of the month first, the rest by a second refresh."""
+    st = DailyStates(spark, IO.scratch(spark, "daily"), ts_col, dims, distinct, counts)
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    st.refresh(rows.where(F.col(ts_col) <= half))
+    st.refresh(rows.where(F.col(ts_col) > half))
+    return st
+
+
+def _click_states(spark, sf_dir):
+    return _states(spark, _v(spark, sf_dir, "clicks"), "clicked_at", ["source", "environment"], ["user_id", "url"], {"rows": F.count(F.lit(1))})
+
+
+_CLICK_NAMES = {"rows": "total_clicks", "user_id": "unique_users", "url": "unique_urls"}
+
+
+@register("e01_click_totals_states", with_views(f"""select count(*) as total_clicks, count(distinct user_id) as unique_users,
+ count(distinct url) as unique_urls from clicks where {lb('clicked_at')}
+ union all select count(*), count(distinct user_id), count(distinct url) from clicks where {lb('clicked_at', 14)} and source = 'src2' and environment = 'development'""", "clicks"))
+def e01s(spark, sf_dir):
+    """E01 from the daily states alone: a plain and a filtered window."""
+    st = _click_states(spark, sf_dir)
+    return st.totals(_CLICK_NAMES, A.AS_OF, 7).unionAll(st.totals(_CLICK_NAMES, A.AS_OF, 14, source="src2", environment="development"))
+
+
+@register("e04_pageview_totals_states", with_views(f"""select count(*) as total_pageviews, count(distinct user_id) as unique_users,
+ count(distinct session_id) as unique_sessions from pageviews where {lb('viewed_at')}""", "pageviews"))
+def e04s(spark, sf_dir):
+    st = _states(spark, _v(spark, sf_dir, "pageviews"), "viewed_at", ["page", "environment"], ["user_id", "session_id"], {"rows": F.count(F.lit(1))})
+    return st.totals({"rows": "total_pageviews", "user_id": "unique_users", "session_id": "unique_sessions"}, A.AS_OF, 7)
+
+
+@register("e08_feedback_totals_states", with_views(f"""select count(*) as total_feedback, count(*) filter (where rating = 'up') as thumbs_up,
+ count(*) filter (where rating = 'down') as thumbs_down, count(distinct user_id) as unique_users
+ from feedback where {lb('created_at')}""", "feedback"))
+def e08s(spark, sf_dir):
+    counts = {"rows": F.count(F.lit(1)), "up": F.count_if(F.col("rating") == "up"), "down": F.count_if(F.col("rating") == "down")}
+    st = _states(spark, _v(spark, sf_dir, "feedback"), "created_at", ["environment"], ["user_id"], counts)
+    return st.totals({"rows": "total_feedback", "up": "thumbs_up", "down": "thumbs_down", "user_id": "unique_users"}, A.AS_OF, 7)

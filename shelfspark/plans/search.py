@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..operators import fulltext as FT
 from ..operators import hybrid as HY
 from ..operators import vector as V
+from ..operators.scoring import ScoreTable
 from ..operators.vector import q6
 from ..sources import adapters
 from ..sources import io as IO
@@ -196,9 +197,12 @@ def h14(spark, sf_dir):
     return rr.select("query_id", "rerank_rank", "url", "rerank_score")
 
 
-@register("h14_rerank_scores", ranking_sql("""select query_id, rerank_rank, url, rerank_score from (
+_H14_SCORES_SQL = ranking_sql("""select query_id, rerank_rank, url, rerank_score from (
  select query_id, url, s as rerank_score, row_number() over (partition by query_id order by s desc nulls last, rank) as rerank_rank
- from (select *, case when length(name) % 3 <> 0 then cast(length(name) as double) end as s from limited)) where rerank_rank <= 50"""))
+ from (select *, case when length(name) % 3 <> 0 then cast(length(name) as double) end as s from limited)) where rerank_rank <= 50""")
+
+
+@register("h14_rerank_scores", _H14_SCORES_SQL)
 def h14s(spark, sf_dir):
     """H14 from a table of scores, as an external scorer leaves it; some rows have none."""
     lim = IO.keep(RK.greedy_dedupe(_ranked(spark, sf_dir)).where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT), "limited")
@@ -206,6 +210,24 @@ def h14s(spark, sf_dir):
     return RK.rerank(lim, scores=scores).select("query_id", "rerank_rank", "url", "rerank_score")
 
 
+def _name_length(queries: list[str], documents: list[str]) -> list[float | None]:
+    """A stand-in for a relevance model: the length of the product name in the document, none for every third length."""
+    names = [d.removeprefix("Product Name: ").split(" \n\nBrand Name: ", 1)[0] for d in documents]
+    return [float(len(n)) if len(n) % 3 else None for n in names]
+
+
+@register("h14_rerank_scorer", _H14_SCORES_SQL)
+def h14x(spark, sf_dir):
+    """H14 through the scorer hook over the texts of H13; its score table answers the second search without the scorer."""
+    lim = IO.keep(RK.greedy_dedupe(_ranked(spark, sf_dir)).where(F.col("dedupe_rank") <= fixed.INITIAL_SEARCH_LIMIT), "limited")
+    texts = adapters.search_queries(Tables(spark, sf_dir)).select("query_id", F.col("text").alias("query"))
+    pairs = lim.withColumn("document", RK.rerank_document(lim)).join(texts, "query_id").select("query_id", "url", "query", "document")
+    base = IO.scratch(spark, "h14-scores")
+    ScoreTable(base, _name_length).scores(pairs)
+    scores = ScoreTable(base, lambda q, d: 1 / 0).scores(pairs)  # all pairs are known: the scorer must not run
+    return RK.rerank(lim, scores=scores).select("query_id", "rerank_rank", "url", "rerank_score")
+
+
 @register("g02_funnel", ranking_sql("""select query_id, stage, n from (
  select query_id, 'sql' as stage, count(*) as n from ranked250 group by 1
  union all select query_id, 'deduped', count(*) from deduped group by 1

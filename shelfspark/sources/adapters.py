@@ -128,6 +128,28 @@ def feedback_from(events: DataFrame) -> DataFrame:
     )
 
 
+def landed_from(events: DataFrame) -> DataFrame:
+    """Landed events of all kinds in one shape (batch or streaming), some of them not storable: kinds that no table takes,
+    ratings outside their domain (k % 10 = 9), clicks without url (k % 40 = 39), pageviews without page (k % 50 = 7)."""
+    ev, k, kind = _k(events), F.col("k"), F.col("event_type")
+    feedback_kind = kind.isin("purchase", "error")
+    return ev.select(
+        F.col("event_id").alias("id"),
+        F.when(kind == "view", F.lit("pageview")).when(feedback_kind, F.lit("feedback")).otherwise(kind).alias("kind"),
+        F.when((kind == "click") & (k % 40 != 39), F.concat(F.lit("/item/"), _s(k % 40))).alias("url"),
+        F.when(kind == "click", F.concat(F.lit("src"), _s(k % 5))).alias("source"),
+        F.when(kind == "click", F.concat(F.lit("product "), _s(k % 40))).alias("product_name"),
+        F.when((kind == "view") & (k % 50 != 7), F.when(k % 3 == 0, F.lit("/")).when(k % 3 == 1, F.lit("/search")).otherwise(F.lit("/login"))).alias("page"),
+        F.when(feedback_kind, F.concat(F.lit("m"), _s("event_id"))).alias("message_id"),
+        F.when(feedback_kind, F.when(k % 10 == 9, F.lit("meh")).when(kind == "purchase", F.lit("up")).otherwise(F.lit("down"))).alias("rating"),
+        F.when(feedback_kind & (k % 2 == 0), F.concat(F.lit("comment "), _s("k"))).alias("comment"),
+        _s("user_id").alias("user_id"),
+        F.concat(_s("user_id"), F.lit("-"), _s(k % 4)).alias("session_id"),
+        _env(F.col("user_id")).alias("environment"),
+        "ts",
+    )
+
+
 def product_pages(t: Tables) -> DataFrame:
     """Rendered product pages carrying JSON-LD (with a trailing comma to salvage)."""
     p = t.part
