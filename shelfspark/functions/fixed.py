@@ -119,6 +119,7 @@ LISTING_FIELD_PATTERNS = {
 }
 WEBSITE_PATTERN_FULL_LINE = r"Website:\s*(.+?)(?:\n|$)"
 DESCRIPTION_SKIP_PREFIXES = ["Name:", "Products:", "Manufactured", "Website:", "Where to", "Canadian"]
+HOMEPAGE_CATEGORY = "Homepage"
 TITLE_MARKERS = ["🍁", "📈"]
 
 # --- fixed values: review markup on product pages (checked in this order) ---

@@ -134,19 +134,20 @@ def category_path(url) -> dict[str, Column]:
 
 def listing_links(links: DataFrame, home_links: DataFrame | None = None) -> DataFrame:
     """In-domain listing links (no /category/, /tag/, '#'); the first category page
-    (by page order, then link order) wins per URL; homepage links only when unseen."""
+    (by page order, then link order) wins per URL; homepage links, but the site's root, only when unseen."""
     h = F.col("href")
     ok = (origin(h) == origin(F.col("url"))) & ~h.contains("/category/") & ~h.contains("/tag/") & ~h.contains("#")
     cand = links.where(ok)
     first = cand.groupBy("href").agg(F.min(F.struct("url", "pos")).alias("_f")).select(
         F.col("href").alias("listing_url"), F.col("_f.url").alias("category_page"))
-    if home_links is not None:
-        extra = home_links.where(ok).select(F.col("href").alias("listing_url")).distinct().join(
-            first, "listing_url", "left_anti").withColumn("category_page", F.lit(None).cast("string"))
-        first = first.unionByName(extra)
     cp = category_path(F.col("category_page"))
-    return first.select("listing_url", "category_page", cp["category"].alias("category"),
-                        cp["subcategory"].alias("subcategory"))
+    found = first.select("listing_url", "category_page", cp["category"].alias("category"), cp["subcategory"].alias("subcategory"))
+    if home_links is None:
+        return found
+    root = F.regexp_replace(h, "/+$", "") == origin(h)
+    extra = home_links.where(ok & ~root).select(F.col("href").alias("listing_url")).distinct().join(first, "listing_url", "left_anti")
+    return found.unionByName(extra.select("listing_url", F.lit(None).cast("string").alias("category_page"),
+                                          F.lit(fixed.HOMEPAGE_CATEGORY).alias("category"), F.lit("").alias("subcategory")))
 
 
 # B18 ------------------------------------------------------------------------

@@ -32,4 +32,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the plan modules fills the registry
-    from . import analytics, catalog, extract, runs, search, streaming  # noqa: F401
+    from . import analytics, catalog, extract, rich, runs, search, streaming  # noqa: F401
