@@ -154,3 +154,30 @@ STORE_PRODUCT_PATTERNS = {
     "roots": r"-\d+\.html",
     "generic": r"/products/|/product/|-\d+\.html|/p/[^/]+",
 }
+
+# --- fixed values: wording of reasons and of the text a relevance model scores ---
+REASON_SECOND_SOURCE = "AI extraction"
+REASON_OWNED = "Page explicitly states Canadian-Owned: '{}'"
+REASON_NOT_OWNED = "Page states not Canadian-Owned: '{}'"
+REASON_OWNERSHIP_UNKNOWN = "No Canadian ownership information found on page"
+REASON_CANADIAN_PLACE = "' contains Canadian indicator: {}"
+REASON_CANADIAN_PHRASE = "Text implies Canadian manufacturing: '{}'"
+REASON_FOREIGN_PLACE = "' indicates non-Canadian manufacturing ({})"
+REASON_NO_LOCATION = "No manufacturing location provided"
+REASON_NO_WEBSITE = "No website URL provided"
+REASON_FETCH_FAILED = "meta.json fetch failed"
+REASON_STOREFRONT = "Found meta.json (myshopify_domain={})"
+REASON_NO_STOREFRONT_FIELDS = "meta.json missing Shopify fields"
+REASON_NO_JSON = "meta.json not valid JSON"
+REASON_HTTP_STATUS = "meta.json HTTP {}"
+RERANK_NAME = "Product Name: "
+RERANK_BRAND = " \n\nBrand Name: "
+RERANK_PRICE = "\n\nPrice: "
+RERANK_MADE = "\n\nMADE IN CANADA: YES - VERIFIED CANADIAN MANUFACTURED"
+RERANK_NOT_MADE = "\n\nMade in Canada: NO - NOT CANADIAN MADE"
+RERANK_MADE_UNKNOWN = "\n\nMade in Canada: UNKNOWN - UNVERIFIED"
+RERANK_REASON = "\n\n(Reason: {})"
+RERANK_NO_REVIEWS = "\n\nQuality Score: N/A (No reviews)"
+RERANK_REVIEWS = "\n\nQuality Score: {}/5 ({} reviews)"
+RERANK_DESCRIPTION = "\n\nDescription: "
+MAX_PAGE_TEXT_LENGTH = 500

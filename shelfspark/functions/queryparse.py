@@ -36,7 +36,7 @@ def wants_origin(text) -> Column:
     """Any origin keyword contained in the lower-cased text."""
     low = F.lower(col(text))
     first, *others = fixed.ORIGIN_KEYWORDS
-    out = F.replace(low, F.lit("-"), F.lit(" ")).contains(first)
+    out = low.contains(first) | low.contains(first.replace(" ", "-"))
     for k in others:
         out = out | low.contains(k)
     return out

@@ -126,3 +126,12 @@ def slug(c, max_len: int = 30) -> Column:
     s = F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_")
     s = F.regexp_replace(s, "^_+|_+$", "")
     return F.left(s, F.lit(max_len))
+
+
+def filled(wording: str, *values) -> Column:
+    """``wording`` with each ``{}`` replaced by the next value, as a column."""
+    parts = wording.split("{}")
+    out = [F.lit(parts[0])]
+    for v, part in zip(values, parts[1:]):
+        out += [col(v).cast("string"), F.lit(part)]
+    return F.concat(*out)

@@ -237,10 +237,10 @@ def fill_missing(listings: DataFrame, extra: DataFrame) -> DataFrame:
     took = F.col("canadian_owned").isNull() & F.col("_x_co").isNotNull()
     co = F.when(took, F.col("_x_co")).otherwise(F.col("canadian_owned"))
     text = F.coalesce(F.col("canadian_owned_text"), F.lit("None"))
-    reason = (F.when(took, F.lit("AI extraction"))
-              .when(co == F.lit(True), F.concat(F.lit("Page explicitly states Canadian-Owned: '"), text, F.lit("'")))
-              .when(co == F.lit(False), F.concat(F.lit("Page states not Canadian-Owned: '"), text, F.lit("'")))
-              .otherwise(F.lit("No Canadian ownership information found on page")))
+    reason = (F.when(took, F.lit(fixed.REASON_SECOND_SOURCE))
+              .when(co == F.lit(True), TX.filled(fixed.REASON_OWNED, text))
+              .when(co == F.lit(False), TX.filled(fixed.REASON_NOT_OWNED, text))
+              .otherwise(F.lit(fixed.REASON_OWNERSHIP_UNKNOWN)))
     out = j.withColumns({**cols, "canadian_owned": co, "canadian_owned_reason": reason})
     return out.drop(*[c for c in out.columns if c.startswith("_x_")])
 
@@ -252,16 +252,16 @@ def origin_from_location(location) -> dict[str, Column]:
     loc = TX.col(location)
     low = F.lower(loc)
     # one pass: the first rule, in order, whose needle the text holds
-    rules = ([(n, True, True, f"' contains Canadian indicator: {lab}") for n, lab in fixed.CANADIAN_INDICATORS]
-             + [(p, True, False, f"Text implies Canadian manufacturing: '{p}'") for p in fixed.CANADIAN_PHRASES]
-             + [(n, False, True, f"' indicates non-Canadian manufacturing ({n})") for n in fixed.NON_CANADIAN_INDICATORS])
+    rules = ([(n, True, True, fixed.REASON_CANADIAN_PLACE.format(lab)) for n, lab in fixed.CANADIAN_INDICATORS]
+             + [(p, True, False, fixed.REASON_CANADIAN_PHRASE.format(p)) for p in fixed.CANADIAN_PHRASES]
+             + [(n, False, True, fixed.REASON_FOREIGN_PLACE.format(n)) for n in fixed.NON_CANADIAN_INDICATORS])
     table = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(f).alias("flag"), F.lit(q).alias("quoted"), F.lit(r).alias("said"))
                       for n, f, q, r in rules])
     hit = F.try_element_at(F.filter(table, lambda r: low.contains(r["needle"])), F.lit(1))
     reason = F.when(hit["quoted"], F.concat(F.lit("Location '"), loc, hit["said"])).otherwise(hit["said"])
     empty = F.coalesce(loc, F.lit("")) == ""
     return {"made_in_canada": F.when(empty, F.lit(None).cast("boolean")).otherwise(hit["flag"]),
-            "made_in_canada_reason": F.when(empty, F.lit("No manufacturing location provided")).otherwise(reason)}
+            "made_in_canada_reason": F.when(empty, F.lit(fixed.REASON_NO_LOCATION)).otherwise(reason)}
 
 
 # B28 ------------------------------------------------------------------------
@@ -315,12 +315,12 @@ def storefront_detect(website, status, body) -> dict[str, Column]:
     flag = (F.when(no_site | ~F.coalesce(fetched, F.lit(False)), F.lit(None).cast("boolean"))
             .when(s == 200, F.when(valid & is_shop, F.lit(True)).otherwise(F.lit(False)))
             .otherwise(F.lit(False)))
-    reason = (F.when(no_site, F.lit("No website URL provided"))
-              .when(~F.coalesce(fetched, F.lit(False)), F.lit("meta.json fetch failed"))
-              .when((s == 200) & valid & is_shop, F.concat(F.lit("Found meta.json (myshopify_domain="), myshop, F.lit(")")))
-              .when((s == 200) & valid, F.lit("meta.json missing Shopify fields"))
-              .when(s == 200, F.lit("meta.json not valid JSON"))
-              .otherwise(F.concat(F.lit("meta.json HTTP "), s.cast("string"))))
+    reason = (F.when(no_site, F.lit(fixed.REASON_NO_WEBSITE))
+              .when(~F.coalesce(fetched, F.lit(False)), F.lit(fixed.REASON_FETCH_FAILED))
+              .when((s == 200) & valid & is_shop, TX.filled(fixed.REASON_STOREFRONT, myshop))
+              .when((s == 200) & valid, F.lit(fixed.REASON_NO_STOREFRONT_FIELDS))
+              .when(s == 200, F.lit(fixed.REASON_NO_JSON))
+              .otherwise(TX.filled(fixed.REASON_HTTP_STATUS, s)))
     meta = F.when(flag == F.lit(True), b)
     return {"is_shopify_store": flag, "shopify_meta": meta, "shopify_reason": reason}
 

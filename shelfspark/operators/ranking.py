@@ -79,21 +79,21 @@ def rerank_document(df: DataFrame) -> Column:
     """The text a relevance model scores for one candidate."""
     mic, reason = F.col("made_in_canada"), F.col("made_in_canada_reason")
     has_reason = F.coalesce(reason, F.lit("")) != ""
-    reason_txt = F.when(has_reason, F.concat(F.lit("\n\n(Reason: "), reason, F.lit(")"))).otherwise(F.lit(""))
-    origin = (F.when(mic == F.lit(True), F.concat(F.lit("\n\nMADE IN CANADA: YES - VERIFIED CANADIAN MANUFACTURED"), reason_txt))
-              .when(mic == F.lit(False), F.concat(F.lit("\n\nMade in Canada: NO - NOT CANADIAN MADE"), reason_txt))
-              .otherwise(F.lit("\n\nMade in Canada: UNKNOWN - UNVERIFIED")))
+    reason_txt = F.when(has_reason, TX.filled(fixed.RERANK_REASON, reason)).otherwise(F.lit(""))
+    origin = (F.when(mic == F.lit(True), F.concat(F.lit(fixed.RERANK_MADE), reason_txt))
+              .when(mic == F.lit(False), F.concat(F.lit(fixed.RERANK_NOT_MADE), reason_txt))
+              .otherwise(F.lit(fixed.RERANK_MADE_UNKNOWN)))
     n = F.coalesce(F.col("num_reviews"), F.lit(0))
     smoothed = TX.smooth_rating("average_rating", "num_reviews")
-    quality = F.when(n == 0, F.lit("\n\nQuality Score: N/A (No reviews)")).otherwise(
-        F.concat(F.lit("\n\nQuality Score: "), F.format_number(smoothed, 1), F.lit("/5 ("), n.cast("string"), F.lit(" reviews)")))
+    quality = F.when(n == 0, F.lit(fixed.RERANK_NO_REVIEWS)).otherwise(
+        TX.filled(fixed.RERANK_REVIEWS, F.format_number(smoothed, 1), n))
     price = F.when(F.coalesce(F.col("price"), F.lit("")) != "",
-                   F.concat(F.lit("\n\nPrice: "), F.col("price"), F.lit(" "), F.coalesce(F.col("currency"), F.lit("")))
+                   F.concat(F.lit(fixed.RERANK_PRICE), F.col("price"), F.lit(" "), F.coalesce(F.col("currency"), F.lit("")))
                    ).otherwise(F.lit(""))
     desc = F.when(F.coalesce(F.col("description"), F.lit("")) != "",
-                  F.concat(F.lit("\n\nDescription: "), F.left(F.col("description"), F.lit(fixed.MAX_DESCRIPTION_LENGTH)))
+                  F.concat(F.lit(fixed.RERANK_DESCRIPTION), F.left(F.col("description"), F.lit(fixed.MAX_DESCRIPTION_LENGTH)))
                   ).otherwise(F.lit(""))
-    return F.concat(F.lit("Product Name: "), F.coalesce(F.col("name"), F.lit("")), F.lit(" \n\nBrand Name: "),
+    return F.concat(F.lit(fixed.RERANK_NAME), F.coalesce(F.col("name"), F.lit("")), F.lit(fixed.RERANK_BRAND),
                     F.coalesce(F.col("brand"), F.lit("")), price, origin, quality, desc)
 
 
@@ -120,8 +120,8 @@ def clean_display_name(name) -> Column:
 
 
 def result_cards(ranked: DataFrame, rank_col: str = "rerank_rank", base_url: str = "http://localhost:8000",
-                 tracking: bool = True) -> DataFrame:
-    """One display row per result."""
+                 tracking: bool = True, text_col: str | None = None) -> DataFrame:
+    """One display row per result; ``text_col`` names a page text whose beginning the row carries too."""
     mic, reason = F.col("made_in_canada"), F.col("made_in_canada_reason")
     short = F.when(F.length(reason) > 100, F.concat(F.left(reason, F.lit(100)), F.lit("..."))).otherwise(reason)
     origin = (F.when(mic == F.lit(True), F.concat(F.lit("Yes"), F.when(F.coalesce(short, F.lit("")) != "",
@@ -144,12 +144,16 @@ def result_cards(ranked: DataFrame, rank_col: str = "rerank_rank", base_url: str
     image = (F.get_json_object(F.col("images_json"), "$[0]") if "images_json" in ranked.columns
              else F.try_element_at(F.col("images"), F.lit(1)) if "images" in ranked.columns
              else F.lit(None).cast("string"))
+    extra = []
+    if text_col is not None:
+        whole, cut = F.col(text_col), F.left(F.col(text_col), F.lit(fixed.MAX_PAGE_TEXT_LENGTH))
+        extra = [F.when(F.length(whole) > fixed.MAX_PAGE_TEXT_LENGTH, F.concat(cut, F.lit("..."))).otherwise(whole).alias("page_text")]
     return ranked.select(
         "query_id", F.col(rank_col).alias("ordinal"), "url",
         clean_display_name("name").alias("title"), image.alias("image"),
         TX.brand_display("brand", "source_site").alias("brand_display"),
         price.alias("price_text"), rating.alias("rating_text"), origin.alias("origin_text"),
-        snippet.alias("snippet"), link.alias("link"),
+        snippet.alias("snippet"), link.alias("link"), *extra,
     )
 
 

@@ -80,9 +80,11 @@ def job_status_counts(job_events: DataFrame, at: Column) -> DataFrame:
 def _in_ranges(df: DataFrame, order: list[str], kernel, schema, name: str) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, run through an Arrow kernel per partition, written once to the
     shared folder and read back: whatever reads it twice sees the same ranges, and nothing shuffles again.  The number
-    of ranges follows the data (Spark's shuffle partitions, coalesced by size)."""
-    from ..sources.io import scratch
+    of ranges follows the data (Spark's shuffle partitions, coalesced by size).  The rows themselves are written first,
+    so that the sample which sets the ranges does not compute them twice."""
+    from ..sources.io import keep, scratch
 
+    df = keep(df, f"{name}-rows")
     path = scratch(df.sparkSession, name)
     df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(kernel, schema).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

@@ -128,8 +128,7 @@ def parsed_queries_sql(src: str = "search_queries") -> str:
     brand = "coalesce(" + ", ".join(
         f"case when contains(lower(text), '{b.lower().replace(chr(39), chr(39) * 2)}') then '{b.replace(chr(39), chr(39) * 2)}' end"
         for b in fixed.KNOWN_BRANDS) + ")"
-    folded = "replace(lower(text), '-', ' ')"
-    origin = " or ".join(f"contains({'lower(text)' if i else folded}, '{k}')" for i, k in enumerate(fixed.ORIGIN_KEYWORDS))
+    origin = " or ".join(f"contains(lower(text), '{k}')" for k in [*fixed.ORIGIN_KEYWORDS, fixed.ORIGIN_KEYWORDS[0].replace(" ", "-")])
     has_range = f"regexp_matches(text, {_re(qp.RANGE_RE)})"
     return f"""select * exclude (_intent),
  case when {has_range} then cast(regexp_extract(text, {_re(qp.RANGE_RE)}, 1) as double) else {num(qp.MIN_RE)} end as min_price,

@@ -18,8 +18,8 @@ from . import oracle as O
 from .catalog import _NEW, relanded_input
 from .extract import _SEGS, _field_sql, _re, _title_sql
 from .registry import register
-from .search import _enc, _ranked
-from .search_sql import ranking_views, views
+from .search import _enc, _ranked, _reranked
+from .search_sql import ranking_sql, ranking_views, views
 
 
 # --- product pages (B10-B13, B15, B16) ----------------------------------------------------------------------
@@ -287,3 +287,11 @@ def h09(spark, sf_dir):
         name = F.replace(name, F.lit(a), F.lit(b))
     ranked = _ranked(spark, sf_dir).withColumn("name", name)
     return RK.greedy_dedupe(ranked, max_per_brand_type=1).select("query_id", "rank", "dedupe_rank", "url", "name")
+
+
+@register("h15_result_cards_page_text", ranking_sql("""select query_id, rerank_rank as ordinal, url,
+ case when length(description) > 500 then concat(left(description, 500), '...') else description end as page_text from reranked"""))
+def h15(spark, sf_dir):
+    """H15 with the beginning of a page text (here the description)."""
+    _, rr = _reranked(spark, sf_dir)
+    return RK.result_cards(rr, text_col="description").select("query_id", "ordinal", "url", "page_text")

@@ -294,8 +294,8 @@ def id_bucket(c) -> Column:
 def write_by_id_bucket(df: DataFrame, path: str) -> None:
     """Folders by a hash bucket of ``id``: a join that names the bucket of its (few) keys
     reads only those folders (dynamic partition pruning), a keyed lookup without an index."""
-    # ranges of (bucket, id): a bucket takes as many tasks and files as its rows need
-    df.withColumn("id_bucket", id_bucket("id")).repartitionByRange("id_bucket", "id").write.partitionBy("id_bucket").parquet(path)
+    # AQE splits a large bucket over several tasks and files and puts small ones together; nothing runs twice to sample
+    df.withColumn("id_bucket", id_bucket("id")).hint("rebalance", "id_bucket").write.partitionBy("id_bucket").parquet(path)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, rebuild: bool = False) -> DataFrame:

@@ -1,5 +1,8 @@
 """Every registered query builds and runs on sf0.001; upsert is idempotent."""
 
+import importlib.util
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,11 +28,25 @@ def test_registry_has_oracles():
     assert len(q) >= 100
 
 
+@pytest.fixture(scope="session")
+def checks():
+    """(differences, DuckDB with the tables of SF, SQL by name) of the value check tool."""
+    path = os.path.join(os.path.dirname(E.__file__), "tools", "oracle_check.py")
+    spec = importlib.util.spec_from_file_location("oracle_check", path)
+    tool = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(tool)
+    return tool.differences, tool.duck(SF), E.oracle_sql()
+
+
 @pytest.mark.parametrize("name", NAMES)
-def test_query_runs(spark, name):
+def test_query_gives_what_its_sql_gives(spark, checks, name):
+    differences, con, oracle = checks
     df = E.queries()[name](spark, SF)
     assert df.columns
-    df.limit(5).collect()
+    if name in oracle:
+        assert differences(df, con.sql(oracle[name])) is None
+    else:
+        df.collect()
 
 
 def test_upsert_idempotent(spark):
