@@ -17,11 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
     """``df`` written once into the shared checkpoint folder and read back: the cut survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -58,19 +58,74 @@ def test_odd_rows(spark):
     assert all(r.score == r.base_score for r in got)
 
 
-def test_model_is_a_distribution(spark):
+def brute(rows, got, count):
+    """Scores by plain loops from the symbols' classes: contexts, best class per word, class bigrams, emissions."""
+    core, of = got.vocabulary.core, lambda w: int(got.symbol_classes[got.symbols.of(w)])
+    train = [tokens(t) for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    c = Counter(w for d in train for w in d)
+    after, before = {}, {}
+    for d in train:
+        for p, w, q in zip(["", *d], d, [*d[1:], None]):
+            if w not in core:
+                before.setdefault(w, np.zeros(count))[of(p)] += 1
+                after.setdefault(w, np.zeros(count))[of(q)] += 1
+    kind = {w: k for w, (_, k) in core.items()}
+    for w in after:
+        kind[w] = int(brown_lm.word_gains(after[w][None, :], before[w][None, :], got.symbol_pairs).argmax()) if c[w] >= 2 else of(w)
+    pairs, of_class, once = np.zeros((count, count)), np.zeros(count), np.zeros(count)
+    for d in train:
+        for p, w in zip(["", *d], d):
+            pairs[kind[p], kind[w]] += 1
+    for w, n in c.items():
+        of_class[kind[w]] += n
+        once[kind[w]] += n == 1
+    share = (of_class + 1) / (of_class.sum() + count)
+    unseen = np.minimum(0.9, (once + 0.5) / (of_class + 1))
+    scores = []
+    for i, t in rows:
+        score, last = 0.0, ""
+        for w in tokens(t):
+            a, b = kind.get(last, of(last)), kind.get(w, of(w))
+            score += math.log10((pairs[a, b] + 10 * share[b]) / (pairs[a].sum() + 10))
+            score += math.log10(c[w] * (1 - unseen[b]) / of_class[b]) if c[w] else math.log10(unseen[b])
+            last = w
+        scores.append((i, score))
+    return kind, c, scores
+
+
+def test_scores_and_classes_by_brute_force(spark):
+    rows = list(texts("/root/testdata/sf0.001").items()) + [(None, "no id"), (900, ""), (901, None), (902, "zq zq zq \x0b the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = brown_lm.train(df, min_share=2e-3, classes=12, block_bytes=50_000)
+    kind, c, scores = brute(rows, got, 12)
+    words = {r.word: (r["count"], r["class"]) for r in got.vocabulary.words.collect()} | got.vocabulary.core
+    assert {w: n for w, (n, _) in words.items()} == dict(c)
+    assert sum(words[w][1] != kind[w] for w in words) <= 1e-3 * len(words)  # equal gains may fall either way
+    exact = dict(scores)
+    found = {r.doc_id: r.score for r in brown_lm.lm_scores(df, min_share=2e-3, classes=12, block_bytes=50_000).collect()}
+    assert found.keys() == exact.keys() and all(math.isclose(found[i], exact[i], rel_tol=1e-6) for i in found)
+
+
+def test_core_words_are_exact(spark):
+    """A word concentrated in one block and one spread thinly are both found, with exact counts."""
+    rows = [(i, "thin " * (i % 9 == 0) + " ".join(f"f{(i * 7 + k) % 400}" for k in range(60))) for i in range(300)] + [(999, "thick " * 90)]
+    got = brown_lm.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), min_share=2e-3, classes=8, block_bytes=3000)
+    count = Counter(w for i, t in rows if not brown_lm.is_held_out(i) for w in tokens(t))
+    total = sum(count.values())
+    assert got.total == total and {w: n for w, (n, _) in got.vocabulary.core.items()} == {w: n for w, n in count.items() if n >= 2e-3 * total or w == ""}
+
+
+def test_model_is_a_distribution():
     """Over all training words and, per class, its unseen word, the probabilities after any class sum to one."""
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 30, (5, 5)).astype(float)
     pairs[0, 0] = 0
-    classes = np.array([0, 1, 1, 2, 3, 4])
-    per_symbol = [rng.integers(1, 9, k) for k in (1, 4, 2, 6, 1, 3)]
-    tokens_, once = np.array([x.sum() for x in per_symbol], dtype=float), np.array([(x == 1).sum() for x in per_symbol], dtype=float)
-    model = brown_lm.ClassModel(classes, pairs, tokens_, once, int(tokens_.sum()), sum(map(len, per_symbol)))
-    emit = np.zeros(5)
-    for k, x in zip(classes, per_symbol):
+    per_class = [rng.integers(1, 9, k) for k in (1, 4, 2, 6, 3)]
+    of_class, once = np.array([x.sum() for x in per_class], dtype=float), np.array([(x == 1).sum() for x in per_class], dtype=float)
+    model = brown_lm.ClassModel(pairs, of_class, once)
+    emit = 10**model.unseen
+    for k, x in enumerate(per_class):
         emit[k] += (x * 10 ** model.seen[k]).sum()
-    emit += 10**model.unseen
     assert np.allclose(emit, 1) and np.allclose((10**model.step).sum(axis=1), 1)
 
 
