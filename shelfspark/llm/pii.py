@@ -26,12 +26,16 @@ THRESHOLD = 0.9
 # Fixed values of the gazetteer and context labelers.
 TOP_DOMAINS = frozenset("com org net edu gov int mil info biz io de fr es it uk eu nl at ch us ca au jp cn in br ru pl se".split())
 CUES = {
-    "email": ("mail", "contact", "write to", "reach"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "cell"),
+    "email": ("mail", "email", "e-mail", "contact", "write to", "reach"),
+    "ip": ("ip", "host", "hosts", "server", "servers", "address"),
+    "card": ("card", "cards", "visa", "mastercard", "amex", "credit", "payment"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax", "cell"),
 }
-COUNTER_CUES = ("version", "isbn", "page", "token", "order", "serial", "id", "=", "#", "$", "section", "v")
+COUNTER_CUES = ("version", "isbn", "page", "token", "order", "serial", "id", "section", "v")
+COUNTER_SIGNS = "=#$"
+# cues are whole words
+CUE = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)") for k, words in CUES.items()}
+COUNTER_CUE = re.compile(r"(?:(?<!\w)(?:" + "|".join(COUNTER_CUES) + r")[.:]?|[" + COUNTER_SIGNS + r"])\s*\Z")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,7 +159,7 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
         check = 1 if 8 <= len(digits) <= 15 else -1
         listed = 1 if span.startswith("+") and digits[:1] != "0" else 1 if re.fullmatch(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", span) else -1
         shape = 1 if span[-5:-4] in "- ." and span[-5:-4] else 0
-    context = 1 if any(c in before for c in CUES[name]) else -1 if before.rstrip().endswith(COUNTER_CUES) else 0
+    context = 1 if CUE[name].search(before) else -1 if COUNTER_CUE.search(before) else 0
     return rule, check, listed, context, shape
 
 

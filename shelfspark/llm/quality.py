@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,21 @@ MAX_ROWS = 20_000
 SEED = 5
 FEATURES = 2 * DIMS + 1
 
+#: Characters of a long text tokenised at once, and tokens whose neighbours are summed at once.
+SLICE_CHARS, SLICE_TOKENS = 1 << 20, 1 << 18
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_BLANK = re.compile(r"\s")
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in parts cut at white space, which no token holds."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + SLICE_CHARS)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
 
 
 class WordRows:
@@ -40,7 +55,13 @@ class WordRows:
         self.rows, self.limit = {}, limit
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all tokens of the texts, and the number of tokens of each text."""
+        """Rows of all tokens of the texts, and the number of tokens of each text; a long text goes slice by slice."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+            at = np.concatenate([self._of([part])[0] for part in slices(texts[0])])
+            return at, np.array([len(at)])
+        return self._of(texts)
+
+    def _of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokens = [_TOKEN.findall(t) for t in texts]
         if len(self.rows) > self.limit:
             self.rows.clear()
@@ -61,11 +82,13 @@ def _contexts(rows: np.ndarray, doc: np.ndarray, place: np.ndarray, sign: np.nda
     """Sum of the neighbours' index vectors for each word row."""
     out = np.zeros(WORDS * DIMS)
     for step in range(1, WINDOW + 1):
-        same = doc[:-step] == doc[step:]
-        left, right = rows[:-step][same], rows[step:][same]
-        for k in range(NONZERO):
-            out += np.bincount(left * DIMS + place[right, k], weights=sign[right, k], minlength=WORDS * DIMS)
-            out += np.bincount(right * DIMS + place[left, k], weights=sign[left, k], minlength=WORDS * DIMS)
+        for at in range(0, len(rows) - step, SLICE_TOKENS):
+            end = min(at + SLICE_TOKENS, len(rows) - step)
+            same = doc[at:end] == doc[at + step:end + step]
+            left, right = rows[at:end][same], rows[at + step:end + step][same]
+            for k in range(NONZERO):
+                out += np.bincount(left * DIMS + place[right, k], weights=sign[right, k], minlength=WORDS * DIMS)
+                out += np.bincount(right * DIMS + place[left, k], weights=sign[left, k], minlength=WORDS * DIMS)
     return out.reshape(WORDS, DIMS)
 
 
@@ -109,8 +132,11 @@ def pooled(rows: DataFrame, vectors: np.ndarray, count: np.ndarray) -> DataFrame
         out = np.zeros((len(texts), FEATURES))
         some = np.flatnonzero(n)
         if len(some):
-            start = (np.cumsum(n) - n)[some]
-            sums = np.add.reduceat(table[at], start, axis=0, dtype=np.float64)
+            if len(some) == 1 and len(at) > SLICE_TOKENS:  # a long text: its rows' counts, not a vector for each token
+                sums = (np.bincount(at, minlength=WORDS) @ table.astype(np.float64))[None, :]
+            else:
+                start = (np.cumsum(n) - n)[some]
+                sums = np.add.reduceat(table[at], start, axis=0, dtype=np.float64)
             mass = sums[:, -1:]
             mean = sums[:, :DIMS] / mass
             out[some, :DIMS] = mean
@@ -199,8 +225,13 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     vectors, count = word_vectors(rows)
     features = store(pooled(rows, vectors, count), "quality-features")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("label").alias("label"))
-    sample = features.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("features", "label").collect()  # at most max_rows
+    known = store(known.groupBy("id").agg(F.max("label").alias("label")), "quality-labels")
+    # a threshold on the hash of the id picks the sample before any features are fetched, so only the sample travels
+    draw, total = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), known.count()
+    if total > max_rows:
+        known = known.where(draw < int((1 << 30) * (max_rows - 6 * max_rows**0.5) / total))  # six deviations below the bound
+    sample = features.join(known, "id").select(F.xxhash64("id").alias("h"), "id", "features", "label").limit(max_rows).collect()  # at most max_rows
+    sample.sort(key=lambda r: (r["h"], str(r["id"])))
     x = np.array([r["features"] for r in sample], dtype=float).reshape(len(sample), FEATURES)
     network = Network(x, np.array([r["label"] for r in sample], dtype=float))
 

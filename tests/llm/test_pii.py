@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from helpers import LONG, SF01, odd_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,3 +86,12 @@ def test_redaction_and_odd_rows(spark):
     assert pii.span_digests(df.where("false")).count() == 0 and pii.redact(df.where("false")).count() == 0
     one = spark.createDataFrame([(1, "to a@b.com, +1 (301) 555-0346!", 30)], "doc_id long, text string, n_chars int")
     assert tuple(pii.redact(one).first()) == (1, "to [EMAIL], [PHONE]!", 20)
+
+
+@pytest.mark.parametrize("before, kind, want", [("Pavlov ", "phone", 0), ("v ", "phone", -1), ("ISBN: ", "card", -1), ("hotel ", "phone", 0), ("automatically ", "phone", 0), ("Tel. ", "phone", 1),
+                                               ("shipping ", "ip", 0), ("the IP ", "ip", 1), ("# ", "card", -1), ("my credit card ", "card", 1), ("discard ", "card", 0)])
+def test_cues_are_whole_words(before, kind, want):
+    text = before + {"phone": "555-123-4567", "ip": "1.2.3.4", "card": "4111 1111 1111 1111"}[kind]
+    at = len(before)
+    number = pii.KINDS.index(kind)
+    assert pii.votes(text, number, at, len(text), False)[3] == want

@@ -58,3 +58,56 @@ def test_contexts_are_sums_of_neighbours():
             if i != j and doc[i] == doc[j]:
                 np.add.at(want[rows[i]], place[rows[j]], sign[rows[j]])
     assert np.allclose(quality._contexts(rows, doc, place, sign), want)
+
+
+def features_by_hand(texts):
+    """Context vectors and pooled features by plain loops."""
+    place, sign = quality.index_vectors()
+    docs = [[zlib.crc32(w.encode()) % quality.WORDS for w in quality._TOKEN.findall(t)] for t in texts]
+    vectors, count = np.zeros((quality.WORDS, quality.DIMS)), np.zeros(quality.WORDS)
+    for d in docs:
+        for i, w in enumerate(d):
+            count[w] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(d), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(vectors[w], place[d[j]], sign[d[j]])
+    used = count > 0
+    vectors[used] -= count[used, None] * (vectors.sum(axis=0) / count.sum())
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = vectors / np.where(norm > 0, norm, 1)
+    weight = 1e-3 / (1e-3 + count / count.sum())
+    out = np.zeros((len(texts), quality.FEATURES))
+    for k, d in enumerate(docs):
+        if d:
+            w, x = weight[d], vectors[d]
+            mean = (w[:, None] * x).sum(axis=0) / w.sum()
+            out[k] = [*mean, *np.sqrt(np.maximum(0, (w[:, None] * x**2).sum(axis=0) / w.sum() - mean**2)), np.log1p(len(d))]
+    return out
+
+
+def test_features_by_brute_force_also_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "one", *(" ".join(f"w{k}" for k in rng.integers(0, 40, n)) + "!?" for n in (2, 5, 60, 700, 3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = features_by_hand(texts)
+    for chars, tokens in ((1 << 20, 1 << 18), (500, 100)):
+        monkeypatch.setattr(quality, "SLICE_CHARS", chars)
+        monkeypatch.setattr(quality, "SLICE_TOKENS", tokens)
+        words = quality.WordRows()
+        place, sign = quality.index_vectors()
+        total = np.zeros((quality.WORDS, quality.DIMS))
+        for t in texts:
+            at, n = words.of([t])
+            if len(at):
+                total += quality._contexts(at, np.zeros(len(at), dtype=int), place, sign)
+        assert "".join(quality.slices(texts[-1])) == texts[-1]
+    got = {r.id: np.array(r.features) for r in quality.pooled(rows, *quality.word_vectors(rows)).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-4)
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, ("good fine " if i % 2 else "bad awful ") * (1 + i % 4)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels, max_rows=400).collect()
+    assert len(got) == 3000 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.99
