@@ -4,8 +4,10 @@
    slice and then along random-hyperplane orders. A ball's radius stays below half the link angle, so its members are all
    linked with each other, and a group with a third of all rows becomes a few leaders instead of its square of pairs.
 2. NN-descent over the leaders: lists start from windows of several random-hyperplane orders and are refined by joins
-   with the neighbours of neighbours. A list holds the K nearest and, beyond K, every leader within reach of a link, so
-   a list that is full of links grows instead of losing some.
+   with the neighbours of neighbours. A list holds the K nearest and, beyond K, the leaders within reach of a link, so a
+   list that is full of links grows instead of losing some. A leader with ``DENSE`` of them is dense: it leaves the joins,
+   and its connected dense region, with all that borders on it, is compared tile by tile instead. Tiles give counts, a
+   spanning forest and the pairs of large balls that must be looked into, never a row per link.
 3. An audit takes leaders, with and without links found, as queries against all leaders, block by block until enough
    reachable pairs have been seen or every leader has been asked, and measures the share of those pairs found. Below the
    goal, more orders, rounds and audits follow; a search that stays below it raises. Pairs that the audit sees are kept.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, connected_components, store
+from .common import column, connected_components, local_components, store
 
 MIN_COSINE = 0.9
 BALL_DEGREES = 8.0
@@ -34,6 +36,9 @@ AUDIT_BLOCK = 4096
 AUDIT_PAIRS = 1000
 AUDIT_GOAL = 0.995
 ATTEMPTS = 6
+#: Leaders within reach from which a leader is dense; balls up to this size are compared member by member in its region.
+DENSE = 64
+TILE = 1024
 #: Allowance for rounding where an angle decides; what lies inside is compared vector by vector.
 SLACK = 1e-5
 
@@ -171,10 +176,11 @@ def _merged(pairs: DataFrame) -> DataFrame:
 
 
 def _lists(pairs: DataFrame, neighbours: int) -> DataFrame:
-    """(src, dst, cosine, rank, near): the K nearest of each leader and all others within reach of a link."""
+    """(src, dst, cosine, rank, near): the K nearest of each leader and the others within reach of a link, all of them where
+    the leader is not dense."""
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine", "near").union(pairs.select("b", "a", "cosine", "near"))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")))
-    return ranked.where((F.col("rank") <= neighbours) | F.col("near"))
+    return ranked.where((F.col("rank") <= neighbours) | (F.col("near") & (F.col("rank") <= DENSE + neighbours)))
 
 
 def _refined(pairs: DataFrame, leaders: DataFrame, angle: float, neighbours: int) -> DataFrame:
@@ -184,6 +190,8 @@ def _refined(pairs: DataFrame, leaders: DataFrame, angle: float, neighbours: int
     back = lists.withColumn("back", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cosine"), "src")))
     back = back.where(F.col("back") <= neighbours).select(F.col("dst").alias("mid"), F.col("src").alias("lid"))
     hood = lists.select(F.col("src").alias("mid"), F.col("dst").alias("lid")).union(back).union(lists.select(F.col("src").alias("mid"), F.col("src").alias("lid"))).distinct()
+    dense = lists.groupBy(F.col("src").alias("mid")).agg(F.count_if("near").alias("n")).where(F.col("n") >= DENSE).select("mid")
+    hood = hood.join(dense, "mid", "left_anti")  # so no neighbourhood is larger than a list and its K listers
     known = leaders.join(kth, "lid", "left").select("lid", "r", F.coalesce("kth", F.lit(-1.5)).alias("kth"), "v")
     met = hood.join(known, "lid").select("mid", "lid", "r", "kth", "v")
 
@@ -196,6 +204,86 @@ def _refined(pairs: DataFrame, leaders: DataFrame, angle: float, neighbours: int
     return store(_merged(kept.union(found)), "nn-pairs")
 
 
+def dense_regions(pairs: DataFrame) -> DataFrame | None:
+    """(lid, region, core): the dense leaders by connected region, and the leaders within reach of one of them (not core; of
+    each such region); None where no leader is dense."""
+    near = pairs.where("near").select("a", "b")
+    both = near.selectExpr("a as lid", "b as other").union(near.selectExpr("b as lid", "a as other"))
+    dense = store(both.groupBy("lid").agg(F.count("*").alias("n")).where(F.col("n") >= DENSE).select("lid"), "nn-dense")
+    if dense.isEmpty():
+        return None
+    inner = near.join(dense.withColumnRenamed("lid", "a"), "a", "left_semi").join(dense.withColumnRenamed("lid", "b"), "b", "left_semi")
+    root = connected_components(inner, "a", "b").selectExpr("node as lid", "root as region")
+    core = store(dense.join(root, "lid", "left").select("lid", F.coalesce("region", "lid").alias("region")), "nn-core")
+    border = both.join(core, "lid").select(F.col("other").alias("lid"), "region").join(dense, "lid", "left_anti").distinct()
+    return store(core.withColumn("core", F.lit(True)).union(border.select("lid", "region", F.lit(False))), "nn-regions")
+
+
+def _covered(found: DataFrame, regions: DataFrame | None) -> DataFrame:
+    """``found`` with ``tiled``: true for the pairs that the tiles of a dense region compare."""
+    if regions is None:
+        return found.withColumn("tiled", F.lit(False))
+    core = regions.where("core").select("lid", "region")
+    inside = regions.select("lid", "region").withColumn("there", F.lit(True))
+    for x, y in (("a", "b"), ("b", "a")):
+        found = found.join(core.select(F.col("lid").alias(x), F.col("region").alias(f"{x}_core")), x, "left")
+        found = found.join(inside.select(F.col("lid").alias(y), F.col("region").alias(f"{x}_core"), F.col("there").alias(f"{x}_there")), [y, f"{x}_core"], "left")
+    return found.withColumn("tiled", F.coalesce("a_there", F.lit(False)) | F.coalesce("b_there", F.lit(False))).drop("a_core", "b_core", "a_there", "b_there")
+
+
+def _tiled(regions: DataFrame, leaders: DataFrame, member: DataFrame, usable: DataFrame, min_cosine: float, angle: float) -> DataFrame:
+    """The links of dense leaders: (uid, ball, other, n, kind); kind 0: links of a member in other balls; 1: links of each member of
+    ball ``uid``; 2: a link (ball, other) of a spanning forest; 3: balls of which only some members may be linked.
+
+    Members of small balls are compared with each other (kind of row 0); a large ball (2) is compared as a whole with large
+    ones and with the leaders of small ones (1)."""
+    sized = regions.join(leaders.select("lid", "r", "size", "v"), "lid")
+    small = F.col("size") <= DENSE
+    whole = sized.select("region", "core", F.col("lid").alias("ball"), F.col("lid").alias("uid"), "r", "size", "v", F.when(small, 1).otherwise(2).alias("what"))
+    single = sized.where(small).select("region", "core", F.col("lid").alias("ball")).join(member.select("uid", "ball"), "ball").join(usable.select("uid", "v"), "uid")
+    points = whole.unionByName(single.select("region", "core", "ball", "uid", F.lit(0.0).alias("r"), F.lit(1).cast("long").alias("size"), "v", F.lit(0).alias("what")))
+    points = store(points, "nn-points")
+    tiles = points.groupBy("region").agg(F.ceil(F.count_if("core") / F.lit(TILE)).cast("int").alias("ct"), F.ceil(F.count_if(~F.col("core")) / F.lit(TILE)).cast("int").alias("bt"))
+    points = points.join(tiles, "region").withColumn("h", F.xxhash64("uid", "what"))
+    points = points.withColumn("tile", F.when(F.col("core"), F.pmod("h", "ct")).otherwise(F.col("ct") + F.pmod("h", "bt")).cast("int"))
+    # a core tile meets every tile of its region once, a tile beyond the core every core tile
+    partner = F.when(F.col("core"), F.sequence(F.lit(0), F.col("ct") + F.col("bt") - 1)).otherwise(F.sequence(F.lit(0), F.col("ct") - 1))
+    met = points.withColumn("partner", F.explode(partner))
+    met = met.select("region", F.least("tile", "partner").cast("int").alias("i"), F.greatest("tile", "partner").cast("int").alias("j"), "tile", "ball", "uid", "r", "size", "what", "v")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        tile, ball, uid, r, size, what = (table[c].to_numpy() for c in ("tile", "ball", "uid", "r", "size", "what"))
+        x = _unit(table["v"].to_pylist())
+        low, high = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        cosine = x[left] @ x[right].T
+        sort = what[left][:, None] * 3 + what[right][None, :]
+        fresh = ball[left][:, None] != ball[right][None, :]
+        if low == high:
+            fresh &= uid[left][:, None] < uid[right][None, :]
+        level = fresh & np.isin(sort, (5, 7, 8))  # a large ball with a leader of a small one, or with a large one
+        gap, reach = _degrees(cosine), r[left][:, None] + r[right][None, :]
+        full = level & (gap + reach <= angle - SLACK)
+        linked = fresh & (sort == 0) & (cosine >= min_cosine) | full
+        some = level & ~full & (gap <= angle + reach + SLACK)
+        n = np.zeros(len(uid), dtype=np.int64)
+        np.add.at(n, left, linked @ size[right])
+        np.add.at(n, right, linked.T @ size[left])
+        at = np.flatnonzero(n)
+        i, j = np.nonzero(linked)
+        nodes, root = local_components(ball[left][i], ball[right][j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        tree = nodes != root
+        i, j = np.nonzero(some)
+        a, b = np.minimum(ball[left][i], ball[right][j]), np.maximum(ball[left][i], ball[right][j])
+        none = lambda k: np.full(k, -1, dtype=np.int64)
+        t, o = int(tree.sum()), len(i)
+        return pa.table({
+            "uid": np.concatenate([uid[at], none(t + o)]), "ball": np.concatenate([ball[at], nodes[tree], a]), "other": np.concatenate([none(len(at)), root[tree], b]),
+            "n": np.concatenate([n[at], none(t + o)]), "kind": np.concatenate([(what[at] > 0).astype(np.int64), np.full(t, 2), np.full(o, 3)])})
+
+    return store(met.groupBy("region", "i", "j").applyInArrow(kernel, "uid long, ball long, other long, n long, kind long"), "nn-tiled")
+
+
 def _reachable(leaders: DataFrame, sample: list, angle: float) -> DataFrame:
     """(linked, a, b, cosine, near): every pair of a query leader and a leader within its reach, once for each query."""
 
@@ -224,8 +312,9 @@ def _reachable(leaders: DataFrame, sample: list, angle: float) -> DataFrame:
     return store(leaders.select("lid", "dim", "r", "v").mapInArrow(kernel, "linked boolean, " + PAIR_DDL), "nn-audit")
 
 
-def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, turn: int = 0) -> tuple[float, bool, DataFrame | None]:
-    """Estimated share of all reachable pairs that the pair table holds; whether every leader was asked; the pairs seen.
+def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, turn: int = 0, regions: DataFrame | None = None) -> tuple[float, bool, DataFrame | None]:
+    """Estimated share of all reachable pairs that the pair table holds or a dense region's tiles compare; whether every
+    leader was asked; the pairs seen outside tiles.
 
     Leaders with and without links found are drawn apart and weighted by their numbers. Blocks of queries grow until
     AUDIT_PAIRS reachable pairs have been seen, or there is no leader left to ask: where links are very rare, this is
@@ -247,11 +336,13 @@ def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, turn: int =
         for s in sample:
             asked[s["linked"]] += 1
         found = _reachable(leaders, sample, angle)
-        known = found.join(pairs.select("a", "b", F.lit(1).alias("known")), ["a", "b"], "left")
+        found = _covered(found, regions)
+        found = found if regions is None else store(found, "nn-covered")
+        known = found.join(pairs.select("a", "b", F.lit(1).alias("known")), ["a", "b"], "left").withColumn("known", F.when(F.col("tiled"), 1).otherwise(F.col("known")))
         for r in known.groupBy("linked").agg(F.count("*").alias("n"), F.count("known").alias("known")).collect():
             seen[r["linked"]] += r["n"]
             held[r["linked"]] += r["known"]
-        found = found.select("a", "b", "cosine", "near")
+        found = found.where(~F.col("tiled")).select("a", "b", "cosine", "near")
         truth = found if truth is None else truth.union(found)
         at, block = upto, min(4 * block, AUDIT_BLOCK)
     weight = {k: size[k] / max(1, asked[k]) for k in size}
@@ -260,8 +351,9 @@ def audit_recall(pairs: DataFrame, leaders: DataFrame, angle: float, turn: int =
     return share, all(at[k] >= 1 for k in size), truth
 
 
-def nn_descent(leaders: DataFrame, angle: float, neighbours: int = NEIGHBOURS, orders: int = ORDERS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Pairs (a, b, cosine, near) of leaders (lid, dim, r, v); the audited share of reachable pairs meets the goal."""
+def nn_descent(leaders: DataFrame, angle: float, neighbours: int = NEIGHBOURS, orders: int = ORDERS, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, cosine, near) of leaders (lid, dim, r, v), and the dense regions, whose pairs are not among them; the
+    audited share of reachable pairs meets the goal."""
     pairs = store(_merged(_windows(leaders, angle, neighbours, orders, 11)), "nn-pairs")
     for attempt in range(ATTEMPTS):
         reached = pairs.where("near").count()
@@ -271,11 +363,12 @@ def nn_descent(leaders: DataFrame, angle: float, neighbours: int = NEIGHBOURS, o
             if now <= reached * 1.001:
                 break
             reached = now
-        share, whole, truth = audit_recall(pairs, leaders, angle, attempt)
+        regions = dense_regions(pairs)
+        share, whole, truth = audit_recall(pairs, leaders, angle, attempt, regions)
         if share < 1:
             pairs = store(_merged(pairs.union(truth)), "nn-pairs")
         if whole or share >= AUDIT_GOAL:
-            return pairs
+            return pairs, dense_regions(pairs) if share < 1 else regions
         more = _windows(leaders, angle, neighbours, 2 * orders, 100 + attempt)
         pairs = store(_merged(pairs.union(more)), "nn-pairs")
     raise RuntimeError(f"{share:.4f} of the reachable pairs found after {ATTEMPTS} searches, {AUDIT_GOAL} needed")
@@ -332,7 +425,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     shape = member.groupBy("ball").agg(F.max("reach").alias("r"), F.count("*").alias("size"))
     leaders = store(usable.join(shape, usable["uid"] == shape["ball"]).select(F.col("uid").alias("lid"), "dim", "r", "size", "v"), "nn-leaders")
 
-    pairs = nn_descent(leaders, angle, neighbours, orders).where("near").select("a", "b", "cosine")
+    pairs, regions = nn_descent(leaders, angle, neighbours, orders)
+    pairs = pairs.where("near").select("a", "b", "cosine")
+    tiled = None
+    if regions is not None:
+        core = regions.where("core").select("lid")
+        pairs = pairs.join(core.withColumnRenamed("lid", "a"), "a", "left_anti").join(core.withColumnRenamed("lid", "b"), "b", "left_anti")
+        tiled = _tiled(regions, leaders, member, usable, min_cosine, angle)
     side = leaders.select("lid", "r", "size")
     pairs = pairs.join(side.selectExpr("lid as a", "r as ra", "size as sa"), "a").join(side.selectExpr("lid as b", "r as rb", "size as sb"), "b")
     degrees = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "cosine"))))
@@ -341,12 +440,23 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     pairs = store(pairs.withColumn("whole", whole).withColumn("open", ~whole & ~single), "nn-ball-pairs")
 
     members = member.join(usable.select("uid", "v"), "uid").select("uid", "ball", "v")
-    some = store(_compared(pairs.where("open"), members, min_cosine), "nn-compared")
+    partly = pairs.where("open").select("a", "b")
+    if tiled is not None:
+        partly = partly.union(tiled.where("kind = 3").select(F.col("ball").alias("a"), F.col("other").alias("b")).distinct())
+    some = store(_compared(partly, members, min_cosine), "nn-compared")
     full = pairs.where("whole")
     by_ball = full.selectExpr("a as ball", "sb as n").union(full.selectExpr("b as ball", "sa as n")).union(leaders.selectExpr("lid as ball", "size - 1 as n"))
+    if tiled is not None:
+        by_ball = by_ball.union(tiled.where("kind = 1").select("ball", "n"))
     by_ball = store(by_ball.groupBy("ball").agg(F.sum("n").alias("n")), "nn-by-ball")
-    by_member = some.groupBy("uid").agg(F.sum("n").alias("extra"))
-    links = full.select("a", "b").union(some.select(F.col("ball").alias("a"), F.col("other").alias("b"))).distinct()
+    by_member = some.select("uid", "n")
+    if tiled is not None:
+        by_member = by_member.union(tiled.where("kind = 0").select("uid", "n"))
+    by_member = by_member.groupBy("uid").agg(F.sum("n").alias("extra"))
+    links = full.select("a", "b").union(some.select(F.col("ball").alias("a"), F.col("other").alias("b")))
+    if tiled is not None:
+        links = links.union(tiled.where("kind = 2").select(F.col("ball").alias("a"), F.col("other").alias("b")))
+    links = links.distinct()
     root = connected_components(links, "a", "b").withColumnRenamed("node", "ball")
 
     placed = vectors.select("uid", "vec_id").join(member.select("uid", "ball"), "uid", "left")

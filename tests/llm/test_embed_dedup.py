@@ -89,3 +89,37 @@ def test_search_below_the_goal_raises(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(50, 8)))]
     with pytest.raises(RuntimeError):
         found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
+def ring(rng, centre, n, degrees):
+    """Vectors at an angle to the centre, in all directions."""
+    x = rng.normal(size=(n, len(centre)))
+    x -= (x @ centre)[:, None] * centre
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = np.radians(degrees)[:, None]
+    return np.cos(a) * centre + np.sin(a) * x
+
+
+@pytest.mark.parametrize("dense, tile", [(64, 1024), (12, 40)])
+def test_wide_dense_groups_are_exact(spark, monkeypatch, dense, tile):
+    """A group too wide to fold, one that is half folded, with large balls and a border; counts and components are exact."""
+    monkeypatch.setattr(embed_dedup, "DENSE", dense)
+    monkeypatch.setattr(embed_dedup, "TILE", tile)
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v)
+    first, second = unit(rng.normal(size=24)), unit(rng.normal(size=24))
+    rows = [*ring(rng, first, 500, np.full(500, 15.0)), *ring(rng, second, 300, rng.uniform(0, 22, 300)), *ring(rng, second, 60, rng.uniform(22, 40, 60)), *rng.normal(size=(200, 24))]
+    for v in ring(rng, second, 3, np.array([5.0, 12.0, 18.0])):
+        rows += [unit(v + rng.normal(size=24) * 0.004) for _ in range(90)]  # balls larger than DENSE
+    order = rng.permutation(len(rows))
+    rows = [(int(i), rows[k].tolist()) for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert found(df) == brute(rows)
+
+
+def test_lists_of_dense_leaders_are_bounded(spark):
+    n = 400
+    pairs = spark.range(n).crossJoin(spark.range(n).withColumnRenamed("id", "b")).where("id < b").selectExpr("id as a", "b", "0.95D as cosine", "true as near")
+    assert embed_dedup._lists(pairs, 8).count() <= n * (embed_dedup.DENSE + 8)
+    regions = embed_dedup.dense_regions(pairs)
+    assert regions.where("core").count() == n and regions.select("region").distinct().count() == 1
