@@ -47,5 +47,5 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
 
 def test_registry():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and "shelfspark.llm" in sys.modules
